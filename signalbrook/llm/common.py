@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +54,7 @@ def slices(batch: pa.RecordBatch, column: int = 0, limit: int = 4 << 20) -> Iter
     if not batch.num_rows:
         return
     text = batch.column(column)
-    size = np.nan_to_num(np.asarray(pa.compute.binary_length(text).to_numpy(zero_copy_only=False), dtype="f8"))
+    size = np.nan_to_num(np.asarray(pc.binary_length(text).to_numpy(zero_copy_only=False), dtype="f8"))
     block = (np.cumsum(size) // limit).astype("i8")
     cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
@@ -102,7 +103,7 @@ class Words:
     def __init__(self, texts: pa.Array, more_breaks: np.ndarray | None = None):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
-        texts = pa.compute.fill_null(texts.cast(pa.large_binary()), b"")
+        texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
         offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
         raw = texts.buffers()[2]
         data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.empty(0, np.uint8)
