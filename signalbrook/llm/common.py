@@ -100,7 +100,7 @@ class Words:
     data: the bytes of all texts; starts, ends: of each word in data; row: the text that a word is in;
     n_rows: texts. Null texts count as empty."""
 
-    def __init__(self, texts: pa.Array, more_breaks: np.ndarray | None = None):
+    def __init__(self, texts: pa.Array):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
