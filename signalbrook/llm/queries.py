@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, embedding_dedup, line_dedup, mixing, quality, sharding, simhash, topk, url_filter
+from . import bpe, embedding_dedup, line_dedup, lm, mixing, quality, sharding, simhash, topk, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,10 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(
@@ -67,6 +71,7 @@ QUERIES = {
     "op3_url_filter": op3_url_filter,
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
+    "op6_lm_scoring": op6_lm_scoring,
     "op7_sharding": op7_sharding,
     "op8_exact_top_k": op8_exact_top_k,
     "op9_bpe": op9_bpe,
