@@ -88,16 +88,19 @@ def decode(df: DataFrame, ids: str = "ids", out: str = "decoded", ranks_file: st
     return _mapped(df, ids, [(out, T.BinaryType())], [pa.binary()], one)
 
 
-def round_trip_digests(df: DataFrame, text: str = "text", ranks_file: str | None = None, pattern: str | None = None, limit: int = 1 << 16) -> DataFrame:
+def round_trip_digests(df: DataFrame, text: str = "text", ranks_file: str | None = None, pattern: str | None = None, limit: int = 1 << 16, keep_ids: bool = False) -> DataFrame:
     """Encode and decode in one pass: adds n_tokens, ids_sha256 (of the ids as little-endian unsigned 32-bit
-    integers) and decoded_sha256 (of the decoded bytes), both lowercase hex. Columns so named are replaced;
-    null counts as the empty text."""
-    df, file, pat = df.drop("n_tokens", "ids_sha256", "decoded_sha256"), ranks_file or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    integers) and decoded_sha256 (of the decoded bytes), both lowercase hex, and with keep_ids the ids themselves
+    (array<int>). Columns so named are replaced; null counts as the empty text."""
+    file, pat = ranks_file or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
+    fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType()), ("ids", T.ArrayType(T.IntegerType(), False))]
+    df = df.drop(*[n for n, _ in fields[: 4 if keep_ids else 3]])
 
     def one(v):
         enc = encoding(file, pat)
         ids = encode_text(enc, v or "", limit)
-        return len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(enc.decode_bytes(ids)).hexdigest()
+        digests = len(ids), hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(enc.decode_bytes(ids)).hexdigest()
+        return (*digests, ids) if keep_ids else digests
 
-    fields = [("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())]
-    return _mapped(df, text, fields, [pa.int64(), pa.string(), pa.string()], one)
+    n = 4 if keep_ids else 3
+    return _mapped(df, text, fields[:n], [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32())][:n], one)
