@@ -1,0 +1 @@
+"""Telemetry and inventory analytics on Spark DataFrames: labelled samples, log lines, probes, alerts, configuration."""
