@@ -59,9 +59,9 @@ def per_network(targets: DataFrame, networks: str = "networks", column: str = "l
 
 #: The rules that turn a discovered container into a scrape target: it must ask for a port and sit on the proxy network.
 CONTAINER_TARGETS = [
-    Rule(("__meta_docker_container_label_homelab_metrics_port",), regex=".+", action="keep"),
+    Rule(("__meta_docker_container_label_metrics_port",), regex=".+", action="keep"),
     Rule(("__meta_docker_network_name",), regex="proxy", action="keep"),
-    Rule(("__meta_docker_network_ip", "__meta_docker_container_label_homelab_metrics_port"), target="__address__", separator=":"),
+    Rule(("__meta_docker_network_ip", "__meta_docker_container_label_metrics_port"), target="__address__", separator=":"),
     Rule(("__meta_docker_container_name",), target="container", regex="/(.*)"),
     Rule(("__meta_docker_container_label_com_docker_compose_service",), target="service"),
     Rule(("__meta_docker_container_label_com_docker_compose_project",), target="stack"),

@@ -318,7 +318,7 @@ def _targets(spark, d):
     c = TV.table(spark, d, "customer")
     port = F.when(F.col("c_custkey") % 4 == 0, F.lit("")).otherwise((F.col("c_custkey") % 9000 + 1000).cast("string"))
     labels = F.create_map(
-        F.lit("__meta_docker_container_name"), F.concat(F.lit("/"), F.col("c_name")), F.lit("__meta_docker_container_label_homelab_metrics_port"), port,
+        F.lit("__meta_docker_container_name"), F.concat(F.lit("/"), F.col("c_name")), F.lit("__meta_docker_container_label_metrics_port"), port,
         F.lit("__meta_docker_container_label_com_docker_compose_service"), F.col("c_mktsegment"), F.lit("__meta_docker_container_label_com_docker_compose_project"), (F.col("c_nationkey") % 3).cast("string"),
     )
     net = lambda name, base: F.struct(F.lit(name).alias("name"), F.concat(F.lit(base), (F.col("c_custkey") % 250).cast("string")).alias("ip"))
@@ -626,9 +626,9 @@ def largest_sizes(spark, d):
     return p.orderBy(F.col("bytes").desc(), "p_partkey").limit(20)
 
 
-@register("render_template", "SELECT p_partkey, p_name || ' has only ' || printf('%.1f', p_partkey / 2) || '% free' || CASE WHEN p_type = 'PROMO' THEN '!' ELSE '' END AS message FROM part")
+@register("render_template", "SELECT p_partkey, p_name || ' still has ' || printf('%.1f', p_partkey / 2) || '% free' || CASE WHEN p_type = 'PROMO' THEN '!' ELSE '' END AS message FROM part")
 def render_template(spark, d):
-    message = text.template('{{ $labels.p_name }} has only {{ printf "%.1f" v }}% free{{ if eq p_type "PROMO" }}!{{ end }}', F.col)
+    message = text.template('{{ $labels.p_name }} still has {{ printf "%.1f" v }}% free{{ if eq p_type "PROMO" }}!{{ end }}', F.col)
     return TV.table(spark, d, "part").withColumn("v", F.col("p_partkey") / 2).select("p_partkey", message.alias("message"))
 
 

@@ -53,7 +53,7 @@ def test_filesystem_rule(spark):
     rule, expr = next(x for x in rules.RULES if x[0].alert == "HostFilesystemEarlyWarning")
     got = rules.evaluate_at(samples(spark, rows), rule, expr, "2024-01-01 10:01:00").collect()
     assert [(r.labels["mountpoint"], r.value, r.labels["severity"]) for r in got] == [("/a", 10.0, "warning")]
-    assert got[0].annotations["description"] == "sda at /a on h has only 10.0% free."
+    assert got[0].annotations["description"] == "/a (sda) on h: 10.0% left"
 
 
 def test_absence(spark):
@@ -67,7 +67,7 @@ def test_absence(spark):
 def test_every_rule_evaluates(spark):
     df = samples(spark, [("up", {"job": "x", "host": "h"}, at(0), 0), ("probe_success", {"job": "public-ingress", "instance": "i"}, at(0), 0), ("gatus_results_endpoint_success", {"group": "g", "name": "n"}, at(0), 0)])
     firing = {r.alert for r, e in rules.RULES if rules.evaluate_at(df, r, e, "2024-01-01 10:01:00").count()}
-    assert firing == {"HostAgentAbsent", "ScrapeTargetDown", "PublicIngressUnreachable", "GatusEndpointDown", "HobDown"}
+    assert firing == {"HostAgentAbsent", "ScrapeTargetDown", "PublicIngressUnreachable", "EndpointDown", "ContainerAbsent"}
 
 
 def test_sets_and_topk(spark):
@@ -89,8 +89,8 @@ LINES = [
 
 
 def test_ban_lines(spark):
-    df = spark.createDataFrame([(at(i), "h", "proxy", "crowdsec", "c", line) for i, (line, _) in enumerate(LINES)], LOGS)
-    got = [r.line for r in rules.ban_lines(df, stack="proxy", service="crowdsec").collect()]
+    df = spark.createDataFrame([(at(i), "h", "proxy", "waf", "c", line) for i, (line, _) in enumerate(LINES)], LOGS)
+    got = [r.line for r in rules.ban_lines(df, stack="proxy", service="waf").collect()]
     assert got == [want for _, want in reversed(LINES) if want]
 
 
@@ -111,7 +111,7 @@ def test_relabel_targets(spark):
     P_ = "__meta_docker_"
     rows = [("/x-1", "x", "6060", [("proxy", "192.0.2.5"), ("default", "192.0.2.9")]), ("/y-1", "y", None, [("proxy", "192.0.2.6")])]
     df = spark.createDataFrame(
-        [({P_ + "container_name": n, P_ + "container_label_com_docker_compose_service": s, P_ + "container_label_homelab_metrics_port": p}, nets) for n, s, p, nets in rows],
+        [({P_ + "container_name": n, P_ + "container_label_com_docker_compose_service": s, P_ + "container_label_metrics_port": p}, nets) for n, s, p, nets in rows],
         "labels map<string,string>, networks array<struct<name:string,ip:string>>",
     )
     got = RL.relabel(RL.per_network(df), RL.CONTAINER_TARGETS).collect()
