@@ -39,16 +39,6 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def fresh(taken, stem: str) -> str:
-    """A column name that the caller's columns do not use (names compare without case)."""
-    used = {c.lower() for c in taken}
-    name, i = stem, 0
-    while name.lower() in used:
-        i += 1
-        name = f"{stem}_{i}"
-    return name
-
-
 def slices(batch: pa.RecordBatch, column: int = 0, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of whole rows of about limit bytes of text, at least a row each."""
     if not batch.num_rows:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, fresh
+from .common import WORD, cut
 from .sharding import assign_shards
 
 SPACE_CLASS = r"[\x20\x09-\x0D]"
@@ -73,8 +73,8 @@ def quotas(parties: DataFrame, keys: list[str], seats: int) -> DataFrame:
     return parties.withColumn("base", won(low)).join(more, keys, "left").select(*parties.columns, (F.col("base") + F.coalesce("more", F.lit(0))).cast("long").alias("quota"))
 
 
-def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = 32, shard_words: int = 1 << 16, seed: int = 20240229) -> DataFrame:
-    """df with size (words), source_size, target, taken and the spans taken.
+def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, block: int = 32, shard_words: int = 1 << 16, seed: int = 20240229, columns: list[str] | None = None) -> DataFrame:
+    """df (or some of its columns) with size (words), source_size, target, taken and the spans taken.
 
     The words of a source are dealt into shards of about shard_words by a seeded hash of the id (a source that holds a third
     of all rows is many shards), laid end to end in a seeded order and cut into blocks of block words. Sainte-Lague
@@ -86,33 +86,31 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     Null texts have no words, a null source is a source of its own, and a null id is dealt like any value. Reruns agree: all is decided by
     ids, sizes and the seed (rows alike in id and size may swap places). Columns of these names are replaced; an empty table gives an empty result."""
     made = ["size", "source_size", "target", "taken", "passes", "from_word_1", "to_word_1", "from_word_2", "to_word_2"]
-    df = df.drop(*made)
-    id_, no, src = (fresh([*df.columns, *made], x) for x in ("id_", "no_source_", "source_"))
-    rows = cut(df.select("*", F.col(doc_id).alias(id_), F.col(source).isNull().alias(no), F.coalesce(F.col(source).cast("string"), F.lit("")).alias(src), word_count(text).alias("size")))
-    per = rows.groupBy(F.col(no).alias("no_source"), F.col(src).alias("source")).agg(F.sum("size").alias("source_size"))
-    aimed = targets(per, weights, share, cap).withColumn("n_shards", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)))
-    side = aimed.select(F.col("no_source").alias("s_no_"), F.col("source").alias("s_src_"), "source_size", "target", "n_shards")
-    dealt = rows.join(side, (F.col(no) == F.col("s_no_")) & (F.col(src) == F.col("s_src_"))).withColumn("shard_", F.pmod(F.xxhash64(id_, F.lit(seed)), F.col("n_shards")))
-    at = ["s_no_", "s_src_", "shard_"]
+    # the caller's columns travel as one struct, so that no name of theirs meets one of ours
+    carried = [c for c in columns or df.columns if c not in made]
+    rows = cut(df.select(F.struct(*carried).alias("row"), F.col(doc_id).alias("id"), F.col(source).isNull().alias("no_source"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), word_count(text).alias("size")))
+    from_source = ["no_source", "source"]
+    per = rows.groupBy(*from_source).agg(F.sum("size").alias("source_size"))
+    aimed = cut(targets(per, weights, share, cap).select(*from_source, "source_size", "target", F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words)).alias("n_shards")))
+    dealt = rows.join(aimed, from_source).withColumn("shard", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("n_shards")))
+    at = [*from_source, "shard"]
     shards = dealt.groupBy(*at).agg(F.sum("size").alias("words"), F.first("target").alias("t"), F.first("source_size").alias("s"))
     blocks = F.ceil(F.col("words") / block)
     parties = cut(shards.select(*at, "words", blocks.alias("blocks"), F.coalesce(F.try_divide(F.col("t") * F.col("words"), F.col("s") * block), F.lit(0.0)).alias("votes"), F.floor(blocks * cap).alias("most")))
     wanted = aimed.agg(F.sum("target")).first()[0] or 0.0
-    run = quotas(parties, at, round(wanted / block))
-    passes = F.floor(F.col("quota") / F.greatest("blocks", F.lit(1)))
+    some = F.greatest("blocks", F.lit(1))
+    passes = F.floor(F.col("quota") / some)
     left = F.col("quota") - passes * F.col("blocks")
-    start = F.pmod(F.xxhash64(*at, F.lit(seed)), F.greatest("blocks", F.lit(1)))
-    run = run.select(
-        *[F.col(c).alias(f"r_{c}") for c in at], passes.alias("passes"),
-        (start * block).alias("lo_"), F.least((start + left) * block, "words").alias("hi_"), (F.greatest(F.lit(0), start + left - F.col("blocks")) * block).alias("wrap_"),
+    start = F.pmod(F.xxhash64(*at, F.lit(seed)), some)
+    run = quotas(parties, at, round(wanted / block)).select(
+        *at, passes.alias("passes"), (start * block).alias("lo"), F.least((start + left) * block, "words").alias("hi"), (F.greatest(F.lit(0), start + left - F.col("blocks")) * block).alias("wrap")
     )
-    order = Window.partitionBy(*at).orderBy(F.xxhash64(id_, F.lit(seed + 1)), id_, "size").rowsBetween(Window.unboundedPreceding, 0)
-    laid = dealt.withColumn("end_", F.sum("size").over(order)).withColumn("begin_", F.col("end_") - F.col("size"))
-    on = [F.col(c) == F.col(f"r_{c}") for c in at]
-    inside = lambda c: F.least(F.greatest(F.col(c) - F.col("begin_"), F.lit(0)), F.col("size")).cast("long")
-    spans = laid.join(run, on).withColumns({"from_word_1": inside("lo_"), "to_word_1": inside("hi_"), "from_word_2": F.lit(0).cast("long"), "to_word_2": inside("wrap_")})
+    order = Window.partitionBy(*at).orderBy(F.xxhash64("id", F.lit(seed + 1)), "id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    laid = dealt.withColumn("end", F.sum("size").over(order)).withColumn("begin", F.col("end") - F.col("size"))
+    inside = lambda c: F.least(F.greatest(F.col(c) - F.col("begin"), F.lit(0)), F.col("size")).cast("long")
+    spans = laid.join(run, at).withColumns({"from_word_1": inside("lo"), "to_word_1": inside("hi"), "from_word_2": F.lit(0).cast("long"), "to_word_2": inside("wrap")})
     length = lambda i: F.greatest(F.lit(0), F.col(f"to_word_{i}") - F.col(f"from_word_{i}"))
-    return spans.withColumn("taken", (F.col("passes") * F.col("size") + length(1) + length(2)).cast("long")).select(*df.columns, *made)
+    return spans.withColumn("taken", (F.col("passes") * F.col("size") + length(1) + length(2)).cast("long")).select("row.*", *made)
 
 
 def realise(mixed: DataFrame, text: str = "text") -> DataFrame:
@@ -120,12 +118,12 @@ def realise(mixed: DataFrame, text: str = "text") -> DataFrame:
     their separators kept, where the run takes a part of it. Adds nothing; rows that the mix does not take are gone,
     but a document without words stays as it is (it has nothing to take)."""
     names = [c for c in mixed.columns if c not in ("size", "source_size", "target", "taken", "passes", "from_word_1", "to_word_1", "from_word_2", "to_word_2")]
-    whole = mixed.where(F.col("size") > 0).withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("passes", F.lit(1)))).alias("copy_")).where(F.col("passes") > 0)
+    whole = mixed.where(F.col("size") > 0).where(F.col("passes") > 0).withColumn("copy_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("passes"))))
     part = mixed.where(F.col("taken") > F.col("passes") * F.col("size"))
     pieces = F.regexp_extract_all(text, F.lit(f"{SPACE_CLASS}*{WORD}"), F.lit(0))
     span = lambda i: F.slice("pieces_", F.col(f"from_word_{i}").cast("int") + 1, F.greatest(F.lit(0), F.col(f"to_word_{i}") - F.col(f"from_word_{i}")).cast("int"))
     all_of_it = F.col("taken") - F.col("passes") * F.col("size") == F.col("size")
-    cut_text = F.when(all_of_it, F.col(text)).otherwise(F.array_join(F.concat(span(1), span(2)), ""))
+    cut_text = F.when(all_of_it, F.col(text)).otherwise(F.array_join(F.concat(span(2), span(1)), ""))
     part = part.withColumn("pieces_", F.when(~all_of_it, pieces)).withColumn(text, cut_text)
     wordless = mixed.where(F.col("size") == 0)
     return whole.select(*names).unionByName(part.select(*names)).unionByName(wordless.select(*names))

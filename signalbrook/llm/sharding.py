@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, fresh
+from .common import cut
 
 
 def assign_shards(df: DataFrame, size: str, order: list[str], n_shards: int = 16, partitions: int | None = None) -> DataFrame:
@@ -25,30 +25,21 @@ def assign_shards(df: DataFrame, size: str, order: list[str], n_shards: int = 16
     """
     n = partitions or 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     df = df.drop("shard", "slot")
-    names = df.columns
-    part, own, before, place = (fresh(names, x) for x in ("part_", "own_", "before_", "place_"))
-    dealt = cut(
-        df.withColumn(own, F.coalesce(F.col(size).cast("long"), F.lit(0)))
-        .repartitionByRange(n, *[F.col(c).asc_nulls_first() for c in order])
-        .withColumn(part, F.spark_partition_id())
-    )
-    totals = dealt.groupBy(part).agg(F.sum(own).alias("bytes"), F.count("*").alias("n"))
-    earlier = Window.orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    starts = totals.select(
-        F.col(part).alias("of_part_"),
-        F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("bytes_"),
-        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rows_"),
-    )
+    keys = [f"key_{i}" for i in range(len(order))]
+    # the caller's columns travel as one struct, so that no name of theirs meets one of ours
+    rows = df.select(F.struct("*").alias("row"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("own"), *[F.col(c).alias(k) for c, k in zip(order, keys, strict=True)])
+    ascending = [F.col(k).asc_nulls_first() for k in keys]
+    dealt = cut(rows.repartitionByRange(n, *ascending).withColumn("part", F.spark_partition_id()))
+    totals = dealt.groupBy("part").agg(F.sum("own").alias("bytes"), F.count("*").alias("n"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select("part", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("bytes_before"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("rows_before"))
     total = totals.agg(F.sum("bytes")).first()[0] or 1
-    inside = Window.partitionBy(part).orderBy(*[F.col(c).asc_nulls_first() for c in order])
-    run = F.sum(own).over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col(own)
-    share = F.expr(f"((`{before}` + bytes_) * {n_shards}) div {total}")
+    inside = Window.partitionBy("part").orderBy(*ascending)
+    run = F.sum("own").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("own")
     placed = (
-        dealt.withColumns({before: run, place: F.row_number().over(inside)})
-        .join(F.broadcast(starts), F.col(part) == F.col("of_part_"))
-        .select(*names, F.least(share, F.lit(n_shards - 1)).cast("int").alias("shard"), (F.col(place) + F.col("rows_") - 1).cast("long").alias(place))
-    )
-    firsts = placed.groupBy("shard").agg(F.min(place).alias("first_")).select(F.col("shard").alias("of_shard_"), "first_")
-    return placed.join(F.broadcast(firsts), F.col("shard") == F.col("of_shard_")).select(
-        *names, "shard", (F.col(place) - F.col("first_")).alias("slot")
+        dealt.withColumns({"first_byte": run, "place": F.row_number().over(inside)})
+        .join(F.broadcast(starts), "part")
+        .select("row", F.expr(f"cast(least(((first_byte + bytes_before) * {n_shards}) div {total}, {n_shards - 1}) as int)").alias("shard"), (F.col("place") + F.col("rows_before") - 1).alias("place"))
     )
+    firsts = placed.groupBy("shard").agg(F.min("place").alias("first"))
+    return placed.join(F.broadcast(firsts), "shard").select("row.*", "shard", (F.col("place") - F.col("first")).cast("long").alias("slot"))
