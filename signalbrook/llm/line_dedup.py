@@ -39,7 +39,7 @@ def slot_levels(slots: DataFrame) -> np.ndarray:
     sums = slots.groupBy("slot").agg(F.sum("n").alias("n"))
     parts = sums.groupBy((F.col("slot") / width).cast("int").alias("chunk")).applyInPandas(run, "chunk int, levels binary")
     out = np.zeros(SLOTS, np.uint8)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():  # SLOTS bytes, whatever the input
         out[row.chunk * width : (row.chunk + 1) * width] = np.frombuffer(row.levels, np.uint8)
     return out
 
@@ -72,8 +72,8 @@ def _runs(key: np.ndarray) -> np.ndarray:
 
 
 def line_sets(texts: pa.Array, levels: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
-    """The token set of each line that has words: row and line number, size, two hashes of the set, the parity bits of its
-    tokens, and its postings: the tokens of its prefix, rarest first, that occur more than once anywhere."""
+    """The token set of each line that has words: row and line number, size, two hashes of the set, 128 bits that say of how many
+    of its tokens each is the slot, odd or even, and its postings: the tokens of its prefix, rarest first, that occur more than once anywhere."""
     words = Words(texts)
     h = words.hashes()
     breaks = np.flatnonzero(words.data == 10)
@@ -97,11 +97,12 @@ def line_sets(texts: pa.Array, levels: np.ndarray, threshold: float) -> dict[str
     frequent = posted & (rarity >= level(np.array([BLOCK]))[0])
     if not len(begin):
         empty = np.empty(0, np.int64)
-        return dict.fromkeys(("row", "line", "size", "h1", "h2", "parity", "token", "place", "often", "begin"), empty)
+        return dict.fromkeys(("row", "line", "size", "h1", "h2", "parity", "parity_2", "token", "place", "often", "begin"), empty)
     return {
         "row": words.row[at], "line": number[at], "size": size,
         "h1": np.add.reduceat(token, begin), "h2": np.add.reduceat(mix(token ^ np.uint64(0x5851F42D4C957F2D)), begin),
-        "parity": np.bitwise_xor.reduceat(np.uint64(1) << (token & np.uint64(63)), begin),
+        "parity": np.bitwise_xor.reduceat(np.where(token & np.uint64(64), 0, np.uint64(1) << (token & np.uint64(63))), begin),
+        "parity_2": np.bitwise_xor.reduceat(np.where(token & np.uint64(64), np.uint64(1) << (token & np.uint64(63)), 0), begin),
         "token": token[posted], "place": place[posted], "often": token[frequent],
         "begin": np.searchsorted(line[posted], np.arange(len(begin) + 1)), "begin_often": np.searchsorted(line[frequent], np.arange(len(begin) + 1)),
     }
@@ -120,24 +121,25 @@ def lines_of(docs: DataFrame, levels, threshold: float) -> DataFrame:
                     continue
                 take = pa.array(s["row"])
                 signed = lambda x: pa.array(x.view(np.int64))
+                short = lambda x: pa.array((x >> np.uint64(32)).astype(np.uint32).view(np.int32))
                 lists = lambda ends, x: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), x)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0).take(take), part.column(1).take(take), pa.array(s["line"].astype(np.int32)), pa.array(s["size"].astype(np.int32)),
-                        signed(s["h1"]), signed(s["h2"]), signed(s["parity"]),
-                        lists(s["begin"], signed(s["token"])), lists(s["begin"], pa.array(s["place"].astype(np.int32))), lists(s["begin_often"], signed(s["often"])),
+                        signed(s["h1"]), signed(s["h2"]), signed(s["parity"]), signed(s["parity_2"]),
+                        lists(s["begin"], short(s["token"])), lists(s["begin"], pa.array(s["place"].astype(np.int32))), lists(s["begin_often"], short(s["often"])),
                     ],
-                    names=["doc", "version", "line", "size", "h1", "h2", "parity", "tokens", "places", "often"],
+                    names=["doc", "version", "line", "size", "h1", "h2", "parity", "parity_2", "tokens", "places", "often"],
                 )
 
-    return docs.mapInArrow(run, "doc long, version long, line int, size int, h1 long, h2 long, parity long, tokens array<long>, places array<int>, often array<long>")
+    return docs.mapInArrow(run, "doc long, version long, line int, size int, h1 long, h2 long, parity long, parity_2 long, tokens array<int>, places array<int>, often array<int>")
 
 
 def search(t: dict[str, np.ndarray], begin: np.ndarray, threshold: float, skip: int, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Postings in groups (begin: the first of each posting's group), earlier lines first: for each posting that asks, the
     earlier ones of its group that no filter rules out, from the skip-th to the take-th after it, in order.
     Returns positions (later, earlier) and whether the later one may have more."""
-    size, place, parity, own = t["size"], t["place"], t["parity"], t["own"]
+    size, place, parity, parity_2, own = t["size"], t["place"], t["parity"], t["parity_2"], t["own"]
     found = np.zeros(len(size), np.int64)
     active = np.flatnonzero(t["asks"] & (begin < np.arange(len(size))))
     later, earlier = [], []
@@ -148,8 +150,10 @@ def search(t: dict[str, np.ndarray], begin: np.ndarray, threshold: float, skip:
         need = np.ceil(threshold / (1 + threshold) * (sx + sy) - 1e-9)
         ok = (sx >= threshold * sy - 1e-9) & (sy >= threshold * sx - 1e-9)
         ok &= 1 + np.minimum(sx - place[x], sy - place[active]) - 1 >= need
-        ok &= np.bitwise_count(parity[x] ^ parity[active]) <= sx + sy - 2 * need
+        # each token that only one of the two has turns one bit
+        ok &= np.bitwise_count(parity[x] ^ parity[active]).astype(np.int64) + np.bitwise_count(parity_2[x] ^ parity_2[active]) <= sx + sy - 2 * need
         ok &= (t["within"][active]) | (own[x] != own[active])
+        ok &= t["id"][x] != t["id"][active]
         hit = active[ok]
         found[hit] += 1
         report = found[hit] > skip
@@ -163,8 +167,8 @@ def search(t: dict[str, np.ndarray], begin: np.ndarray, threshold: float, skip:
 
 
 def candidates(postings: DataFrame, threshold: float, skip: int, take: int) -> DataFrame:
-    """postings(token, bi, bj, own, doc, version, line, size, place, parity, asks) to pairs of a later and an earlier line."""
-    names = ["token", "bi", "bj", "own", *KEY, "size", "place", "parity", "asks"]
+    """postings(token, bi, bj, own, doc, version, line, size, place, parity, parity_2, asks) to pairs of a later and an earlier line."""
+    names = ["token", "bi", "bj", "own", *KEY, "size", "place", "parity", "parity_2", "asks"]
 
     def run(batches):
         held: list[pa.RecordBatch] = []
@@ -173,11 +177,15 @@ def candidates(postings: DataFrame, threshold: float, skip: int, take: int) -> D
             if table.num_rows < 2:
                 return
             t = {c: table.column(c).to_numpy() for c in names}
-            t["parity"] = t["parity"].view(np.uint64)
+            t["parity"], t["parity_2"] = t["parity"].view(np.uint64), t["parity_2"].view(np.uint64)
             t["within"] = t["bi"] == t["bj"]
             t["size"] = t["size"].astype(np.int64)
             change = np.ones(len(t["token"]), bool)
             change[1:] = (t["token"][1:] != t["token"][:-1]) | (t["bi"][1:] != t["bi"][:-1]) | (t["bj"][1:] != t["bj"][:-1])
+            new = np.zeros(len(change), bool)
+            for c in KEY:
+                new[1:] |= t[c][1:] != t[c][:-1]
+            t["id"] = np.cumsum(new | change)  # a line stands twice in a group if two of its tokens share their 32 bits
             begin = np.maximum.accumulate(np.where(change, np.arange(len(change)), 0))
             y, x, more = search(t, begin, threshold, skip, take)
             if len(y):
@@ -203,23 +211,38 @@ def candidates(postings: DataFrame, threshold: float, skip: int, take: int) -> D
     return dealt.mapInArrow(run, "doc long, version long, line int, x_doc long, x_version long, x_line int, more boolean")
 
 
-def _slot_of(*keys: Column) -> Column:
-    return F.pmod(F.xxhash64(*keys), F.lit(SLOTS)).cast("int")
+def _key_slots(doc: np.ndarray, version: np.ndarray, line: np.ndarray) -> np.ndarray:
+    h = mix(mix(doc.astype(np.int64).view(np.uint64)) ^ version.astype(np.int64).view(np.uint64)) + line.astype(np.uint64)
+    return (mix(h) >> np.uint64(40)).astype(np.int64)
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """The texts of the wanted lines (distinct doc, version, line). Lines are picked where the documents lie, by a
     table of SLOTS bytes that marks the wanted ones' hashes; what else it lets through falls out at the join."""
-    marks = docs.sparkSession.sparkContext.broadcast(slot_levels(wanted.select(_slot_of(*KEY).alias("slot"), F.lit(1).cast("long").alias("n"))) > 0)
-    lines = docs.select("doc", "version", F.posexplode(F.split("text", "\n", -1)).alias("line", "text"))
-    lines = lines.withColumn("slot", _slot_of(*KEY))
 
-    def run(batches):
-        own = marks.value
-        for b in batches:
-            yield b.filter(pa.array(own[b.column("slot").to_numpy()]))
+    def slots(batches):
+        yield from _slots(_key_slots(*[b.column(i).to_numpy() for i in range(3)]) for b in batches)
 
-    return lines.mapInArrow(run, lines.schema).join(wanted, KEY).drop("slot")
+    marks = docs.sparkSession.sparkContext.broadcast(slot_levels(wanted.select(*KEY).mapInArrow(slots, "slot int, n long")) > 0)
+
+    def pick(batches):
+        own = marks.value
+        for whole in batches:
+            for b in slices(whole, 2):
+                texts = [t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()]
+                n = np.array([t.count(b"\n") + 1 for t in texts])
+                row = np.repeat(np.arange(len(n)), n)
+                line = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+                doc, version = b.column(0).to_numpy()[row], b.column(1).to_numpy()[row]
+                at = np.flatnonzero(own[_key_slots(doc, version, line)])
+                parts, last = [], (-1, [])
+                for r, i in zip(row[at].tolist(), line[at].tolist()):
+                    if r != last[0]:
+                        last = (r, texts[r].split(b"\n"))
+                    parts.append(last[1][i])
+                yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(version[at]), pa.array(line[at].astype(np.int32)), pa.array(parts, pa.binary()).cast(pa.string())], names=[*KEY, "text"])
+
+    return docs.mapInArrow(pick, "doc long, version long, line int, text string").join(wanted, KEY)
 
 
 def tokens_of(text: Column) -> Column:
@@ -227,28 +250,48 @@ def tokens_of(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)))
 
 
-def near_matches(docs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """For each distinct set's first line (doc, version, line) that matches an earlier one: the earliest match verified
-    (x_doc, x_version, x_line). Copies of a set stand behind its first line.
+def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
+    """df written out, with leave to broadcast it if it has no more rows than limit."""
+    df = cut(df)
+    return F.broadcast(df) if df.count() <= limit else df
 
-    Of a group of postings a line takes its eight earliest candidates first; one that none of them verifies, and
-    that has more, asks again for the next 64, then 512, until no line has any left: nothing is cut off."""
-    sets = lines.groupBy("h1", "h2").agg(
-        F.min(F.struct(*KEY)).alias("key"), F.first("size").alias("size"), F.first("parity").alias("parity"), F.first("tokens").alias("tokens"), F.first("places").alias("places")
-    )
-    hot = lines.select(F.explode("often").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    hot = hot.select("token", F.ceil(F.col("n") / BLOCK).alias("parts"))
-    posted = sets.select("key.*", "size", "parity", F.explode(F.arrays_zip("tokens", "places")).alias("p")).select(*KEY, "size", "parity", F.col("p.tokens").alias("token"), F.col("p.places").alias("place"))
+
+SET = ["size", "parity", "parity_2"]
+
+
+def postings(lines: DataFrame, hot: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
+    """A row for each distinct set and token of its prefix (of some tokens only, if given), under the set's first line; once for
+    each pair of blocks where a token's list is long."""
+    first = [F.min(F.struct(*KEY)).alias("key"), *[F.first(c).alias(c) for c in SET]]
+    each = F.explode(F.arrays_zip("tokens", "places")).alias("p")
+    if tokens is None:
+        sets = lines.groupBy("h1", "h2").agg(*first, F.first("tokens").alias("tokens"), F.first("places").alias("places"))
+        posted = sets.select("key.*", *SET, each).select(*KEY, *SET, F.col("p.tokens").alias("token"), F.col("p.places").alias("place"))
+    else:
+        some = lines.select("h1", "h2", *KEY, *SET, each).select("h1", "h2", *KEY, *SET, F.col("p.tokens").alias("token"), F.col("p.places").alias("place"))
+        some = some.join(tokens, "token", "left_semi").groupBy("h1", "h2", "token").agg(*first, F.first("place").alias("place"))
+        posted = some.select("key.*", *SET, "token", "place")
     parts = F.coalesce("parts", F.lit(1).cast("long"))
-    posted = (
+    return (
         posted.join(hot, "token", "left")
         .withColumn("own", F.pmod(F.xxhash64(*KEY), parts))
         .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
         .withColumns({"bi": F.least("own", "with"), "bj": F.greatest("own", "with")})
     )
-    best, skip, take, asking = None, 0, 8, None
+
+
+def near_matches(docs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
+    """For each distinct set's first line (doc, version, line) that matches an earlier one: the earliest match verified
+    (x_doc, x_version, x_line). Copies of a set stand behind its first line.
+
+    Of a group of postings a line takes its three earliest candidates first; one that none of them verifies, and
+    that has more, asks again, among its own tokens' postings, for the next 24, then 192, until no line has any left:
+    nothing is cut off."""
+    hot = lines.select(F.explode("often").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
+    hot = small(hot.select("token", F.ceil(F.col("n") / BLOCK).alias("parts")))
+    best, skip, take = None, 0, 3
+    rows = postings(lines, hot).withColumn("asks", F.lit(True))
     while True:
-        rows = posted.withColumn("asks", F.lit(True)) if asking is None else posted.join(asking.withColumn("asks_", F.lit(True)), KEY, "left").withColumn("asks", F.coalesce("asks_", F.lit(False)))
         found = cut(candidates(rows, threshold, skip, take).groupBy(*KEY, *[f"x_{c}" for c in KEY]).agg(F.max("more").alias("more")))
         other = found.select(*[F.col(f"x_{c}").alias(c) for c in KEY])
         texts = cut(texts_of(docs, found.select(*KEY).unionByName(other).distinct()))
@@ -258,9 +301,11 @@ def near_matches(docs: DataFrame, lines: DataFrame, threshold: float) -> DataFra
         same = found.join(y, KEY).join(x, [f"x_{c}" for c in KEY]).where(both / (F.size("a") + F.size("b") - both) >= threshold)
         now = same.groupBy(*KEY).agg(F.min(F.struct(*[f"x_{c}" for c in KEY])).alias("x")).select(*KEY, "x.*")
         best = cut(now if best is None else best.unionByName(now))
-        asking = cut(found.where("more").select(*KEY).distinct().join(best, KEY, "left_anti"))
+        asking = small(found.where("more").select(*KEY).distinct().join(best, KEY, "left_anti"))
         if asking.isEmpty():
             return best
+        tokens = small(lines.join(asking, KEY, "left_semi").select(F.explode("tokens").alias("token")).distinct())
+        rows = postings(lines, hot, tokens).join(asking.withColumn("asks_", F.lit(True)), KEY, "left").withColumn("asks", F.coalesce("asks_", F.lit(False)))
         skip, take = skip + take, take * 8
 
 
@@ -280,7 +325,9 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thres
     made = ["n_lines", "n_removed", "removed"]
     df = df.drop(*made)
     spark = df.sparkSession
-    doc, version = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))), F.xxhash64(text)
+    doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
+    repeated = df.select(doc.alias("doc")).groupBy("doc").count().where("count > 1")
+    version = F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64(text)
     docs = df.select(doc.alias("doc"), version.alias("version"), F.col(text).alias("text"))
     levels = spark.sparkContext.broadcast(token_levels(docs.select("text")))
     lines = cut(lines_of(docs, levels, threshold))
@@ -291,7 +338,7 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thres
     gone = lines.select(*KEY, "h1", "h2").join(verdicts, ["h1", "h2"]).where(~is_first | F.col("x_line").isNotNull())
     of = lambda a, b: F.when(is_first, F.col(a)).otherwise(F.col(b))
     entry = F.struct("line", of("x_doc", "first_doc").alias("of_doc"), of("x_line", "first_line").alias("of_line"))
-    per_doc = gone.select("doc", "version", entry.alias("e")).distinct().groupBy(F.col("doc").alias("g_doc_"), F.col("version").alias("g_version_")).agg(F.array_sort(F.collect_list("e")).alias("removed"))
+    per_doc = gone.groupBy(F.col("doc").alias("g_doc_"), F.col("version").alias("g_version_")).agg(F.array_sort(F.collect_set(entry)).alias("removed"))
     joined = df.join(per_doc, (doc == F.col("g_doc_")) & (version == F.col("g_version_")), "left").drop("g_doc_", "g_version_")
     parts = F.split(text, "\n", -1)
     numbers = F.transform("removed", lambda e: e["line"])

@@ -93,9 +93,10 @@ class Model:
         return out
 
     def logits(self, f: np.ndarray) -> np.ndarray:
-        z = self.weights[f[:, 0]]
-        z += self.weights[f[:, 1]]
-        z += self.weights[f[:, 2]]
+        z = np.take(self.weights, f[:, 0], axis=0, mode="clip")
+        more = np.empty_like(z)
+        for k in (1, 2):
+            z += np.take(self.weights, f[:, k], axis=0, out=more, mode="clip")
         z += self.bias
         z -= z.max(1, keepdims=True)
         return z
@@ -113,18 +114,34 @@ class Model:
         f, classes = t.features(), self.classes(t)
         for a in range(0, len(classes), STEP):
             part, y = f[a : a + STEP], classes[a : a + STEP]
-            g = np.exp(self.logits(part))
-            g /= g.sum(1, keepdims=True)
+            g = self.logits(part)
+            np.exp(g, out=g)
+            g *= 1 / g.sum(1, keepdims=True)
             g[np.arange(len(y)), y] -= 1
             self.bias -= np.float32(rate * 0.02) * g.mean(0)
-            flat = part.T.ravel()
-            order = np.argsort(flat, kind="stable")
-            at = flat[order]
-            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-            sums = np.add.reduceat(g[order % len(y)], first, axis=0)
-            rows = at[first]
+            rows, sums = row_sums(part.T.ravel(), g)
             seen[rows] += np.einsum("ij,ij->i", sums, sums)
-            self.weights[rows] -= (rate / np.sqrt(seen[rows]))[:, None] * sums
+            sums *= (np.float32(rate) / np.sqrt(seen[rows]))[:, None]
+            self.weights[rows] -= sums
+
+
+def row_sums(keys: np.ndarray, g: np.ndarray, often: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, and for each the sum of g's rows (taken in turn, again and again) that bear it: keys that stand often are
+    summed one by one, the others an occurrence at a time."""
+    order = np.argsort(keys.astype(np.uint16), kind="stable")
+    at = keys[order]
+    order %= len(g)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    n = np.diff(np.append(first, len(at)))
+    sums = np.take(g, order[first], axis=0, mode="clip")
+    for r in range(1, often):
+        own = np.flatnonzero((n > r) & (n <= often))
+        if not len(own):
+            break
+        sums[own] += np.take(g, order[first[own] + r], axis=0, mode="clip")
+    for i in np.flatnonzero(n > often):
+        sums[i] = np.take(g, order[first[i] : first[i] + n[i]], axis=0, mode="clip").sum(0)
+    return at[first], sums
 
 
 def counts(texts: DataFrame) -> DataFrame:
@@ -177,7 +194,7 @@ def _averaged(rows: DataFrame, partitions: int) -> list:
         rows = rows.withColumn("task", F.floor(F.col("task") / 32).cast("int")).groupBy("chunk", "task").applyInPandas(run, "task int, chunk int, tokens long, delta binary")
         left = -(-left // 32)
         if left <= 1:
-            return [(r.chunk, np.frombuffer(r.delta, np.float32) / max(1, r.tokens)) for r in rows.toLocalIterator()]
+            return [(r.chunk, np.frombuffer(r.delta, np.float32) / max(1, r.tokens)) for r in rows.collect()]
 
 
 def train(texts: DataFrame, known: DataFrame, rounds: int = 2, rate: float = 0.4) -> Model:
@@ -192,7 +209,7 @@ def train(texts: DataFrame, known: DataFrame, rounds: int = 2, rate: float = 0.4
     h, c = np.asarray(top.column("h")).view(np.uint64), np.asarray(top.column("n"))
     own = h[np.lexsort((h, -c))][:OWN]
     own_rows = F.col("h").isin([int(x) for x in own.view(np.int64)]) if len(own) else F.lit(False)
-    per = {r.shared: (r.n, r.v) for r in known.where(~own_rows).groupBy("shared").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toLocalIterator()}
+    per = {r.shared: (r.n, r.v) for r in known.where(~own_rows).groupBy("shared").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
     sums = np.zeros(CLASSES)
     sums[: len(own)] = np.sort(c)[::-1][: len(own)]
     sums[OWN:] = [per.get(s, (0, 0))[0] for s in range(SHARED)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from .common import Words, mix, slices
 
 #: At most so many labelled documents are read for training (the first by a seeded hash of the id).
-MAX_TRAIN = 8_000
+MAX_TRAIN = 6_000
 #: A feature counts if it is in so many of them.
 MIN_DOCS = 12
 
@@ -101,12 +102,19 @@ def descend(doc: np.ndarray, column: np.ndarray, value: np.ndarray, grade: np.nd
 def fit(doc: np.ndarray, h: np.ndarray, value: np.ndarray, grade: np.ndarray, n_grades: int, select: tuple = (200, 0.3, 1e-3), refine: tuple = (300, 0.3, 3e-5)) -> Model:
     """Maximum likelihood of P(grade <= j) = logistic(threshold_j - score): first with a penalty that keeps few
     features, then over those with hardly any. select and refine: rounds, rate and penalty."""
-    known, column, docs = np.unique(h, return_inverse=True, return_counts=True)
+    order = np.argsort(h, kind="stable")
+    known = h[order]
+    first = np.concatenate([[True], known[1:] != known[:-1]])
+    column = np.empty(len(h), np.int32)
+    column[order] = np.cumsum(first, dtype=np.int32) - 1
+    docs = np.diff(np.append(np.flatnonzero(first), len(h)))
+    known = known[first]
+    del order, first
     share = np.clip(np.cumsum(np.bincount(grade, minlength=n_grades))[:-1] / len(grade), 1e-3, 1 - 1e-3)
     keep, w, cuts = docs >= MIN_DOCS, np.zeros(len(known)), np.log(share / (1 - share))
     for rounds, rate, lasso in (select, refine):
         new, on = np.cumsum(keep) - 1, keep[column]
-        doc, column, value, known = doc[on], new[column[on]], value[on].astype("f8"), known[keep]
+        doc, column, value, known = doc[on], new[column[on]], value[on], known[keep]
         w, cuts = descend(doc, column, value, grade, w[keep], cuts, rounds, rate, lasso)
         keep = w != 0
     return Model(known[keep], w[keep].astype("f4"), cuts)
@@ -139,13 +147,16 @@ def train(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str
                     names=["grade", "h", "value"],
                 )
 
-    got = own.mapInArrow(run, "grade int, h binary, value binary").limit(2 * max_train).toArrow()
+    got = own.mapInArrow(run, "grade int, h binary, value binary").toArrow()
     if not got.num_rows:
         return Model(np.empty(0, np.uint64), np.empty(0, np.float32), np.full(n_grades - 1, -40.0))
-    hs = [np.frombuffer(x, np.uint64) for x in got.column("h").to_pylist()]
-    values = np.concatenate([np.frombuffer(x, np.float32) for x in got.column("value").to_pylist()])
-    doc = np.repeat(np.arange(len(hs)), [len(x) for x in hs])
-    return fit(doc, np.concatenate(hs), values, np.asarray(got.column("grade")), n_grades)
+    # the rows' bytes stand one behind the other in Arrow's buffers: no copies
+    h_rows, value_rows = (got.column(c).combine_chunks() for c in ("h", "value"))
+    whole = lambda rows, kind: np.frombuffer(rows.buffers()[2], kind)[: pc.sum(pc.binary_length(rows)).as_py() // np.dtype(kind).itemsize]
+    n = np.asarray(pc.binary_length(h_rows)) // 8
+    grade_of, doc = np.asarray(got.column("grade")), np.repeat(np.arange(len(n), dtype=np.int32), n)
+    del got
+    return fit(doc, whole(h_rows, np.uint64), whole(value_rows, np.float32), grade_of, n_grades)
 
 
 def score(df: DataFrame, model: Model, text: str = "text", at_least: int = 2) -> DataFrame:

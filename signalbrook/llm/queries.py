@@ -79,6 +79,19 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_dedup": """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id
+  WHERE CASE WHEN len(a.e) = len(b.e) THEN list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.9 ELSE FALSE END
+), reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a
+), part AS (SELECT a, min(b) AS b FROM reach GROUP BY a), degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(degree.n, 0) AS BIGINT) AS n_links, least(vec_id, coalesce(part.b, vec_id)) AS component_id, vec_id = least(vec_id, coalesce(part.b, vec_id)) AS kept
+FROM embeddings LEFT JOIN part ON part.a = vec_id LEFT JOIN degree ON degree.a = vec_id
+""",
     "op8_exact_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS ints
