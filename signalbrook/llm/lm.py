@@ -1,12 +1,13 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
 P(word | before) = P(class | before) * P(word | class). The class is a log-linear model over hashed features of the words
-before: the last one, the last two together, and the one before the last alone (a skip). Within a class, words
-go by their counts in the training texts, plus one, with one more for all unknown words."""
+before: the last one, the last two together, and the one before the last alone (a skip). Within a shared class, the unknown
+word has the share of one count among the words' counts plus one; the known words are the leaves of a binary tree, and each
+turn in it is log-linear over the same features, from where the counts alone would put it."""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -22,12 +23,19 @@ OWN, SHARED = 32, 32
 CLASSES = OWN + SHARED
 #: Rows of the weight table, for all features together.
 BUCKETS = 1 << 14
+MOVES = "task int, chunk int, tokens long, delta binary, met binary"
 #: Words whose counts every task knows; the counts of all others are joined.
 HEAD = 1 << 16
 END = np.uint64(0x6A09E667F3BCC908)
 BEFORE = np.uint64(0xBB67AE8584CAA73B)
 SALTS = np.array([0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1, 0x510E527FADE682D1], np.uint64)
 STEP = 8192
+#: Levels of a class's tree and weights of its turns (powers of 2) at most; both follow the distinct words up to there.
+DEPTH, TURNS = 20, 22
+#: Weights of turns that a task passes on in a row.
+PIECE = 1 << 16
+#: The rate of the turns over that of the classes.
+TURN_RATE = 0.5
 
 
 @dataclass
@@ -54,22 +62,103 @@ class Tokens:
         row[ends] = np.arange(n)
         return cls(row, h, s, n)
 
-    def features(self) -> np.ndarray:
-        """The three buckets of each token."""
+    def contexts(self) -> np.ndarray:
+        """The hashes of each token's three features."""
         one, two = np.full(len(self.h), BEFORE), np.full(len(self.h), BEFORE)
         same = self.row[1:] == self.row[:-1]
         one[1:][same] = self.h[:-1][same]
         same = self.row[2:] == self.row[:-2]
         two[2:][same] = self.h[:-2][same]
         f = np.stack([one ^ SALTS[0], two ^ SALTS[1], mix(one ^ SALTS[2]) + two], axis=1)
-        return (mix(f) % np.uint64(BUCKETS)).astype(np.int32)
+        return mix(f)
+
+    def features(self) -> np.ndarray:
+        """The three buckets of each token."""
+        return buckets(self.contexts())
+
+
+def buckets(contexts: np.ndarray) -> np.ndarray:
+    return (contexts % np.uint64(BUCKETS)).astype(np.int32)
+
+
+@dataclass
+class Tree:
+    """Of each shared class, a binary tree over its known words by the leading bits of their hashes. depth: of each class's tree; leaves: class
+    by class, each leaf's words' counts plus one, summed; words that share a leaf go by their counts. weights: of the turns, by
+    hashed feature and node."""
+
+    depth: np.ndarray
+    leaves: np.ndarray
+    weights: np.ndarray
+
+    def __getstate__(self):
+        return {"depth": self.depth, "leaves": self.leaves, "weights": self.weights}
+
+    @property
+    def even(self) -> np.ndarray:
+        """The log odds of each node's right turn by the counts; nan where one side has no word, so that there is no turn."""
+        if "_even" not in self.__dict__:
+            self._even = np.full(self.leaves.shape, np.nan, np.float32)
+            for base, depth in zip(self.bases.tolist(), self.depth.tolist(), strict=True):
+                sums = self.leaves[base : base + (1 << depth)].astype(np.float64)
+                for d in reversed(range(depth)):
+                    left, right = sums[::2], sums[1::2]
+                    both = (left > 0) & (right > 0)
+                    self._even[base + (1 << d) : base + (2 << d)][both] = np.log(right[both] / left[both])
+                    sums = left + right
+        return self._even
+
+    @property
+    def bases(self) -> np.ndarray:
+        """Where each class's leaves begin."""
+        return np.cumsum(1 << self.depth) - (1 << self.depth)
+
+    def codes(self, shared: np.ndarray, h: np.ndarray) -> np.ndarray:
+        return (h >> (64 - self.depth[shared]).astype(np.uint64)).astype(np.int64)
+
+    def turns(self, contexts: np.ndarray, shared: np.ndarray, h: np.ndarray):
+        """For each level: the tokens with a turn there, whether it is to the right, its log odds, and its weights' places."""
+        code, f = self.codes(shared, h), (contexts >> np.uint64(32)).astype(np.uint32)
+        shift, depth, base = np.uint32(33 - len(self.weights).bit_length()), self.depth[shared], self.bases[shared]
+        for d in range(int(depth.max(initial=0))):
+            left = depth - d
+            node = base + (1 << d) + (code >> np.maximum(left, 0))
+            z = np.where(left > 0, self.even[np.minimum(node, len(self.leaves) - 1)], np.float32(np.nan))
+            rows = np.flatnonzero(~np.isnan(z))
+            if len(rows):
+                key = node[rows].astype(np.uint32) * np.uint32(0x9E3779B1)
+                at = f[rows] ^ (key ^ (key >> np.uint32(15)))[:, None]
+                at = ((at * np.uint32(0x85EBCA6B)) >> shift).astype(np.int64)
+                yield rows, (code[rows] >> (left[rows] - 1)) & 1 == 1, z[rows] + self.weights[at].sum(1), at
+
+    def scores(self, contexts: np.ndarray, shared: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """By how much log10 of each token's probability among its class's known words differs from what counts alone give."""
+        out = np.zeros(len(h))
+        for a in range(0, len(h), STEP):
+            b = slice(a, a + STEP)
+            for rows, right, z, _ in self.turns(contexts[b], shared[b], h[b]):
+                out[a + rows] -= np.logaddexp(0, np.where(right, -z, z))
+        whole = np.maximum(np.add.reduceat(self.leaves, self.bases, dtype=np.float64), 1)[shared]
+        leaf = np.maximum(self.leaves[self.bases[shared] + self.codes(shared, h)], 1)
+        return out / np.log(10) + np.log10(whole) - np.log10(leaf)
+
+    def learn(self, contexts: np.ndarray, shared: np.ndarray, h: np.ndarray, seen: np.ndarray, sums: np.ndarray, rate: float) -> None:
+        """A gradient step for each level; sums: zeros, and left so."""
+        for _, right, z, at in self.turns(contexts, shared, h):
+            g = 1 / (1 + np.exp(-z)) - right
+            places = at.ravel()
+            np.add.at(sums, places, np.repeat(g.astype(np.float32), 3))
+            moved = sums[places]
+            seen[places] = seen[places] + moved * moved  # a place that repeats gets the same again
+            self.weights[places] = self.weights[places] - np.float32(rate) * moved / np.sqrt(seen[places])
+            sums[places] = 0
 
 
 @dataclass
 class Model:
     """own: the hashes with a class of their own, in order of class; head, head_counts: sorted hashes of frequent words
     and their counts; bias and weights of the class model; n, v: tokens and distinct tokens of training; of each
-    shared class, log10 of its tokens plus distinct tokens plus one."""
+    shared class, log10 of its tokens plus distinct tokens plus one; tree: the words within the shared classes."""
 
     own: np.ndarray
     head: np.ndarray
@@ -79,6 +168,7 @@ class Model:
     within: np.ndarray
     bias: np.ndarray
     weights: np.ndarray
+    tree: Tree
 
     def __post_init__(self):
         order = np.argsort(self.own)
@@ -109,9 +199,16 @@ class Model:
             out[a : a + STEP] = z[np.arange(len(z)), classes[a : a + STEP]] - np.log(np.exp(z).sum(1))
         return out
 
-    def learn(self, t: Tokens, seen: np.ndarray, rate: float) -> None:
+    def word_scores(self, t: Tokens, classes: np.ndarray) -> np.ndarray:
+        """What the words before a token add to log10 of its probability within a shared class, if it is a known word."""
+        out, at = np.zeros(len(t.h)), np.flatnonzero(classes >= OWN)
+        out[at] = self.tree.scores(t.contexts()[at], classes[at] - OWN, t.h[at])
+        return out
+
+    def learn(self, t: Tokens, seen: np.ndarray, turned: np.ndarray, sums_: np.ndarray, rate: float, turn_rate: float) -> None:
         """Gradient steps over the tokens in turn, a step for each STEP of them, each row at a rate of its own."""
-        f, classes = t.features(), self.classes(t)
+        contexts, classes = t.contexts(), self.classes(t)
+        f = buckets(contexts)
         for a in range(0, len(classes), STEP):
             part, y = f[a : a + STEP], classes[a : a + STEP]
             g = self.logits(part)
@@ -123,6 +220,8 @@ class Model:
             seen[rows] += np.einsum("ij,ij->i", sums, sums)
             sums *= (np.float32(rate) / np.sqrt(seen[rows]))[:, None]
             self.weights[rows] -= sums
+            within = a + np.flatnonzero(y >= OWN)
+            self.tree.learn(contexts[within], classes[within] - OWN, t.h[within], turned, sums_, turn_rate)
 
 
 def row_sums(keys: np.ndarray, g: np.ndarray, often: int = 16) -> tuple[np.ndarray, np.ndarray]:
@@ -179,30 +278,45 @@ def counts(texts: DataFrame) -> DataFrame:
 
 
 def _averaged(rows: DataFrame, partitions: int) -> list:
-    """rows(task, chunk, tokens, delta binary) to (chunk, mean delta weighted by tokens): summed in a tree, so that no
-    group holds more than 32 parts."""
+    """rows(task, chunk, tokens, delta binary, met binary) to (chunk, mean delta weighted by tokens, mean delta over the tasks that moved
+    it): summed in a tree, so that no group holds more than 32 parts. met: how many tasks moved each; null before the first sum."""
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(len(pdf.delta.iloc[0]) // 4, np.float32)
-        for x in pdf.delta:
-            total += np.frombuffer(x, np.float32)
-        return pd.DataFrame({"task": [int(pdf.task.iloc[0])], "chunk": [int(pdf.chunk.iloc[0])], "tokens": [int(pdf.tokens.sum())], "delta": [total.tobytes()]})
+        met = np.zeros(len(total), np.float32)
+        for x, m in zip(pdf.delta, pdf.met, strict=True):
+            x = np.frombuffer(x, np.float32)
+            total += x
+            met += x != 0 if m is None else np.frombuffer(m, np.float32)
+        return pd.DataFrame({"task": [int(pdf.task.iloc[0])], "chunk": [int(pdf.chunk.iloc[0])], "tokens": [int(pdf.tokens.sum())], "delta": [total.tobytes()], "met": [met.tobytes()]})
 
     left = partitions
     while True:
-        rows = rows.withColumn("task", F.floor(F.col("task") / 32).cast("int")).groupBy("chunk", "task").applyInPandas(run, "task int, chunk int, tokens long, delta binary")
+        rows = rows.withColumn("task", F.floor(F.col("task") / 32).cast("int")).groupBy("chunk", "task").applyInPandas(run, MOVES)
         left = -(-left // 32)
         if left <= 1:
-            return [(r.chunk, np.frombuffer(r.delta, np.float32) / max(1, r.tokens)) for r in rows.collect()]
+            found = ((r.chunk, r.tokens, np.frombuffer(r.delta, np.float32), np.frombuffer(r.met, np.float32)) for r in rows.toLocalIterator())
+            return [(i, x / max(1, tokens), x / np.maximum(1, met)) for i, tokens, x, met in found]
+
+
+def grown(known: DataFrame, words: list[int]) -> Tree:
+    """A tree for known(h, shared, n) with so many words in each shared class, without weights yet."""
+    depth = np.array([min(DEPTH, 1 + max(n, 1).bit_length()) for n in words])
+    size = 1 << min(TURNS, max(PIECE.bit_length() - 1, (4 * sum(words)).bit_length()))
+    leaf = F.expr(f"shiftrightunsigned(h, 64 - array({', '.join(map(str, depth.tolist()))})[shared])")
+    sums = known.groupBy("shared", leaf.alias("leaf")).agg(F.sum(F.col("n") + 1).cast("float").alias("s")).toArrow()
+    tree = Tree(depth, np.zeros(int((1 << depth).sum()), np.float32), np.zeros(size, np.float32))
+    tree.leaves[tree.bases[np.asarray(sums.column("shared"))] + np.asarray(sums.column("leaf"))] = np.asarray(sums.column("s"))
+    return tree
 
 
 def train(texts: DataFrame, known: DataFrame, rounds: int = 2, rate: float = 0.4) -> Model:
     """Fit on texts(text) with their token counts known(h, shared, n).
 
     In each round every task starts from the same weights, takes gradient steps over all its texts and passes on by how
-    much its weights moved; the moves are averaged by tokens. The driver gets the averaged weights (a fixed size),
-    the HEAD most frequent words and the sums of each class."""
+    much its weights moved; the moves are averaged by tokens, those of the trees over the tasks that made them. The driver gets the
+    averaged weights, the HEAD most frequent words, and the sums of each class and of the leaves of its tree."""
     spark = texts.sparkSession
     n, v = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = known.orderBy(F.col("n").desc(), "h").limit(HEAD).select("h", "n").toArrow()
@@ -215,35 +329,41 @@ def train(texts: DataFrame, known: DataFrame, rounds: int = 2, rate: float = 0.4
     sums[OWN:] = [per.get(s, (0, 0))[0] for s in range(SHARED)]
     within = np.log10([sum(per.get(s, (0, 0))) + 1 for s in range(SHARED)])
     order = np.argsort(h)
-    model = Model(own, h[order], c[order], n, v, within, np.log((sums + 0.5) / (n + 0.5 * CLASSES)).astype("f4"), np.zeros((BUCKETS, CLASSES), "f4"))
+    model = Model(own, h[order], c[order], n, v, within, np.log((sums + 0.5) / (n + 0.5 * CLASSES)).astype("f4"), np.zeros((BUCKETS, CLASSES), "f4"), grown(known.where(~own_rows), [per.get(s, (0, 0))[1] for s in range(SHARED)]))
     chunk = BUCKETS // 16
     for _ in range(rounds if n else 0):
         shared = spark.sparkContext.broadcast(model)
 
         def run(batches, shared=shared):
             start = shared.value
-            own = Model(start.own, start.head, start.head_counts, start.n, start.v, start.within, start.bias.copy(), start.weights.copy())
-            seen, tokens = np.full(BUCKETS, 1.0, np.float32), 0
+            own = Model(start.own, start.head, start.head_counts, start.n, start.v, start.within, start.bias.copy(), start.weights.copy(), replace(start.tree, weights=start.tree.weights.copy()))
+            own.tree._even = start.tree.even
+            seen, turned, tokens = np.full(BUCKETS, 1.0, np.float32), np.full(len(own.tree.weights), 1.0, np.float32), 0
+            sums = np.zeros_like(turned)
             for batch in batches:
                 for part in slices(batch):
                     t = Tokens.of(part.column(0))
                     tokens += len(t.h)
-                    own.learn(t, seen, rate)
+                    own.learn(t, seen, turned, sums, rate, rate * TURN_RATE)
             if not tokens:
                 return
             task = TaskContext.get().partitionId()
             moved = [*np.split((own.weights - start.weights) * np.float32(tokens), BUCKETS // chunk), (own.bias - start.bias) * np.float32(tokens)]
+            moved += np.split(own.tree.weights - start.tree.weights, len(own.tree.weights) // PIECE)
             for i, x in enumerate(moved):
-                yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([i], pa.int32()), pa.array([tokens], pa.int64()), pa.array([x.astype("f4").tobytes()])], names=["task", "chunk", "tokens", "delta"])
+                yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([i], pa.int32()), pa.array([tokens], pa.int64()), pa.array([x.astype("f4").tobytes()]), pa.array([None], pa.binary())], names=["task", "chunk", "tokens", "delta", "met"])
 
-        moves = _averaged(texts.mapInArrow(run, "task int, chunk int, tokens long, delta binary"), texts.rdd.getNumPartitions())
-        weights, bias = model.weights.copy(), model.bias.copy()
-        for i, x in moves:
+        moves = _averaged(texts.mapInArrow(run, MOVES), texts.rdd.getNumPartitions())
+        weights, bias, turns = model.weights.copy(), model.bias.copy(), model.tree.weights.copy()
+        for i, x, each in moves:
             if i < BUCKETS // chunk:
                 weights[i * chunk : (i + 1) * chunk] += x.reshape(chunk, CLASSES)
-            else:
+            elif i == BUCKETS // chunk:
                 bias += x
-        model = Model(model.own, model.head, model.head_counts, n, v, within, bias, weights)
+            else:
+                at = (i - BUCKETS // chunk - 1) * PIECE
+                turns[at : at + PIECE] += each
+        model = Model(model.own, model.head, model.head_counts, n, v, within, bias, weights, Tree(model.tree.depth, model.tree.leaves, turns))
     return model
 
 
@@ -273,11 +393,14 @@ def score(df: DataFrame, model: Model, known: DataFrame, text: str = "text") ->
                     hit = m.head[place] == t.h
                 else:
                     place, hit = np.zeros(len(t.h), int), np.zeros(len(t.h), bool)
+                more = m.word_scores(t, classes)
+                total += np.bincount(t.row[hit], more[hit], n)
                 logs = np.where(hit, head_logs[place] if len(m.head) else 0.0, 0.0)
-                row, h = t.row[~hit], t.h[~hit]
+                row, h, more = t.row[~hit], t.h[~hit], more[~hit]
                 order = np.lexsort((h, row))
-                row, h = row[order], h[order]
+                row, h, more = row[order], h[order], more[order]
                 first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])])) if len(row) else np.empty(0, np.int64)
+                more = np.add.reduceat(more, first) if len(row) else more
                 times, row, h = np.diff(np.append(first, len(row))), row[first], h[first]
                 ends = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
@@ -286,23 +409,24 @@ def score(df: DataFrame, model: Model, known: DataFrame, text: str = "text") ->
                         pa.array(np.bincount(t.row, hit, n).astype(np.int64)), pa.array(np.bincount(t.row, logs, n)),
                         pa.array(total + np.bincount(t.row[spread], logs[spread], n)),
                         pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32))),
+                        pa.ListArray.from_arrays(ends, pa.array(more.astype(np.float32))),
                     ],
-                    names=[*[names[i] for i in rest], "row_", "tokens_", "known_", "logs_", "score_", "h_", "times_"],
+                    names=[*[names[i] for i in rest], "row_", "tokens_", "known_", "logs_", "score_", "h_", "times_", "within_"],
                 )
                 done += n
 
     kept = T.StructType([df.schema.fields[i] for i in rest])
-    for c, kind in (("row_", T.LongType()), ("tokens_", T.LongType()), ("known_", T.LongType()), ("logs_", T.DoubleType()), ("score_", T.DoubleType()), ("h_", T.ArrayType(T.LongType())), ("times_", T.ArrayType(T.IntegerType()))):
+    for c, kind in (("row_", T.LongType()), ("tokens_", T.LongType()), ("known_", T.LongType()), ("logs_", T.DoubleType()), ("score_", T.DoubleType()), ("h_", T.ArrayType(T.LongType())), ("times_", T.ArrayType(T.IntegerType())), ("within_", T.ArrayType(T.FloatType()))):
         kept = kept.add(c, kind)
     part = cut(df.mapInArrow(run, kept))
-    words = part.select("row_", F.explode(F.arrays_zip("h_", "times_")).alias("w")).select("row_", F.col("w.h_").alias("h"), F.col("w.times_").alias("times"))
-    met = words.join(known.select("h", "n"), "h").groupBy("row_").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_"), F.sum("times").alias("more_known_"))
+    words = part.select("row_", F.explode(F.arrays_zip("h_", "times_", "within_")).alias("w")).select("row_", F.col("w.h_").alias("h"), F.col("w.times_").alias("times"), F.col("w.within_").alias("within"))
+    met = words.join(known.select("h", "n"), "h").groupBy("row_").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_"), F.sum("times").alias("more_known_"), F.sum("within").alias("more_within_"))
     whole = F.log10(F.lit(float(model.n + model.v + 1)))
     more, more_known = F.coalesce("more_", F.lit(0.0)), F.coalesce("more_known_", F.lit(0))
     return part.join(met, "row_", "left").select(
         *[names[i] for i in rest],
         F.col("tokens_").alias("n_tokens"), (F.col("known_") + more_known).cast("long").alias("n_known"),
-        (F.col("logs_") + more - F.col("tokens_") * whole).alias("base_score"), (F.col("score_") + more).alias("score"),
+        (F.col("logs_") + more - F.col("tokens_") * whole).alias("base_score"), (F.col("score_") + more + F.coalesce("more_within_", F.lit(0.0))).alias("score"),
     )
 
 
