@@ -554,6 +554,20 @@ def annotation_overlap(spark, d):
     return I.overlapping(e.select("event_id", ms.alias("t")), r, "t", "t0", "t1").select("event_id", "id")
 
 
+@register(
+    "annotation_overlap_signups",
+    """, r AS (SELECT event_id AS id, epoch_ms(ts) AS t0, CASE WHEN event_id % 3 = 0 THEN NULL ELSE epoch_ms(ts) + 7200000 END AS t1 FROM events WHERE event_type = 'signup'),
+    p AS (SELECT event_id, epoch_ms(ts) AS t FROM events)
+    SELECT p.event_id, r.id FROM p JOIN r ON p.t >= r.t0 AND p.t <= coalesce(r.t1, r.t0)""",
+)
+def annotation_overlap_signups(spark, d):
+    """annotation_overlap with every signup as a region."""
+    ms = F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")) / 1000).cast("long")
+    e = TV.table(spark, d, "events")
+    r = e.where("event_type = 'signup'").select(F.col("event_id").alias("id"), ms.alias("t0"), F.when(F.col("event_id") % 3 != 0, ms + 7200000).alias("t1"))
+    return I.overlapping(e.select("event_id", ms.alias("t")), r, "t", "t0", "t1").select("event_id", "id")
+
+
 @register("consistent_keys", "SELECT k, in_c, in_s FROM (SELECT coalesce(c.k, s.k) AS k, c.k IS NOT NULL AS in_c, s.k IS NOT NULL AS in_s FROM (SELECT DISTINCT c_custkey AS k FROM customer) c FULL JOIN (SELECT DISTINCT s_suppkey AS k FROM supplier) s ON c.k = s.k) WHERE NOT (in_c AND in_s)")
 def consistent_keys(spark, d):
     return I.consistent({"c": TV.table(spark, d, "customer").select(F.col("c_custkey").alias("k")), "s": TV.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"))}, "k")
