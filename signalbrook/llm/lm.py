@@ -23,6 +23,8 @@ OWN, SHARED = 32, 32
 CLASSES = OWN + SHARED
 #: Rows of the weight table, for all features together.
 BUCKETS = 1 << 14
+#: Parts in which the class weights are passed on.
+CHUNKS = 16
 MOVES = "task int, chunk int, tokens long, delta binary, met binary"
 #: Words whose counts every task knows; the counts of all others are joined.
 HEAD = 1 << 16
@@ -279,14 +281,17 @@ def counts(texts: DataFrame) -> DataFrame:
 
 def _averaged(rows: DataFrame, partitions: int) -> list:
     """rows(task, chunk, tokens, delta binary, met binary) to (chunk, mean delta weighted by tokens, mean delta over the tasks that moved
-    it): summed in a tree, so that no group holds more than 32 parts. met: how many tasks moved each; null before the first sum."""
+    it): summed in a tree, so that no group holds more than 32 parts. met: how many tasks moved each; null before the first sum,
+    when the moves of turns (in chunks after CHUNKS) have half the precision."""
     import pandas as pd
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(len(pdf.delta.iloc[0]) // 4, np.float32)
+        first = pdf.met.iloc[0] is None
+        kind = np.float16 if first and pdf.chunk.iloc[0] > CHUNKS else np.float32
+        total = np.zeros(len(pdf.delta.iloc[0]) // np.dtype(kind).itemsize, np.float32)
         met = np.zeros(len(total), np.float32)
         for x, m in zip(pdf.delta, pdf.met, strict=True):
-            x = np.frombuffer(x, np.float32)
+            x = np.frombuffer(x, kind)
             total += x
             met += x != 0 if m is None else np.frombuffer(m, np.float32)
         return pd.DataFrame({"task": [int(pdf.task.iloc[0])], "chunk": [int(pdf.chunk.iloc[0])], "tokens": [int(pdf.tokens.sum())], "delta": [total.tobytes()], "met": [met.tobytes()]})
@@ -330,7 +335,7 @@ def train(texts: DataFrame, known: DataFrame, rounds: int = 2, rate: float = 0.4
     within = np.log10([sum(per.get(s, (0, 0))) + 1 for s in range(SHARED)])
     order = np.argsort(h)
     model = Model(own, h[order], c[order], n, v, within, np.log((sums + 0.5) / (n + 0.5 * CLASSES)).astype("f4"), np.zeros((BUCKETS, CLASSES), "f4"), grown(known.where(~own_rows), [per.get(s, (0, 0))[1] for s in range(SHARED)]))
-    chunk = BUCKETS // 16
+    chunk = BUCKETS // CHUNKS
     for _ in range(rounds if n else 0):
         shared = spark.sparkContext.broadcast(model)
 
@@ -348,20 +353,21 @@ def train(texts: DataFrame, known: DataFrame, rounds: int = 2, rate: float = 0.4
             if not tokens:
                 return
             task = TaskContext.get().partitionId()
-            moved = [*np.split((own.weights - start.weights) * np.float32(tokens), BUCKETS // chunk), (own.bias - start.bias) * np.float32(tokens)]
+            moved = [*np.split((own.weights - start.weights) * np.float32(tokens), CHUNKS), (own.bias - start.bias) * np.float32(tokens)]
             moved += np.split(own.tree.weights - start.tree.weights, len(own.tree.weights) // PIECE)
             for i, x in enumerate(moved):
-                yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([i], pa.int32()), pa.array([tokens], pa.int64()), pa.array([x.astype("f4").tobytes()]), pa.array([None], pa.binary())], names=["task", "chunk", "tokens", "delta", "met"])
+                yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([i], pa.int32()), pa.array([tokens], pa.int64()), pa.array([x.astype("f2" if i > CHUNKS else "f4").tobytes()]), pa.array([None], pa.binary())], names=["task", "chunk", "tokens", "delta", "met"])
 
         moves = _averaged(texts.mapInArrow(run, MOVES), texts.rdd.getNumPartitions())
+        shared.destroy()
         weights, bias, turns = model.weights.copy(), model.bias.copy(), model.tree.weights.copy()
         for i, x, each in moves:
-            if i < BUCKETS // chunk:
+            if i < CHUNKS:
                 weights[i * chunk : (i + 1) * chunk] += x.reshape(chunk, CLASSES)
-            elif i == BUCKETS // chunk:
+            elif i == CHUNKS:
                 bias += x
             else:
-                at = (i - BUCKETS // chunk - 1) * PIECE
+                at = (i - CHUNKS - 1) * PIECE
                 turns[at : at + PIECE] += each
         model = Model(model.own, model.head, model.head_counts, n, v, within, bias, weights, Tree(model.tree.depth, model.tree.leaves, turns))
     return model
