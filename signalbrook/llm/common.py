@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,17 +18,20 @@ SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 WORD = r"[^\x20\x09-\x0D]+"
 
-_fallback_dir: list[str] = []
+_local_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share: spark.checkpoint.dir, or the one given to SparkContext.setCheckpointDir. Only where
+    driver and tasks are one process on one machine does a temporary folder take its place; a cluster must name one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not _fallback_dir:
-        _fallback_dir.append(tempfile.mkdtemp(prefix="signalbrook-"))
-    return _fallback_dir[0]
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _local_dir:
+        _local_dir.append(tempfile.mkdtemp(prefix="signalbrook-"))
+    return _local_dir[0]
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -51,30 +55,6 @@ def slices(batch: pa.RecordBatch, column: int = 0, limit: int = 4 << 20) -> Iter
         yield batch.slice(a, b - a)
 
 
-_rng = np.random.default_rng(20240229)
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64)
-_BYTE_LOW = _BYTE.copy()
-_BYTE_LOW[65:91] = _BYTE_LOW[97:123]
-_BYTE[SPACE] = 0
-_BYTE_LOW[SPACE] = 0
-_BASE = 0x9E3779B97F4A7C15
-_powers: list[np.ndarray] = []
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        n = max(n, 1 << 20)
-        up, down = np.empty(n, np.uint64), np.empty(n, np.uint64)
-        for out, step in ((up, _BASE), (down, pow(_BASE, -1, 2**64))):
-            out[0], done = 1, 1
-            while done < n:  # doubling: the next block is the first one times step^done
-                more = min(done, n - done)
-                out[done : done + more] = out[:more] * np.uint64(pow(step, done, 2**64))
-                done += more
-        _powers[:] = [up, down]
-    return _powers[0], _powers[1]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread 64-bit values (a bijection)."""
     h = h ^ (h >> np.uint64(30))
@@ -84,6 +64,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_TAIL = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+#: Words longer than this are hashed one by one; shorter ones all at once, eight bytes at a time.
+LONG = 64
+
+
 class Words:
     """The words of a column of texts, as arrays.
 
@@ -98,44 +83,70 @@ class Words:
         raw = texts.buffers()[2]
         data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.empty(0, np.uint8)
         self.data, self.n_rows, self.offsets = data, len(texts), offsets - offsets[0]
-        solid = ~SPACE[data]
-        before = np.empty(len(data) + 1, bool)
-        before[0], before[1:] = False, solid
-        before[self.offsets] = False  # a text begins anew
-        self.starts = np.flatnonzero(solid & ~before[:-1])
-        after = np.empty(len(data) + 1, bool)
-        after[-1], after[:-1] = False, solid
-        after[self.offsets] = False
-        self.ends = np.flatnonzero(solid & ~after[1:]) + 1
-        self.row = np.searchsorted(self.offsets, self.starts, side="right") - 1
-
-    def hashes(self, lower: bool = True, step: int = 1 << 20) -> np.ndarray:
-        """A 64-bit hash of each word (A-Z lowered if asked)."""
-        table, out = (_BYTE_LOW if lower else _BYTE), np.empty(len(self.starts), np.uint64)
-        at = 0
-        while at < len(self.starts):
-            first = self.starts[at]
-            to = max(at + 1, int(np.searchsorted(self.ends, first + step)))
-            last = self.ends[to - 1]
-            up, down = _power_tables(int(last - first))
-            part = table[self.data[first:last]] * up[: last - first]
-            own = self.starts[at:to] - first
-            out[at:to] = np.add.reduceat(part, own) * down[own]
-            at = to
-        return mix(out + (self.ends - self.starts).astype(np.uint64))
+        solid = data != 0x20
+        solid &= data - np.uint8(9) > 4
+        near = np.zeros(len(data) + 1, bool)  # whether a word's byte stands just before; a text begins anew
+        near[1:] = solid
+        near[self.offsets] = False
+        self.starts = np.flatnonzero(solid & ~near[:-1])
+        near[:-1], near[-1] = solid, False  # just after
+        near[self.offsets] = False
+        self.ends = np.flatnonzero(solid & ~near[1:]) + 1
+        first = np.searchsorted(self.starts, self.offsets)
+        self.row = np.repeat(np.arange(self.n_rows), np.diff(first))
+
+    def hashes(self, lower: bool = True, step: int = 1 << 15) -> np.ndarray:
+        """A 64-bit hash of each word (A-Z lowered if asked): its blocks of eight bytes, mixed in turn; XXH3 if it is long."""
+        n = len(self.data)
+        padded = np.zeros(-(-n // 8) * 8 + 16, np.uint8)
+        padded[:n] = self.data
+        if lower:
+            padded += (padded - np.uint8(65) < 26) * np.uint8(32)
+        blocks = padded.view("<u8")
+
+        def load(at: np.ndarray) -> np.ndarray:
+            i, r = at >> 3, ((at & 7) << 3).astype(np.uint64)
+            return (blocks[i] >> r) | ((blocks[i + 1] << (np.uint64(63) - r)) << np.uint64(1))
+
+        out = np.empty(len(self.starts), np.uint64)
+        for a in range(0, len(out), step):
+            start, size = self.starts[a : a + step], self.ends[a : a + step] - self.starts[a : a + step]
+            h = mix((load(start) & _TAIL[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            more = np.flatnonzero((size > 8) & (size <= LONG))
+            for k in range(8, LONG, 8):
+                if not len(more):
+                    break
+                h[more] = mix((h[more] + np.uint64(0x632BE59BD9B4E019)) ^ (load(start[more] + k) & _TAIL[np.minimum(size[more] - k, 8)]))
+                more = more[size[more] > k + 8]
+            for i in np.flatnonzero(size > LONG).tolist():
+                h[i] = xxhash.xxh3_64_intdigest(padded[start[i] : start[i] + size[i]].tobytes())
+            out[a : a + step] = h
+        return out
+
+
+#: A node is a hub beyond this many links, and beyond total / HUBS.
+HUB, HUBS = 4096, 10_000
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges(a, b): links between long ids. Returns (id, component): each id that has a link, with the
     smallest id reachable from it.
 
-    Large-star and small-star rounds as joins and grouped minima: a hub's links stay spread over tasks,
-    and only the count and a checksum of the links reach the driver. Each round is cut to the shared folder.
+    Large-star and small-star rounds as joins and grouped minima. A node with more than a HUBS-th of all links is a hub, of which
+    there are 2 * HUBS at most: hubs' minima are broadcast, so that their links stay where they lie. Only the count and a
+    checksum of the links reach the driver. Each round is cut to the shared folder.
     """
 
     def canon(df: DataFrame) -> DataFrame:
         return df.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
 
+    def meet(rows: DataFrame, low: DataFrame, total: int) -> DataFrame:
+        hub = F.col("n") > max(HUB, total // HUBS)
+        hubs = F.broadcast(low.where(hub).select(F.col("k").alias("hub"), F.col("m").alias("hub_m")))
+        at = rows.join(hubs, F.col("u") == F.col("hub"), "left")
+        rest = at.where("hub IS NULL").join(low.where(~hub), F.col("u") == F.col("k")).select("u", "v", "m")
+        return rest.unionByName(at.where("hub IS NOT NULL").select("u", "v", F.col("hub_m").alias("m")))
+
     def sign(df: DataFrame):
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
@@ -145,10 +156,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not last[0]:
             break
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
-        large = canon(both.join(low, F.col("u") == F.col("k")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        low = large.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), "m")
-        joined = large.join(low, F.col("u") == F.col("k"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"), "n")
+        large = canon(meet(both, low, 2 * last[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select(F.col("u").alias("k"), "m", "n")
+        joined = meet(large, low, last[0])
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select(F.col("k").alias("u"), F.col("m").alias("v")))
         links = cut(canon(small))
         now = sign(links)

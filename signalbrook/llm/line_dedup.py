@@ -2,19 +2,31 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Words, cut, mix, slices
+from .common import Words, cut, mix, slices
 
-#: Slots of the token counts that order tokens by rarity: a fixed size, whatever the input.
+#: Slots of the tables that tasks know whole (token counts by hash; marks by hash): a fixed size, whatever the input.
 SLOTS = 1 << 24
-#: Postings of one token that one task compares at once; longer lists are dealt into blocks that meet pair by pair.
-BLOCK = 8192
+#: In how many parts a table of slots is summed.
+CHUNKS = 256
+WIDTH = SLOTS // CHUNKS
+#: Postings of one token that one task compares at once (or its share of all of them, if that is more); longer lists are dealt into
+#: blocks that meet pair by pair. At most SPLIT tokens have so many.
+BLOCK, SPLIT = 8192, 1 << 16
+#: Sizes up to which a line's parity has 1, 2 and 4 words of 64 bits; beyond, it has 8.
+PARITY = np.array([96, 192, 384])
+#: Sizes and places are passed on up to here; at it, they rule nothing out.
+FULL = 65535
+#: Distinct lines that a task remembers at once.
+HELD = 400_000
 KEY = ["doc", "version", "line"]
 
 
@@ -24,122 +36,296 @@ def level(n: np.ndarray) -> np.ndarray:
     return np.minimum(np.where(n <= 16, n, big), 255).astype(np.uint8)
 
 
-def slot_levels(slots: DataFrame) -> np.ndarray:
-    """slots(slot int, n long): the levels of the summed counts, as an array of SLOTS bytes. Counts are summed by
-    slot before anything is gathered, so what reaches the driver is the array and no more."""
-    width = 1 << 16
+def _runs(key: np.ndarray) -> np.ndarray:
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    return np.flatnonzero(first)
+
+
+def _slots(batches: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """Sum a task's slots; each chunk of the table goes on as the places and counts that are not zero."""
+    own, held = np.zeros(SLOTS, np.uint32), []
 
-    def run(pdf):
-        import pandas as pd
+    def add():
+        slot = np.sort(np.concatenate(held))
+        at = _runs(slot)
+        own[slot[at]] += np.diff(np.append(at, len(slot))).astype(np.uint32)
+        held.clear()
 
-        own = np.zeros(width, np.uint8)
-        own[pdf.slot.to_numpy() % width] = level(pdf.n.to_numpy())
-        return pd.DataFrame({"chunk": [int(pdf.slot.iloc[0]) // width], "levels": [own.tobytes()]})
+    for slot in batches:
+        held.append(slot.astype(np.uint32))
+        if sum(map(len, held)) > 1 << 21:
+            add()
+    if held:
+        add()
+    for i in range(CHUNKS):
+        part = own[i * WIDTH : (i + 1) * WIDTH]
+        at = np.flatnonzero(part)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([at.astype("<u2").tobytes()]), pa.array([part[at].astype("<u4").tobytes()])], names=["chunk", "at", "n"])
+
+
+def slot_table(docs: DataFrame, slots, kind: str) -> np.ndarray:
+    """The table of the slots that the function slots gives for docs' batches: levels of the counts, or marks. Counts are summed in tasks, then by
+    chunk as a stream; the table is what reaches the driver."""
+
+    def run(batches):
+        yield from _slots(slots(batches))
+
+    def total(batches):
+        chunk, own = -1, None
 
-    sums = slots.groupBy("slot").agg(F.sum("n").alias("n"))
-    parts = sums.groupBy((F.col("slot") / width).cast("int").alias("chunk")).applyInPandas(run, "chunk int, levels binary")
-    out = np.zeros(SLOTS, np.uint8)
-    for row in parts.collect():  # SLOTS bytes, whatever the input
-        out[row.chunk * width : (row.chunk + 1) * width] = np.frombuffer(row.levels, np.uint8)
+        def out():
+            part = level(own) if kind == "levels" else np.packbits(own > 0)
+            return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([part.tobytes()])], names=["chunk", "part"])
+
+        for b in batches:
+            for i, at, n in zip(*(b.column(k).to_pylist() for k in range(3)), strict=True):
+                if i != chunk:
+                    if own is not None:
+                        yield out()
+                    chunk, own = i, np.zeros(WIDTH, np.int64)
+                own[np.frombuffer(at, "<u2")] += np.frombuffer(n, "<u4")
+        if own is not None:
+            yield out()
+
+    parts = docs.mapInArrow(run, "chunk int, at binary, n binary").repartition(_width(docs), "chunk").sortWithinPartitions("chunk")
+    out = np.zeros(SLOTS, np.uint8) if kind == "levels" else np.zeros(SLOTS // 8, np.uint8)
+    step = len(out) // CHUNKS
+    for row in parts.mapInArrow(total, "chunk int, part binary").collect():
+        out[row.chunk * step : (row.chunk + 1) * step] = np.frombuffer(row.part, np.uint8)
     return out
 
 
-def _slots(batches: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """Sum hashed slots over a task's batches, in bounded memory."""
-    own = np.zeros(SLOTS, np.int32)
-    for slot in batches:
-        got, n = np.unique(slot, return_counts=True)
-        own[got] += n.astype(np.int32)
-    at = np.flatnonzero(own)
-    for i in range(0, len(at), 1 << 18):
-        part = at[i : i + (1 << 18)]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(own[part].astype(np.int64))], names=["slot", "n"])
+def _width(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def token_levels(texts: DataFrame) -> np.ndarray:
-    """How often each token's slot occurs in all texts."""
+def _marked(marks: np.ndarray, slot: np.ndarray) -> np.ndarray:
+    return (marks[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
 
-    def run(batches):
-        yield from _slots((Words(part.column(0)).hashes() >> np.uint64(40)).astype(np.int64) for b in batches for part in slices(b))
 
-    return slot_levels(texts.mapInArrow(run, "slot int, n long"))
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(40)).astype(np.int64)
 
 
-def _runs(key: np.ndarray) -> np.ndarray:
-    first = np.ones(len(key), bool)
-    first[1:] = key[1:] != key[:-1]
-    return np.flatnonzero(first)
+def _key_slot(doc: np.ndarray, version: np.ndarray, line: np.ndarray) -> np.ndarray:
+    h = mix(mix(doc.astype(np.int64).view(np.uint64)) ^ version.astype(np.int64).view(np.uint64)) + line.astype(np.uint64)
+    return _slot(mix(h))
+
+
+def token_levels(texts: DataFrame) -> np.ndarray:
+    """How often each token's slot occurs in all texts, as levels."""
+    return slot_table(texts, lambda batches: (_slot(Words(part.column(0)).hashes()) for b in batches for part in slices(b)), "levels")
+
+
+def _sorted_tokens(h: np.ndarray, line: np.ndarray, n_lines: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """line, token and level, distinct, ordered by line, level and token."""
+    bits_i, bits_l = max(1, (len(h) - 1).bit_length()), max(1, (n_lines - 1).bit_length())
+    rest = 56 - bits_i - bits_l
+    rarity = levels[_slot(h)]
+    if rest >= 16:  # line, level, the token's first bits and its place fit in one word
+        key = (line.astype(np.uint64) << np.uint64(64 - bits_l)) | (rarity.astype(np.uint64) << np.uint64(56 - bits_l))
+        key |= (h >> np.uint64(64 - rest)) << np.uint64(bits_i)
+        key |= np.arange(len(h), dtype=np.uint64)
+        key.sort()
+        order = (key & np.uint64((1 << bits_i) - 1)).astype(np.int64)
+        key >>= np.uint64(bits_i)
+        h, line = h[order], line[order]
+        torn = np.flatnonzero((key[1:] == key[:-1]) & (h[1:] != h[:-1]))
+        if len(torn):  # tokens of a line that share their first bits: order these lines by the whole token
+            some = np.zeros(n_lines, bool)
+            some[line[torn]] = True
+            at = np.flatnonzero(some[line])
+            own, r = h[at], levels[_slot(h[at])]
+            h[at] = own[np.lexsort((own, r, line[at]))]
+    else:
+        order = np.lexsort((h, rarity, line))
+        h, line = h[order], line[order]
+    first = np.ones(len(h), bool)
+    first[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
+    line, h = line[first], h[first]
+    return line, h, levels[_slot(h)]
+
+
+def _words_of(size: np.ndarray) -> np.ndarray:
+    """Words of parity for lines of these sizes."""
+    return 1 << np.searchsorted(PARITY, size)
+
+
+def parities(token: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Of how many tokens each bit is the slot, odd or even: the words of all lines, one line behind the other."""
+    words = _words_of(size)
+    at = np.cumsum(words) - words
+    out = np.zeros(int(words.sum()), np.uint64)
+    bit, word = np.uint64(1) << (token & np.uint64(63)), (token >> np.uint64(6)).astype(np.uint8)
+    one = np.flatnonzero(words == 1)
+    out[at] = np.bitwise_xor.reduceat(bit, begin) if len(begin) else 0
+    if len(one) < len(words):
+        big = np.repeat(words, size) > 1
+        bit, word, w = bit[big], word[big], np.repeat(words, size)[big]
+        rows = np.flatnonzero(words > 1)
+        first = np.cumsum(size[rows]) - size[rows]
+        word &= (w - 1).astype(np.uint8)
+        for j in range(8):
+            own = rows[words[rows] > j]
+            if len(own):
+                sums = np.bitwise_xor.reduceat(np.where(word == j, bit, np.uint64(0)), first)
+                out[at[own] + j] = sums[words[rows] > j]
+    return out
 
 
 def line_sets(texts: pa.Array, levels: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
-    """The token set of each line that has words: row and line number, size, two hashes of the set, 128 bits that say of how many
-    of its tokens each is the slot, odd or even, and its postings: the tokens of its prefix, rarest first, that occur more than once anywhere."""
+    """The token set of each line that has words: row, line number, first and last byte, size, parity, and its postings: the tokens of its
+    prefix, rarest first, that occur more than once anywhere, with their places."""
     words = Words(texts)
     h = words.hashes()
     breaks = np.flatnonzero(words.data == 10)
-    number = np.searchsorted(breaks, words.starts) - np.searchsorted(breaks, words.offsets[:-1])[words.row]
-    at = _runs((words.row.astype(np.int64) << 32) | number)  # words of a line stand together
-    line = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(h))))
-    rarity = levels[(h >> np.uint64(40)).astype(np.int64)]
-    order = np.lexsort((h, rarity, line))
-    first = np.ones(len(h), bool)
-    o_line, o_h = line[order], h[order]
-    first[1:] = (o_line[1:] != o_line[:-1]) | (o_h[1:] != o_h[:-1])
-    order = order[first]
-    line, token, rarity = line[order], h[order], rarity[order]
+    after = np.zeros(len(h) + 1, bool)
+    after[np.searchsorted(words.starts, breaks)] = True
+    after[np.searchsorted(words.starts, words.offsets[:-1])] = True
+    at = np.flatnonzero(after[:-1])  # the first words of lines
+    words_in = np.diff(np.append(at, len(h)))
+    row, first = words.row[at], words.starts[at]
+    before = np.searchsorted(breaks, first)  # breaks in all texts up to here
+    number = before - np.searchsorted(breaks, words.offsets[:-1])[row]
+    start = np.maximum(np.where(before > 0, breaks[before - 1] + 1 if len(breaks) else 0, 0), words.offsets[row])
+    stop = np.minimum(np.append(breaks, len(words.data))[before], words.offsets[row + 1])
+    line, token, rarity = _sorted_tokens(h, np.repeat(np.arange(len(at)), words_in), len(at), levels)
     begin = _runs(line)
     size = np.diff(np.append(begin, len(line)))
     place = np.arange(len(line)) - np.repeat(begin, size)
     prefix = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
-    alone = np.floor(size / threshold + 1e-9) == size  # only an equal set can match
-    prefix[alone & (prefix == 1)] = 0
     posted = (place < np.repeat(prefix, size)) & (rarity > 1)
-    frequent = posted & (rarity >= level(np.array([BLOCK]))[0])
-    if not len(begin):
-        empty = np.empty(0, np.int64)
-        return dict.fromkeys(("row", "line", "size", "h1", "h2", "parity", "parity_2", "token", "place", "often", "begin"), empty)
     return {
-        "row": words.row[at], "line": number[at], "size": size,
-        "h1": np.add.reduceat(token, begin), "h2": np.add.reduceat(mix(token ^ np.uint64(0x5851F42D4C957F2D)), begin),
-        "parity": np.bitwise_xor.reduceat(np.where(token & np.uint64(64), 0, np.uint64(1) << (token & np.uint64(63))), begin),
-        "parity_2": np.bitwise_xor.reduceat(np.where(token & np.uint64(64), np.uint64(1) << (token & np.uint64(63)), 0), begin),
-        "token": token[posted], "place": place[posted], "often": token[frequent],
-        "begin": np.searchsorted(line[posted], np.arange(len(begin) + 1)), "begin_often": np.searchsorted(line[frequent], np.arange(len(begin) + 1)),
-    }
+        "row": row, "line": number, "start": start, "stop": stop, "size": size, "parity": parities(token, begin, size) if len(begin) else np.empty(0, np.uint64),
+        "token": token[posted], "place": place[posted], "posts": np.add.reduceat(posted, begin, dtype=np.int64) if len(begin) else np.empty(0, np.int64), "data": words.data,
+    }
+
+
+LINES = "doc binary, version binary, line binary, size binary, parity binary, posts binary, token binary, place binary, digest binary, c_doc binary, c_version binary, c_line binary, of_doc binary, of_line binary, n_posts long"
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def lines_of(docs: DataFrame, levels, threshold: float) -> DataFrame:
-    """docs(doc, version, text) to a row for each line that has words."""
+    """docs(doc, version, text) to rows that each hold many lines as arrays of bytes: the lines that have words, and of those that a task has
+    met before, letter by letter but for the case, their earlier place."""
 
     def run(batches):
-        own = levels.value
+        own, seen = levels.value, {}
         for b in batches:
             for part in slices(b, 2):
                 s = line_sets(part.column(2), own, threshold)
-                n = len(s["row"])
-                if not n:
+                if not len(s["row"]):
                     continue
-                take = pa.array(s["row"])
-                signed = lambda x: pa.array(x.view(np.int64))
-                short = lambda x: pa.array((x >> np.uint64(32)).astype(np.uint32).view(np.int32))
-                lists = lambda ends, x: pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), x)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0).take(take), part.column(1).take(take), pa.array(s["line"].astype(np.int32)), pa.array(s["size"].astype(np.int32)),
-                        signed(s["h1"]), signed(s["h2"]), signed(s["parity"]), signed(s["parity_2"]),
-                        lists(s["begin"], short(s["token"])), lists(s["begin"], pa.array(s["place"].astype(np.int32))), lists(s["begin_often"], short(s["often"])),
-                    ],
-                    names=["doc", "version", "line", "size", "h1", "h2", "parity", "parity_2", "tokens", "places", "often"],
-                )
-
-    return docs.mapInArrow(run, "doc long, version long, line int, size int, h1 long, h2 long, parity long, parity_2 long, tokens array<int>, places array<int>, often array<int>")
+                doc, version = part.column(0).to_numpy()[s["row"]], part.column(1).to_numpy()[s["row"]]
+                text = s["data"].tobytes().translate(_LOWER)
+                digests, new, copies = [], np.ones(len(doc), bool), []
+                if len(seen) > HELD:
+                    seen.clear()
+                keys = zip(doc.tolist(), version.tolist(), s["line"].tolist(), strict=True)
+                for i, (a, z, key) in enumerate(zip(s["start"].tolist(), s["stop"].tolist(), keys, strict=True)):
+                    d = hashlib.blake2b(text[a:z], digest_size=16).digest()
+                    digests.append(d)
+                    first = seen.setdefault(d, key)
+                    if first is key:
+                        continue
+                    if key < first:  # this one stands earlier
+                        seen[d] = key
+                    else:
+                        new[i] = False
+                        if key != first:
+                            copies.append((i, first[0], first[2]))
+                at = np.flatnonzero(new)
+                posted, parity = np.repeat(new, s["posts"]), np.repeat(new, _words_of(s["size"]))
+                c, of_doc, of_line = (np.array([x[k] for x in copies], np.int64) for k in range(3))
+                digest = np.frombuffer(b"".join(digests), "V16")[at]
+                cols = [
+                    doc[at].astype("<i8"), version[at].astype("<i8"), s["line"][at].astype("<i4"), np.minimum(s["size"][at], FULL).astype("<u2"), s["parity"][parity],
+                    s["posts"][at].astype("<u4"), s["token"][posted], np.minimum(s["place"][posted], FULL).astype("<u2"), digest,
+                    doc[c].astype("<i8"), version[c].astype("<i8"), s["line"][c].astype("<i4"), of_doc, of_line.astype("<i4"),
+                ]
+                yield pa.RecordBatch.from_arrays([*[pa.array([x.tobytes()], pa.binary()) for x in cols], pa.array([int(posted.sum())])], names=[x.split()[0] for x in LINES.split(", ")])
+
+    return docs.mapInArrow(run, LINES)
+
+
+_KINDS = {"doc": "<i8", "version": "<i8", "line": "<i4", "size": "<u2", "parity": "<u8", "posts": "<u4", "token": "<u8", "place": "<u2", "digest": "V16", "c_doc": "<i8", "c_version": "<i8", "c_line": "<i4", "of_doc": "<i8", "of_line": "<i4"}
+
+
+def _rows(batches, names: list[str]) -> Iterator[dict[str, np.ndarray]]:
+    for b in batches:
+        for row in zip(*(b.column(n).to_pylist() for n in names), strict=True):
+            yield {n: np.frombuffer(x, _KINDS[n]) for n, x in zip(names, row, strict=True)}
+
+
+def _sent(held: list[dict[str, np.ndarray]], to: np.ndarray, columns: list[str], ragged: str | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows of arrays, one for each part that something is sent to. ragged: a column of several values to a row, as many as rag says."""
+    order = np.argsort(to.astype(np.uint16 if to.max(initial=0) < FULL else np.int64), kind="stable")
+    at = _runs(to[order])
+    cuts = np.append(at, len(to)).tolist()
+    cols = [np.concatenate([h[c] for h in held])[order] for c in columns]
+    if ragged:
+        rag = np.concatenate([h["rag"] for h in held])
+        cols.append(_take(np.concatenate([h[ragged] for h in held]), rag, order))
+        ends = np.concatenate([[0], np.cumsum(rag[order])])
+    for a, z in zip(cuts, cuts[1:]):
+        blobs = [c[a:z].tobytes() for c in cols[: len(columns)]] + ([cols[-1][ends[a] : ends[z]].tobytes()] if ragged else [])
+        yield pa.RecordBatch.from_arrays([pa.array([int(to[order[a]])], pa.int32()), *[pa.array([x], pa.binary()) for x in blobs]], names=["to", *columns, *([ragged] if ragged else [])])
+
+
+def _take(values: np.ndarray, n: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The runs of values (n of each row) in another order of the rows."""
+    first = (np.cumsum(n) - n)[order]
+    m = n[order]
+    return values[np.repeat(first - (np.cumsum(m) - m), m) + np.arange(int(m.sum()))]
+
+
+def copies_of(lines: DataFrame) -> DataFrame:
+    """Lines that stand again, letter by letter but for the case, in another task's texts: doc, version, line, and the first such line (of_doc, of_line).
+    A task passes on each line once, so that a line that stands everywhere is as many rows as there are tasks."""
+    columns, n = ["doc", "version", "line", "digest"], _width(lines)
+
+    def send(batches):
+        held, rows = [], 0
+        for r in _rows(batches, columns):
+            held.append(r)
+            rows += len(r["doc"])
+            if rows > 1 << 19:
+                yield from _sent(held, _part(np.concatenate([h["digest"] for h in held]).view("<u8")[::2], n), columns)
+                held, rows = [], 0
+        if rows:
+            yield from _sent(held, _part(np.concatenate([h["digest"] for h in held]).view("<u8")[::2], n), columns)
+
+    def fold(batches):
+        got = list(_rows(batches, columns))
+        if not got:
+            return
+        doc, version, line, digest = (np.concatenate([g[c] for g in got]) for c in columns)
+        d = digest.view("<u8").reshape(-1, 2)
+        order = np.lexsort((line, version, doc, d[:, 1], d[:, 0]))
+        d, doc, version, line = d[order], doc[order], version[order], line[order]
+        first = np.ones(len(doc), bool)
+        first[1:] = (d[1:] != d[:-1]).any(1)
+        of = np.maximum.accumulate(np.where(first, np.arange(len(doc)), 0))
+        again = np.flatnonzero((doc != doc[of]) | (version != version[of]) | (line != line[of]))
+        for a in range(0, len(again), 1 << 17):
+            i = again[a : a + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (doc[i], version[i], line[i], doc[of[i]], line[of[i]])], names=[*KEY, "of_doc", "of_line"])
+
+    sent = lines.mapInArrow(send, "to int, doc binary, version binary, line binary, digest binary")
+    return sent.repartitionById(n, "to").mapInArrow(fold, "doc long, version long, line int, of_doc long, of_line int")
+
+
+def _part(h: np.ndarray, n: int) -> np.ndarray:
+    return ((mix(h) >> np.uint64(32)).astype(np.int64) * n) >> 32
 
 
 def search(t: dict[str, np.ndarray], begin: np.ndarray, threshold: float, skip: int, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Postings in groups (begin: the first of each posting's group), earlier lines first: for each posting that asks, the
     earlier ones of its group that no filter rules out, from the skip-th to the take-th after it, in order.
     Returns positions (later, earlier) and whether the later one may have more."""
-    size, place, parity, parity_2, own = t["size"], t["place"], t["parity"], t["parity_2"], t["own"]
+    size, place, words, one = t["size"], t["place"], t["words"], t["fold"]
     found = np.zeros(len(size), np.int64)
     active = np.flatnonzero(t["asks"] & (begin < np.arange(len(size))))
     later, earlier = [], []
@@ -147,13 +333,16 @@ def search(t: dict[str, np.ndarray], begin: np.ndarray, threshold: float, skip:
     while len(active):
         x = begin[active] + k
         sx, sy = size[x], size[active]
-        need = np.ceil(threshold / (1 + threshold) * (sx + sy) - 1e-9)
-        ok = (sx >= threshold * sy - 1e-9) & (sy >= threshold * sx - 1e-9)
-        ok &= 1 + np.minimum(sx - place[x], sy - place[active]) - 1 >= need
-        # each token that only one of the two has turns one bit
-        ok &= np.bitwise_count(parity[x] ^ parity[active]).astype(np.int64) + np.bitwise_count(parity_2[x] ^ parity_2[active]) <= sx + sy - 2 * need
-        ok &= (t["within"][active]) | (own[x] != own[active])
+        full = np.maximum(sx, sy) >= FULL
+        need = np.where(full, 0, np.ceil(threshold / (1 + threshold) * (sx + sy) - 1e-9))
+        differ = np.where(full, 1 << 40, sx + sy - 2 * need)  # tokens that only one of the two has turn one bit each
+        ok = full | ((sx >= threshold * sy - 1e-9) & (sy >= threshold * sx - 1e-9) & (np.minimum(sx - place[x], sy - place[active]) >= need))
+        ok &= np.bitwise_count(one[x] ^ one[active]) <= differ
+        ok &= t["within"][active] | (t["side"][x] != t["side"][active])
         ok &= t["id"][x] != t["id"][active]
+        wide = np.flatnonzero(ok & (np.minimum(words[x], words[active]) > 1))
+        if len(wide):
+            ok[wide] = apart(t, x[wide], active[wide]) <= differ[wide]
         hit = active[ok]
         found[hit] += 1
         report = found[hit] > skip
@@ -166,186 +355,276 @@ def search(t: dict[str, np.ndarray], begin: np.ndarray, threshold: float, skip:
     return later, earlier, more[later]
 
 
-def candidates(postings: DataFrame, threshold: float, skip: int, take: int) -> DataFrame:
-    """postings(token, bi, bj, own, doc, version, line, size, place, parity, parity_2, asks) to pairs of a later and an earlier line."""
-    names = ["token", "bi", "bj", "own", *KEY, "size", "place", "parity", "parity_2", "asks"]
+def apart(t: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How many bits of two lines' parities differ, folded to the shorter of the two."""
+    wx, wy, ax, ay, p = t["words"][x], t["words"][y], t["at"][x], t["at"][y], t["parity"]
+    w, out = np.minimum(wx, wy), np.zeros(len(x), np.int64)
+    for j in range(int(w.max(initial=0))):
+        own = np.flatnonzero(w > j)
+        sides = []
+        for n, at in ((wx[own], ax[own]), (wy[own], ay[own])):
+            v = p[at + j]
+            for s in range(1, int((n // w[own]).max(initial=1))):
+                far = np.flatnonzero(n // w[own] > s)
+                v[far] ^= p[at[far] + j + s * w[own][far]]
+            sides.append(v)
+        out[own] += np.bitwise_count(sides[0] ^ sides[1])
+    return out
 
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-
-        def work(table: pa.Table):
-            if table.num_rows < 2:
-                return
-            t = {c: table.column(c).to_numpy() for c in names}
-            t["parity"], t["parity_2"] = t["parity"].view(np.uint64), t["parity_2"].view(np.uint64)
-            t["within"] = t["bi"] == t["bj"]
-            t["size"] = t["size"].astype(np.int64)
-            change = np.ones(len(t["token"]), bool)
-            change[1:] = (t["token"][1:] != t["token"][:-1]) | (t["bi"][1:] != t["bi"][:-1]) | (t["bj"][1:] != t["bj"][:-1])
-            new = np.zeros(len(change), bool)
-            for c in KEY:
-                new[1:] |= t[c][1:] != t[c][:-1]
-            t["id"] = np.cumsum(new | change)  # a line stands twice in a group if two of its tokens share their 32 bits
-            begin = np.maximum.accumulate(np.where(change, np.arange(len(change)), 0))
-            y, x, more = search(t, begin, threshold, skip, take)
-            if len(y):
-                cols = [pa.array(t[c][y]) for c in KEY] + [pa.array(t[c][x]) for c in KEY] + [pa.array(more)]
-                yield pa.RecordBatch.from_arrays(cols, names=[*KEY, *[f"x_{c}" for c in KEY], "more"])
 
-        for b in batches:
-            held.append(b)
-            if sum(x.num_rows for x in held) < 60_000:
+POSTING = ["group", "doc", "version", "line", "size", "place", "flags"]
+_POSTING = {"group": "<u4", "doc": "<i8", "version": "<i8", "line": "<i4", "size": "<u2", "place": "<u2", "flags": "u1", "parity": "<u8"}
+WITHIN, SIDE, ASKS = 1, 2, 4
+
+
+def postings(row: dict[str, np.ndarray], hot: tuple[np.ndarray, np.ndarray], keep=None, asks=None) -> dict[str, np.ndarray]:
+    """A row of lines as postings: one for each token of a line's prefix (of those that keep says, if given), once for each pair of blocks
+    where a token's list is long. asks: the marks of the lines that look for matches; all, if None."""
+    line = np.repeat(np.arange(len(row["doc"])), row["posts"])
+    token, place = row["token"], row["place"]
+    if keep is not None:
+        at = np.flatnonzero(_marked(keep, _slot(token)))
+        line, token, place = line[at], token[at], place[at]
+    flags = np.full(len(token), WITHIN | ASKS, np.uint8)
+    if asks is not None:
+        own = _marked(asks, _key_slot(row["doc"], row["version"], row["line"]))
+        flags[~own[line]] = WITHIN
+    group = token
+    if len(hot[0]):
+        i = np.minimum(np.searchsorted(hot[0], token), len(hot[0]) - 1)
+        parts = np.where(hot[0][i] == token, hot[1][i], 1)
+        n = np.where(parts > 1, parts, 1)
+        again = np.repeat(np.arange(len(token)), n)
+        other = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
+        key = (mix(row["doc"].view("<u8")) + row["line"].astype("<u8"))[line]
+        mine = (mix(key) % parts.astype(np.uint64)).astype(np.int64)[again]
+        low, high = np.minimum(mine, other), np.maximum(mine, other)
+        line, place, flags = line[again], place[again], flags[again].copy()
+        flags[low != high] &= ~np.uint8(WITHIN)
+        flags[mine != low] |= SIDE
+        group = mix(token[again] + ((low << 32) | high).astype(np.uint64)) if len(again) > len(token) else token
+    words = _words_of(row["size"])
+    out = {c: row[c][line] for c in ("doc", "version", "line", "size")}
+    return out | {"place": place, "flags": flags, "rag": words[line], "parity": _take(row["parity"], words, line), "h": mix(group)}
+
+
+def candidates(lines: DataFrame, hot, threshold: float, skip: int, take: int, n: int, keep=None, asks=None) -> DataFrame:
+    """Pairs of a later line and an earlier one (x_) that share a token of their prefixes and that no filter rules out; more: whether the later may have others."""
+    columns = ["doc", "version", "line", "size", "parity", "posts", "token", "place"]
+
+    def send(batches):
+        held, rows = [], 0
+        value = lambda b: None if b is None else b.value
+
+        def out():
+            h = np.concatenate([x.pop("h") for x in held])
+            held[0]["group"] = h.astype("<u4")
+            for x in held[1:]:
+                x["group"] = np.empty(0, "<u4")
+            yield from _sent(held, ((h >> np.uint64(32)).astype(np.int64) * n) >> 32, POSTING, "parity")
+
+        for r in _rows(batches, columns):
+            made = postings(r, hot.value, value(keep), value(asks))
+            if not len(made["h"]):
                 continue
-            table = pa.Table.from_batches(held)
-            t, i, j = (table.column(c).to_numpy() for c in ("token", "bi", "bj"))
-            last = (t == t[-1]) & (i == i[-1]) & (j == j[-1])
-            n = int(np.argmax(last))  # the last group may go on
-            if n:
-                yield from work(table.slice(0, n))
-                held = table.slice(n).to_batches()
-        if held:
-            yield from work(pa.Table.from_batches(held))
-
-    n = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = postings.select(*names).repartition(n, "token", "bi", "bj").sortWithinPartitions("token", "bi", "bj", *KEY)
-    return dealt.mapInArrow(run, "doc long, version long, line int, x_doc long, x_version long, x_line int, more boolean")
-
-
-def _key_slots(doc: np.ndarray, version: np.ndarray, line: np.ndarray) -> np.ndarray:
-    h = mix(mix(doc.astype(np.int64).view(np.uint64)) ^ version.astype(np.int64).view(np.uint64)) + line.astype(np.uint64)
-    return (mix(h) >> np.uint64(40)).astype(np.int64)
+            held.append(made)
+            rows += len(made["h"])
+            if rows > 1 << 20:
+                yield from out()
+                held, rows = [], 0
+        if rows:
+            yield from out()
+
+    def meet(batches):
+        got = [{c: np.frombuffer(x, _POSTING[c]) for c, x in zip([*POSTING, "parity"], row, strict=True)} for b in batches for row in zip(*(b.column(c).to_pylist() for c in [*POSTING, "parity"]), strict=True)]
+        if not got:
+            return
+        t = {c: np.concatenate([g[c] for g in got]) for c in [*POSTING, "parity"]}
+        del got
+        words = _words_of(t["size"])
+        at = np.cumsum(words) - words
+        order = np.lexsort((t["line"], t["version"], t["doc"], t["group"]))
+        t |= {c: t[c][order] for c in POSTING} | {"words": words[order], "at": at[order]}
+        t["size"], t["place"] = t["size"].astype(np.int64), t["place"].astype(np.int64)
+        t["fold"] = np.bitwise_xor.reduceat(t["parity"], at)[order]
+        change = np.ones(len(order), bool)
+        change[1:] = t["group"][1:] != t["group"][:-1]
+        new = change.copy()
+        for c in KEY:
+            new[1:] |= t[c][1:] != t[c][:-1]
+        t["id"] = np.cumsum(new)  # a line stands twice in a group if two of its tokens share their bits
+        t["within"], t["side"], t["asks"] = t["flags"] & WITHIN > 0, t["flags"] & SIDE, t["flags"] & ASKS > 0
+        y, x, more = search(t, np.maximum.accumulate(np.where(change, np.arange(len(order)), 0)), threshold, skip, take)
+        for a in range(0, len(y), 1 << 17):
+            i, j = y[a : a + (1 << 17)], x[a : a + (1 << 17)]
+            yield pa.RecordBatch.from_arrays([pa.array(t[c][k]) for k in (i, j) for c in KEY] + [pa.array(more[a : a + (1 << 17)])], names=[*KEY, *[f"x_{c}" for c in KEY], "more"])
+
+    kinds = ", ".join(f"{c} binary" for c in [*POSTING, "parity"])
+    sent = lines.select(*columns).mapInArrow(send, f"to int, {kinds}").repartitionById(n, "to")
+    return sent.mapInArrow(meet, "doc long, version long, line int, x_doc long, x_version long, x_line int, more boolean")
 
 
 def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The texts of the wanted lines (distinct doc, version, line). Lines are picked where the documents lie, by a
-    table of SLOTS bytes that marks the wanted ones' hashes; what else it lets through falls out at the join."""
+    """The texts of the wanted lines (distinct doc, version, line), as bytes. Lines are picked where the documents lie, by a
+    table of SLOTS bits that marks the wanted ones' hashes; what else it lets through falls out at the join."""
 
     def slots(batches):
-        yield from _slots(_key_slots(*[b.column(i).to_numpy() for i in range(3)]) for b in batches)
+        return (_key_slot(*[b.column(i).to_numpy() for i in range(3)]) for b in batches)
 
-    marks = docs.sparkSession.sparkContext.broadcast(slot_levels(wanted.select(*KEY).mapInArrow(slots, "slot int, n long")) > 0)
+    marks = docs.sparkSession.sparkContext.broadcast(slot_table(wanted.select(*KEY), slots, "marks"))
 
     def pick(batches):
         own = marks.value
         for whole in batches:
             for b in slices(whole, 2):
-                texts = [t or b"" for t in b.column(2).cast(pa.binary()).to_pylist()]
-                n = np.array([t.count(b"\n") + 1 for t in texts])
+                texts = pc.fill_null(b.column(2).cast(pa.large_binary()), b"")
+                offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+                if not len(texts) or texts.buffers()[2] is None:
+                    data = np.empty(0, np.uint8)
+                else:
+                    data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+                offsets = offsets - offsets[0]
+                breaks = np.flatnonzero(data == 10)
+                upto = np.searchsorted(breaks, offsets)
+                n = np.diff(upto) + 1
                 row = np.repeat(np.arange(len(n)), n)
                 line = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
                 doc, version = b.column(0).to_numpy()[row], b.column(1).to_numpy()[row]
-                at = np.flatnonzero(own[_key_slots(doc, version, line)])
-                parts, last = [], (-1, [])
-                for r, i in zip(row[at].tolist(), line[at].tolist()):
-                    if r != last[0]:
-                        last = (r, texts[r].split(b"\n"))
-                    parts.append(last[1][i])
-                yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(version[at]), pa.array(line[at].astype(np.int32)), pa.array(parts, pa.binary()).cast(pa.string())], names=[*KEY, "text"])
-
-    return docs.mapInArrow(pick, "doc long, version long, line int, text string").join(wanted, KEY)
-
-
-def tokens_of(text: Column) -> Column:
-    low = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.array_distinct(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)))
-
-
-def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
-    """df written out, with leave to broadcast it if it has no more rows than limit."""
-    df = cut(df)
-    return F.broadcast(df) if df.count() <= limit else df
+                at = np.flatnonzero(_marked(own, _key_slot(doc, version, line)))
+                row, line = row[at], line[at]
+                k = upto[row] + line
+                if len(breaks):
+                    start = np.where(line > 0, breaks[np.clip(k - 1, 0, len(breaks) - 1)] + 1, offsets[row])
+                    stop = np.where(line < n[row] - 1, breaks[np.minimum(k, len(breaks) - 1)], offsets[row + 1])
+                else:
+                    start, stop = offsets[row], offsets[row + 1]
+                raw = data.tobytes()
+                parts = [raw[a:z] for a, z in zip(start.tolist(), stop.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(version[at]), pa.array(line.astype(np.int32)), pa.array(parts, pa.binary())], names=[*KEY, "text"])
+
+    return docs.mapInArrow(pick, "doc long, version long, line int, text binary").join(wanted, KEY).dropDuplicates(KEY)
+
+
+def verified(found: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
+    """Of the pairs found, those whose texts' sets of words have a Jaccard similarity of threshold or more."""
+    x_key = [f"x_{c}" for c in KEY]
+    wanted = found.select(*KEY).unionByName(found.select(*[F.col(x).alias(c) for x, c in zip(x_key, KEY, strict=True)])).distinct()
+    texts = cut(texts_of(docs, wanted))
+    both = found.join(texts.withColumnRenamed("text", "y_text"), KEY).join(texts.select(*[F.col(c).alias(x) for c, x in zip(KEY, x_key, strict=True)], F.col("text").alias("x_text")), x_key)
 
+    def run(batches):
+        last, x = None, frozenset()
+        for b in batches:
+            keep = []
+            for a, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                y = frozenset(a.lower().split())  # on bytes: A-Z and the six ASCII spaces only
+                if c != last:
+                    last, x = c, frozenset(c.lower().split())
+                n = len(y & x)
+                keep.append(n / (len(y) + len(x) - n) >= threshold)
+            yield pa.RecordBatch.from_arrays([*b.columns[2:]], names=b.schema.names[2:]).filter(pa.array(keep, pa.bool_()))
 
-SET = ["size", "parity", "parity_2"]
+    return both.select("y_text", "x_text", *KEY, *x_key).mapInArrow(run, "doc long, version long, line int, x_doc long, x_version long, x_line int")
 
 
-def postings(lines: DataFrame, hot: DataFrame, tokens: DataFrame | None = None) -> DataFrame:
-    """A row for each distinct set and token of its prefix (of some tokens only, if given), under the set's first line; once for
-    each pair of blocks where a token's list is long."""
-    first = [F.min(F.struct(*KEY)).alias("key"), *[F.first(c).alias(c) for c in SET]]
-    each = F.explode(F.arrays_zip("tokens", "places")).alias("p")
-    if tokens is None:
-        sets = lines.groupBy("h1", "h2").agg(*first, F.first("tokens").alias("tokens"), F.first("places").alias("places"))
-        posted = sets.select("key.*", *SET, each).select(*KEY, *SET, F.col("p.tokens").alias("token"), F.col("p.places").alias("place"))
-    else:
-        some = lines.select("h1", "h2", *KEY, *SET, each).select("h1", "h2", *KEY, *SET, F.col("p.tokens").alias("token"), F.col("p.places").alias("place"))
-        some = some.join(tokens, "token", "left_semi").groupBy("h1", "h2", "token").agg(*first, F.first("place").alias("place"))
-        posted = some.select("key.*", *SET, "token", "place")
-    parts = F.coalesce("parts", F.lit(1).cast("long"))
-    return (
-        posted.join(hot, "token", "left")
-        .withColumn("own", F.pmod(F.xxhash64(*KEY), parts))
-        .withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-        .withColumns({"bi": F.least("own", "with"), "bj": F.greatest("own", "with")})
-    )
-
-
-def near_matches(docs: DataFrame, lines: DataFrame, threshold: float) -> DataFrame:
-    """For each distinct set's first line (doc, version, line) that matches an earlier one: the earliest match verified
-    (x_doc, x_version, x_line). Copies of a set stand behind its first line.
+def near_matches(docs: DataFrame, lines: DataFrame, copies: DataFrame, threshold: float) -> DataFrame:
+    """For each line that is no copy and matches an earlier one: the earliest match verified (of_doc, of_line).
 
     Of a group of postings a line takes its three earliest candidates first; one that none of them verifies, and
     that has more, asks again, among its own tokens' postings, for the next 24, then 192, until no line has any left:
     nothing is cut off."""
-    hot = lines.select(F.explode("often").alias("token")).groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK)
-    hot = small(hot.select("token", F.ceil(F.col("n") / BLOCK).alias("parts")))
-    best, skip, take = None, 0, 3
-    rows = postings(lines, hot).withColumn("asks", F.lit(True))
+    sc = docs.sparkSession.sparkContext
+    total = lines.agg(F.coalesce(F.sum("n_posts"), F.lit(0))).first()[0]
+    limit = max(BLOCK, total // SPLIT)
+    n = max(_width(lines), total // (1 << 22))
+
+    def often(batches):  # tokens that may have long lists; their postings are counted exactly
+        for r in _rows(batches, ["token"]):
+            yield _slot(r["token"])
+
+    top = slot_table(lines.select("token"), often, "levels")
+    floor = int(level(np.array([limit + 1]))[0])
+    may = sc.broadcast(np.packbits(top >= floor))
+    hot = (np.empty(0, np.uint64), np.empty(0, np.int64))
+    if (top >= floor).any():
+
+        def count(batches):
+            for r in _rows(batches, ["token"]):
+                token, times = np.unique(r["token"][_marked(may.value, _slot(r["token"]))], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view("<i8")), pa.array(times.astype("<i8"))], names=["token", "n"])
+
+        many = lines.select("token").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > limit).toArrow()  # SPLIT rows at most
+        token, parts = np.asarray(many.column("token")).view("<u8"), -(-np.asarray(many.column("n")) // limit)
+        hot = (np.sort(token), parts[np.argsort(token)])
+    hot = sc.broadcast(hot)
+    best, skip, take, keep, asks = None, 0, 3, None, None
     while True:
-        found = cut(candidates(rows, threshold, skip, take).groupBy(*KEY, *[f"x_{c}" for c in KEY]).agg(F.max("more").alias("more")))
-        other = found.select(*[F.col(f"x_{c}").alias(c) for c in KEY])
-        texts = cut(texts_of(docs, found.select(*KEY).unionByName(other).distinct()))
-        y = texts.select(*KEY, tokens_of(F.col("text")).alias("a"))
-        x = texts.select(*[F.col(c).alias(f"x_{c}") for c in KEY], tokens_of(F.col("text")).alias("b"))
-        both = F.size(F.array_intersect("a", "b"))
-        same = found.join(y, KEY).join(x, [f"x_{c}" for c in KEY]).where(both / (F.size("a") + F.size("b") - both) >= threshold)
-        now = same.groupBy(*KEY).agg(F.min(F.struct(*[f"x_{c}" for c in KEY])).alias("x")).select(*KEY, "x.*")
+        pairs = candidates(lines, hot, threshold, skip, take, n, keep, asks).groupBy(*KEY, *[f"x_{c}" for c in KEY]).agg(F.max("more").alias("more"))
+        found = cut(pairs.join(copies.select(*KEY), KEY, "left_anti"))
+        now = verified(found, docs, threshold).groupBy(*KEY).agg(F.min(F.struct("x_doc", "x_version", "x_line")).alias("x")).select(*KEY, F.col("x.x_doc").alias("of_doc"), F.col("x.x_line").alias("of_line"))
         best = cut(now if best is None else best.unionByName(now))
-        asking = small(found.where("more").select(*KEY).distinct().join(best, KEY, "left_anti"))
+        asking = cut(found.where("more").select(*KEY).distinct().join(best, KEY, "left_anti"))
         if asking.isEmpty():
             return best
-        tokens = small(lines.join(asking, KEY, "left_semi").select(F.explode("tokens").alias("token")).distinct())
-        rows = postings(lines, hot, tokens).join(asking.withColumn("asks_", F.lit(True)), KEY, "left").withColumn("asks", F.coalesce("asks_", F.lit(False)))
+        asks = sc.broadcast(slot_table(asking, lambda batches: (_key_slot(*[b.column(i).to_numpy() for i in range(3)]) for b in batches), "marks"))
+
+        def theirs(batches, asks=asks):
+            for r in _rows(batches, ["doc", "version", "line", "posts", "token"]):
+                own = _marked(asks.value, _key_slot(r["doc"], r["version"], r["line"]))
+                yield _slot(r["token"][np.repeat(own, r["posts"])])
+
+        keep = sc.broadcast(slot_table(lines.select("doc", "version", "line", "posts", "token"), theirs, "marks"))
         skip, take = skip + take, take * 8
 
 
+def _copies_in_tasks(lines: DataFrame) -> DataFrame:
+    names = ["c_doc", "c_version", "c_line", "of_doc", "of_line"]
+
+    def run(batches):
+        for r in _rows(batches, names):
+            yield pa.RecordBatch.from_arrays([pa.array(r[n]) for n in names], names=[*KEY, "of_doc", "of_line"])
+
+    return lines.select(*names).mapInArrow(run, "doc long, version long, line int, of_doc long, of_line int")
+
+
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
     """df with its text rid of lines that match an earlier one, and n_lines, n_removed and removed: for each line that went its
-    number (from 0), and the document and number of an earlier line that it matches.
+    number (from 0), and the document and number of an earlier line that it matches (of several, which one can depend on how the
+    rows lie; what goes does not).
 
     Lines are the text's parts between line feeds; two match if the Jaccard similarity of their sets of words (A-Z
-    lowered) is at least threshold. Order is by document id (nulls first), then line number. The first of all
-    lines with one set stays unless it matches an earlier line of another set; later ones go. Lines without words
-    stay, and match nothing. A document whose lines all go stays as a row with what is left of its text, perhaps
-    none.
+    lowered) is at least threshold. Order is by document id (nulls first), then line number; every line that
+    matches an earlier one goes. Lines without words stay, and match nothing. A document whose lines all go stays as a row with what is
+    left of its text, perhaps none.
+
+    Lines alike letter by letter (A-Z lowered; compared by 128-bit BLAKE2) are one line from the start; all other pairs, those of equal
+    sets among them, are verified on their words.
 
     Null texts stay null; rows that repeat both id and text are one document and stay alike; rows that repeat an id with other
     texts are told apart by a hash of the text. Ids must fit in a long; -2^63 counts as null. Extra columns stay,
     those named like the new ones are replaced; an empty table gives an empty result."""
     made = ["n_lines", "n_removed", "removed"]
     df = df.drop(*made)
-    spark = df.sparkSession
+    sc = df.sparkSession.sparkContext
     doc = F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63)))
     repeated = df.select(doc.alias("doc")).groupBy("doc").count().where("count > 1")
     version = F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64(text)
     docs = df.select(doc.alias("doc"), version.alias("version"), F.col(text).alias("text"))
-    levels = spark.sparkContext.broadcast(token_levels(docs.select("text")))
-    lines = cut(lines_of(docs, levels, threshold))
-    best = near_matches(docs, lines, threshold)
-    firsts = lines.groupBy("h1", "h2").agg(F.min(F.struct(*KEY)).alias("key")).select("h1", "h2", *[F.col(f"key.{c}").alias(c) for c in KEY])
-    verdicts = firsts.join(best, KEY, "left").select("h1", "h2", *[F.col(c).alias(f"first_{c}") for c in KEY], "x_doc", "x_line")
-    is_first = (F.col("doc") == F.col("first_doc")) & (F.col("version") == F.col("first_version")) & (F.col("line") == F.col("first_line"))
-    gone = lines.select(*KEY, "h1", "h2").join(verdicts, ["h1", "h2"]).where(~is_first | F.col("x_line").isNotNull())
-    of = lambda a, b: F.when(is_first, F.col(a)).otherwise(F.col(b))
-    entry = F.struct("line", of("x_doc", "first_doc").alias("of_doc"), of("x_line", "first_line").alias("of_line"))
-    per_doc = gone.groupBy(F.col("doc").alias("g_doc_"), F.col("version").alias("g_version_")).agg(F.array_sort(F.collect_set(entry)).alias("removed"))
+    lines = cut(lines_of(docs, sc.broadcast(token_levels(docs.select("text"))), threshold))
+    copies = cut(copies_of(lines))
+    near = near_matches(docs, lines, copies, threshold)
+    gone = _copies_in_tasks(lines).unionByName(copies).unionByName(near)
+    per_line = gone.groupBy(F.col("doc").alias("g_doc_"), F.col("version").alias("g_version_"), "line").agg(F.min(F.struct("of_doc", "of_line")).alias("of"))
+    per_doc = per_line.groupBy("g_doc_", "g_version_").agg(F.array_sort(F.collect_list(F.struct("line", "of.*"))).alias("removed"))
     joined = df.join(per_doc, (doc == F.col("g_doc_")) & (version == F.col("g_version_")), "left").drop("g_doc_", "g_version_")
-    parts = F.split(text, "\n", -1)
     numbers = F.transform("removed", lambda e: e["line"])
-    left = F.array_join(F.filter(parts, lambda _, i: ~F.array_contains(numbers, i)), "\n")
+    parts = F.split(text, "\n", -1)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), numbers)
+    left = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
     none = F.array().cast("array<struct<line:int,of_doc:bigint,of_line:int>>")
+    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
     return joined.withColumns({
-        "n_lines": F.coalesce(F.size(parts), F.lit(0)).cast("long"),
+        "n_lines": F.coalesce(breaks + 1, F.lit(0)).cast("long"),
         "n_removed": F.coalesce(F.size("removed"), F.lit(0)).cast("long"),
         text: F.when(F.col("removed").isNull(), F.col(text)).otherwise(left),
         "removed": F.coalesce("removed", none),
