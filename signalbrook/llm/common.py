@@ -58,10 +58,11 @@ def slices(batch: pa.RecordBatch, column: int = 0, limit: int = 4 << 20) -> Iter
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread 64-bit values (a bijection)."""
     h = h ^ (h >> np.uint64(30))
-    h = h * np.uint64(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> np.uint64(27))
-    h = h * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(31)
+    return h
 
 
 _TAIL = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
@@ -72,52 +73,50 @@ LONG = 64
 class Words:
     """The words of a column of texts, as arrays.
 
-    data: the bytes of all texts; starts, ends: of each word in data; row: the text that a word is in;
-    n_rows: texts. Null texts count as empty."""
+    data: the bytes of all texts, a line feed between two; offsets: where each text begins, and one past the last one's end and line feed; starts, ends:
+    of each word in data; row: the text that a word is in; n_rows: texts. Null texts count as empty."""
 
     def __init__(self, texts: pa.Array):
         if isinstance(texts, pa.ChunkedArray):
             texts = texts.combine_chunks()
         texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
-        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-        raw = texts.buffers()[2]
-        data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.empty(0, np.uint8)
-        self.data, self.n_rows, self.offsets = data, len(texts), offsets - offsets[0]
-        solid = data != 0x20
-        solid &= data - np.uint8(9) > 4
-        near = np.zeros(len(data) + 1, bool)  # whether a word's byte stands just before; a text begins anew
-        near[1:] = solid
-        near[self.offsets] = False
-        self.starts = np.flatnonzero(solid & ~near[:-1])
-        near[:-1], near[-1] = solid, False  # just after
-        near[self.offsets] = False
-        self.ends = np.flatnonzero(solid & ~near[1:]) + 1
-        first = np.searchsorted(self.starts, self.offsets)
-        self.row = np.repeat(np.arange(self.n_rows), np.diff(first))
-
-    def hashes(self, lower: bool = True, step: int = 1 << 15) -> np.ndarray:
+        self.n_rows = len(texts)
+        size = np.asarray(pc.binary_length(texts), np.int64)
+        self.offsets = np.concatenate([[0], np.cumsum(size + 1)])
+        whole = pa.LargeListArray.from_arrays(pa.array([0, self.n_rows]), texts)
+        joined = pc.binary_join(whole, pa.scalar(b"\n", pa.large_binary())).buffers()[2] if self.n_rows else None
+        n = max(int(self.offsets[-1]) - 1, 0)
+        self.data = data = np.frombuffer(joined, np.uint8)[:n] if joined is not None else np.empty(0, np.uint8)
+        solid = np.zeros(n + 2, bool)
+        inner = solid[1:-1]
+        np.not_equal(data, 0x20, out=inner)
+        inner &= data - np.uint8(9) > 4
+        edges = np.flatnonzero(solid[1:] != solid[:-1])
+        self.starts, self.ends = edges[::2].copy(), edges[1::2].copy()
+        self.row = np.repeat(np.arange(self.n_rows), np.diff(np.searchsorted(self.starts, self.offsets)))
+
+    def hashes(self, lower: bool = True, step: int = 1 << 16) -> np.ndarray:
         """A 64-bit hash of each word (A-Z lowered if asked): its blocks of eight bytes, mixed in turn; XXH3 if it is long."""
         n = len(self.data)
-        padded = np.zeros(-(-n // 8) * 8 + 16, np.uint8)
+        padded = np.zeros(n + 16, np.uint8)
         padded[:n] = self.data
         if lower:
             padded += (padded - np.uint8(65) < 26) * np.uint8(32)
-        blocks = padded.view("<u8")
-
-        def load(at: np.ndarray) -> np.ndarray:
-            i, r = at >> 3, ((at & 7) << 3).astype(np.uint64)
-            return (blocks[i] >> r) | ((blocks[i + 1] << (np.uint64(63) - r)) << np.uint64(1))
-
+        eight = np.ndarray((n + 8,), "<u8", padded.data, strides=(1,))  # the eight bytes from each place on
         out = np.empty(len(self.starts), np.uint64)
         for a in range(0, len(out), step):
             start, size = self.starts[a : a + step], self.ends[a : a + step] - self.starts[a : a + step]
-            h = mix((load(start) & _TAIL[np.minimum(size, 8)]) + size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            h = eight[start]
+            h &= np.take(_TAIL, size, mode="clip")
+            h += size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            h = mix(h)
             more = np.flatnonzero((size > 8) & (size <= LONG))
             for k in range(8, LONG, 8):
                 if not len(more):
                     break
-                h[more] = mix((h[more] + np.uint64(0x632BE59BD9B4E019)) ^ (load(start[more] + k) & _TAIL[np.minimum(size[more] - k, 8)]))
-                more = more[size[more] > k + 8]
+                at, left = start[more] + k, size[more] - k
+                h[more] = mix((h[more] + np.uint64(0x632BE59BD9B4E019)) ^ (eight[at] & np.take(_TAIL, left, mode="clip")))
+                more = more[left > 8]
             for i in np.flatnonzero(size > LONG).tolist():
                 h[i] = xxhash.xxh3_64_intdigest(padded[start[i] : start[i] + size[i]].tobytes())
             out[a : a + step] = h

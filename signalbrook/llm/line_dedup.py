@@ -25,6 +25,10 @@ BLOCK, SPLIT = 8192, 1 << 16
 PARITY = np.array([96, 192, 384])
 #: Sizes and places are passed on up to here; at it, they rule nothing out.
 FULL = 65535
+#: A pair is a likely match if its parities differ in this part of the bits that they may.
+LIKELY = 2
+#: Candidates that a line takes for each likely one that it asks for.
+LEAVE = 8
 #: Distinct lines that a task remembers at once.
 HELD = 400_000
 KEY = ["doc", "version", "line"]
@@ -89,7 +93,7 @@ def slot_table(docs: DataFrame, slots, kind: str) -> np.ndarray:
         if own is not None:
             yield out()
 
-    parts = docs.mapInArrow(run, "chunk int, at binary, n binary").repartition(_width(docs), "chunk").sortWithinPartitions("chunk")
+    parts = docs.mapInArrow(run, "chunk int, at binary, n binary").repartition(min(_width(docs), 16), "chunk").sortWithinPartitions("chunk")
     out = np.zeros(SLOTS, np.uint8) if kind == "levels" else np.zeros(SLOTS // 8, np.uint8)
     step = len(out) // CHUNKS
     for row in parts.mapInArrow(total, "chunk int, part binary").collect():
@@ -131,21 +135,21 @@ def _sorted_tokens(h: np.ndarray, line: np.ndarray, n_lines: int, levels: np.nda
         key.sort()
         order = (key & np.uint64((1 << bits_i) - 1)).astype(np.int64)
         key >>= np.uint64(bits_i)
-        h, line = h[order], line[order]
+        whole, h, line = h, h[order], line[order]
         torn = np.flatnonzero((key[1:] == key[:-1]) & (h[1:] != h[:-1]))
         if len(torn):  # tokens of a line that share their first bits: order these lines by the whole token
             some = np.zeros(n_lines, bool)
             some[line[torn]] = True
             at = np.flatnonzero(some[line])
-            own, r = h[at], levels[_slot(h[at])]
-            h[at] = own[np.lexsort((own, r, line[at]))]
+            own = order[at]
+            order[at] = own[np.lexsort((h[at], rarity[own], line[at]))]
+            h[at] = whole[order[at]]
     else:
         order = np.lexsort((h, rarity, line))
         h, line = h[order], line[order]
     first = np.ones(len(h), bool)
     first[1:] = (h[1:] != h[:-1]) | (line[1:] != line[:-1])
-    line, h = line[first], h[first]
-    return line, h, levels[_slot(h)]
+    return line[first], h[first], rarity[order][first]
 
 
 def _words_of(size: np.ndarray) -> np.ndarray:
@@ -183,27 +187,27 @@ def line_sets(texts: pa.Array, levels: np.ndarray, threshold: float) -> dict[str
     breaks = np.flatnonzero(words.data == 10)
     after = np.zeros(len(h) + 1, bool)
     after[np.searchsorted(words.starts, breaks)] = True
-    after[np.searchsorted(words.starts, words.offsets[:-1])] = True
+    after[:1] = True
     at = np.flatnonzero(after[:-1])  # the first words of lines
     words_in = np.diff(np.append(at, len(h)))
     row, first = words.row[at], words.starts[at]
     before = np.searchsorted(breaks, first)  # breaks in all texts up to here
     number = before - np.searchsorted(breaks, words.offsets[:-1])[row]
-    start = np.maximum(np.where(before > 0, breaks[before - 1] + 1 if len(breaks) else 0, 0), words.offsets[row])
-    stop = np.minimum(np.append(breaks, len(words.data))[before], words.offsets[row + 1])
+    start, stop = np.append(0, breaks + 1)[before], np.append(breaks, len(words.data))[before]
     line, token, rarity = _sorted_tokens(h, np.repeat(np.arange(len(at)), words_in), len(at), levels)
     begin = _runs(line)
     size = np.diff(np.append(begin, len(line)))
     place = np.arange(len(line)) - np.repeat(begin, size)
     prefix = size - np.ceil(threshold * size - 1e-9).astype(np.int64) + 1
     posted = (place < np.repeat(prefix, size)) & (rarity > 1)
-    return {
+    often = posted & (rarity >= level(np.array([BLOCK]))[0])
+    return {"often": token[often],
         "row": row, "line": number, "start": start, "stop": stop, "size": size, "parity": parities(token, begin, size) if len(begin) else np.empty(0, np.uint64),
         "token": token[posted], "place": place[posted], "posts": np.add.reduceat(posted, begin, dtype=np.int64) if len(begin) else np.empty(0, np.int64), "data": words.data,
     }
 
 
-LINES = "doc binary, version binary, line binary, size binary, parity binary, posts binary, token binary, place binary, digest binary, c_doc binary, c_version binary, c_line binary, of_doc binary, of_line binary, n_posts long"
+LINES = "doc binary, version binary, line binary, size binary, parity binary, posts binary, token binary, place binary, digest binary, c_doc binary, c_version binary, c_line binary, of_doc binary, of_line binary, often binary, n_posts long"
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -243,14 +247,14 @@ def lines_of(docs: DataFrame, levels, threshold: float) -> DataFrame:
                 cols = [
                     doc[at].astype("<i8"), version[at].astype("<i8"), s["line"][at].astype("<i4"), np.minimum(s["size"][at], FULL).astype("<u2"), s["parity"][parity],
                     s["posts"][at].astype("<u4"), s["token"][posted], np.minimum(s["place"][posted], FULL).astype("<u2"), digest,
-                    doc[c].astype("<i8"), version[c].astype("<i8"), s["line"][c].astype("<i4"), of_doc, of_line.astype("<i4"),
+                    doc[c].astype("<i8"), version[c].astype("<i8"), s["line"][c].astype("<i4"), of_doc, of_line.astype("<i4"), s["often"],
                 ]
                 yield pa.RecordBatch.from_arrays([*[pa.array([x.tobytes()], pa.binary()) for x in cols], pa.array([int(posted.sum())])], names=[x.split()[0] for x in LINES.split(", ")])
 
     return docs.mapInArrow(run, LINES)
 
 
-_KINDS = {"doc": "<i8", "version": "<i8", "line": "<i4", "size": "<u2", "parity": "<u8", "posts": "<u4", "token": "<u8", "place": "<u2", "digest": "V16", "c_doc": "<i8", "c_version": "<i8", "c_line": "<i4", "of_doc": "<i8", "of_line": "<i4"}
+_KINDS = {"doc": "<i8", "version": "<i8", "line": "<i4", "size": "<u2", "parity": "<u8", "posts": "<u4", "token": "<u8", "place": "<u2", "digest": "V16", "c_doc": "<i8", "c_version": "<i8", "c_line": "<i4", "of_doc": "<i8", "of_line": "<i4", "often": "<u8"}
 
 
 def _rows(batches, names: list[str]) -> Iterator[dict[str, np.ndarray]]:
@@ -321,40 +325,68 @@ def _part(h: np.ndarray, n: int) -> np.ndarray:
     return ((mix(h) >> np.uint64(32)).astype(np.int64) * n) >> 32
 
 
-def search(t: dict[str, np.ndarray], begin: np.ndarray, threshold: float, skip: int, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Postings in groups (begin: the first of each posting's group), earlier lines first: for each posting that asks, the
-    earlier ones of its group that no filter rules out, from the skip-th to the take-th after it, in order.
-    Returns positions (later, earlier) and whether the later one may have more."""
-    size, place, words, one = t["size"], t["place"], t["words"], t["fold"]
-    found = np.zeros(len(size), np.int64)
-    active = np.flatnonzero(t["asks"] & (begin < np.arange(len(size))))
+def search(t: dict[str, np.ndarray], begin: np.ndarray, threshold: float, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Postings in groups (begin: the first of each posting's group), earlier lines first: for each posting that asks, the earlier ones of its
+    group that no filter rules out, in order, until take of them are likely matches by their parities, or LEAVE times as
+    many have been found. Returns positions (later, earlier) and whether the later one may have more."""
+    own = threshold / (1 + threshold) * t["size"]
+    over = t["size"] - t["place"] + 1e-6 - own  # what a posting can spare: the other's share of the overlap needed must fit in it
+    full = t["size"] >= FULL
+    over, own = np.where(full, np.inf, over).astype(np.float32), np.where(full, -np.inf, own).astype(np.float32)
+    found, likely = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
+    active = np.flatnonzero(t["asks"] & (begin < np.arange(len(begin))))
     later, earlier = [], []
-    k = 0
+    k, width = 0, 64
     while len(active):
-        x = begin[active] + k
-        sx, sy = size[x], size[active]
-        full = np.maximum(sx, sy) >= FULL
-        need = np.where(full, 0, np.ceil(threshold / (1 + threshold) * (sx + sy) - 1e-9))
-        differ = np.where(full, 1 << 40, sx + sy - 2 * need)  # tokens that only one of the two has turn one bit each
-        ok = full | ((sx >= threshold * sy - 1e-9) & (sy >= threshold * sx - 1e-9) & (np.minimum(sx - place[x], sy - place[active]) >= need))
-        ok &= np.bitwise_count(one[x] ^ one[active]) <= differ
-        ok &= t["within"][active] | (t["side"][x] != t["side"][active])
-        ok &= t["id"][x] != t["id"][active]
-        wide = np.flatnonzero(ok & (np.minimum(words[x], words[active]) > 1))
-        if len(wide):
-            ok[wide] = apart(t, x[wide], active[wide]) <= differ[wide]
-        hit = active[ok]
-        found[hit] += 1
-        report = found[hit] > skip
-        later.append(hit[report])
-        earlier.append(x[ok][report])
-        k += 1
-        active = active[(begin[active] + k < active) & (found[active] < skip + take)]
-    more = found >= skip + take
+        n = np.minimum(active - begin[active] - k, width)
+        ends = np.cumsum(n)
+        a = 0
+        while a < len(active):  # so many visits at once
+            z = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + (1 << 19), side="right")))
+            y, m = active[a:z], n[a:z]
+            row = np.repeat(np.arange(z - a), m)
+            x = np.arange(len(row)) + np.repeat(begin[y] + k - (np.cumsum(m) - m), m)
+            fits = np.flatnonzero((over[x] >= np.repeat(own[y], m)) & (np.repeat(over[y], m) >= own[x]))
+            x, row = x[fits], row[fits]
+            ok, good = plausible(t, x, y[row], threshold)
+            x, row, good = x[ok], row[ok], good[ok]
+            if len(x):
+                # how many the posting had found before each of these, in this run of visits and earlier
+                first = _runs(row)
+                place = np.arange(len(row)) - np.repeat(first, np.diff(np.append(first, len(row))))
+                sums = np.cumsum(good)
+                had = sums - good - np.repeat(sums[first] - good[first], np.diff(np.append(first, len(row))))
+                at = y[row]
+                open_ = (likely[at] + had < take) & (found[at] + place < LEAVE * (take))
+                np.add.at(found, at[open_], np.ones(int(open_.sum()), np.int64))
+                np.add.at(likely, at[open_], good[open_].astype(np.int64))
+                later.append(at[open_])
+                earlier.append(x[open_])
+            a = z
+        k += width
+        width *= 4
+        active = active[(begin[active] + k < active) & (likely[active] < take) & (found[active] < LEAVE * (take))]
+    more = (likely >= take) | (found >= LEAVE * (take))
     later, earlier = (np.concatenate(v) if v else np.empty(0, np.int64) for v in (later, earlier))
     return later, earlier, more[later]
 
 
+def plausible(t: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which pairs' parities allow a match, and which of them make one likely. Each token that only one of the two has turns one bit."""
+    size, words = t["size"], t["words"]
+    sums = size[x] + size[y]
+    differ = sums - 2 * np.ceil(threshold / (1 + threshold) * sums - 1e-9)
+    full = np.maximum(size[x], size[y]) >= FULL
+    far = np.bitwise_count(t["fold"][x] ^ t["fold"][y]).astype(np.int64)
+    ok = (far <= differ) & (t["within"][y] | (t["side"][x] != t["side"][y])) & (t["id"][x] != t["id"][y])
+    wide = np.flatnonzero(ok & (np.minimum(words[x], words[y]) > 1))
+    if len(wide):
+        far[wide] = apart(t, x[wide], y[wide])
+        ok[wide] = far[wide] <= differ[wide]
+    ok |= full & (t["id"][x] != t["id"][y]) & (t["within"][y] | (t["side"][x] != t["side"][y]))
+    return ok, LIKELY * far <= differ
+
+
 def apart(t: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """How many bits of two lines' parities differ, folded to the shorter of the two."""
     wx, wy, ax, ay, p = t["words"][x], t["words"][y], t["at"][x], t["at"][y], t["parity"]
@@ -408,7 +440,7 @@ def postings(row: dict[str, np.ndarray], hot: tuple[np.ndarray, np.ndarray], kee
     return out | {"place": place, "flags": flags, "rag": words[line], "parity": _take(row["parity"], words, line), "h": mix(group)}
 
 
-def candidates(lines: DataFrame, hot, threshold: float, skip: int, take: int, n: int, keep=None, asks=None) -> DataFrame:
+def candidates(lines: DataFrame, hot, threshold: float, take: int, n: int, keep=None, asks=None) -> DataFrame:
     """Pairs of a later line and an earlier one (x_) that share a token of their prefixes and that no filter rules out; more: whether the later may have others."""
     columns = ["doc", "version", "line", "size", "parity", "posts", "token", "place"]
 
@@ -454,7 +486,15 @@ def candidates(lines: DataFrame, hot, threshold: float, skip: int, take: int, n:
             new[1:] |= t[c][1:] != t[c][:-1]
         t["id"] = np.cumsum(new)  # a line stands twice in a group if two of its tokens share their bits
         t["within"], t["side"], t["asks"] = t["flags"] & WITHIN > 0, t["flags"] & SIDE, t["flags"] & ASKS > 0
-        y, x, more = search(t, np.maximum.accumulate(np.where(change, np.arange(len(order)), 0)), threshold, skip, take)
+        y, x, more = search(t, np.maximum.accumulate(np.where(change, np.arange(len(order)), 0)), threshold, take)
+        pair = [t[c][k] for k in (x, y) for c in KEY]
+        order = np.lexsort([more, *pair])  # a pair that several tokens have found goes on once
+        once = np.zeros(len(order), bool)
+        once[-1:] = True
+        for c in pair:
+            once[:-1] |= c[order][1:] != c[order][:-1]
+        order = order[once]
+        y, x, more = y[order], x[order], more[order]
         for a in range(0, len(y), 1 << 17):
             i, j = y[a : a + (1 << 17)], x[a : a + (1 << 17)]
             yield pa.RecordBatch.from_arrays([pa.array(t[c][k]) for k in (i, j) for c in KEY] + [pa.array(more[a : a + (1 << 17)])], names=[*KEY, *[f"x_{c}" for c in KEY], "more"])
@@ -530,36 +570,25 @@ def verified(found: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
 def near_matches(docs: DataFrame, lines: DataFrame, copies: DataFrame, threshold: float) -> DataFrame:
     """For each line that is no copy and matches an earlier one: the earliest match verified (of_doc, of_line).
 
-    Of a group of postings a line takes its three earliest candidates first; one that none of them verifies, and
-    that has more, asks again, among its own tokens' postings, for the next 24, then 192, until no line has any left:
-    nothing is cut off."""
+    Of a group of postings a line takes its earliest candidates first; one that none of them verifies, and that has more, asks again, among its
+    own tokens' postings, for eight times as many, until no line has any left: nothing is cut off."""
     sc = docs.sparkSession.sparkContext
     total = lines.agg(F.coalesce(F.sum("n_posts"), F.lit(0))).first()[0]
     limit = max(BLOCK, total // SPLIT)
     n = max(_width(lines), total // (1 << 22))
 
-    def often(batches):  # tokens that may have long lists; their postings are counted exactly
-        for r in _rows(batches, ["token"]):
-            yield _slot(r["token"])
-
-    top = slot_table(lines.select("token"), often, "levels")
-    floor = int(level(np.array([limit + 1]))[0])
-    may = sc.broadcast(np.packbits(top >= floor))
-    hot = (np.empty(0, np.uint64), np.empty(0, np.int64))
-    if (top >= floor).any():
-
-        def count(batches):
-            for r in _rows(batches, ["token"]):
-                token, times = np.unique(r["token"][_marked(may.value, _slot(r["token"]))], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view("<i8")), pa.array(times.astype("<i8"))], names=["token", "n"])
+    def often(batches):  # tokens that may have long lists: those frequent anywhere, as they stand in prefixes
+        for r in _rows(batches, ["often"]):
+            token, times = np.unique(r["often"], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(token.view("<i8")), pa.array(times.astype("<i8"))], names=["token", "n"])
 
-        many = lines.select("token").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > limit).toArrow()  # SPLIT rows at most
-        token, parts = np.asarray(many.column("token")).view("<u8"), -(-np.asarray(many.column("n")) // limit)
-        hot = (np.sort(token), parts[np.argsort(token)])
+    many = lines.select("often").mapInArrow(often, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > limit).toArrow()  # SPLIT rows at most
+    token, parts = np.asarray(many.column("token")).view("<u8"), -(-np.asarray(many.column("n")) // limit)
+    hot = (np.sort(token), parts[np.argsort(token)])
     hot = sc.broadcast(hot)
-    best, skip, take, keep, asks = None, 0, 3, None, None
+    best, take, keep, asks = None, 2, None, None
     while True:
-        pairs = candidates(lines, hot, threshold, skip, take, n, keep, asks).groupBy(*KEY, *[f"x_{c}" for c in KEY]).agg(F.max("more").alias("more"))
+        pairs = candidates(lines, hot, threshold, take, n, keep, asks).groupBy(*KEY, *[f"x_{c}" for c in KEY]).agg(F.max("more").alias("more"))
         found = cut(pairs.join(copies.select(*KEY), KEY, "left_anti"))
         now = verified(found, docs, threshold).groupBy(*KEY).agg(F.min(F.struct("x_doc", "x_version", "x_line")).alias("x")).select(*KEY, F.col("x.x_doc").alias("of_doc"), F.col("x.x_line").alias("of_line"))
         best = cut(now if best is None else best.unionByName(now))
@@ -574,7 +603,7 @@ def near_matches(docs: DataFrame, lines: DataFrame, copies: DataFrame, threshold
                 yield _slot(r["token"][np.repeat(own, r["posts"])])
 
         keep = sc.broadcast(slot_table(lines.select("doc", "version", "line", "posts", "token"), theirs, "marks"))
-        skip, take = skip + take, take * 8
+        take *= 8
 
 
 def _copies_in_tasks(lines: DataFrame) -> DataFrame:
@@ -614,8 +643,11 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thres
     copies = cut(copies_of(lines))
     near = near_matches(docs, lines, copies, threshold)
     gone = _copies_in_tasks(lines).unionByName(copies).unionByName(near)
-    per_line = gone.groupBy(F.col("doc").alias("g_doc_"), F.col("version").alias("g_version_"), "line").agg(F.min(F.struct("of_doc", "of_line")).alias("of"))
-    per_doc = per_line.groupBy("g_doc_", "g_version_").agg(F.array_sort(F.collect_list(F.struct("line", "of.*"))).alias("removed"))
+    entries = F.array_sort(F.collect_list(F.struct("line", "of_doc", "of_line")))
+    per_doc = gone.groupBy(F.col("doc").alias("g_doc_"), F.col("version").alias("g_version_")).agg(entries.alias("all_"))
+    # a line of a document that stands in several rows can be told more than once
+    removed = F.filter("all_", lambda e, i: (i == 0) | (F.get("all_", i - 1)["line"] != e["line"]))
+    per_doc = per_doc.select("g_doc_", "g_version_", removed.alias("removed")).hint("shuffle_hash")
     joined = df.join(per_doc, (doc == F.col("g_doc_")) & (version == F.col("g_version_")), "left").drop("g_doc_", "g_version_")
     numbers = F.transform("removed", lambda e: e["line"])
     parts = F.split(text, "\n", -1)
