@@ -1,13 +1,17 @@
 """Hashed maximum-entropy language model with a class-factored softmax.
 
-P(word | before) = P(class | before) * P(word | class). The class is a log-linear model over hashed features of the words
-before: the last one, the last two together, and the one before the last alone (a skip). Within a shared class, the unknown
-word has the share of one count among the words' counts plus one; the known words are the leaves of a binary tree, and each
-turn in it is log-linear over the same features, from where the counts alone would put it."""
+A word's code is three digits of its hash, 32 values each: its class, the class within the class, and so on. P(word | before) is the product of the
+digits' probabilities, each a softmax over 32 given the digits before it, and of the word's share among the words of its code by their counts
+(the unknown word has the share of one count). Each softmax is log-linear: the log of what counts alone give, and for each of three
+contexts (the last word, the last two together, the one before the last alone: a skip) a weight times log(1 + how often the digit
+has followed that context). Contexts are hashed to rows of a table of counts; the weights go by how often the row was met.
+
+Training sums whole numbers and gradients over all texts: how the texts are split changes nothing but the last digits.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -18,257 +22,180 @@ from pyspark.sql import types as T
 
 from .common import Words, cut, mix, slices
 
-#: Classes: the most frequent words have one each, the others share the rest by their last two bytes.
-OWN, SHARED = 32, 32
-CLASSES = OWN + SHARED
-#: Rows of the weight table, for all features together.
-BUCKETS = 1 << 14
-#: Parts in which the class weights are passed on.
-CHUNKS = 16
-MOVES = "task int, chunk int, tokens long, delta binary, met binary"
+#: Digits of a word's code, and values of a digit.
+DIGITS, BASE = 3, 32
+CODES = BASE**DIGITS
+CONTEXTS = 3
+#: Rows of each digit's and context's table: a row for so many bytes of text, within these bounds.
+BYTES_A_ROW, FEWEST, MOST = 64, 1 << 10, 1 << 18
+#: Cells of the tables that are summed at once.
+CHUNK = 1 << 18
+#: Weights of a context and digit: a row met 2^b - 1 times or more, up to twice that, has the b-th.
+BINS = 10
+PARTS = CONTEXTS * BINS
 #: Words whose counts every task knows; the counts of all others are joined.
 HEAD = 1 << 16
 END = np.uint64(0x6A09E667F3BCC908)
 BEFORE = np.uint64(0xBB67AE8584CAA73B)
 SALTS = np.array([0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1, 0x510E527FADE682D1], np.uint64)
-STEP = 8192
-#: Levels of a class's tree and weights of its turns (powers of 2) at most; both follow the distinct words up to there.
-DEPTH, TURNS = 20, 22
-#: Weights of turns that a task passes on in a row.
-PIECE = 1 << 16
-#: The rate of the turns over that of the classes.
-TURN_RATE = 0.5
+#: Tokens at once.
+STEP = 1 << 13
+#: Where the weights start, and how firmly they are held there.
+START, HELD = 0.3, 1.0
+
+
+def quantised(n: np.ndarray) -> np.ndarray:
+    """A count as a byte: exact to 16, then sixteen steps to a doubling."""
+    big = 16 + np.rint(16 * np.log2(np.maximum(n, 16) / 16))
+    return np.minimum(np.where(n <= 16, n, big), 255).astype(np.uint8)
+
+
+#: The counts that the bytes stand for; the logs of one more, also for one count less (a token's own left out).
+COUNT = np.where(np.arange(256) <= 16, np.arange(256), 16 * 2.0 ** ((np.arange(256) - 16) / 16))
+LOG, LOG_REST = np.log1p(COUNT).astype(np.float32), np.log1p(np.maximum(COUNT - 1, 0)).astype(np.float32)
+BIN = np.minimum(np.log2(COUNT + 1), BINS - 1).astype(np.int64)
+BIN_REST = np.minimum(np.log2(np.maximum(COUNT - 1, 0) + 1), BINS - 1).astype(np.int64)
 
 
 @dataclass
 class Tokens:
-    """The tokens of a slice of texts, each text's end among them: row, hash, and the class shared with others."""
+    """The tokens of a slice of texts, each text's end among them: row and hash."""
 
     row: np.ndarray
     h: np.ndarray
-    shared: np.ndarray
     n_rows: int
 
     @classmethod
     def of(cls, texts: pa.Array) -> Tokens:
         words = Words(texts)
         n, own = words.n_rows, len(words.starts)
-        tail = np.where(words.ends - words.starts > 1, words.data[np.maximum(words.ends - 2, 0)] if own else 0, 0).astype(np.uint64)
-        last = (words.data[words.ends - 1] if own else np.empty(0, np.uint8)).astype(np.uint64)
-        shared = (mix(last * np.uint64(256) + tail) % np.uint64(SHARED)).astype(np.int8)
         place = np.arange(own) + words.row  # each earlier text has put its end in between
-        total = own + n
-        row, h, s = np.empty(total, np.int64), np.full(total, END), np.zeros(total, np.int8)
-        h[place], s[place], row[place] = words.hashes(), shared, words.row
+        row, h = np.empty(own + n, np.int64), np.full(own + n, END)
+        h[place], row[place] = words.hashes(), words.row
         ends = np.cumsum(np.bincount(words.row, minlength=n)) + np.arange(n)
         row[ends] = np.arange(n)
-        return cls(row, h, s, n)
+        return cls(row, h, n)
 
-    def contexts(self) -> np.ndarray:
-        """The hashes of each token's three features."""
+    def contexts(self) -> list[np.ndarray]:
+        """The hashes of each token's contexts."""
         one, two = np.full(len(self.h), BEFORE), np.full(len(self.h), BEFORE)
         same = self.row[1:] == self.row[:-1]
         one[1:][same] = self.h[:-1][same]
         same = self.row[2:] == self.row[:-2]
         two[2:][same] = self.h[:-2][same]
-        f = np.stack([one ^ SALTS[0], two ^ SALTS[1], mix(one ^ SALTS[2]) + two], axis=1)
-        return mix(f)
-
-    def features(self) -> np.ndarray:
-        """The three buckets of each token."""
-        return buckets(self.contexts())
+        return [mix(one ^ SALTS[0]), mix(mix(one ^ SALTS[2]) + two), mix(two ^ SALTS[1])]
 
+    def codes(self) -> np.ndarray:
+        return ((self.h >> np.uint64(8)) & np.uint64(CODES - 1)).astype(np.int64)
 
-def buckets(contexts: np.ndarray) -> np.ndarray:
-    return (contexts % np.uint64(BUCKETS)).astype(np.int32)
 
+def prefixes(codes: np.ndarray, digit: int) -> tuple[np.ndarray, np.ndarray]:
+    """The digits before one, as a number, and the digit itself."""
+    left = BASE ** (DIGITS - 1 - digit)
+    return codes // (left * BASE), codes // left % BASE
 
-@dataclass
-class Tree:
-    """Of each shared class, a binary tree over its known words by the leading bits of their hashes. depth: of each class's tree; leaves: class
-    by class, each leaf's words' counts plus one, summed; words that share a leaf go by their counts. weights: of the turns, by
-    hashed feature and node."""
-
-    depth: np.ndarray
-    leaves: np.ndarray
-    weights: np.ndarray
 
-    def __getstate__(self):
-        return {"depth": self.depth, "leaves": self.leaves, "weights": self.weights}
-
-    @property
-    def even(self) -> np.ndarray:
-        """The log odds of each node's right turn by the counts; nan where one side has no word, so that there is no turn."""
-        if "_even" not in self.__dict__:
-            self._even = np.full(self.leaves.shape, np.nan, np.float32)
-            for base, depth in zip(self.bases.tolist(), self.depth.tolist(), strict=True):
-                sums = self.leaves[base : base + (1 << depth)].astype(np.float64)
-                for d in reversed(range(depth)):
-                    left, right = sums[::2], sums[1::2]
-                    both = (left > 0) & (right > 0)
-                    self._even[base + (1 << d) : base + (2 << d)][both] = np.log(right[both] / left[both])
-                    sums = left + right
-        return self._even
-
-    @property
-    def bases(self) -> np.ndarray:
-        """Where each class's leaves begin."""
-        return np.cumsum(1 << self.depth) - (1 << self.depth)
-
-    def codes(self, shared: np.ndarray, h: np.ndarray) -> np.ndarray:
-        return (h >> (64 - self.depth[shared]).astype(np.uint64)).astype(np.int64)
-
-    def turns(self, contexts: np.ndarray, shared: np.ndarray, h: np.ndarray):
-        """For each level: the tokens with a turn there, whether it is to the right, its log odds, and its weights' places."""
-        code, f = self.codes(shared, h), (contexts >> np.uint64(32)).astype(np.uint32)
-        shift, depth, base = np.uint32(33 - len(self.weights).bit_length()), self.depth[shared], self.bases[shared]
-        for d in range(int(depth.max(initial=0))):
-            left = depth - d
-            node = base + (1 << d) + (code >> np.maximum(left, 0))
-            z = np.where(left > 0, self.even[np.minimum(node, len(self.leaves) - 1)], np.float32(np.nan))
-            rows = np.flatnonzero(~np.isnan(z))
-            if len(rows):
-                key = node[rows].astype(np.uint32) * np.uint32(0x9E3779B1)
-                at = f[rows] ^ (key ^ (key >> np.uint32(15)))[:, None]
-                at = ((at * np.uint32(0x85EBCA6B)) >> shift).astype(np.int64)
-                yield rows, (code[rows] >> (left[rows] - 1)) & 1 == 1, z[rows] + self.weights[at].sum(1), at
-
-    def scores(self, contexts: np.ndarray, shared: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """By how much log10 of each token's probability among its class's known words differs from what counts alone give."""
-        out = np.zeros(len(h))
-        for a in range(0, len(h), STEP):
-            b = slice(a, a + STEP)
-            for rows, right, z, _ in self.turns(contexts[b], shared[b], h[b]):
-                out[a + rows] -= np.logaddexp(0, np.where(right, -z, z))
-        whole = np.maximum(np.add.reduceat(self.leaves, self.bases, dtype=np.float64), 1)[shared]
-        leaf = np.maximum(self.leaves[self.bases[shared] + self.codes(shared, h)], 1)
-        return out / np.log(10) + np.log10(whole) - np.log10(leaf)
-
-    def learn(self, contexts: np.ndarray, shared: np.ndarray, h: np.ndarray, seen: np.ndarray, sums: np.ndarray, rate: float) -> None:
-        """A gradient step for each level; sums: zeros, and left so."""
-        for _, right, z, at in self.turns(contexts, shared, h):
-            g = 1 / (1 + np.exp(-z)) - right
-            places = at.ravel()
-            np.add.at(sums, places, np.repeat(g.astype(np.float32), 3))
-            moved = sums[places]
-            seen[places] = seen[places] + moved * moved  # a place that repeats gets the same again
-            self.weights[places] = self.weights[places] - np.float32(rate) * moved / np.sqrt(seen[places])
-            sums[places] = 0
+def table_rows(context: np.ndarray, prefix: np.ndarray, rows: int) -> np.ndarray:
+    """The row of a digit's table for a context and the digits before."""
+    return (mix(context + prefix.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(rows - 1)).astype(np.int64)
 
 
 @dataclass
 class Model:
-    """own: the hashes with a class of their own, in order of class; head, head_counts: sorted hashes of frequent words
-    and their counts; bias and weights of the class model; n, v: tokens and distinct tokens of training; of each
-    shared class, log10 of its tokens plus distinct tokens plus one; tree: the words within the shared classes."""
+    """n, v: tokens and distinct tokens of training; head, head_counts: sorted hashes of frequent words and their counts; cells: for each digit,
+    context and row, how often each value followed (quantised); met: how often the row was met; shares: of each code, its words' counts plus one,
+    summed, plus one; weights: of each digit, context and bin."""
 
-    own: np.ndarray
-    head: np.ndarray
-    head_counts: np.ndarray
     n: int
     v: int
-    within: np.ndarray
-    bias: np.ndarray
+    head: np.ndarray
+    head_counts: np.ndarray
+    shares: np.ndarray
+    cells: np.ndarray
+    met: np.ndarray
     weights: np.ndarray
-    tree: Tree
-
-    def __post_init__(self):
-        order = np.argsort(self.own)
-        self._own, self._own_class = self.own[order], order
-
-    def classes(self, t: Tokens) -> np.ndarray:
-        out = OWN + t.shared.astype(np.int64)
-        if len(self._own):
-            at = np.minimum(np.searchsorted(self._own, t.h), len(self._own) - 1)
-            hit = self._own[at] == t.h
-            out[hit] = self._own_class[at[hit]]
-        return out
-
-    def logits(self, f: np.ndarray) -> np.ndarray:
-        z = np.take(self.weights, f[:, 0], axis=0, mode="clip")
-        more = np.empty_like(z)
-        for k in (1, 2):
-            z += np.take(self.weights, f[:, k], axis=0, out=more, mode="clip")
-        z += self.bias
-        z -= z.max(1, keepdims=True)
-        return z
-
-    def class_scores(self, t: Tokens, classes: np.ndarray) -> np.ndarray:
-        """Natural log of each token's class probability."""
-        f, out = t.features(), np.empty(len(t.h))
-        for a in range(0, len(out), STEP):
-            z = self.logits(f[a : a + STEP])
-            out[a : a + STEP] = z[np.arange(len(z)), classes[a : a + STEP]] - np.log(np.exp(z).sum(1))
-        return out
 
-    def word_scores(self, t: Tokens, classes: np.ndarray) -> np.ndarray:
-        """What the words before a token add to log10 of its probability within a shared class, if it is a known word."""
-        out, at = np.zeros(len(t.h)), np.flatnonzero(classes >= OWN)
-        out[at] = self.tree.scores(t.contexts()[at], classes[at] - OWN, t.h[at])
+    def alone(self, digit: int) -> np.ndarray:
+        """The log odds of each value of a digit after the digits before it, by counts alone."""
+        sums = self.shares.reshape(BASE**digit, BASE, -1).sum(2)
+        return np.log(sums / sums.sum(1, keepdims=True)).astype(np.float32)
+
+    def scores(self, t: Tokens) -> np.ndarray:
+        """Natural log of each token's code."""
+        contexts, codes = t.contexts(), t.codes()
+        out, rows = np.zeros(len(codes)), self.cells.shape[2]
+        for digit in range(DIGITS):
+            alone = self.alone(digit)
+            weighted = (self.weights[digit][:, :, None] * LOG).astype(np.float32).reshape(CONTEXTS, -1)  # by bin and byte
+            before, value = prefixes(codes, digit)
+            for a in range(0, len(codes), STEP):
+                b = slice(a, a + STEP)
+                z = np.take(alone, before[b], axis=0)
+                for k in range(CONTEXTS):
+                    row = table_rows(contexts[k][b], before[b], rows)
+                    at = np.take(self.cells[digit, k], row, axis=0).astype(np.int16)
+                    at += (BIN[np.take(self.met[digit, k], row)] << 8).astype(np.int16)[:, None]
+                    z += np.take(weighted[k], at)
+                z -= z.max(1, keepdims=True)
+                out[b] += z[np.arange(len(z)), value[b]]
+                out[b] -= np.log(np.exp(z, out=z).sum(1))
         return out
 
-    def learn(self, t: Tokens, seen: np.ndarray, turned: np.ndarray, sums_: np.ndarray, rate: float, turn_rate: float) -> None:
-        """Gradient steps over the tokens in turn, a step for each STEP of them, each row at a rate of its own."""
-        contexts, classes = t.contexts(), self.classes(t)
-        f = buckets(contexts)
-        for a in range(0, len(classes), STEP):
-            part, y = f[a : a + STEP], classes[a : a + STEP]
-            g = self.logits(part)
-            np.exp(g, out=g)
-            g *= 1 / g.sum(1, keepdims=True)
-            g[np.arange(len(y)), y] -= 1
-            self.bias -= np.float32(rate * 0.02) * g.mean(0)
-            rows, sums = row_sums(part.T.ravel(), g)
-            seen[rows] += np.einsum("ij,ij->i", sums, sums)
-            sums *= (np.float32(rate) / np.sqrt(seen[rows]))[:, None]
-            self.weights[rows] -= sums
-            within = a + np.flatnonzero(y >= OWN)
-            self.tree.learn(contexts[within], classes[within] - OWN, t.h[within], turned, sums_, turn_rate)
-
-
-def row_sums(keys: np.ndarray, g: np.ndarray, often: int = 16) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct keys, and for each the sum of g's rows (taken in turn, again and again) that bear it: keys that stand often are
-    summed one by one, the others an occurrence at a time."""
-    order = np.argsort(keys.astype(np.uint16), kind="stable")
-    at = keys[order]
-    order %= len(g)
-    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
-    n = np.diff(np.append(first, len(at)))
-    sums = np.take(g, order[first], axis=0, mode="clip")
-    for r in range(1, often):
-        own = np.flatnonzero((n > r) & (n <= often))
-        if not len(own):
-            break
-        sums[own] += np.take(g, order[first[own] + r], axis=0, mode="clip")
-    for i in np.flatnonzero(n > often):
-        sums[i] = np.take(g, order[first[i] : first[i] + n[i]], axis=0, mode="clip").sum(0)
-    return at[first], sums
+    def slopes(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
+        """The gradient and the curvature of the log-likelihood in the weights, for each digit. A token's own count is left out, so that what
+        was seen once does not vouch for itself."""
+        contexts, codes = t.contexts(), t.codes()
+        rows = self.cells.shape[2]
+        first, second = np.zeros((DIGITS, PARTS)), np.zeros((DIGITS, PARTS, PARTS))
+        for digit in range(DIGITS):
+            alone = self.alone(digit)
+            before, value = prefixes(codes, digit)
+            for a in range(0, len(codes), STEP):
+                b = slice(a, a + STEP)
+                z, y = np.take(alone, before[b], axis=0), value[b]
+                each, own, part = np.arange(len(z)), [], []
+                for k in range(CONTEXTS):
+                    row = table_rows(contexts[k][b], before[b], rows)
+                    at = np.take(self.cells[digit, k], row, axis=0)
+                    x = np.take(LOG, at)
+                    x[each, y] = LOG_REST[at[each, y]]
+                    bins = BIN_REST[np.take(self.met[digit, k], row)]
+                    own.append(x)
+                    part.append(k * BINS + bins)
+                    z += x * self.weights[digit, k][bins].astype(np.float32)[:, None]
+                z -= z.max(1, keepdims=True)
+                p = np.exp(z, out=z)
+                p /= p.sum(1, keepdims=True)
+                mean = [np.einsum("ij,ij->i", p, x) for x in own]
+                for k in range(CONTEXTS):
+                    first[digit] += np.bincount(part[k], own[k][each, y] - mean[k], PARTS)
+                    spread = p * own[k]
+                    for j in range(k, CONTEXTS):
+                        both = np.einsum("ij,ij->i", spread, own[j]) - mean[k] * mean[j]
+                        sums = np.bincount(part[k] * PARTS + part[j], both, PARTS * PARTS).reshape(PARTS, PARTS)
+                        second[digit] += sums if j == k else sums + sums.T
+        return first, second
 
 
 def counts(texts: DataFrame) -> DataFrame:
-    """texts(text) to token counts: h (hash), shared (its shared class), n. Tasks sum what they have seen before they pass
-    it on; what is passed on grows with the texts."""
+    """texts(text) to token counts: h (hash), n. Tasks sum what they have seen before they pass it on; what is passed on grows with the texts."""
 
     def run(batches):
         held: list[tuple] = []
 
         def merged():
-            h, s, n = (np.concatenate([x[i] for x in held]) for i in range(3))
+            h, n = (np.concatenate([x[i] for x in held]) for i in range(2))
             known, at = np.unique(h, return_inverse=True)
-            first = np.empty(len(known), np.int64)
-            first[at[::-1]] = np.arange(len(h))[::-1]
-            return known, s[first], np.bincount(at, n, len(known)).astype(np.int64)
+            return known, np.bincount(at, n, len(known)).astype(np.int64)
 
-        def out(h, s, n):
+        def out(h, n):
             for a in range(0, len(h), 1 << 17):
                 b = slice(a, a + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(h[b].view(np.int64)), pa.array(s[b].astype(np.int32)), pa.array(n[b])], names=["h", "shared", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[b].view(np.int64)), pa.array(n[b])], names=["h", "n"])
 
         for batch in batches:
             for part in slices(batch):
-                t = Tokens.of(part.column(0))
-                h, first, n = np.unique(t.h, return_index=True, return_counts=True)
-                held.append((h, t.shared[first], n))
+                held.append(np.unique(Tokens.of(part.column(0)).h, return_counts=True))
                 if sum(len(x[0]) for x in held) > 1_500_000:
                     held[:] = [merged()]
                     if len(held[0][0]) > 1_000_000:
@@ -276,107 +203,150 @@ def counts(texts: DataFrame) -> DataFrame:
         if held:
             yield from out(*merged())
 
-    return texts.mapInArrow(run, "h long, shared int, n long").groupBy("h").agg(F.first("shared").alias("shared"), F.sum("n").alias("n"))
-
-
-def _averaged(rows: DataFrame, partitions: int) -> list:
-    """rows(task, chunk, tokens, delta binary, met binary) to (chunk, mean delta weighted by tokens, mean delta over the tasks that moved
-    it): summed in a tree, so that no group holds more than 32 parts. met: how many tasks moved each; null before the first sum,
-    when the moves of turns (in chunks after CHUNKS) have half the precision."""
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.met.iloc[0] is None
-        kind = np.float16 if first and pdf.chunk.iloc[0] > CHUNKS else np.float32
-        total = np.zeros(len(pdf.delta.iloc[0]) // np.dtype(kind).itemsize, np.float32)
-        met = np.zeros(len(total), np.float32)
-        for x, m in zip(pdf.delta, pdf.met, strict=True):
-            x = np.frombuffer(x, kind)
-            total += x
-            met += x != 0 if m is None else np.frombuffer(m, np.float32)
-        return pd.DataFrame({"task": [int(pdf.task.iloc[0])], "chunk": [int(pdf.chunk.iloc[0])], "tokens": [int(pdf.tokens.sum())], "delta": [total.tobytes()], "met": [met.tobytes()]})
-
-    left = partitions
-    while True:
-        rows = rows.withColumn("task", F.floor(F.col("task") / 32).cast("int")).groupBy("chunk", "task").applyInPandas(run, MOVES)
-        left = -(-left // 32)
-        if left <= 1:
-            found = ((r.chunk, r.tokens, np.frombuffer(r.delta, np.float32), np.frombuffer(r.met, np.float32)) for r in rows.toLocalIterator())
-            return [(i, x / max(1, tokens), x / np.maximum(1, met)) for i, tokens, x, met in found]
-
-
-def grown(known: DataFrame, words: list[int]) -> Tree:
-    """A tree for known(h, shared, n) with so many words in each shared class, without weights yet."""
-    depth = np.array([min(DEPTH, 1 + max(n, 1).bit_length()) for n in words])
-    size = 1 << min(TURNS, max(PIECE.bit_length() - 1, (4 * sum(words)).bit_length()))
-    leaf = F.expr(f"shiftrightunsigned(h, 64 - array({', '.join(map(str, depth.tolist()))})[shared])")
-    sums = known.groupBy("shared", leaf.alias("leaf")).agg(F.sum(F.col("n") + 1).cast("float").alias("s")).toArrow()
-    tree = Tree(depth, np.zeros(int((1 << depth).sum()), np.float32), np.zeros(size, np.float32))
-    tree.leaves[tree.bases[np.asarray(sums.column("shared"))] + np.asarray(sums.column("leaf"))] = np.asarray(sums.column("s"))
-    return tree
-
-
-def train(texts: DataFrame, known: DataFrame, rounds: int = 2, rate: float = 0.4) -> Model:
-    """Fit on texts(text) with their token counts known(h, shared, n).
-
-    In each round every task starts from the same weights, takes gradient steps over all its texts and passes on by how
-    much its weights moved; the moves are averaged by tokens, those of the trees over the tasks that made them. The driver gets the
-    averaged weights, the HEAD most frequent words, and the sums of each class and of the leaves of its tree."""
-    spark = texts.sparkSession
+    return texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+
+
+def grouped(texts: DataFrame) -> DataFrame:
+    """texts in no more partitions than the cluster can have at work twice over: each passes on tables of a fixed size."""
+    most = 2 * texts.sparkSession.sparkContext.defaultParallelism
+    return texts.coalesce(most) if texts.rdd.getNumPartitions() > most else texts
+
+
+def tables(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """cells and met of a model: tasks count, chunks of the tables are summed as streams, and the quantised sums reach the driver (a byte a
+    cell, DIGITS * CONTEXTS * MOST * BASE cells at most)."""
+    size = DIGITS * CONTEXTS * rows * BASE
+    chunk = min(CHUNK, rows * BASE)
+
+    def run(batches):
+        own, held = np.zeros(size, np.uint16), []
+
+        def add():
+            at = np.sort(np.concatenate(held))
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            n = np.diff(np.append(first, len(at)))
+            at = at[first]
+            own[at] = np.minimum(own[at] + n, 65535).astype(np.uint16)
+            held.clear()
+
+        def out():
+            for i in range(0, size, chunk):
+                part = own[i : i + chunk]
+                if part.any():
+                    big = np.flatnonzero(part > 254)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([i // chunk], pa.int32()), pa.array([np.minimum(part, 255).astype(np.uint8).tobytes()]), pa.array([big.astype("<u4").tobytes()]), pa.array([part[big].astype("<u2").tobytes()])],
+                        names=["chunk", "n", "at", "big"],
+                    )
+
+        any_ = 0
+        for batch in batches:
+            for part in slices(batch):
+                t = Tokens.of(part.column(0))
+                contexts, codes = t.contexts(), t.codes()
+                for digit in range(DIGITS):
+                    before, value = prefixes(codes, digit)
+                    for k in range(CONTEXTS):
+                        held.append((((digit * CONTEXTS + k) * rows + table_rows(contexts[k], before, rows)) * BASE + value).astype(np.uint32))
+                if sum(map(len, held)) > 1 << 22:
+                    add()
+                any_ += len(codes)
+                if any_ > 1 << 27:  # before a frequent cell can be full
+                    if held:
+                        add()
+                    yield from out()
+                    own[:], any_ = 0, 0
+        if held:
+            add()
+        yield from out()
+
+    def total(batches):
+        at, sums = -1, None
+        done = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([quantised(sums).tobytes()]), pa.array([quantised(sums.reshape(-1, BASE).sum(1)).tobytes()])], names=["chunk", "cells", "met"])
+        for b in batches:
+            for i, n, places, big in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+                if i != at:
+                    if sums is not None:
+                        yield done()
+                    at, sums = i, np.zeros(chunk, np.int64)
+                n = np.frombuffer(n, np.uint8).astype(np.int64)
+                n[np.frombuffer(places, "<u4")] = np.frombuffer(big, "<u2")
+                sums += n
+        if sums is not None:
+            yield done()
+
+    n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = grouped(texts).mapInArrow(run, "chunk int, n binary, at binary, big binary").repartition(n, "chunk").sortWithinPartitions("chunk")
+    cells, met = np.zeros(size, np.uint8), np.zeros(size // BASE, np.uint8)
+    for r in parts.mapInArrow(total, "chunk int, cells binary, met binary").toLocalIterator():
+        cells[r.chunk * chunk : (r.chunk + 1) * chunk] = np.frombuffer(r.cells, np.uint8)
+        met[r.chunk * chunk // BASE : (r.chunk + 1) * chunk // BASE] = np.frombuffer(r.met, np.uint8)
+    return cells.reshape(DIGITS, CONTEXTS, rows, BASE), met.reshape(DIGITS, CONTEXTS, rows)
+
+
+def slopes(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Model.slopes summed over all texts: in tasks, then in at most 16 parts, whose sums the driver adds."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+    schema = "part int, first binary, second binary"
+
+    def row(part: int, first: np.ndarray, second: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([first.tobytes()]), pa.array([second.tobytes()])], names=["part", "first", "second"])
+
+    def run(batches):
+        first, second = np.zeros((DIGITS, PARTS)), np.zeros((DIGITS, PARTS, PARTS))
+        for batch in batches:
+            for part in slices(batch):
+                one, two = shared.value.slopes(Tokens.of(part.column(0)))
+                first += one
+                second += two
+        yield row(TaskContext.get().partitionId() % 16, first, second)
+
+    def total(batches):
+        first, second, part = np.zeros((DIGITS, PARTS)), np.zeros((DIGITS, PARTS, PARTS)), None
+        for b in batches:
+            for part, one, two in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):  # noqa: B007
+                first += np.frombuffer(one).reshape(first.shape)
+                second += np.frombuffer(two).reshape(second.shape)
+        if part is not None:
+            yield row(part, first, second)
+
+    first, second = np.zeros((DIGITS, PARTS)), np.zeros((DIGITS, PARTS, PARTS))
+    for r in texts.mapInArrow(run, schema).repartition(16, "part").mapInArrow(total, schema).toLocalIterator():
+        first += np.frombuffer(r.first).reshape(first.shape)
+        second += np.frombuffer(r.second).reshape(second.shape)
+    shared.destroy()
+    return first, second
+
+
+def train(texts: DataFrame, known: DataFrame, rounds: int = 1) -> Model:
+    """Fit on texts(text) with their token counts known(h, n): the tables are counted over all texts, then each round sums gradient and
+    curvature over all of them and moves the weights by Newton's step (held to where they start, as if by HELD tokens of evidence).
+    The driver gets the HEAD most frequent words, the sums of each code, the tables and the sums of the slopes."""
     n, v = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     top = known.orderBy(F.col("n").desc(), "h").limit(HEAD).select("h", "n").toArrow()
     h, c = np.asarray(top.column("h")).view(np.uint64), np.asarray(top.column("n"))
-    own = h[np.lexsort((h, -c))][:OWN]
-    own_rows = F.col("h").isin([int(x) for x in own.view(np.int64)]) if len(own) else F.lit(False)
-    per = {r.shared: (r.n, r.v) for r in known.where(~own_rows).groupBy("shared").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect()}
-    sums = np.zeros(CLASSES)
-    sums[: len(own)] = np.sort(c)[::-1][: len(own)]
-    sums[OWN:] = [per.get(s, (0, 0))[0] for s in range(SHARED)]
-    within = np.log10([sum(per.get(s, (0, 0))) + 1 for s in range(SHARED)])
     order = np.argsort(h)
-    model = Model(own, h[order], c[order], n, v, within, np.log((sums + 0.5) / (n + 0.5 * CLASSES)).astype("f4"), np.zeros((BUCKETS, CLASSES), "f4"), grown(known.where(~own_rows), [per.get(s, (0, 0))[1] for s in range(SHARED)]))
-    chunk = BUCKETS // CHUNKS
+    code = F.shiftrightunsigned("h", 8).bitwiseAND(F.lit(CODES - 1)).cast("int")
+    sums = known.groupBy(code.alias("code")).agg(F.sum(F.col("n") + 1).alias("n")).toArrow()  # CODES rows at most
+    shares = np.ones(CODES)
+    shares[np.asarray(sums.column("code"))] += np.asarray(sums.column("n"))
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    rows = min(MOST, max(FEWEST, 1 << (max(1, size // BYTES_A_ROW) - 1).bit_length()))
+    cells, met = tables(texts, rows)
+    weights = np.full((DIGITS, CONTEXTS, BINS), START)
+    model = Model(n, v, h[order], c[order], shares, cells, met, weights)
     for _ in range(rounds if n else 0):
-        shared = spark.sparkContext.broadcast(model)
-
-        def run(batches, shared=shared):
-            start = shared.value
-            own = Model(start.own, start.head, start.head_counts, start.n, start.v, start.within, start.bias.copy(), start.weights.copy(), replace(start.tree, weights=start.tree.weights.copy()))
-            own.tree._even = start.tree.even
-            seen, turned, tokens = np.full(BUCKETS, 1.0, np.float32), np.full(len(own.tree.weights), 1.0, np.float32), 0
-            sums = np.zeros_like(turned)
-            for batch in batches:
-                for part in slices(batch):
-                    t = Tokens.of(part.column(0))
-                    tokens += len(t.h)
-                    own.learn(t, seen, turned, sums, rate, rate * TURN_RATE)
-            if not tokens:
-                return
-            task = TaskContext.get().partitionId()
-            moved = [*np.split((own.weights - start.weights) * np.float32(tokens), CHUNKS), (own.bias - start.bias) * np.float32(tokens)]
-            moved += np.split(own.tree.weights - start.tree.weights, len(own.tree.weights) // PIECE)
-            for i, x in enumerate(moved):
-                yield pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([i], pa.int32()), pa.array([tokens], pa.int64()), pa.array([x.astype("f2" if i > CHUNKS else "f4").tobytes()]), pa.array([None], pa.binary())], names=["task", "chunk", "tokens", "delta", "met"])
-
-        moves = _averaged(texts.mapInArrow(run, MOVES), texts.rdd.getNumPartitions())
-        shared.destroy()
-        weights, bias, turns = model.weights.copy(), model.bias.copy(), model.tree.weights.copy()
-        for i, x, each in moves:
-            if i < CHUNKS:
-                weights[i * chunk : (i + 1) * chunk] += x.reshape(chunk, CLASSES)
-            elif i == CHUNKS:
-                bias += x
-            else:
-                at = (i - CHUNKS - 1) * PIECE
-                turns[at : at + PIECE] += each
-        model = Model(model.own, model.head, model.head_counts, n, v, within, bias, weights, Tree(model.tree.depth, model.tree.leaves, turns))
+        first, second = slopes(texts, model)
+        pull = HELD * (START - model.weights).reshape(DIGITS, PARTS)
+        step = [np.linalg.solve(second[d] + HELD * np.eye(PARTS), first[d] + pull[d]) for d in range(DIGITS)]
+        model.weights = np.clip(model.weights + np.reshape(step, weights.shape), 0.0, 1.5)
     return model
 
 
 def score(df: DataFrame, model: Model, known: DataFrame, text: str = "text") -> DataFrame:
     """Add n_tokens, n_known, base_score and score to df, for each whole text (null: empty).
 
-    Tasks score classes and frequent words; for the others they pass on each text's distinct words, whose counts are joined by
+    Tasks score codes and frequent words; for the others they pass on each text's distinct words, whose counts are joined by
     hash, and only sums come back to the text's row."""
     names = [c for c in df.columns if c not in ("n_tokens", "n_known", "base_score", "score")]
     df = df.select(*names)
@@ -386,54 +356,48 @@ def score(df: DataFrame, model: Model, known: DataFrame, text: str = "text") ->
 
     def run(batches):
         m, done, task = shared.value, 0, TaskContext.get().partitionId()
-        head_logs = np.log10(m.head_counts + 1.0)
+        head_logs, share_logs = np.log10(m.head_counts + 1.0), np.log10(m.shares)
         for batch in batches:
             for part in slices(batch, at):
                 t = Tokens.of(part.column(at))
                 n = t.n_rows
-                classes = m.classes(t)
-                spread = classes >= OWN
-                total = np.bincount(t.row, m.class_scores(t, classes), n) / np.log(10) - np.bincount(t.row[spread], m.within[classes[spread] - OWN], n)
+                total = np.bincount(t.row, m.scores(t) / np.log(10) - share_logs[t.codes()], n)
                 if len(m.head):
                     place = np.minimum(np.searchsorted(m.head, t.h), len(m.head) - 1)
                     hit = m.head[place] == t.h
+                    logs = np.where(hit, head_logs[place], 0.0)
                 else:
-                    place, hit = np.zeros(len(t.h), int), np.zeros(len(t.h), bool)
-                more = m.word_scores(t, classes)
-                total += np.bincount(t.row[hit], more[hit], n)
-                logs = np.where(hit, head_logs[place] if len(m.head) else 0.0, 0.0)
-                row, h, more = t.row[~hit], t.h[~hit], more[~hit]
+                    hit, logs = np.zeros(len(t.h), bool), np.zeros(len(t.h))
+                row, h = t.row[~hit], t.h[~hit]
                 order = np.lexsort((h, row))
-                row, h, more = row[order], h[order], more[order]
+                row, h = row[order], h[order]
                 first = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (h[1:] != h[:-1])])) if len(row) else np.empty(0, np.int64)
-                more = np.add.reduceat(more, first) if len(row) else more
                 times, row, h = np.diff(np.append(first, len(row))), row[first], h[first]
                 ends = pa.array(np.searchsorted(row, np.arange(n + 1)).astype(np.int32))
+                own = np.bincount(t.row, logs, n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *[part.column(i) for i in rest], pa.array((task << 36) + done + np.arange(n)), pa.array(np.bincount(t.row, minlength=n)),
-                        pa.array(np.bincount(t.row, hit, n).astype(np.int64)), pa.array(np.bincount(t.row, logs, n)),
-                        pa.array(total + np.bincount(t.row[spread], logs[spread], n)),
+                        pa.array(np.bincount(t.row, hit, n).astype(np.int64)), pa.array(own), pa.array(total + own),
                         pa.ListArray.from_arrays(ends, pa.array(h.view(np.int64))), pa.ListArray.from_arrays(ends, pa.array(times.astype(np.int32))),
-                        pa.ListArray.from_arrays(ends, pa.array(more.astype(np.float32))),
                     ],
-                    names=[*[names[i] for i in rest], "row_", "tokens_", "known_", "logs_", "score_", "h_", "times_", "within_"],
-                )
+                    names=[*[names[i] for i in rest], "row_", "tokens_", "known_", "logs_", "score_", "h_", "times_"],
+                )
                 done += n
 
     kept = T.StructType([df.schema.fields[i] for i in rest])
-    for c, kind in (("row_", T.LongType()), ("tokens_", T.LongType()), ("known_", T.LongType()), ("logs_", T.DoubleType()), ("score_", T.DoubleType()), ("h_", T.ArrayType(T.LongType())), ("times_", T.ArrayType(T.IntegerType())), ("within_", T.ArrayType(T.FloatType()))):
+    for c, kind in (("row_", T.LongType()), ("tokens_", T.LongType()), ("known_", T.LongType()), ("logs_", T.DoubleType()), ("score_", T.DoubleType()), ("h_", T.ArrayType(T.LongType())), ("times_", T.ArrayType(T.IntegerType()))):
         kept = kept.add(c, kind)
     part = cut(df.mapInArrow(run, kept))
-    words = part.select("row_", F.explode(F.arrays_zip("h_", "times_", "within_")).alias("w")).select("row_", F.col("w.h_").alias("h"), F.col("w.times_").alias("times"), F.col("w.within_").alias("within"))
-    met = words.join(known.select("h", "n"), "h").groupBy("row_").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_"), F.sum("times").alias("more_known_"), F.sum("within").alias("more_within_"))
+    words = part.select("row_", F.explode(F.arrays_zip("h_", "times_")).alias("w")).select("row_", F.col("w.h_").alias("h"), F.col("w.times_").alias("times"))
+    met = words.join(known.select("h", "n"), "h").groupBy("row_").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("more_"), F.sum("times").alias("more_known_"))
     whole = F.log10(F.lit(float(model.n + model.v + 1)))
     more, more_known = F.coalesce("more_", F.lit(0.0)), F.coalesce("more_known_", F.lit(0))
     return part.join(met, "row_", "left").select(
         *[names[i] for i in rest],
         F.col("tokens_").alias("n_tokens"), (F.col("known_") + more_known).cast("long").alias("n_known"),
-        (F.col("logs_") + more - F.col("tokens_") * whole).alias("base_score"), (F.col("score_") + more + F.coalesce("more_within_", F.lit(0.0))).alias("score"),
-    )
+        (F.col("logs_") + more - F.col("tokens_") * whole).alias("base_score"), (F.col("score_") + more).alias("score"),
+    )
 
 
 def held_out(doc_id: str) -> Column:
@@ -441,12 +405,12 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def score_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 2) -> DataFrame:
+def score_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 1) -> DataFrame:
     """For each row of df: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score; learnt from the rows
     that are not held out.
 
     Null and empty texts are the end token alone; rows that repeat an id each count; without training rows the counts are
-    zero and the class model is even. An empty table gives an empty result; other columns are ignored."""
+    zero and the model is even. An empty table gives an empty result; other columns are ignored."""
     rows = df.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text"))
     texts = rows.where(~F.col("held_out")).select("text")
     known = cut(counts(texts))
