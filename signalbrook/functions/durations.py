@@ -40,3 +40,10 @@ def since_argument(col: str | Column) -> Column:
         .when(unit == "m", F.concat(number, F.lit(" min")))
         .when(unit != "", F.concat(number, F.lit(" "), unit))
     )
+
+
+def age_ms(ts: str | Column, now: str) -> Column:
+    """Milliseconds from a time without zone to now, which is a parameter, so that reruns agree."""
+    since = lambda t: F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), t)
+    at = F.col(ts) if isinstance(ts, str) else ts
+    return (F.floor(since(F.lit(now).cast("timestamp_ntz")) / 1000) - F.floor(since(at) / 1000)).cast("long")

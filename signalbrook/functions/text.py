@@ -22,10 +22,23 @@ def named_groups(pattern: str) -> tuple[str, list[str]]:
     return re.sub(r"\(\?P?<\w+>", "(", pattern), names
 
 
-def extract_named(c: str | Column, pattern: str) -> dict[str, Column]:
-    """A column for each named group; empty where the pattern or an optional group does not match."""
-    spelled, names = named_groups(pattern)
-    return {n: F.coalesce(F.regexp_extract(_col(c), spelled, i), F.lit("")) for i, n in enumerate(names, 1)}
+def laid_groups(c: str | Column, pattern: str) -> Column:
+    """A text's named groups laid out by one run of the pattern, between control characters that split_groups takes apart; a text that does not
+    match, or holds these characters itself, stays."""
+    c, (spelled, names) = _col(c), named_groups(pattern)
+    whole = rf"(?s)\A.*?(?-s:{spelled})(?s:.*)\z"
+    laid = F.regexp_replace(c, whole, "\x02" + "\x01".join(f"${i}" for i in range(1, len(names) + 1)))
+    return F.when(c.contains("\x01") | c.contains("\x02"), c).otherwise(laid)
+
+
+def split_groups(laid: str | Column, c: str | Column, pattern: str) -> tuple[Column, list[str]]:
+    """The named groups of a pattern as an array of texts, and their names; empty texts where the pattern or an optional group does not match.
+    laid is laid_groups of the text c; a text that holds the control characters itself is read group by group."""
+    laid, c, (spelled, names) = _col(laid), _col(c), named_groups(pattern)
+    none = F.array(*[F.lit("")] * len(names))
+    each = F.array(*[F.coalesce(F.regexp_extract(c, spelled, i), F.lit("")) for i in range(1, len(names) + 1)])
+    once = F.when(laid.startswith("\x02"), F.split(F.substring(laid, 2, 2**31 - 1), "\x01", -1)).otherwise(none)
+    return F.when(c.isNull(), none).when(c.contains("\x01") | c.contains("\x02"), each).otherwise(once), names
 
 
 def extract_all_named(c: str | Column, pattern: str) -> Column:
@@ -35,13 +48,24 @@ def extract_all_named(c: str | Column, pattern: str) -> Column:
     return F.arrays_zip(*groups)
 
 
-def logfmt(c: str | Column) -> Column:
-    """A line of key=value pairs as a map; quoted values lose their quotes and escapes. Of repeated keys the last wins."""
-    keys, values = (F.regexp_extract_all(_col(c), F.lit(LOGFMT_PAIR), F.lit(i)) for i in (1, 2))
-    bare = F.transform(values, lambda v: F.when(v.startswith('"'), F.regexp_replace(F.regexp_replace(v, r'^"|"$', ""), r"\\(.)", "$1")).otherwise(v))
-    entries = F.arrays_zip(keys.alias("k"), bare.alias("v"))
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0))), lambda k: k == e["k"]))
-    return F.map_from_entries(last)
+def logfmt_pairs(c: str | Column) -> Column:
+    """The key=value pairs of a line, as an array of texts."""
+    return F.regexp_extract_all(_col(c), F.lit(LOGFMT_PAIR), F.lit(0))
+
+
+def logfmt(pairs: str | Column) -> Column:
+    """Pairs (logfmt_pairs) as a map; quoted values lose their quotes and escapes. Of repeated keys the last wins; only lines that
+    repeat one pay for that."""
+
+    def bare(v: Column) -> Column:
+        inner = F.when(v.endswith('"') & (F.length(v) > 1), v.substr(F.lit(2), F.length(v) - 2)).otherwise(v.substr(F.lit(2), F.length(v)))
+        return F.when(~v.startswith('"'), v).when(inner.contains("\\"), F.regexp_replace(inner, r"\\(.)", "$1")).otherwise(inner)
+
+    pairs = _col(pairs)
+    keys = F.transform(pairs, lambda p: F.substring_index(p, "=", 1))
+    entries = F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), bare(p.substr(F.locate("=", p) + 1, F.length(p))).alias("v")))
+    last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys) - i - 1, F.lit(0))), e["k"]))
+    return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), entries).otherwise(last))
 
 
 def version_key(c: str | Column, prefix: str = "") -> Column:
@@ -64,6 +88,12 @@ def version_below(c: str | Column, *limit: int) -> Column:
     return F.struct(*[parts[n].alias(n) for n in names]) < F.struct(*[F.lit(x).alias(n) for n, x in zip(names, limit, strict=True)])
 
 
+def stripped(c: str | Column, prefix: str = "", suffix: str = "") -> Column:
+    """A text without a literal prefix and suffix, where it has them."""
+    quoted = lambda t: re.sub(r"(\W)", r"\\\1", t)
+    return F.regexp_replace(_col(c), rf"\A{quoted(prefix)}|{quoted(suffix)}\z", "")
+
+
 def basename(c: str | Column) -> Column:
     return F.substring_index(_col(c), "/", -1)
 

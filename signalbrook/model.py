@@ -7,6 +7,7 @@ canonical text of the map, stands for them. A label that is missing counts as th
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -37,9 +38,20 @@ def label(name: str, labels: str | Column = "labels") -> Column:
 
 
 def series_key(labels: str | Column = "labels") -> Column:
-    """The canonical text of a label map: its k=v pairs in order of the keys, without empty values."""
+    """The canonical text of a label map: its k=v pairs in order of the keys, without empty values. A backslash stands before
+    each comma, equals sign and backslash of a key or value, so that different labels have different texts."""
     pairs = F.array_sort(F.map_entries(F.map_filter(labels, lambda _, v: F.coalesce(v, F.lit("")) != "")))
-    return F.array_join(F.transform(pairs, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    return F.array_join(F.transform(pairs, lambda e: F.concat(_escaped(e["key"]), F.lit("="), _escaped(e["value"]))), ",")
+
+
+def _escaped(text: Column) -> Column:
+    return F.regexp_replace(text, r"([\\,=])", r"\\$1")
+
+
+def key_text(labels: dict[str, str]) -> str:
+    """series_key of labels known beforehand."""
+    escaped = lambda x: re.sub(r"([\\,=])", r"\\\1", x)
+    return ",".join(f"{escaped(k)}={escaped(v)}" for k, v in sorted(labels.items()) if v)
 
 
 def epoch_seconds(ts: str | Column) -> Column:

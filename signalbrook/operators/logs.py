@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import extract_named, logfmt, template
+from ..functions.text import laid_groups, logfmt, logfmt_pairs, split_groups, template
 from ..model import label, merge_labels, series_key
 from .selectors import at_time, before, matches
 
@@ -25,9 +25,20 @@ def line_contains(logs: DataFrame, text: str) -> DataFrame:
     return logs.where(F.col("line").contains(text))
 
 
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are worked out once for a row, however often they are read: the optimizer does not copy what
+    stands behind a generator into those who read it."""
+    for name, c in columns.items():
+        rest = [x for x in df.columns if x != name]
+        df = df.select(*rest, F.explode(F.array(c)).alias(name))
+    return df
+
+
 def parse_logfmt(logs: DataFrame) -> DataFrame:
     """Adds a line's key=value pairs to its labels."""
-    return logs.withColumn("labels", merge_labels(F.col("labels"), F.coalesce(logfmt("line"), F.create_map().cast("map<string,string>"))))
+    made = once(logs, pairs_=logfmt_pairs("line"))
+    found = F.coalesce(logfmt("pairs_"), F.create_map().cast("map<string,string>"))
+    return once(made, labels=merge_labels(F.col("labels"), found)).select(*logs.columns)
 
 
 def parse_json(logs: DataFrame, fields: dict[str, str]) -> DataFrame:
@@ -51,8 +62,11 @@ def line_format(logs: DataFrame, text: str) -> DataFrame:
 
 def parse_regexp(logs: DataFrame, pattern: str) -> DataFrame:
     """Adds the named groups of a pattern to the labels; empty where it does not match. The line stays."""
-    found = extract_named("line", pattern)
-    return logs.withColumn("labels", merge_labels(F.col("labels"), F.create_map(*[x for n, c in found.items() for x in (F.lit(n), c)])))
+    made = once(logs, laid_=laid_groups("line", pattern))
+    groups, names = split_groups("laid_", "line", pattern)
+    made = once(made, groups_=groups)
+    found = F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.col("groups_"))
+    return once(made, labels=merge_labels(F.col("labels"), found)).select(*logs.columns)
 
 
 def in_window(logs: DataFrame, at: datetime | str, width: str | float) -> DataFrame:

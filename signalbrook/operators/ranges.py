@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.durations import seconds
+from ..model import key_text
 from .selectors import Matcher
 
 ORDER = ("ts", "value")
@@ -55,7 +56,7 @@ def absent_over_time(rv: DataFrame, matchers: list[Matcher] | None = None) -> Da
     """One row of value 1 with the selector's equality matchers as its labels if the range has no sample at all, else none."""
     equal = [(k, v) for k, op, v in (matchers or []) if op == "=" and v != ""]
     labels = F.create_map(*[F.lit(x) for kv in equal for x in kv]) if equal else F.create_map().cast("map<string,string>")
-    key = ",".join(f"{k}={v}" for k, v in sorted(equal))
+    key = key_text(dict(equal))
     found = rv.limit(1).agg(F.count("*").alias("n_"))
     return found.where("n_ = 0").select(F.lit(key).alias("series_key"), labels.alias("labels"), F.lit(1.0).alias("value"))
 

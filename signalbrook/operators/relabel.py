@@ -34,7 +34,7 @@ def _without_empty(labels: Column, name: str) -> Column:
 def relabel(df: DataFrame, rules: list[Rule], column: str = "labels") -> DataFrame:
     """Apply rules in order to a column of labels; a replacement that comes out empty removes the label."""
     for rule in rules:
-        joined, whole = _joined(rule, F.col(column)), f"^(?:{rule.regex})$"
+        joined, whole = _joined(rule, F.col(column)), rf"\A(?:{rule.regex})\z"
         if rule.action in ("keep", "drop"):
             fits = joined.rlike(whole)
             df = df.where(fits if rule.action == "keep" else ~fits)
@@ -50,19 +50,8 @@ def constant_label(df: DataFrame, name: str, value: str, column: str = "labels")
     return df.withColumn(column, merge_labels(F.col(column), F.create_map(F.lit(name), F.lit(value))))
 
 
-def per_network(targets: DataFrame, networks: str = "networks", column: str = "labels", prefix: str = "__meta_docker_network_") -> DataFrame:
+def per_network(targets: DataFrame, networks: str = "networks", column: str = "labels", prefix: str = "__meta_network_") -> DataFrame:
     """A target once for each of its networks (an array of structs of name and ip), their fields as meta labels."""
     each = targets.withColumn("net_", F.explode(networks))
     made = F.create_map(F.lit(prefix + "name"), F.col("net_.name"), F.lit(prefix + "ip"), F.col("net_.ip"))
     return each.withColumn(column, merge_labels(F.col(column), made)).drop("net_", networks)
-
-
-#: The rules that turn a discovered container into a scrape target: it must ask for a port and sit on the proxy network.
-CONTAINER_TARGETS = [
-    Rule(("__meta_docker_container_label_metrics_port",), regex=".+", action="keep"),
-    Rule(("__meta_docker_network_name",), regex="proxy", action="keep"),
-    Rule(("__meta_docker_network_ip", "__meta_docker_container_label_metrics_port"), target="__address__", separator=":"),
-    Rule(("__meta_docker_container_name",), target="container", regex="/(.*)"),
-    Rule(("__meta_docker_container_label_com_docker_compose_service",), target="service"),
-    Rule(("__meta_docker_container_label_com_docker_compose_project",), target="stack"),
-]

@@ -30,7 +30,7 @@ def matches(value: Column, op: str, want: str) -> Column:
         return value == want
     if op == "!=":
         return value != want
-    whole = value.rlike(f"^(?:{want})$")
+    whole = value.rlike(rf"\A(?:{want})\z")
     return whole if op == "=~" else ~whole
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import label, series_key
@@ -62,6 +62,13 @@ def topk(vec: DataFrame, k: int) -> DataFrame:
     return vec.orderBy(F.col("value").desc(), "series_key").limit(k)
 
 
+def ranked(rows: DataFrame, within: list[str], ties: list[str], k: int | None = None) -> DataFrame:
+    """Adds rank: a row's place by value, largest first, among those alike in within; only the first k, if k is given."""
+    order = Window.partitionBy(*within).orderBy(F.col("value").desc(), *ties)
+    out = rows.withColumn("rank", F.row_number().over(order))
+    return out if k is None else out.where(F.col("rank") <= k)
+
+
 def or_zero(vec: DataFrame) -> DataFrame:
     """A vector of one number, 0 if it is empty."""
     return vec.agg(F.coalesce(F.max("value"), F.lit(0.0)).alias("value"))

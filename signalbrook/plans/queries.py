@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import durations, text
-from ..model import label, series_key
+from ..model import label, merge_labels, series_key
 from ..operators import alerts as A
 from ..operators import inventory as I
 from ..operators import logs as L
 from ..operators import probes as P
 from ..operators import ranges as R
+from ..operators import records as RC
 from ..operators import relabel as RL
 from ..operators import selectors as S
 from ..operators import vectors as V
@@ -64,6 +65,15 @@ def register(name: str, sql: str | None = None):
     return add
 
 
+#: Messages that hold a ban or an alert, and how a list shows one.
+BANS = r".* by (ip|range) .*"
+BAN_LINE = "{{.scenario}}  {{.source_ip}} {{.country}}/{{.asn}}  {{if .action}}{{.duration}} {{.action}}{{else}}alert only{{end}}"
+
+
+def _bans(logs: DataFrame, **stream: str) -> DataFrame:
+    return rules.messages(logs, rules.BAN, BANS, **stream)
+
+
 def _labels(vec: DataFrame, *names: str) -> DataFrame:
     return vec.select(*[label(n).alias(n) for n in names], "value")
 
@@ -131,7 +141,7 @@ def sum_by(spark, d):
 
 @register("sum_by3", "SELECT host, service, source_ip, CAST(count(*) AS DOUBLE) AS value FROM parsed GROUP BY 1, 2, 3")
 def sum_by3(spark, d):
-    return _labels(L.count_over_time(rules.bans(TV.logs(spark, d)), ["host", "service", "source_ip"]), "host", "service", "source_ip")
+    return _labels(L.count_over_time(_bans(TV.logs(spark, d)), ["host", "service", "source_ip"]), "host", "service", "source_ip")
 
 
 @register("max_all", f"SELECT max(value) AS value FROM up WHERE ts > TIMESTAMP '{AT}' - INTERVAL 24 HOURS AND ts <= TIMESTAMP '{AT}'")
@@ -272,22 +282,22 @@ def logfmt_parse(spark, d):
 
 @register("log_regexp_groups", "SELECT event_id, scenario, source_ip, country, asn, duration, action FROM parsed")
 def log_regexp_groups(spark, d):
-    return rules.bans(TV.logs(spark, d), stack="proxy").select("event_id", *[label(n).alias(n) for n in ("scenario", "source_ip", "country", "asn", "duration", "action")])
+    return _bans(TV.logs(spark, d), stack="proxy").select("event_id", *[label(n).alias(n) for n in ("scenario", "source_ip", "country", "asn", "duration", "action")])
 
 
 @register("log_topk", f"SELECT source_ip, country, asn, CAST(count(*) AS DOUBLE) AS value FROM parsed WHERE ts > TIMESTAMP '{AT}' - INTERVAL 14 DAYS AND ts <= TIMESTAMP '{AT}' GROUP BY 1, 2, 3 ORDER BY 4 DESC, 1 LIMIT 15")
 def log_topk(spark, d):
-    return _labels(rules.top_sources(TV.logs(spark, d), AT, "14d"), "source_ip", "country", "asn")
+    return _labels(rules.top_messages(TV.logs(spark, d), AT, "14d", ["source_ip", "country", "asn"], rules.BAN, BANS), "source_ip", "country", "asn")
 
 
 @register("log_topk_scenario", f"SELECT scenario, CAST(count(*) AS DOUBLE) AS value FROM parsed WHERE ts > TIMESTAMP '{AT}' - INTERVAL 14 DAYS AND ts <= TIMESTAMP '{AT}' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 15")
 def log_topk_scenario(spark, d):
-    return _labels(rules.top_scenarios(TV.logs(spark, d), AT, "14d"), "scenario")
+    return _labels(rules.top_messages(TV.logs(spark, d), AT, "14d", ["scenario"], rules.BAN, BANS), "scenario")
 
 
 @register("line_format_if", "SELECT event_id, scenario || '  ' || source_ip || ' ' || country || '/' || asn || '  ' || CASE WHEN action <> '' THEN duration || ' ' || action ELSE 'alert only' END AS line FROM parsed")
 def line_format_if(spark, d):
-    return rules.ban_lines(TV.logs(spark, d)).select("event_id", "line")
+    return rules.message_lines(TV.logs(spark, d), rules.BAN, BANS, BAN_LINE).select("event_id", "line")
 
 
 @register("log_tail", "SELECT event_id, line FROM logs WHERE ts >= TIMESTAMP '2024-01-20 00:00:00' ORDER BY ts DESC, event_id LIMIT 200")
@@ -318,26 +328,37 @@ def _targets(spark, d):
     c = TV.table(spark, d, "customer")
     port = F.when(F.col("c_custkey") % 4 == 0, F.lit("")).otherwise((F.col("c_custkey") % 9000 + 1000).cast("string"))
     labels = F.create_map(
-        F.lit("__meta_docker_container_name"), F.concat(F.lit("/"), F.col("c_name")), F.lit("__meta_docker_container_label_metrics_port"), port,
-        F.lit("__meta_docker_container_label_com_docker_compose_service"), F.col("c_mktsegment"), F.lit("__meta_docker_container_label_com_docker_compose_project"), (F.col("c_nationkey") % 3).cast("string"),
+        F.lit("__found_name"), F.concat(F.lit("/"), F.col("c_name")), F.lit("__found_port"), port,
+        F.lit("__found_segment"), F.col("c_mktsegment"), F.lit("__found_group"), (F.col("c_nationkey") % 3).cast("string"),
     )
     net = lambda name, base: F.struct(F.lit(name).alias("name"), F.concat(F.lit(base), (F.col("c_custkey") % 250).cast("string")).alias("ip"))
     return c.select("c_custkey", labels.alias("labels"), F.array(net("proxy", "192.0.2."), net("default", "198.51.100.")).alias("networks"))
 
 
+#: Customers as scrape targets: those with a port, once, on one of their networks.
+TARGET_RULES = [
+    RL.Rule(("__found_port",), regex=".+", action="keep"),
+    RL.Rule(("__found_net_name",), regex="default", action="drop"),
+    RL.Rule(("__found_net_ip", "__found_port"), target="__address__", separator=":"),
+    RL.Rule(("__found_name",), target="container", regex="/(.*)"),
+    RL.Rule(("__found_segment",), target="service"),
+    RL.Rule(("__found_group",), target="stack"),
+]
+
+
 @register(
     "relabel_targets",
     """SELECT c_custkey, '192.0.2.' || CAST(c_custkey % 250 AS VARCHAR) || ':' || CAST(c_custkey % 9000 + 1000 AS VARCHAR) AS address, c_name AS container, c_mktsegment AS service, CAST(c_nationkey % 3 AS VARCHAR) AS stack
     FROM customer WHERE c_custkey % 4 <> 0""",
 )
 def relabel_targets(spark, d):
-    made = RL.relabel(RL.per_network(_targets(spark, d)), RL.CONTAINER_TARGETS)
+    made = RL.relabel(RL.per_network(_targets(spark, d), prefix="__found_net_"), TARGET_RULES)
     return made.select("c_custkey", label("__address__").alias("address"), *[label(n).alias(n) for n in ("container", "service", "stack")])
 
 
 @register("relabel_constant", "SELECT c_custkey, 'apps' AS host, c_mktsegment AS service FROM customer")
 def relabel_constant(spark, d):
-    rows = RL.relabel(_targets(spark, d), [RL.Rule(("__meta_docker_container_label_com_docker_compose_service",), target="service")])
+    rows = RL.relabel(_targets(spark, d), [RL.Rule(("__found_segment",), target="service")])
     return RL.constant_label(rows, "host", "apps").select("c_custkey", label("host").alias("host"), label("service").alias("service"))
 
 
@@ -444,15 +465,15 @@ def query_state(spark, d):
 
 @register(
     "silent_senders",
-    """, t AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-02 00:00:00', TIMESTAMP '2024-01-30 00:00:00', INTERVAL 1 DAY)) AS tick), u AS (SELECT DISTINCT user_id FROM events)
+    """, t AS (SELECT unnest(generate_series((SELECT date_trunc('hour', min(ts)) FROM events), (SELECT date_trunc('hour', max(ts)) FROM events) + INTERVAL 12 HOURS, INTERVAL 12 HOURS)) AS tick), u AS (SELECT DISTINCT user_id FROM events)
     SELECT user_id, tick FROM u CROSS JOIN t WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.user_id = u.user_id AND e.ts > t.tick - INTERVAL 12 HOURS AND e.ts <= t.tick)""",
 )
 def silent_senders(spark, d):
-    from ..streaming.alerts import silent
+    """Ticks from the first hour of all events to the last, a window apart, so that no time is left out."""
+    from ..streaming.alerts import silent, ticks_of
 
     e = TV.table(spark, d, "events")
-    ticks = spark.sql("SELECT explode(sequence(timestamp_ntz'2024-01-02 00:00:00', timestamp_ntz'2024-01-30 00:00:00', interval 1 day)) AS tick")
-    return silent(e, e, "user_id", ticks, "12h")
+    return silent(e, e, "user_id", ticks_of(e, "ts", "12h"), "12h")
 
 
 # Inventory and configuration
@@ -523,13 +544,13 @@ def recursive_groups(spark, d):
 
 @register(
     "desired_diff",
-    """, d AS (SELECT c_custkey AS k, c_nationkey AS v FROM customer WHERE c_custkey % 3 <> 0), a AS (SELECT c_custkey AS k, CASE WHEN c_custkey % 5 = 0 THEN c_nationkey + 1 ELSE c_nationkey END AS v FROM customer WHERE c_custkey % 4 <> 0)
+    """, d AS (SELECT c_custkey AS k, c_nationkey AS v FROM customer), a AS (SELECT o_custkey + 2 AS k, CAST(max(o_orderkey % 25) AS INTEGER) AS v FROM orders GROUP BY 1)
     SELECT coalesce(d.k, a.k) AS k, d.v AS want_v, a.v AS have_v, CASE WHEN a.k IS NULL THEN 'create' WHEN d.k IS NULL THEN 'delete' WHEN d.v = a.v THEN 'keep' ELSE 'update' END AS action FROM d FULL JOIN a ON d.k = a.k""",
 )
 def desired_diff(spark, d):
-    c = TV.table(spark, d, "customer")
-    want = c.where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("v"))
-    have = c.where("c_custkey % 4 <> 0").select(F.col("c_custkey").alias("k"), F.when(F.col("c_custkey") % 5 == 0, F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey")).alias("v"))
+    """All customers against all that orders say of them, two keys on."""
+    want = TV.table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("v"))
+    have = TV.table(spark, d, "orders").groupBy((F.col("o_custkey") + 2).alias("k")).agg(F.max(F.col("o_orderkey") % 25).cast("int").alias("v"))
     return I.desired_diff(want, have, "k", ["v"])
 
 
@@ -541,31 +562,28 @@ def upsert_latest(spark, d):
     return upsert(o.where("n % 2 = 0"), o.where("n % 2 = 1"), "k", "n")
 
 
-@register(
-    "annotation_overlap",
-    """, r AS (SELECT event_id AS id, epoch_ms(ts) AS t0, CASE WHEN event_id % 3 = 0 THEN NULL ELSE epoch_ms(ts) + 7200000 END AS t1 FROM events WHERE event_type = 'signup' AND event_id % 50 = 1 OR event_id % 100 = 0),
-    p AS (SELECT event_id, epoch_ms(ts) AS t FROM events)
-    SELECT p.event_id, r.id FROM p JOIN r ON p.t >= r.t0 AND p.t <= coalesce(r.t1, r.t0)""",
-)
-def annotation_overlap(spark, d):
+def _overlaps(spark, d, kind: str) -> DataFrame:
     ms = F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")) / 1000).cast("long")
     e = TV.table(spark, d, "events")
-    r = e.where("event_type = 'signup' AND event_id % 50 = 1 OR event_id % 100 = 0").select(F.col("event_id").alias("id"), ms.alias("t0"), F.when(F.col("event_id") % 3 != 0, ms + 7200000).alias("t1"))
+    r = e.where(F.col("event_type") == kind).select(F.col("event_id").alias("id"), ms.alias("t0"), F.when(F.col("event_id") % 3 != 0, ms + 7200000).alias("t1"))
     return I.overlapping(e.select("event_id", ms.alias("t")), r, "t", "t0", "t1").select("event_id", "id")
 
 
-@register(
-    "annotation_overlap_signups",
-    """, r AS (SELECT event_id AS id, epoch_ms(ts) AS t0, CASE WHEN event_id % 3 = 0 THEN NULL ELSE epoch_ms(ts) + 7200000 END AS t1 FROM events WHERE event_type = 'signup'),
+OVERLAPS = """, r AS (SELECT event_id AS id, epoch_ms(ts) AS t0, CASE WHEN event_id % 3 = 0 THEN NULL ELSE epoch_ms(ts) + 7200000 END AS t1 FROM events WHERE event_type = '{kind}'),
     p AS (SELECT event_id, epoch_ms(ts) AS t FROM events)
-    SELECT p.event_id, r.id FROM p JOIN r ON p.t >= r.t0 AND p.t <= coalesce(r.t1, r.t0)""",
-)
+    SELECT p.event_id, r.id FROM p JOIN r ON p.t >= r.t0 AND p.t <= coalesce(r.t1, r.t0)"""
+
+
+@register("annotation_overlap", OVERLAPS.replace("{kind}", "error"))
+def annotation_overlap(spark, d):
+    """Every error as a region, every event as a point."""
+    return _overlaps(spark, d, "error")
+
+
+@register("annotation_overlap_signups", OVERLAPS.replace("{kind}", "signup"))
 def annotation_overlap_signups(spark, d):
-    """annotation_overlap with every signup as a region."""
-    ms = F.floor(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col("ts")) / 1000).cast("long")
-    e = TV.table(spark, d, "events")
-    r = e.where("event_type = 'signup'").select(F.col("event_id").alias("id"), ms.alias("t0"), F.when(F.col("event_id") % 3 != 0, ms + 7200000).alias("t1"))
-    return I.overlapping(e.select("event_id", ms.alias("t")), r, "t", "t0", "t1").select("event_id", "id")
+    """Every signup as a region, every event as a point."""
+    return _overlaps(spark, d, "signup")
 
 
 @register("consistent_keys", "SELECT k, in_c, in_s FROM (SELECT coalesce(c.k, s.k) AS k, c.k IS NOT NULL AS in_c, s.k IS NOT NULL AS in_s FROM (SELECT DISTINCT c_custkey AS k FROM customer) c FULL JOIN (SELECT DISTINCT s_suppkey AS k FROM supplier) s ON c.k = s.k) WHERE NOT (in_c AND in_s)")
@@ -659,8 +677,154 @@ def first_non_empty(spark, d):
 
 @register("latest_per_tick", "SELECT hour, instance, value FROM (SELECT date_trunc('hour', ts) AS hour, instance, value, row_number() OVER (PARTITION BY date_trunc('hour', ts) ORDER BY value DESC, instance, event_id) AS r FROM g) WHERE r <= 3")
 def latest_per_tick(spark, d):
-    from pyspark.sql import Window
-
     rows = TV.gauge(spark, d).select(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), label("instance").alias("instance"), "value", "event_id")
-    order = Window.partitionBy("hour").orderBy(F.col("value").desc(), "instance", "event_id")
-    return rows.withColumn("r", F.row_number().over(order)).where("r <= 3").select("hour", "instance", "value")
+    return V.ranked(rows, ["hour"], ["instance", "event_id"], 3).select("hour", "instance", "value")
+
+
+# Records: arrays of structs, text predicates, nested fields, frames
+
+
+def _lines_of_order(spark, d):
+    """Orders with their lines as an array of structs, in order of the line's number."""
+    entries = F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("n"), F.col("l_returnflag").alias("flag"), F.col("l_quantity").alias("quantity"), F.when(F.col("l_tax") > 0.04, F.col("l_tax")).alias("tax"))))
+    return TV.table(spark, d, "lineitem").groupBy("l_orderkey").agg(entries.alias("items"))
+
+
+@register("select_attr_eq", "SELECT l_orderkey, coalesce(string_agg(CAST(l_linenumber AS VARCHAR), ',' ORDER BY l_linenumber) FILTER (WHERE l_returnflag = 'R'), '') AS numbers FROM lineitem GROUP BY 1")
+def select_attr_eq(spark, d):
+    numbers = RC.attribute(RC.select_by("items", "flag", "eq", "R"), "n")
+    return _lines_of_order(spark, d).select("l_orderkey", F.array_join(F.transform(numbers, lambda n: n.cast("string")), ",").alias("numbers"))
+
+
+@register("select_attr_in", "SELECT l_orderkey, count(*) FILTER (WHERE l_returnflag IN ('A', 'N')) AS n FROM lineitem GROUP BY 1")
+def select_attr_in(spark, d):
+    return _lines_of_order(spark, d).select("l_orderkey", F.size(RC.select_by("items", "flag", "in", ["A", "N"])).cast("long").alias("n"))
+
+
+@register("reject_attr_defined", "SELECT l_orderkey, count(*) FILTER (WHERE NOT l_tax > 0.04) AS n FROM lineitem GROUP BY 1")
+def reject_attr_defined(spark, d):
+    return _lines_of_order(spark, d).select("l_orderkey", F.size(RC.reject_by("items", "tax", "defined")).cast("long").alias("n"))
+
+
+@register("select_match", "SELECT doc_id, len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '^(The|Der|El) '))) AS n FROM documents")
+def select_match(spark, d):
+    lines = F.split("text", "\n", -1)
+    return TV.table(spark, d, "documents").select("doc_id", F.size(RC.select_by(lines, None, "match", "(The|Der|El) ")).cast("long").alias("n"))
+
+
+@register("search_not_search", "SELECT page_id FROM pages WHERE regexp_matches(url, '/[0-9]+$') AND NOT regexp_matches(url, 'blog')")
+def search_not_search(spark, d):
+    return TV.table(spark, d, "pages").where(RC.searches("url", "/[0-9]+$") & ~RC.searches("url", "blog")).select("page_id")
+
+
+@register("given_and_among", "SELECT doc_id FROM documents WHERE lang IN ('en', 'de') AND length(text) > 0 AND source IS NOT NULL")
+def given_and_among(spark, d):
+    return TV.table(spark, d, "documents").where(RC.among("lang", ["en", "de"]) & RC.given("text") & RC.given("source", "any")).select("doc_id")
+
+
+@register("exclude_values", "SELECT p_partkey FROM part WHERE p_brand IS NULL OR p_brand NOT IN ('Brand#11', 'Brand#22')")
+def exclude_values(spark, d):
+    return RC.excluding(TV.table(spark, d, "part"), "p_brand", ["Brand#11", "Brand#22"]).select("p_partkey")
+
+
+@register("glob_then_member", "SELECT c_custkey FROM customer WHERE NOT (c_name GLOB '*[13579]' OR c_name GLOB 'Customer#00000000?') AND c_mktsegment IN ('BUILDING', 'MACHINERY')")
+def glob_then_member(spark, d):
+    return RC.picked(TV.table(spark, d, "customer"), "c_name", ["*[13579]", "Customer#00000000?"], "c_mktsegment", ["BUILDING", "MACHINERY"]).select("c_custkey")
+
+
+@register(
+    "call_allowlist",
+    """SELECT o_orderkey, (o_orderstatus = 'F' AND regexp_full_match(CAST(o_custkey AS VARCHAR), '[0-9]{1,2}')) OR (o_orderstatus = 'O' AND o_orderkey % 3 <> 0) AS ok FROM orders""",
+)
+def call_allowlist(spark, d):
+    o = TV.table(spark, d, "orders")
+    words = F.when(F.col("o_orderkey") % 3 == 0, F.array("o_orderstatus", F.col("o_custkey").cast("string"))).otherwise(F.array("o_orderstatus", F.col("o_custkey").cast("string"), F.lit("x")))
+    words = F.when(F.col("o_orderstatus") == "F", F.array("o_orderstatus", F.col("o_custkey").cast("string"))).otherwise(words)
+    return o.select("o_orderkey", RC.call_allowed(words, {"F": ["[0-9]{1,2}"], "O": ["[0-9]+", "x"]}).alias("ok"))
+
+
+@register("json_number_probe", "SELECT event_id, coalesce(CAST(json_extract(props, '$.k') AS DOUBLE) >= 50, false) AS ok FROM events")
+def json_number_probe(spark, d):
+    return TV.table(spark, d, "events").select("event_id", RC.json_number("props", "$.k", 50).alias("ok"))
+
+
+@register("drop_nested_field", "SELECT c_custkey, '{\"name\":\"' || c_name || '\",\"config\":{\"segment\":\"' || c_mktsegment || '\"}}' AS text FROM customer")
+def drop_nested_field(spark, d):
+    config = F.struct(F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("env"))
+    c = TV.table(spark, d, "customer").select("c_custkey", F.struct(F.col("c_name").alias("name"), config.alias("config")).alias("r"))
+    return c.select("c_custkey", F.to_json(RC.without_fields("r", "config.env")).alias("text"))
+
+
+@register("nested_defaults", "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_size ELSE 2 END AS cores, CASE WHEN p_size % 2 = 0 THEN p_brand ELSE 'none' END AS tag FROM part")
+def nested_defaults(spark, d):
+    own = F.struct(F.when(F.col("p_size") > 25, F.col("p_size")).alias("cores"), F.when(F.col("p_size") % 2 == 0, F.struct(F.col("p_brand").alias("tag"))).alias("meta"))
+    base = F.struct(F.lit(2).alias("cores"), F.struct(F.lit("none").alias("tag")).alias("meta"))
+    p = TV.table(spark, d, "part").select("p_partkey", RC.merged(base, own, {"cores": None, "meta": {"tag": None}}).alias("m"))
+    return p.select("p_partkey", "m.cores", "m.meta.tag")
+
+
+@register(
+    "merge_frames",
+    "SELECT coalesce(a.k, b.k) AS k, a.n_customers, b.n_suppliers FROM (SELECT c_nationkey AS k, count(*) AS n_customers FROM customer GROUP BY 1) a FULL JOIN (SELECT s_nationkey AS k, count(*) AS n_suppliers FROM supplier GROUP BY 1) b ON a.k = b.k",
+)
+def merge_frames(spark, d):
+    c = TV.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count("*").alias("n_customers"))
+    s = TV.table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count("*").alias("n_suppliers"))
+    return RC.merge_frames([c, s], ["k"])
+
+
+@register("start_order", "SELECT n_name, CAST(row_number() OVER (ORDER BY CASE WHEN n_regionkey > 0 THEN n_regionkey ELSE 2 END, n_name) AS INTEGER) AS starts FROM nation")
+def start_order(spark, d):
+    n = TV.table(spark, d, "nation").withColumn("o", F.when(F.col("n_regionkey") > 0, F.col("n_regionkey")))
+    return RC.start_order(n, "n_name", "o", 2).select("n_name", "starts")
+
+
+@register("bound_targets", "SELECT event_id, value, c_name AS container, event_type AS job FROM events JOIN customer ON c_custkey = user_id WHERE c_custkey % 4 <> 0")
+def bound_targets(spark, d):
+    made = RL.relabel(RL.per_network(_targets(spark, d), prefix="__found_net_"), TARGET_RULES)
+    made = made.withColumn("labels", merge_labels(F.col("labels"), F.create_map(F.lit("__address__"), F.col("c_custkey").cast("string"))))
+    g = TV.gauge(spark, d).join(TV.table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("at")), "event_id")
+    return RC.bound_to(g, made, "at").select("event_id", "value", label("container").alias("container"), label("job").alias("job"))
+
+
+@register("query_string", "SELECT p_partkey, 'title=' || replace(replace(p_name, '%', '%25'), ' ', '%20') || '&priority=' || CAST(p_size AS VARCHAR) AS q FROM part")
+def query_string(spark, d):
+    return TV.table(spark, d, "part").select("p_partkey", RC.query_string(title="p_name", priority="p_size", none=F.lit(None)).alias("q"))
+
+
+@register("metrics_page", "SELECT 'up{instance=\"' || instance || '\",job=\"up\"} ' || CASE WHEN value = 0 THEN '0.0' ELSE '1.0' END AS value FROM up")
+def metrics_page(spark, d):
+    return RC.exposition(TV.up(spark, d))
+
+
+@register("older_than", "SELECT event_id FROM events WHERE ts < TIMESTAMP '2024-01-15 12:00:00' - INTERVAL 168 HOURS")
+def older_than(spark, d):
+    return RC.older_than(TV.table(spark, d, "events"), "ts", AT, "168h").select("event_id")
+
+
+@register("label_key_escape", ", k AS (SELECT event_type || ',b=' || CAST(user_id % 3 AS VARCHAR) AS a, CASE WHEN user_id % 2 = 0 THEN 'x=' ELSE '' END AS b, value FROM events) SELECT a, b, sum(value) AS value, count(*) AS n FROM k GROUP BY 1, 2")
+def label_key_escape(spark, d):
+    e = TV.table(spark, d, "events")
+    a = F.concat("event_type", F.lit(",b="), (F.col("user_id") % 3).cast("string"))
+    labels = F.create_map(F.lit("a"), a, F.lit("b"), F.when(F.col("user_id") % 2 == 0, "x=").otherwise(""))
+    rows = e.select(labels.alias("labels"), "value").withColumn("series_key", series_key("labels"))
+    sums = rows.groupBy("series_key").agg(F.any_value("labels").alias("labels"), F.sum("value").alias("value"), F.count("*").alias("n"))
+    return sums.select(label("a").alias("a"), label("b").alias("b"), "value", "n")
+
+
+@register("series_legend", "SELECT DISTINCT job || ' on ' || instance AS legend FROM g")
+def series_legend(spark, d):
+    return TV.gauge(spark, d).select(text.template("{{job}} on {{instance}}", label).alias("legend")).distinct()
+
+
+@register("strip_and_split", "SELECT p_partkey, regexp_replace('v' || CAST(p_size AS VARCHAR) || '.git', '^v|[.]git$', '', 'g') AS bare, upper(string_split(trim('  ' || p_type || '  '), ' ')[1]) AS first_word, TRY_CAST(p_name AS BIGINT) IS NULL AS no_number FROM part")
+def strip_and_split(spark, d):
+    size = F.concat(F.lit("v"), F.col("p_size").cast("string"), F.lit(".git"))
+    return TV.table(spark, d, "part").select(
+        "p_partkey", text.stripped(size, "v", ".git").alias("bare"), F.upper(F.get(F.split(F.trim(F.concat(F.lit("  "), "p_type", F.lit("  "))), " "), F.lit(0))).alias("first_word"), F.col("p_name").try_cast("bigint").isNull().alias("no_number"),
+    )
+
+
+@register("age_ms", "SELECT event_id, CAST(epoch_ms(TIMESTAMP '2024-02-15 12:00:00') - floor(epoch_us(ts) / 1000) AS BIGINT) AS age_ms FROM events")
+def age_ms(spark, d):
+    return TV.table(spark, d, "events").select("event_id", durations.age_ms("ts", "2024-02-15 12:00:00").alias("age_ms"))

@@ -1,138 +1,136 @@
-"""The alert rules and dashboard panels, as functions over samples and logs.
+"""Alert rules read from documents, and the dashboard panels, as functions over samples and logs.
 
-Each rule's expression takes (samples, at) and gives the vector that alerts; evaluate_at turns it into alerts.
-Thresholds, windows and holding times are fixed values of the rules.
+A rule document has what a line of a rule table has (namespace, grp, alert, hold, labels, annotations) and an
+expression as a tree of steps: {"kind": ..., and the step's own fields}. KINDS lists them. No query text is parsed.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..model import series_key
 from ..operators import logs as L
 from ..operators import ranges as R
 from ..operators import selectors as S
 from ..operators import vectors as V
 from ..operators.alerts import Rule, annotate
 
+#: Takes samples and a time, gives the vector that alerts.
 Expression = Callable[[DataFrame, str], DataFrame]
-NODE = [("job", "=", "node")]
-DISK = [*NODE, ("fstype", "!=", ""), ("mountpoint", "!=", "")]
 
 
-def agent_absent(samples: DataFrame, at: str, hosts: tuple[str, ...] = ("apps", "infra")) -> DataFrame:
-    out = None
-    for host in hosts:
-        matchers = [*NODE, ("host", "=", host)]
-        own = R.absent_over_time(S.range_series(samples, "up", matchers, at, "5m"), matchers)
-        out = own if out is None else V.v_or(out, own)
-    return out
+def _matchers(step: dict) -> list[S.Matcher]:
+    return [tuple(m) for m in step.get("where", [])]
 
 
-def target_down(samples: DataFrame, at: str) -> DataFrame:
-    return V.compare(S.select_series(samples, "up", [], at), "==", 0)
+def _series(step: dict) -> Expression:
+    return lambda samples, at: S.select_series(samples, step["metric"], _matchers(step), at, step.get("lookback", S.LOOKBACK))
 
 
-def filesystem_early_warning(samples: DataFrame, at: str) -> DataFrame:
-    one = lambda metric: S.select_series(samples, metric, DISK, at)
-    size = one("node_filesystem_size_bytes")
-    free = V.compare(V.binop(V.binop(one("node_filesystem_avail_bytes"), "/", size), "*", 100), "<", 20)
-    return V.v_and(V.v_and(free, V.compare(one("node_filesystem_readonly"), "==", 0)), V.compare(size, ">", 5e9))
+def _range(step: dict) -> Expression:
+    return lambda samples, at: S.range_series(samples, step["metric"], _matchers(step), at, step["width"])
 
 
-def memory_low(samples: DataFrame, at: str) -> DataFrame:
-    one = lambda metric: S.select_series(samples, metric, NODE, at)
-    return V.compare(V.binop(V.binop(one("node_memory_MemAvailable_bytes"), "/", one("node_memory_MemTotal_bytes")), "*", 100), "<", 10)
+def _over_time(step: dict) -> Expression:
+    return lambda samples, at: R.over_time(_range(step)(samples, at), step.get("fn", "avg"))
 
 
-def counter_rose(metric: str, width: str) -> Expression:
-    return lambda samples, at: V.compare(R.increase(S.range_series(samples, metric, [], at, width)), ">", 0)
+def _increase(step: dict) -> Expression:
+    return lambda samples, at: R.increase(_range(step)(samples, at))
 
 
-def counter_rate_positive(metric: str, width: str) -> Expression:
-    return lambda samples, at: V.compare(R.rate(S.range_series(samples, metric, [], at, width), width), ">", 0)
+def _rate(step: dict) -> Expression:
+    return lambda samples, at: R.rate(_range(step)(samples, at), step["width"])
 
 
-def ingress_unreachable(samples: DataFrame, at: str) -> DataFrame:
-    rv = S.range_series(samples, "probe_success", [("job", "=", "public-ingress")], at, "6m")
-    return V.compare(V.agg(R.avg_over_time(rv), "avg", ["job", "instance"]), "<", 0.5)
+def _absent(step: dict) -> Expression:
+    return lambda samples, at: R.absent_over_time(_range(step)(samples, at), _matchers(step))
 
 
-def endpoint_down(samples: DataFrame, at: str) -> DataFrame:
-    return V.compare(S.select_series(samples, "gatus_results_endpoint_success", [], at), "==", 0)
+def _aggregate(step: dict) -> Expression:
+    inner = expression(step["of"])
+    return lambda samples, at: V.agg(inner(samples, at), step["fn"], step.get("by"))
 
 
-def absent(metric: str, matchers: list[S.Matcher], width: str) -> Expression:
-    return lambda samples, at: R.absent_over_time(S.range_series(samples, metric, matchers, at, width), matchers)
+def _arithmetic(step: dict) -> Expression:
+    left, right = expression(step["left"]), step["right"]
+    other = expression(right) if isinstance(right, dict) else lambda samples, at: float(right)
+    return lambda samples, at: V.binop(left(samples, at), step["op"], other(samples, at))
 
 
-CRITICAL, WARNING = {"severity": "critical"}, {"severity": "warning"}
-#: Rule, and its expression.
-RULES: list[tuple[Rule, Expression]] = [
-    (Rule("HostAgentAbsent", "5m", CRITICAL, {"summary": "{{ $labels.host }} has gone quiet"}), agent_absent),
-    (Rule("ScrapeTargetDown", "10m", WARNING, {"summary": "scrapes of {{ $labels.job }} on {{ $labels.host }} fail"}), target_down),
-    (
-        Rule("HostFilesystemEarlyWarning", "30m", WARNING, {
-            "summary": "{{ $labels.host }}: {{ $labels.mountpoint }} is filling up",
-            "description": '{{ $labels.mountpoint }} ({{ $labels.device }}) on {{ $labels.host }}: {{ printf "%.1f" $value }}% left',
-        }),
-        filesystem_early_warning,
-    ),
-    (Rule("HostMemoryLow", "15m", WARNING, {"summary": '{{ $labels.host }}: {{ printf "%.1f" $value }}% of memory left'}), memory_low),
-    (Rule("DeploymentFailed", "0s", WARNING), counter_rose("doco_cd_deployment_errors_total", "10m")),
-    (Rule("PollFailing", "15m", WARNING), counter_rate_positive("doco_cd_poll_errors_total", "5m")),
-    (Rule("PublicIngressUnreachable", "4m", CRITICAL), ingress_unreachable),
-    (Rule("EndpointDown", "5m", CRITICAL, {"summary": "{{ $labels.group }}/{{ $labels.name }} fails its checks"}), endpoint_down),
-    (Rule("ProberAbsent", "5m", WARNING), absent("gatus_results_endpoint_success", [], "10m")),
-    (
-        Rule("ContainerAbsent", "5m", WARNING),
-        absent("container_memory_working_set_bytes", [("host", "=", "infra"), ("container_label_com_docker_compose_project", "=", "agent")], "10m"),
-    ),
-]
+def _compare(step: dict) -> Expression:
+    inner = expression(step["of"])
+    return lambda samples, at: V.compare(inner(samples, at), step["op"], step["number"])
 
 
-def evaluate_at(samples: DataFrame, rule: Rule, expression: Expression, at: str) -> DataFrame:
-    """A rule's alerts at one time, labelled and annotated, before holding."""
-    return annotate(expression(samples, at), rule)
+def _joined(step: dict) -> Expression:
+    parts, join = [expression(x) for x in step["parts"]], V.v_and if step["kind"] == "all" else V.v_or
+    return lambda samples, at: reduce(join, [x(samples, at) for x in parts])
 
 
-#: Fixed value: the pattern that reads a ban or an alert out of a message.
-BAN = r"^\((?P<machine>[^)]*)\) (?:alert : )?(?P<scenario>\S+)(?: for \d+/\d+ decisions)? by (?:ip|range) (?P<source_ip>\S+)(?: \((?P<country>[^/)]*)/?(?P<asn>[^)]*)\))?(?: : (?P<duration>\S+) (?P<action>\S+) on .*)?$"
+def _top(step: dict) -> Expression:
+    inner = expression(step["of"])
+    return lambda samples, at: V.topk(inner(samples, at), step["k"])
+
+
+KINDS: dict[str, Callable[[dict], Expression]] = {
+    "series": _series, "over_time": _over_time, "increase": _increase, "rate": _rate, "absent": _absent, "aggregate": _aggregate,
+    "arithmetic": _arithmetic, "compare": _compare, "all": _joined, "any": _joined, "top": _top,
+}
+
+
+def expression(step: dict) -> Expression:
+    """A step as a function of samples and a time; an unknown kind is an error at once."""
+    if step.get("kind") not in KINDS:
+        raise ValueError(f"not an expression: {step!r}")
+    return KINDS[step["kind"]](step)
 
 
-def bans(logs: DataFrame, **stream: str) -> DataFrame:
-    """The bans and alerts of a log stream, their fields as labels. The cheap filters come before the pattern."""
-    lines = L.label_filter(L.parse_logfmt(L.stream(logs, **stream)), "msg", "=~", ".* by (ip|range) .*")
-    return L.parse_regexp(L.line_format(lines, "{{.msg}}"), BAN)
+def from_documents(documents: Iterable[dict]) -> list[tuple[Rule, Expression]]:
+    """Rule documents (dicts, as JSON or YAML gives them) as rules with their expressions."""
+    return [(Rule(d["alert"], d.get("hold", "0s"), dict(d.get("labels") or {}), dict(d.get("annotations") or {})), expression(d["expr"])) for d in documents]
 
 
-def top_sources(logs: DataFrame, at: str, width: str, k: int = 15, **stream: str) -> DataFrame:
-    found = L.count_over_time(L.in_window(bans(logs, **stream), at, width), ["source_ip", "country", "asn"])
-    return V.topk(found, k)
+def evaluate_at(samples: DataFrame, rule: Rule, expr: Expression, at: str) -> DataFrame:
+    """A rule's alerts at one time, labelled and annotated, before holding."""
+    return annotate(expr(samples, at), rule)
+
+
+#: Fixed value: the pattern that reads a ban or an alert out of a message.
+BAN = r"^\((?P<machine>[^)]*)\) (?:alert : )?(?P<scenario>\S+)(?: for \d+/\d+ decisions)? by (?:ip|range) (?P<source_ip>\S+)(?: \((?P<country>[^/)]*)/?(?P<asn>[^)]*)\))?(?: : (?P<duration>\S+) (?P<action>\S+) on .*)?$"
+
 
+def messages(logs: DataFrame, pattern: str, fits: str, field: str = "msg", **stream: str) -> DataFrame:
+    """The messages of a log stream (a field of its logfmt lines) that match fits as a whole, the named groups of pattern as labels."""
+    lines = L.label_filter(L.parse_logfmt(L.stream(logs, **stream)), field, "=~", fits)
+    return L.parse_regexp(L.line_format(lines, "{{." + field + "}}"), pattern)
 
-def top_scenarios(logs: DataFrame, at: str, width: str, k: int = 15, **stream: str) -> DataFrame:
-    return V.topk(L.count_over_time(L.in_window(bans(logs, **stream), at, width), ["scenario"]), k)
 
+def top_messages(logs: DataFrame, at: str, width: str, by: list[str], pattern: str, fits: str, k: int = 15, **stream: str) -> DataFrame:
+    """The most frequent messages of a window by some of their groups. The window is cut before anything is parsed."""
+    found = messages(L.in_window(logs, at, width), pattern, fits, **stream)
+    return V.topk(L.count_over_time(found, by), k)
 
-def ban_lines(logs: DataFrame, **stream: str) -> DataFrame:
-    text = "{{.scenario}}  {{.source_ip}} {{.country}}/{{.asn}}  {{if .action}}{{.duration}} {{.action}}{{else}}alert only{{end}}"
-    return L.line_format(bans(logs, **stream), text).orderBy(F.col("ts").desc())
 
+def message_lines(logs: DataFrame, pattern: str, fits: str, text: str, **stream: str) -> DataFrame:
+    """Messages rendered by a template, newest first."""
+    return L.line_format(messages(logs, pattern, fits, **stream), text).orderBy(F.col("ts").desc())
 
-def top_rules(samples: DataFrame, at: str, width: str, k: int = 15) -> DataFrame:
-    rose = R.increase(S.range_series(samples, "cs_appsec_rule_hits", [], at, width))
-    return V.topk(V.compare(V.agg(rose, "sum", ["rule_name"]), ">", 0), k)
 
+def top_rises(samples: DataFrame, metric: str, by: list[str], at: str, width: str, k: int = 15) -> DataFrame:
+    """The counters that rose most over a window, by some labels; those that did not rise are left out."""
+    rose = R.increase(S.range_series(samples, metric, [], at, width))
+    return V.topk(V.compare(V.agg(rose, "sum", by), ">", 0), k)
 
-def overflow_by_step(samples: DataFrame, step: str = "5 minutes") -> DataFrame:
-    """How many buckets overflowed in each step, by name."""
-    from ..model import series_key
 
-    rows = samples.where(F.col("metric") == "cs_bucket_overflowed_total").withColumn("series_key", series_key("labels"))
-    return V.agg(R.increase(R.tumbling(rows, step), ["window_start"]), "sum", ["name"], ["window_start"])
+def rises_by_step(samples: DataFrame, metric: str, by: list[str], step: str = "5 minutes") -> DataFrame:
+    """By how much a counter rose in each step, by some labels."""
+    rows = samples.where(F.col("metric") == metric).withColumn("series_key", series_key("labels"))
+    return V.agg(R.increase(R.tumbling(rows, step), ["window_start"]), "sum", by, ["window_start"])
 
 
 def log_alert(logs: DataFrame, text: str, at: str, width: str = "15m", by: tuple[str, ...] = ("host",)) -> DataFrame:

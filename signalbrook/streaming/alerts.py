@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -77,13 +78,28 @@ def state_changes(evals: DataFrame, key: str, hold: str) -> DataFrame:
     return evals.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, ts timestamp, state string, version long", STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def silent(heartbeats: DataFrame, expected: DataFrame, key: str, ticks: DataFrame, width: str) -> DataFrame:
-    """Expected keys with no heartbeat in (tick - width, tick], for each tick: a dead sender leaves no row to see."""
-    w = F.make_dt_interval(secs=F.lit(float(seconds(width))))
-    grid = expected.select(key).distinct().join(ticks.select("tick"))
+def ticks_of(rows: DataFrame, ts: str, step: str) -> list[datetime]:
+    """The times at which a table is looked at: from the hour of its first row on, a step apart, until all is covered. They are known on the
+    driver: as many as the steps between two times, whatever the rows."""
+    first, last = rows.agg(F.date_trunc("hour", F.min(ts)).cast("timestamp_ntz"), F.date_trunc("hour", F.max(ts)).cast("timestamp_ntz")).first()
+    width, out = timedelta(seconds=seconds(step)), []
+    while first is not None and first + len(out) * width <= last + width:
+        out.append(first + len(out) * width)
+    return out
+
+
+def silent(heartbeats: DataFrame, expected: DataFrame, key: str, ticks: list[datetime], width: str) -> DataFrame:
+    """Expected keys with no heartbeat in (tick - width, tick], for each tick: a dead sender leaves no row to see. A key's ticks are unfolded from
+    one array; a heartbeat counts for the ticks that it is near, summed before keys and ticks meet."""
     bin_s = int(seconds(width))
-    beat = heartbeats.select(F.col(key).alias("key_"), F.col("ts").alias("beat_")).withColumn("bin_", F.floor(epoch_seconds("beat_") / bin_s))
-    near = grid.withColumn("bin_", F.explode(F.array(*[F.floor(epoch_seconds("tick") / bin_s) + i for i in (-1, 0)])))
-    beat = beat.withColumnRenamed("key_", key)
-    seen = near.join(beat, [key, "bin_"]).where((F.col("beat_") > F.col("tick") - w) & (F.col("beat_") <= F.col("tick")))
-    return grid.join(seen.select(key, "tick"), [key, "tick"], "left_anti")
+    times = F.array(*[F.lit(str(t)).cast("timestamp_ntz") for t in ticks]) if ticks else F.array().cast("array<timestamp_ntz>")
+    w = F.make_dt_interval(secs=F.lit(float(bin_s)))
+    grid = expected.select(key).distinct().withColumn("tick", F.explode(times))
+    bin_of = lambda c: F.floor(epoch_seconds(c) / bin_s)
+    beat = heartbeats.select(F.col(key), F.col("ts").alias("beat_"), bin_of("ts").alias("bin_"))
+    ends = beat.groupBy(key, "bin_").agg(F.min("beat_").alias("first_"), F.max("beat_").alias("last_"))
+    near = grid.withColumn("bin_", F.explode(F.array(*[bin_of("tick") + i for i in (-1, 0)])))
+    # of a bin that the window cuts below, the last heartbeat tells; of one that it cuts above, the first
+    inside = F.when(F.col("bin_") == bin_of("tick"), F.col("first_") <= F.col("tick")).otherwise(F.col("last_") > F.col("tick") - w)
+    seen = near.join(ends, [key, "bin_"]).where(inside)
+    return grid.join(seen.select(key, "tick").distinct(), [key, "tick"], "left_anti")

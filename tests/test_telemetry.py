@@ -1,5 +1,6 @@
 """Hand-worked cases for ranges, vectors, logs, relabelling, probes, alerts and inventory."""
 
+import re
 from datetime import datetime
 
 import pytest
@@ -8,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from signalbrook.functions import durations, text
-from signalbrook.model import LOGS, SAMPLES, label, merge_labels, series_key
+from signalbrook.model import LOGS, SAMPLES, key_text, label, merge_labels, series_key
 from signalbrook.operators import alerts as A
 from signalbrook.operators import inventory as I
 from signalbrook.operators import logs as L
@@ -17,7 +18,7 @@ from signalbrook.operators import ranges as R
 from signalbrook.operators import relabel as RL
 from signalbrook.operators import selectors as S
 from signalbrook.operators import vectors as V
-from signalbrook.plans import rules
+from signalbrook.plans import queries, rules
 
 
 def at(minute, hour=10):
@@ -44,30 +45,66 @@ def test_increase_is_never_negative(spark, values):
     assert got == sum(b - a if b >= a else b for a, b in zip(values, values[1:])) >= 0
 
 
-def test_filesystem_rule(spark):
+ROOMS = [("room", "!=", "")]
+DOCUMENTS = [
+    {
+        "alert": "TankLow", "hold": "10m", "labels": {"severity": "warning"},
+        "annotations": {"text": '{{ $labels.tank }} ({{ $labels.room }}): {{ printf "%.1f" $value }} of 100'},
+        "expr": {"kind": "all", "parts": [
+            {"kind": "compare", "op": "<", "number": 20, "of": {
+                "kind": "arithmetic", "op": "*", "right": 100,
+                "left": {"kind": "arithmetic", "op": "/", "left": {"kind": "series", "metric": "tank_litres", "where": ROOMS}, "right": {"kind": "series", "metric": "tank_capacity", "where": ROOMS}},
+            }},
+            {"kind": "compare", "op": "==", "number": 0, "of": {"kind": "series", "metric": "tank_sealed"}},
+            {"kind": "compare", "op": ">", "number": 500, "of": {"kind": "series", "metric": "tank_capacity"}},
+        ]},
+    },
+    {"alert": "PumpGone", "expr": {"kind": "any", "parts": [{"kind": "absent", "metric": "pump_turns", "width": "5m", "where": [("room", "=", r), ("pump", "=~", ".+")]} for r in ("east", "west")]}},
+    {"alert": "PumpErrors", "expr": {"kind": "compare", "op": ">", "number": 0, "of": {"kind": "increase", "metric": "pump_errors", "width": "10m"}}},
+    {"alert": "PumpErrorRate", "expr": {"kind": "compare", "op": ">", "number": 0.01, "of": {"kind": "rate", "metric": "pump_errors", "width": "10m"}}},
+    {"alert": "FlowWeak", "expr": {"kind": "compare", "op": "<", "number": 0.5, "of": {"kind": "aggregate", "fn": "avg", "by": ["room"], "of": {"kind": "over_time", "fn": "avg", "metric": "flow", "width": "6m"}}}},
+    {"alert": "Fullest", "expr": {"kind": "top", "k": 1, "of": {"kind": "series", "metric": "tank_litres"}}},
+]
+
+
+def test_rules_from_documents(spark):
     rows = []
-    for mount, avail, size, ro in (("/a", 1e9, 1e10, 0), ("/b", 1e9, 4e9, 0), ("/c", 1e9, 1e10, 1), ("/d", 2e9, 1e10, 0), ("/e", 1e9, None, 0)):
-        lb = {"job": "node", "host": "h", "fstype": "ext4", "mountpoint": mount, "device": "sda"}
-        rows += [("node_filesystem_avail_bytes", lb, at(0), avail), ("node_filesystem_readonly", lb, at(0), ro)]
-        rows += [("node_filesystem_size_bytes", lb, at(0), size)] if size else []
-    rule, expr = next(x for x in rules.RULES if x[0].alert == "HostFilesystemEarlyWarning")
-    got = rules.evaluate_at(samples(spark, rows), rule, expr, "2024-01-01 10:01:00").collect()
-    assert [(r.labels["mountpoint"], r.value, r.labels["severity"]) for r in got] == [("/a", 10.0, "warning")]
-    assert got[0].annotations["description"] == "/a (sda) on h: 10.0% left"
-
-
-def test_absence(spark):
-    df = samples(spark, [("up", {"job": "node", "host": "apps"}, at(0), 1)])
-    got = rules.agent_absent(df, "2024-01-01 10:01:00").collect()
-    assert [(dict(r.labels), r.value) for r in got] == [({"job": "node", "host": "infra"}, 1.0)]
-    none = rules.absent("gatus_results_endpoint_success", [], "10m")(df, "2024-01-01 10:01:00").collect()
+    for tank, litres, capacity, sealed in (("a", 100, 1000, 0), ("b", 100, 400, 0), ("c", 100, 1000, 1), ("d", 200, 1000, 0), ("e", 100, None, 0)):
+        lb = {"room": "east", "tank": tank}
+        rows += [("tank_litres", lb, at(0), litres), ("tank_sealed", lb, at(0), sealed)] + ([("tank_capacity", lb, at(0), capacity)] if capacity else [])
+    rows += [("pump_turns", {"room": "east", "pump": "p"}, at(0), 1), ("flow", {"room": "east", "n": "1"}, at(0), 0.4), ("flow", {"room": "east", "n": "2"}, at(0), 0.5)]
+    rows += [("pump_errors", {"pump": "p"}, at(m), v) for m, v in ((52, 1), (55, 3))]
+    rows[-2:] = [(a, b, datetime(2024, 1, 1, 9, m), v) for (a, b, _, v), m in zip(rows[-2:], (52, 55))]
+    df, made = samples(spark, rows), rules.from_documents(DOCUMENTS)
+    got = {rule.alert: rules.evaluate_at(df, rule, expr, "2024-01-01 10:00:30").collect() for rule, expr in made}
+    assert [(r.labels["tank"], r.value, r.labels["severity"], r.annotations["text"]) for r in got["TankLow"]] == [("a", 10.0, "warning", "a (east): 10.0 of 100")]
+    assert [(dict(r.labels), r.value) for r in got["PumpGone"]] == [({"room": "west", "alertname": "PumpGone"}, 1.0)]
+    assert [r.value for r in got["PumpErrors"]] == [2.0] and not got["PumpErrorRate"]
+    assert [(r.labels["room"], r.value) for r in got["FlowWeak"]] == [("east", 0.45)]
+    assert [r.labels["tank"] for r in got["Fullest"]] == ["d"]
+    with pytest.raises(ValueError):
+        rules.expression({"kind": "query"})
+
+
+def test_absence_without_labels(spark):
+    df = samples(spark, [("up", {"host": "a"}, at(0), 1)])
+    none = rules.expression({"kind": "absent", "metric": "gone", "width": "10m"})(df, "2024-01-01 10:01:00").collect()
     assert [(dict(r.labels), r.value) for r in none] == [({}, 1.0)]
 
 
-def test_every_rule_evaluates(spark):
-    df = samples(spark, [("up", {"job": "x", "host": "h"}, at(0), 0), ("probe_success", {"job": "public-ingress", "instance": "i"}, at(0), 0), ("gatus_results_endpoint_success", {"group": "g", "name": "n"}, at(0), 0)])
-    firing = {r.alert for r, e in rules.RULES if rules.evaluate_at(df, r, e, "2024-01-01 10:01:00").count()}
-    assert firing == {"HostAgentAbsent", "ScrapeTargetDown", "PublicIngressUnreachable", "EndpointDown", "ContainerAbsent"}
+@settings(max_examples=20, deadline=None)
+@given(st.lists(st.dictionaries(st.text("ab,=\\", min_size=1, max_size=3), st.text("ab,=\\", min_size=1, max_size=3), max_size=3), min_size=2, max_size=6))
+def test_series_keys_tell_labels_apart(spark, maps):
+    got = spark.createDataFrame([(m,) for m in maps], "labels map<string,string>").select("labels", series_key("labels").alias("k")).collect()
+    for r in got:
+        assert r.k == key_text(dict(r.labels))
+    assert len({r.k for r in got}) == len({tuple(sorted(m.items())) for m in maps})
+
+
+def test_matchers_take_the_whole_value(spark):
+    df = spark.createDataFrame([({"a": v},) for v in ("abc", "abc\n", "xabc")], "labels map<string,string>")
+    assert [r.labels["a"] for r in S.where_labels(df, [("a", "=~", "abc")]).collect()] == ["abc"]
+    assert [r.labels["a"] for r in S.where_labels(df, [("a", "!~", "abc")]).collect()] == ["abc\n", "xabc"]
 
 
 def test_sets_and_topk(spark):
@@ -90,14 +127,26 @@ LINES = [
 
 def test_ban_lines(spark):
     df = spark.createDataFrame([(at(i), "h", "proxy", "waf", "c", line) for i, (line, _) in enumerate(LINES)], LOGS)
-    got = [r.line for r in rules.ban_lines(df, stack="proxy", service="waf").collect()]
+    got = [r.line for r in rules.message_lines(df, rules.BAN, queries.BANS, queries.BAN_LINE, stack="proxy", service="waf").collect()]
     assert got == [want for _, want in reversed(LINES) if want]
 
 
 def test_logfmt_unquotes(spark):
-    df = spark.createDataFrame([(r'level=info msg="(m) a \"q\" by ip 198.51.100.4" level=warn',), ("no pairs",)], "line string")
-    got = [dict(r.m) for r in df.select(text.logfmt("line").alias("m")).collect()]
-    assert got == [{"level": "warn", "msg": '(m) a "q" by ip 198.51.100.4'}, {}]
+    lines = [r'level=info msg="(m) a \"q\" by ip 198.51.100.4" level=warn', "no pairs", 'a="" b= c=x=y d="open e="', None]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    got = [r.m and dict(r.m) for r in df.select(text.logfmt(text.logfmt_pairs("line")).alias("m")).collect()]
+    assert got == [{"level": "warn", "msg": '(m) a "q" by ip 198.51.100.4'}, {}, {"a": "", "b": "", "c": "x=y", "d": "open e="}, None]
+
+
+def test_named_groups_are_read_once(spark):
+    pattern = r"(?P<a>\w+)=(?P<b>\d+)?(?:;(?P<c>x))?"
+    lines = ["k=1;x", "  k=2 and l=3", "none", "k=", "", None, "k=\x01 4", "\x02k=5;x", "k=6\n"]
+    groups, names = text.split_groups(text.laid_groups("line", pattern), "line", pattern)
+    got = [tuple(r.g) for r in spark.createDataFrame([(x,) for x in lines], "line string").select(groups.alias("g")).collect()]
+    found = [re.search(pattern, x or "") for x in lines]
+    assert names == ["a", "b", "c"] and got == [tuple(x or "" for x in m.groups()) if m else ("", "", "") for m in found]
+    plan = L.parse_regexp(L.parse_logfmt(L.stream(spark.createDataFrame([], LOGS))), pattern).where(label("a") == "k").select(label("a"), label("b"), label("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and plan.count("regexp_replace(line") == 1
 
 
 def test_json_labels_and_tail(spark):
@@ -107,17 +156,19 @@ def test_json_labels_and_tail(spark):
     assert [r.line for r in L.tail(df, 1).collect()] == ['{"level":"info"}']
 
 
+#: What a container needs to be scraped: a port, and a place on the network named proxy.
+CONTAINERS = [
+    RL.Rule(("__meta_port",), regex=".+", action="keep"), RL.Rule(("__meta_network_name",), regex="proxy", action="keep"),
+    RL.Rule(("__meta_network_ip", "__meta_port"), target="__address__", separator=":"), RL.Rule(("__meta_name",), target="container", regex="/(.*)"), RL.Rule(("__meta_service",), target="service"),
+]
+
+
 def test_relabel_targets(spark):
-    P_ = "__meta_docker_"
     rows = [("/x-1", "x", "6060", [("proxy", "192.0.2.5"), ("default", "192.0.2.9")]), ("/y-1", "y", None, [("proxy", "192.0.2.6")])]
-    df = spark.createDataFrame(
-        [({P_ + "container_name": n, P_ + "container_label_com_docker_compose_service": s, P_ + "container_label_metrics_port": p}, nets) for n, s, p, nets in rows],
-        "labels map<string,string>, networks array<struct<name:string,ip:string>>",
-    )
-    got = RL.relabel(RL.per_network(df), RL.CONTAINER_TARGETS).collect()
+    df = spark.createDataFrame([({"__meta_name": n, "__meta_service": s, "__meta_port": p}, nets) for n, s, p, nets in rows], "labels map<string,string>, networks array<struct<name:string,ip:string>>")
+    got = RL.relabel(RL.per_network(df), CONTAINERS).collect()
     assert [(r.labels["__address__"], r.labels["container"], r.labels["service"]) for r in got] == [("192.0.2.5:6060", "x-1", "x")]
-    again = RL.relabel(RL.relabel(RL.per_network(df), RL.CONTAINER_TARGETS), RL.CONTAINER_TARGETS[:2])
-    assert again.count() == 1
+    assert RL.relabel(RL.relabel(RL.per_network(df), CONTAINERS), CONTAINERS[:2]).count() == 1
 
 
 def test_probe_conditions(spark):
