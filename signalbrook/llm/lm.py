@@ -39,22 +39,25 @@ END = np.uint64(0x6A09E667F3BCC908)
 BEFORE = np.uint64(0xBB67AE8584CAA73B)
 SALTS = np.array([0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1, 0x510E527FADE682D1], np.uint64)
 #: Tokens at once.
-STEP = 1 << 13
+STEP = 1 << 12
 #: Where the weights start, and how firmly they are held there.
 START, HELD = 0.3, 1.0
 
 
+#: A byte stands for log(1 + count) in steps of this: counts to a dozen are told apart, and it ends beyond three million.
+UNIT = 1 / 17
+
+
 def quantised(n: np.ndarray) -> np.ndarray:
-    """A count as a byte: exact to 16, then sixteen steps to a doubling."""
-    big = 16 + np.rint(16 * np.log2(np.maximum(n, 16) / 16))
-    return np.minimum(np.where(n <= 16, n, big), 255).astype(np.uint8)
+    """A count as a byte, its log in steps."""
+    return np.minimum(np.rint(np.log1p(n) / UNIT), 255).astype(np.uint8)
 
 
-#: The counts that the bytes stand for; the logs of one more, also for one count less (a token's own left out).
-COUNT = np.where(np.arange(256) <= 16, np.arange(256), 16 * 2.0 ** ((np.arange(256) - 16) / 16))
-LOG, LOG_REST = np.log1p(COUNT).astype(np.float32), np.log1p(np.maximum(COUNT - 1, 0)).astype(np.float32)
-BIN = np.minimum(np.log2(COUNT + 1), BINS - 1).astype(np.int64)
-BIN_REST = np.minimum(np.log2(np.maximum(COUNT - 1, 0) + 1), BINS - 1).astype(np.int64)
+#: The counts that the bytes stand for; the logs of one less (a token's own left out); the bins of both.
+COUNT = np.expm1(np.arange(256) * UNIT)
+LOG_REST = np.log1p(np.maximum(COUNT - 1, 0)).astype(np.float32)
+BIN = np.clip(np.log2(COUNT + 1.2), 0, BINS - 1).astype(np.int64)
+BIN_REST = np.clip(np.log2(np.maximum(COUNT - 1, 0) + 1.2), 0, BINS - 1).astype(np.int64)
 
 
 @dataclass
@@ -126,19 +129,17 @@ class Model:
         out, rows = np.zeros(len(codes)), self.cells.shape[2]
         for digit in range(DIGITS):
             alone = self.alone(digit)
-            weighted = (self.weights[digit][:, :, None] * LOG).astype(np.float32).reshape(CONTEXTS, -1)  # by bin and byte
             before, value = prefixes(codes, digit)
             for a in range(0, len(codes), STEP):
                 b = slice(a, a + STEP)
-                z = np.take(alone, before[b], axis=0)
+                z = np.take(alone, before[b], axis=0, mode="clip")
                 for k in range(CONTEXTS):
                     row = table_rows(contexts[k][b], before[b], rows)
-                    at = np.take(self.cells[digit, k], row, axis=0).astype(np.int16)
-                    at += (BIN[np.take(self.met[digit, k], row)] << 8).astype(np.int16)[:, None]
-                    z += np.take(weighted[k], at)
-                z -= z.max(1, keepdims=True)
+                    x = np.take(self.cells[digit, k], row, axis=0, mode="clip").astype(np.float32)
+                    x *= (UNIT * self.weights[digit, k])[BIN[self.met[digit, k][row]]].astype(np.float32)[:, None]
+                    z += x
                 out[b] += z[np.arange(len(z)), value[b]]
-                out[b] -= np.log(np.exp(z, out=z).sum(1))
+                out[b] -= np.log(np.exp(z, out=z).sum(1))  # 15 times the weights' bound at most: no overflow
         return out
 
     def slopes(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
@@ -152,20 +153,20 @@ class Model:
             before, value = prefixes(codes, digit)
             for a in range(0, len(codes), STEP):
                 b = slice(a, a + STEP)
-                z, y = np.take(alone, before[b], axis=0), value[b]
+                z, y = np.take(alone, before[b], axis=0, mode="clip"), value[b]
                 each, own, part = np.arange(len(z)), [], []
                 for k in range(CONTEXTS):
                     row = table_rows(contexts[k][b], before[b], rows)
-                    at = np.take(self.cells[digit, k], row, axis=0)
-                    x = np.take(LOG, at)
+                    at = np.take(self.cells[digit, k], row, axis=0, mode="clip")
+                    x = at.astype(np.float32)
+                    x *= np.float32(UNIT)
                     x[each, y] = LOG_REST[at[each, y]]
-                    bins = BIN_REST[np.take(self.met[digit, k], row)]
+                    bins = BIN_REST[self.met[digit, k][row]]
                     own.append(x)
                     part.append(k * BINS + bins)
                     z += x * self.weights[digit, k][bins].astype(np.float32)[:, None]
-                z -= z.max(1, keepdims=True)
                 p = np.exp(z, out=z)
-                p /= p.sum(1, keepdims=True)
+                p *= 1 / p.sum(1, keepdims=True)
                 mean = [np.einsum("ij,ij->i", p, x) for x in own]
                 for k in range(CONTEXTS):
                     first[digit] += np.bincount(part[k], own[k][each, y] - mean[k], PARTS)
