@@ -14,7 +14,7 @@ import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from signalbrook.llm import bpe, line_dedup, lm, mixing, quality, sharding, simhash
+from signalbrook.llm import bpe, common, line_dedup, lm, mixing, quality, sharding, simhash
 from signalbrook.llm.common import Words, connected_components
 
 from .helpers import DOCS, components, documents, low, words
@@ -162,6 +162,34 @@ def test_near_links_miss_nothing(spark):
         assert got == {(a, b) for a in signed for b in signed if a < b and ((a ^ b) % 2**64).bit_count() <= radius}
 
 
+def test_near_links_of_a_crowd(spark, monkeypatch):
+    """100,000 fingerprints share a half; what is near another among them is found, across both halves."""
+    rng = random.Random(21)
+    crowd = {(0x1234ABCD << 32) | rng.getrandbits(32) for _ in range(100_000)}
+    planted = set()
+    for f in rng.sample(sorted(crowd), 200):
+        g = f ^ sum(1 << i for i in rng.sample(range(64), rng.randint(1, 2)))
+        planted.add((min(f, g), max(f, g)))
+    signed = lambda f: f - 2**64 if f >= 2**63 else f
+    fs = crowd | {f for p in planted for f in p}
+    got = {tuple(sorted((r.a % 2**64, r.b % 2**64))) for r in simhash.near_links(spark.createDataFrame([(signed(f),) for f in fs], "f long")).collect()}
+    assert planted <= got and all(0 < (a ^ b).bit_count() <= 2 for a, b in got)
+    few = sorted(fs)[:300] + [f ^ (1 << i) for i, f in enumerate(sorted(fs)[:40])]
+    monkeypatch.setattr(simhash, "CROWD", 3)
+    got = {(r.a, r.b) for r in simhash.near_links(spark.createDataFrame([(signed(f),) for f in set(few)], "f long")).collect()}
+    every = [signed(f) for f in set(few)]
+    assert got == {(a, b) for a in every for b in every if a < b and ((a ^ b) % 2**64).bit_count() <= 2}
+
+
+def test_components_around_a_hub(spark, monkeypatch):
+    """Links of which most lead to one node, and some to nodes behind it."""
+    monkeypatch.setattr(common, "HUB", 8)
+    monkeypatch.setattr(common, "HUBS", 4)
+    links = [(7, i) for i in range(100, 400)] + [(i, i + 1000) for i in range(150, 180)] + [(2000, 1160), (3, 2000), (5000, 5001)]
+    got = {r.id: r.component for r in connected_components(spark.createDataFrame(links, "a long, b long").repartition(3)).collect()}
+    assert got == components({x for e in links for x in e}, links)
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(i, i + 1) for i in range(60)] + [(rng.randint(100, 300), rng.randint(100, 300)) for _ in range(150)] + [(400, 400 + i) for i in range(1, 50)]
