@@ -27,10 +27,19 @@ def line_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id. Rows that repeat id and text count once."""
-    found = simhash.simhash_components(docs.select("doc_id", "text"))
-    first = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("first_id")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    """One document of each group of near copies: the one with the smallest id (null ids last), of those that share it the one whose text's digest
+    comes first. A document is a row's id and text: rows that repeat both count once, an id with two texts is two documents."""
+    docs = docs.select(*COLUMNS)
+    key = F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.lit("|"), F.coalesce(F.concat(F.lit("t"), "text"), F.lit("-"))).cast("binary"), 256)
+    found = simhash.simhash_components(docs.select("doc_id", "text", key.alias("key")), carry=["key"])
+    first = found.groupBy("part").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "key")).alias("s")).select(F.col("s.key").alias("key"))
+    return _once(docs.withColumn("key", key), cut(first.join(found.groupBy("key").agg(F.count("*").alias("rows")), "key"))).select(*COLUMNS)
+
+
+def _once(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of some keys (key, rows: how many there are), one of each."""
+    many = rows.join(keys.where("rows > 1").select("key"), "key", "left_semi").dropDuplicates(["key"])
+    return rows.join(keys.where("rows = 1").select("key"), "key", "left_semi").unionByName(many)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,6 +69,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents, each one's result written and read again: a row for each document of the mix, with its token ids."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
