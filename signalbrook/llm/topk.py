@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import cut
+
 SCALE = 1024
+#: Queries and candidates that meet in one matrix product.
+TILE = (512, 4096)
 
 
 def _valid(c: str):
@@ -16,72 +23,161 @@ def _valid(c: str):
 
 def integers(df: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """id, ints (array<long>): floor(1024 * x) of each component, x as double; rows with a null id, or vectors that are null
-    or hold null or non-finite components, take no part."""
+    or hold null or non-finite components, take no part. A component beyond the longs (9e15 and more) is an error."""
     rows = df.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("e")).where(F.col("id").isNotNull() & _valid("e"))
-    return rows.select("id", F.transform("e", lambda x: F.floor(x.cast("double") * SCALE)).alias("ints"))
-
-
-def search_block(qid: np.ndarray, q: np.ndarray, cid: np.ndarray, c: np.ndarray, k: int, bits: int = 6) -> pd.DataFrame:
-    """The k best of a block of candidates for each query: score desc, then id asc.
-
-    Each dimension is cut into 2^bits cells; a candidate's cells bound its score from both sides. The k-th
-    largest lower bound already rules out most; the rest are read exactly, highest upper bound first, until
-    no unread bound can beat or tie the k-th exact score."""
-    low, high = c.min(0), c.max(0)
-    width = np.maximum(1, -(-(high - low + 1) // (1 << bits)))
-    cell = (c - low) // width  # the approximation file: bits a dimension
-    c_lo = low + cell * width
-    c_hi = np.minimum(c_lo + width - 1, high)
-    mid, half = (c_lo + c_hi) / 2, (c_hi - c_lo) / 2
-    centre = q.astype("f8") @ mid.T
-    slack = np.abs(q).astype("f8") @ half.T
-    slack += 1e-9 * np.abs(centre) + 1e-3
-    upper, lower = centre + slack, centre - slack
-    out = []
-    for i in range(len(q)):
-        own = np.flatnonzero(cid != qid[i])
-        if not len(own):
-            continue
-        up = upper[i, own]
-        if len(own) > k:
-            bar = np.partition(lower[i, own], len(own) - k)[len(own) - k]
-            own, up = own[up >= bar], up[up >= bar]
-        own, up = own[(o := np.argsort(-up, kind="stable"))], up[o]
-        best_s, best_c, step, at = np.empty(0, np.int64), np.empty(0, np.int64), max(32, 2 * k), 0
-        while at < len(own):
-            if len(best_s) >= k and up[at] < best_s[k - 1]:
-                break  # the k-th result is certain
-            read = own[at : at + step]
-            s, ids = np.concatenate([best_s, c[read] @ q[i]]), np.concatenate([best_c, cid[read]])
-            top = np.lexsort((ids, -s))[:k]
-            best_s, best_c, at, step = s[top], ids[top], at + step, 2 * step
-        out.append(pd.DataFrame({"query_id": qid[i], "vec_id": best_c, "score": best_s}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-
-
-def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, block: int = 4096) -> DataFrame:
+    whole = lambda x: x.cast("double") * SCALE
+    far = F.raise_error(F.lit("a component is too large for integer scores")).cast("long")
+    return rows.select("id", F.transform("e", lambda x: F.when(F.abs(whole(x)) < 2.0**62, F.floor(whole(x))).otherwise(far)).alias("ints"))
+
+
+def packed(vectors: DataFrame, kind: str) -> DataFrame:
+    """The exact file: id, dim, digest (of the components) and v, the components as bytes of a numpy kind; rows that repeat stand once."""
+
+    def run(batches):
+        for b in batches:
+            ints = b.column(1)
+            n = np.asarray(pc.list_value_length(ints))
+            parts = np.split(np.asarray(ints.flatten()).astype(kind), np.cumsum(n)[:-1]) if len(n) else []
+            v = [p.tobytes() for p in parts]
+            digest = [hashlib.blake2b(x, digest_size=16).digest() for x in v]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n.astype(np.int32)), pa.array(digest, pa.binary()), pa.array(v, pa.binary())], names=["id", "dim", "digest", "v"])
+
+    return vectors.select("id", "ints").mapInArrow(run, "id long, dim int, digest binary, v binary")
+
+
+def approximated(exact: DataFrame, kind: str, width: int, low: int) -> DataFrame:
+    """The approximation file: id, dim, digest and code, a byte a component: which of the cells of one width it lies in, from low on."""
+
+    def run(batches):
+        for b in batches:
+            v = b.column(3).to_pylist()
+            code = [((np.frombuffer(x, kind).astype(np.int64) - low) // width).astype(np.uint8).tobytes() for x in v]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(code, pa.binary())], names=["id", "dim", "digest", "code"])
+
+    return exact.mapInArrow(run, "id long, dim int, digest binary, code binary")
+
+
+class Block:
+    """A block of queries, by length of vector: ids, components, and what the cells' width can add to or take from a score."""
+
+    def __init__(self, rows: list[tuple[int, int, bytes]], kind: str, width: int):
+        self.by_dim = {}
+        for d in {r[1] for r in rows}:
+            own = [r for r in rows if r[1] == d]
+            q = np.frombuffer(b"".join(r[2] for r in own), kind).reshape(len(own), d).astype(np.float64)
+            self.by_dim[d] = (np.array([r[0] for r in own], np.int64), q, np.abs(q).sum(1) * (width - 1) / 2)
+
+
+def centres(batch: pa.RecordBatch, block: Block, width: int, low: int):
+    """For each tile: the queries' ids, the candidates' rows in the batch, the scores at the cells' middles (-inf for a query's own row), and
+    by how much a true score can be off, rounding included."""
+    ids, dims, codes = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3).to_pylist()
+    for d, (qid, q, slack) in block.by_dim.items():
+        at = np.flatnonzero(dims == d)
+        for a in range(0, len(at), TILE[1]):
+            own = at[a : a + TILE[1]]
+            mid = np.frombuffer(b"".join(codes[i] for i in own), np.uint8).reshape(len(own), d).astype(np.float64) * width + (low + (width - 1) / 2)
+            size = np.abs(mid).max(initial=0)
+            for z in range(0, len(qid), TILE[0]):
+                part = slice(z, z + TILE[0])
+                centre = q[part] @ mid.T
+                centre[qid[part][:, None] == ids[own][None, :]] = -np.inf
+                off = slack[part] + 1e-12 * np.abs(q[part]).sum(1) * size + 1
+                yield d, part, qid[part], own, centre, off
+
+
+def bars(codes: DataFrame, block, k: int, width: int, low: int) -> DataFrame:
+    """query_id, bar: the k-th largest lower bound of each query of a block; a true k-th score is no lower. Tasks keep k bounds a query."""
+
+    def run(batches):
+        best: dict[int, np.ndarray] = {}
+        for b in batches:
+            for d, part, _, _, centre, off in centres(b, block.value, width, low):
+                held = best.setdefault(d, np.full((len(block.value.by_dim[d][0]), k), -np.inf))
+                both = np.concatenate([held[part], centre - off[:, None]], axis=1)
+                held[part] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+        for d, held in best.items():
+            row, _ = np.nonzero(held > -np.inf)
+            if len(row):
+                yield pa.RecordBatch.from_arrays([pa.array(block.value.by_dim[d][0][row]), pa.array(held[held > -np.inf])], names=["query_id", "bound"])
+
+    bounds = codes.mapInArrow(run, "query_id long, bound double")
+    order = Window.partitionBy("query_id").orderBy(F.col("bound").desc())
+    return bounds.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("query_id", F.col("bound").alias("bar"))
+
+
+def candidates_of(codes: DataFrame, block, bar, width: int, low: int) -> DataFrame:
+    """query_id, id, digest, upper: the candidates whose upper bound reaches the query's bar (a broadcast dict; -inf where it has none)."""
+
+    def run(batches):
+        bar_of = bar.value
+        for b in batches:
+            digest = b.column(2)
+            ids = b.column(0).to_numpy()
+            for _, _, qid, own, centre, off in centres(b, block.value, width, low):
+                upper = centre + off[:, None]
+                least = np.array([bar_of.get(x, -np.inf) for x in qid.tolist()])
+                i, j = np.nonzero((upper >= least[:, None]) & (centre > -np.inf))
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(ids[own[j]]), digest.take(pa.array(own[j])), pa.array(upper[i, j])], names=["query_id", "id", "digest", "upper"])
+
+    return codes.mapInArrow(run, "query_id long, id long, digest binary, upper double")
+
+
+def read_exactly(pairs: DataFrame, exact: DataFrame, block, kind: str) -> DataFrame:
+    """query_id, vec_id, score of pairs (query_id, id, digest), from the exact file."""
+
+    def run(batches):
+        place = {(d, x): i for d, (qid, _, _) in block.value.by_dim.items() for i, x in enumerate(qid.tolist())}
+        for b in batches:
+            scores = []
+            for x, d, v in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
+                q = block.value.by_dim[d][1][place[d, x]].astype(np.int64)
+                scores.append(int(q @ np.frombuffer(v, kind).astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(scores, pa.int64())], names=["query_id", "vec_id", "score"])
+
+    found = pairs.join(exact, ["id", "digest"]).select("query_id", F.col("id").alias("vec_id"), "dim", "v")
+    return found.mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 10, block: int = 16_384) -> DataFrame:
     """queries(id, ints) against all candidates(id, ints): query_id, rank (from 1), vec_id, score of the k best by
     integer inner product, ties to the smaller id; all, if fewer than k; a row is not its own candidate.
 
-    Both sides are dealt into blocks of about block rows by a hash of the id, and each pair of a query block with a candidate
-    block is one group: a stated set of queries against all rows. A block gives at most k rows a query.
-    Of equal vectors only the k + 1 smallest ids can appear in any result, so a large group of copies is cut
-    to those first, exactly. Vectors of another length than the query's are not compared. Empty inputs give an empty result."""
-    same = Window.partitionBy("ints").orderBy("id")
-    candidates = candidates.distinct().withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n")
-    queries = queries.distinct()
-    n_c, n_q = (max(1, -(-df.count() // block)) for df in (candidates, queries))
-    deal = lambda df, own, n, other, m, kind: df.select(
-        F.lit(kind).alias("kind"), "id", "ints", F.size("ints").alias("dim"), F.pmod(F.xxhash64("id"), F.lit(n)).alias(own), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))).alias(other)
-    )
-    rows = deal(queries, "qb", n_q, "cb", n_c, "q").unionByName(deal(candidates, "cb", n_c, "qb", n_q, "c"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        q, c = pdf[pdf.kind == "q"], pdf[pdf.kind == "c"]
-        if q.empty or c.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
-        return search_block(q.id.to_numpy(), np.stack(q.ints), c.id.to_numpy(), np.stack(c.ints), k)
-
-    local = rows.groupBy("qb", "cb", "dim").applyInPandas(run, "query_id long, vec_id long, score long")
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    return local.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    The candidates are written once as two files: the exact vectors, and a byte for each component that says in which of 256 cells of one width
+    it lies. Queries go in blocks of a bounded size. For each, the narrow file is scanned for bounds: the k-th largest lower bound rules out
+    most candidates; of the others the 2k with the highest upper bounds are read exactly, and then those whose upper bound still
+    reaches the k-th exact score: nothing else can be among the k best.
+
+    Of equal vectors only the k + 1 smallest ids can appear in any result, so a large group of copies is cut to those first, exactly. Vectors of
+    another length than the query's are not compared; rows that repeat both id and vector count once. Scores must fit in a long:
+    components for which they might not are an error. Empty inputs give an empty result."""
+    spark = candidates.sparkSession
+    most = lambda df: df.agg(F.max(F.greatest(F.array_max("ints"), -F.array_min("ints"))), F.max(F.size("ints"))).first()
+    (size_c, dim_c), (size_q, dim_q) = most(candidates), most(queries)
+    size, dim = max(size_c or 0, size_q or 0), max(dim_c or 0, dim_q or 0)
+    if dim * size * size >= 2**62:
+        raise ValueError(f"components up to {size} over {dim} dimensions: scores might not fit in a long")
+    kind = "<i4" if size < 2**31 else "<i8"
+    width, low = -(-(2 * size + 1) // 256), -size
+    exact = cut(packed(candidates, kind))
+    same = Window.partitionBy("digest", "dim").orderBy("id")
+    codes = approximated(exact, kind, width, low).dropDuplicates(["id", "digest", "dim"])
+    codes = cut(codes.withColumn("n", F.row_number().over(same)).where(F.col("n") <= k + 1).drop("n").repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    asked = cut(packed(queries, kind).dropDuplicates(["id", "digest", "dim"]))
+    blocks = max(1, -(-asked.count() // block))
+    results = None
+    for i in range(blocks):
+        rows = [(r.id, r.dim, bytes(r.v)) for r in asked.where(F.pmod(F.xxhash64("id", "digest"), F.lit(blocks)) == i).select("id", "dim", "v").toLocalIterator()]
+        own = spark.sparkContext.broadcast(Block(rows, kind, width))
+        bar = spark.sparkContext.broadcast({r.query_id: r.bar for r in bars(codes, own, k, width, low).toLocalIterator()})
+        upper = Window.partitionBy("query_id").orderBy(F.col("upper").desc(), "id", "digest")
+        found = cut(candidates_of(codes, own, bar, width, low).withColumn("place", F.row_number().over(upper)))
+        unique = exact.dropDuplicates(["id", "digest"])
+        first = cut(read_exactly(found.where(F.col("place") <= 2 * k), unique, own, kind))
+        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+        certain = first.withColumn("r", F.row_number().over(order)).where(F.col("r") == k).select("query_id", F.col("score").alias("least"))
+        rest = found.where(F.col("place") > 2 * k).join(certain, "query_id", "left").where(F.col("least").isNull() | (F.col("upper") >= F.col("least")))
+        got = cut(first.unionByName(read_exactly(rest, unique, own, kind)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        results = got if results is None else results.unionByName(got)
+    return results.select("query_id", "rank", "vec_id", "score")

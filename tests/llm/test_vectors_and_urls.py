@@ -92,12 +92,40 @@ def test_exact_top_k(spark, block):
     assert got == brute_top(rows, [i for i in range(0, 1000, 10)])
 
 
-def test_search_reads_few(monkeypatch):
+def test_the_bounds_leave_few_to_read(spark):
+    """Most vectors are ruled out by their cells alone, and none that belongs to the result."""
     rng = np.random.default_rng(1)
-    c = rng.integers(-400, 400, (2000, 32))
-    got = topk.search_block(np.array([-1]), c[:1] + 1, np.arange(2000), c, 5)
-    s = c @ (c[0] + 1)
-    assert got.vec_id.tolist() == np.lexsort((np.arange(2000), -s))[:5].tolist()
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(rng.standard_normal((2000, 32)).astype("f4"))]
+    df = topk.integers(spark.createDataFrame(rows, VECTORS), "vec_id", "embedding")
+    kind, size = "<i4", max(int(abs(np.floor(1024 * np.array(v))).max()) for _, v, _ in rows)
+    width, low = -(-(2 * size + 1) // 256), -size
+    exact = topk.packed(df, kind)
+    codes = topk.approximated(exact, kind, width, low)
+    asked = [(r.id, r.dim, bytes(r.v)) for r in exact.where("id % 500 = 0").collect()]
+    block = spark.sparkContext.broadcast(topk.Block(asked, kind, width))
+    bars = {r.query_id: r.bar for r in topk.bars(codes, block, 10, width, low).collect()}
+    left = topk.candidates_of(codes, block, spark.sparkContext.broadcast(bars), width, low).collect()
+    assert {(q, i) for q, _, i, _ in brute_top(rows, [0, 500, 1000, 1500])} <= {(r.query_id, r.id) for r in left}
+    assert len(left) < 0.03 * 4 * len(rows)
+
+
+def test_top_k_of_awkward_vectors(spark):
+    """Ties, copies, large components and columns named like the operator's own; and scores that no long holds."""
+    rows = [(i, [float(i % 3), -1e5, 2.0**18], None) for i in range(60)] + [(100 + i, [1e5, 5.0, float(i % 2)], None) for i in range(30)]
+    df = spark.createDataFrame(rows, VECTORS).withColumns({c: F.lit("mine") for c in ("id", "code", "digest", "score", "rank", "dim", "v", "query_id")})
+    ints = topk.integers(df, "vec_id", "embedding")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.exact_top_k(ints.where("id % 20 = 0").withColumn("upper", F.lit(1)), ints, 10).collect())
+    exact = {i: [int(np.floor(1024 * x)) for x in v] for i, v, _ in rows}
+    want = []
+    for q in sorted(i for i in exact if i % 20 == 0):
+        best = sorted((-sum(a * b for a, b in zip(exact[q], v)), i) for i, v in exact.items() if i != q)[:10]
+        want += [(q, n, i, -x) for n, (x, i) in enumerate(best, 1)]
+    assert got == sorted(want)
+    large = topk.integers(spark.createDataFrame([(1, [3e12, 1.0], 0), (2, [2e12, 1.0], 0)], VECTORS), "vec_id", "embedding")
+    with pytest.raises(ValueError):
+        topk.exact_top_k(large, large)
+    with pytest.raises(Exception, match="too large"):
+        topk.integers(spark.createDataFrame([(1, [3e18], 0)], VECTORS), "vec_id", "embedding").collect()
 
 
 URLS = [
