@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 
 import pandas as pd
@@ -39,43 +39,150 @@ def distinct_rows(stream: DataFrame, keys: list[str], late: str = "6 hours") ->
     return stream.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
 
 
-STATE = "active_at timestamp, fired_at timestamp, version long, last_ts timestamp"
+def _by_key(stream: DataFrame, keys: list[str], columns: list[str], late: str, fold: Callable, out: str, state: str) -> DataFrame:
+    """Rows by key through fold(rows, state, now), which yields tuples of out. rows: lists of the columns and the time in ms, in order of time,
+    empty when the key's timer has run out; now: the watermark in ms, before which nothing more comes. A fold keeps its state in one
+    small row and sets the next timer, so that keys which stop reporting come to an end."""
+    kinds = dict(stream.dtypes)
+    made = stream.withWatermark("ts", late).withColumn("ms_", F.unix_millis("ts"))
+    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + out
+    names = [*keys, *[x.split()[0] for x in out.split(", ")]]
 
+    def step(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        now = held.getCurrentWatermarkMs()
+        rows = [] if held.hasTimedOut else sorted((int(m), *r) for pdf in batches for m, *r in zip(pdf.ms_, *(pdf[c] for c in columns), strict=True))
+        found = list(fold(rows, held, now))
+        yield pd.DataFrame([(*key, *r) for r in found], columns=names)
 
-def state_changes(evals: DataFrame, key: str, hold: str) -> DataFrame:
+    return made.groupBy(*keys).applyInPandasWithState(step, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _timer(held: GroupState, at: int, now: int) -> None:
+    held.setTimeoutTimestamp(max(at, now + 1))
+
+
+def _ms(text: str) -> int:
+    return int(seconds(text) * 1000)
+
+
+def state_changes(evals: DataFrame, key: str, hold: str, stale: str = "1h", late: str = "0 seconds") -> DataFrame:
     """evals: a stream of key, ts (timestamp) and cond. Gives a row for each change: key, ts, state (pending, firing, resolved or
     inactive) and version, which counts a key's firings, so that one after a resolve is told from the one before.
 
-    Rows of a key must come in order of time from batch to batch; within a batch they are sorted. State is one small row
-    a key."""
-    wait = pd.Timedelta(seconds=seconds(hold))
+    Rows of a key must come in order of time from batch to batch; within a batch they are sorted. A key that has not reported for stale ends:
+    what it had pending or firing goes out as inactive or resolved, and its state is dropped, the version with it."""
+    wait, rest = _ms(hold), _ms(stale)
 
-    def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        active, fired, version, last = state.get if state.exists else (None, None, 0, None)
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        out = []
-        for ts, cond in zip(rows.ts, rows.cond.fillna(False)):
-            if last is not None and ts <= last:
+    def fold(rows: list, held: GroupState, now: int):
+        active, fired, version, last = held.get if held.exists else (None, None, 0, None)
+        for t, cond in rows:
+            if last is not None and t <= last:
                 continue  # seen, or too late to change what was said
-            last = ts
-            if cond:
+            last = t
+            if bool(cond):
                 if active is None:
-                    active = ts
-                    if wait.total_seconds():
-                        out.append((ts, "pending", version))
-                if fired is None and ts - active >= wait:
-                    fired, version = ts, version + 1
-                    out.append((ts, "firing", version))
+                    active = t
+                    if wait:
+                        yield t, "pending", version
+                if fired is None and t - active >= wait:
+                    fired, version = t, version + 1
+                    yield t, "firing", version
             elif active is not None:
-                out.append((ts, "inactive" if fired is None else "resolved", version))
+                yield t, "inactive" if fired is None else "resolved", version
                 active = fired = None
-        state.update((active, fired, version, last))
-        made = pd.DataFrame(out, columns=["ts", "state", "version"])
-        made.insert(0, key, keys[0])
-        yield made
-
-    kind = dict(evals.dtypes)[key]
-    return evals.groupBy(key).applyInPandasWithState(step, f"`{key}` {kind}, ts timestamp, state string, version long", STATE, "append", GroupStateTimeout.NoTimeout)
+        if not rows and last is not None:
+            if active is not None:
+                yield last + rest, "inactive" if fired is None else "resolved", version
+            held.remove()
+        elif last is not None:
+            held.update((active, fired, version, last))
+            _timer(held, last + rest, now)
+
+    made = evals.withColumn("cond", F.coalesce("cond", F.lit(False)))
+    found = _by_key(made, [key], ["cond"], late, fold, "ms long, state string, version long", "active long, fired long, version long, last long")
+    return found.select(key, F.timestamp_millis("ms").alias("ts"), "state", "version")
+
+
+def notifications(changes: DataFrame, keys: list[str], wait: str = "30s", interval: str = "5m", repeat: str = "4h", forget: str = "1d", late: str = "0 seconds") -> DataFrame:
+    """changes: a stream of keys and ts. When a group's notifications go out (keys, sent_at, n_changes), by timers, as
+    operators.alerts.notification_times has it for tables: first after wait, then changes at most every interval, and again after repeat without
+    one. A group without a change for forget ends. A change that comes later than its notification counts for the next."""
+    w, i, r, end = map(_ms, (wait, interval, repeat, forget))
+
+    def fold(rows: list, held: GroupState, now: int):
+        due, waiting, last = held.get if held.exists else (None, [], None)
+        waiting = sorted([*(waiting or []), *(t for t, in rows)])
+        last = max([x for x in (last, *waiting) if x is not None], default=None)
+        if due is None:
+            due = waiting[0] + w
+        while due <= now and due <= last + end:
+            n = sum(t <= due for t in waiting)
+            yield due, n
+            waiting = waiting[n:]
+            due = min(due + r, max(due + i, waiting[0])) if waiting else due + r
+        if due > last + end and not waiting:
+            held.remove()
+        else:
+            held.update((due, waiting, last))
+            _timer(held, due, now)
+
+    found = _by_key(changes, keys, [], late, fold, "ms long, n_changes long", "due long, waiting array<long>, last long")
+    return found.select(*keys, F.timestamp_millis("ms").alias("sent_at"), "n_changes")
+
+
+def debounced(alerts: DataFrame, key: str, waits: dict[str, str] | None = None, default: str = "warning", late: str = "0 seconds") -> DataFrame:
+    """alerts: a stream of key, ts, severity and firing. Gives key, severity, fired_at and act_at of the alerts that are still firing when their
+    severity's wait is over; those resolved before are never heard of. A key has one alert at a time."""
+    spans = {k: _ms(v) for k, v in (waits or {"critical": "0s", "warning": "5m"}).items()}
+
+    def fold(rows: list, held: GroupState, now: int):
+        severity, fired, due, done = held.get if held.exists else (None, None, None, False)
+        for t, kind, firing in rows:
+            if fired is not None and not done and due <= t and (due < t or firing):
+                yield severity, fired, due
+                done = True
+            if not bool(firing):
+                severity = fired = due = None
+                done = False
+            elif fired is None:
+                severity, fired = kind, t
+                due = t + spans.get(kind, spans[default])
+        if fired is not None and not done and due <= now:
+            yield severity, fired, due
+            done = True
+        if fired is None:
+            if held.exists:
+                held.remove()
+        else:
+            held.update((severity, fired, due, done))
+            if not done:
+                _timer(held, due, now)
+
+    found = _by_key(alerts, [key], ["severity", "firing"], late, fold, "severity string, fired long, due long", "severity string, fired long, due long, done boolean")
+    return found.select(key, "severity", F.timestamp_millis("fired").alias("fired_at"), F.timestamp_millis("due").alias("act_at"))
+
+
+def gone_silent(heartbeats: DataFrame, key: str, width: str, late: str = "0 seconds") -> DataFrame:
+    """heartbeats: a stream of key and ts. Gives key, last_seen and silent_at once a key has had none for width; its state then ends, and begins
+    anew with its next heartbeat."""
+    span = _ms(width)
+
+    def fold(rows: list, held: GroupState, now: int):
+        last = held.get[0] if held.exists else None
+        for (t,) in rows:
+            if last is not None and t - last > span:
+                yield last, last + span
+            last = t if last is None else max(last, t)
+        if last is not None and last + span <= now:
+            yield last, last + span
+            if held.exists:
+                held.remove()
+        elif last is not None:
+            held.update((last,))
+            _timer(held, last + span, now)
+
+    found = _by_key(heartbeats, [key], [], late, fold, "last long, at long", "last long")
+    return found.select(key, F.timestamp_millis("last").alias("last_seen"), F.timestamp_millis("at").alias("silent_at"))
 
 
 def ticks_of(rows: DataFrame, ts: str, step: str) -> list[datetime]:

@@ -42,6 +42,49 @@ def test_state_changes_match_batches(spark, tmp_path):
     assert got == [(0, "pending", 0), (5, "firing", 1), (6, "resolved", 1), (7, "pending", 1), (12, "firing", 2), (13, "resolved", 2)]
 
 
+def steps(spark, path, batches, schema):
+    """A stream that gets one batch after another."""
+    for n, part in enumerate(batches):
+        spark.createDataFrame(part, schema).coalesce(1).write.parquet(f"{path}/b{n}")
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(path)
+
+
+def minutes(t):
+    return (t - T0).total_seconds() / 60
+
+
+def test_a_key_that_stops_reporting_ends(spark, tmp_path):
+    at = lambda k, m, c: (k, T0 + timedelta(minutes=m), c)
+    batches = [[at("a", m, True) for m in range(7)] + [at("b", 6, True)], [at("c", 100, False)], [at("c", 101, False)]]
+    run(SA.state_changes(steps(spark, str(tmp_path / "in"), batches, "k string, ts timestamp, cond boolean"), "k", "5m", stale="30m"), "s2")
+    got = sorted((r.k, minutes(r.ts), r.state, r.version) for r in spark.table("s2").collect())
+    assert got == [("a", 0, "pending", 0), ("a", 5, "firing", 1), ("a", 36, "resolved", 1), ("b", 6, "pending", 0), ("b", 36, "inactive", 0)]
+
+
+def test_notifications_as_in_batches(spark, tmp_path):
+    from signalbrook.operators import alerts as A
+
+    times = {"g": [0, 0.2, 1, 3, 4, 9, 40, 300], "h": [2, 2.1]}
+    rows = sorted((T0 + timedelta(minutes=m), k) for k, ms in times.items() for m in ms)
+    batches = [[(k, t) for t, k in rows[i : i + 3]] for i in range(0, len(rows), 3)] + [[("z", T0 + timedelta(minutes=700))], [("z", T0 + timedelta(minutes=701))]]
+    stream = steps(spark, str(tmp_path / "in"), batches, "k string, ts timestamp")
+    run(SA.notifications(stream, ["k"]), "n1")
+    got = sorted((r.k, minutes(r.sent_at), r.n_changes) for r in spark.table("n1").collect() if r.k != "z")
+    batch = spark.createDataFrame([(k, t.replace(), T0 + timedelta(minutes=700)) for t, k in rows], "k string, ts timestamp_ntz, until timestamp_ntz")
+    want = sorted((r.k, minutes(r.sent_at), r.n_changes) for r in A.notification_times(batch, ["k"]).collect())
+    assert got == want and len({k for k, *_ in got}) == 2
+
+
+def test_debounced_and_silent(spark, tmp_path):
+    at = lambda k, m, sev, on: (k, T0 + timedelta(minutes=m), sev, on)
+    batches = [[at("c", 0, "critical", True), at("w", 0, "warning", True), at("short", 0, "warning", True)], [at("short", 3, "warning", False)], [at("x", 20, "warning", True)], [at("y", 21, "warning", False)]]
+    run(SA.debounced(steps(spark, str(tmp_path / "a"), batches, "k string, ts timestamp, severity string, firing boolean"), "k"), "d1")
+    assert sorted((r.k, minutes(r.fired_at), minutes(r.act_at)) for r in spark.table("d1").collect()) == [("c", 0, 0), ("w", 0, 5)]
+    beats = [[("a", T0), ("b", T0)], [("a", T0 + timedelta(minutes=4))], [("a", T0 + timedelta(minutes=8))], [("a", T0 + timedelta(minutes=30))], [("a", T0 + timedelta(minutes=31))]]
+    run(SA.gone_silent(steps(spark, str(tmp_path / "b"), beats, "k string, ts timestamp"), "k", "10m"), "g1")
+    assert sorted((r.k, minutes(r.last_seen), minutes(r.silent_at)) for r in spark.table("g1").collect()) == [("a", 8, 18), ("b", 0, 10)]
+
+
 def test_pipeline_stream(spark, tmp_path):
     df = spark.createDataFrame([({"name": "/x"},), ({"name": "y"},)], "labels map<string,string>")
     df.coalesce(1).write.parquet(str(tmp_path / "in"))
