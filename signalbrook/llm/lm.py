@@ -220,27 +220,37 @@ def tables(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
     chunk = min(CHUNK, rows * BASE)
 
     def run(batches):
-        own, held = np.zeros(size, np.uint16), []
+        own, held, over = np.zeros(size, np.uint8), [], []
 
-        def add():
+        def add():  # what does not fit a byte is carried: a few frequent cells
             at = np.sort(np.concatenate(held))
             first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
             n = np.diff(np.append(first, len(at)))
             at = at[first]
-            own[at] = np.minimum(own[at] + n, 65535).astype(np.uint16)
+            n += own[at]
+            own[at] = (n & 255).astype(np.uint8)
+            more = np.flatnonzero(n > 255)
+            over.append((at[more], n[more] >> 8))
             held.clear()
+            if len(over) > 64:
+                over[:] = [carried()]
+
+        def carried():
+            at, n = (np.concatenate([x[i] for x in over]) for i in range(2))
+            at, place = np.unique(at, return_inverse=True)
+            return at, np.bincount(place, n, len(at)).astype(np.int64)
 
         def out():
-            for i in range(0, size, chunk):
-                part = own[i : i + chunk]
-                if part.any():
-                    big = np.flatnonzero(part > 254)
+            at, n = carried() if over else (np.empty(0, np.uint32), np.empty(0, np.int64))
+            ends = np.searchsorted(at, np.arange(0, size + 1, chunk))
+            for i in range(size // chunk):
+                part, big = own[i * chunk : (i + 1) * chunk], slice(ends[i], ends[i + 1])
+                if part.any() or ends[i] < ends[i + 1]:
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([i // chunk], pa.int32()), pa.array([np.minimum(part, 255).astype(np.uint8).tobytes()]), pa.array([big.astype("<u4").tobytes()]), pa.array([part[big].astype("<u2").tobytes()])],
-                        names=["chunk", "n", "at", "big"],
+                        [pa.array([i], pa.int32()), pa.array([part.tobytes()]), pa.array([(at[big] - i * chunk).astype("<u4").tobytes()]), pa.array([n[big].astype("<u4").tobytes()])],
+                        names=["chunk", "n", "at", "carry"],
                     )
 
-        any_ = 0
         for batch in batches:
             for part in slices(batch):
                 t = Tokens.of(part.column(0))
@@ -251,12 +261,6 @@ def tables(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
                         held.append((((digit * CONTEXTS + k) * rows + table_rows(contexts[k], before, rows)) * BASE + value).astype(np.uint32))
                 if sum(map(len, held)) > 1 << 22:
                     add()
-                any_ += len(codes)
-                if any_ > 1 << 27:  # before a frequent cell can be full
-                    if held:
-                        add()
-                    yield from out()
-                    own[:], any_ = 0, 0
         if held:
             add()
         yield from out()
@@ -265,19 +269,18 @@ def tables(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
         at, sums = -1, None
         done = lambda: pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([quantised(sums).tobytes()]), pa.array([quantised(sums.reshape(-1, BASE).sum(1)).tobytes()])], names=["chunk", "cells", "met"])
         for b in batches:
-            for i, n, places, big in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
+            for i, n, places, carry in zip(*(b.column(c).to_pylist() for c in range(4)), strict=True):
                 if i != at:
                     if sums is not None:
                         yield done()
                     at, sums = i, np.zeros(chunk, np.int64)
-                n = np.frombuffer(n, np.uint8).astype(np.int64)
-                n[np.frombuffer(places, "<u4")] = np.frombuffer(big, "<u2")
-                sums += n
+                sums += np.frombuffer(n, np.uint8)
+                sums[np.frombuffer(places, "<u4")] += np.frombuffer(carry, "<u4").astype(np.int64) << 8
         if sums is not None:
             yield done()
 
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = grouped(texts).mapInArrow(run, "chunk int, n binary, at binary, big binary").repartition(n, "chunk").sortWithinPartitions("chunk")
+    parts = grouped(texts).mapInArrow(run, "chunk int, n binary, at binary, carry binary").repartition(n, "chunk").sortWithinPartitions("chunk")
     cells, met = np.zeros(size, np.uint8), np.zeros(size // BASE, np.uint8)
     for r in parts.mapInArrow(total, "chunk int, cells binary, met binary").toLocalIterator():
         cells[r.chunk * chunk : (r.chunk + 1) * chunk] = np.frombuffer(r.cells, np.uint8)

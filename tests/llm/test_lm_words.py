@@ -91,6 +91,13 @@ def test_tables_count_every_token(trained):
     assert np.rint(lm.COUNT[lm.quantised(np.arange(12))]).tolist() == list(range(12)) and (np.diff(lm.quantised(np.arange(100_000)).astype(int)) >= 0).all()
 
 
+def test_frequent_cells_are_counted_whole(spark):
+    """Cells beyond a byte and beyond two, over several partitions."""
+    texts = spark.createDataFrame([("a b " * 30_000,), ("a b " * 500,), ("c",)] * 2, "text string").repartition(3)
+    cells, met = lm.tables(texts, 64)
+    assert lm.COUNT[met[0, 0]].max() == pytest.approx(61_000, rel=0.05) and lm.COUNT[cells[2, 0]].max() == pytest.approx(61_000, rel=0.05)
+
+
 def test_the_slopes_are_those_of_the_likelihood(trained):
     """The gradient against differences of the likelihood, own counts left out on both sides."""
     _, m = trained
