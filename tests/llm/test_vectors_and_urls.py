@@ -74,6 +74,70 @@ def test_estimates_are_unbiased_and_bounded():
     assert abs(np.mean(seen) - x @ y) < 0.02
 
 
+@pytest.mark.parametrize("bits", [8, 16])
+def test_recall_of_many_cells(spark, monkeypatch, bits):
+    """Pairs planted just above the threshold, at the numbers of bits that large tables have."""
+    rng = np.random.default_rng(bits)
+    plan = lambda rows, threshold, recall, cell: (bits, embedding_dedup.math.ceil(embedding_dedup.math.log(0.02) / embedding_dedup.math.log(1 - (1 - embedding_dedup.math.acos(threshold) / embedding_dedup.math.pi) ** bits)))
+    monkeypatch.setattr(embedding_dedup, "plan", plan)
+    x = rng.standard_normal((120, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    z = rng.standard_normal(x.shape)
+    z -= (z * x).sum(1, keepdims=True) * x
+    z /= np.linalg.norm(z, axis=1, keepdims=True)
+    c = rng.uniform(0.902, 0.915, (120, 1))
+    rows = [(i, v.tolist(), 0) for i, v in enumerate(np.concatenate([x, c * x + np.sqrt(1 - c * c) * z]).astype("f4"))]
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS)).collect()}
+    found = sum(got[i + 120].component_id == i for i in range(120))
+    assert found >= 0.94 * 120
+    assert all(r.n_links <= 1 for r in got.values())
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_all_pairs_if_asked(spark, block, kind):
+    """recall=1 misses nothing; null ids, doubles, and lengths whose squares overflow."""
+    rows = [*vectors(80), (None, [1.0] * 24, 0), (2000, [3e38 if kind == "float" else 1e200] * 24, 0), (2001, [1e-40 if kind == "float" else 1e-200] * 24, 0)]
+    df = spark.createDataFrame(rows, VECTORS.replace("array<float>", f"array<{kind}>"))
+    got = embedding_dedup.near_duplicates(df, recall=1, block=block).collect()
+    fit = [(i, x / np.abs(x).max()) for i, x in usable([r for r in rows if r[0] is not None])]
+    if kind == "float":
+        fit = [(i, x / np.abs(x).max()) for i, x in ((i, np.array(v, "f4").astype("f8")) for i, v, _ in rows if i is not None and v and all(y is not None and np.isfinite(y) for y in v) and any(np.array(v, "f4")))]
+    links = brute_links(fit)
+    part = components(sorted({i for i, _ in fit}), [(fit[a][0], fit[b][0]) for a, b in links])
+    n = {}
+    for a, b in links:
+        for k in (a, b):
+            n[fit[k][0]] = n.get(fit[k][0], 0) + 1
+    assert len(got) == len(rows)
+    for r in got:
+        if r.vec_id in part and r.vec_id != 3:  # 3 stands twice
+            assert (r.n_links, r.component_id) == (n.get(r.vec_id, 0), part[r.vec_id])
+        elif r.vec_id is None:
+            assert (r.n_links, r.component_id, r.kept) == (0, None, True)
+
+
+def test_bounds_rule_out_no_link():
+    """Codes of random pairs at the threshold: the upper bound reaches it."""
+    rng = np.random.default_rng(5)
+    x = embedding_dedup.unit(rng.standard_normal((3000, 33)))
+    z = rng.standard_normal(x.shape)
+    z = embedding_dedup.unit(z - (z * x).sum(1, keepdims=True) * x)
+    y = 0.9 * x + np.sqrt(0.19) * z
+    import pandas as pd
+
+    def side(v):
+        code, step, factor, missed = embedding_dedup.codes_of(v)
+        return pd.DataFrame({"code": [c.tobytes() for c in code], "step": step, "factor": factor, "missed": missed})
+
+    kept = 0
+    for a in range(0, 3000, 300):
+        i, j = embedding_dedup.undecided(side(x[a : a + 300]), side(y[a : a + 300]), 33, 0.9)
+        kept += len(set(zip(i.tolist(), j.tolist())) & {(k, k) for k in range(300)})
+        assert len(i) < 0.2 * 300 * 300
+    assert kept >= 2998
+
+
 def brute_top(rows, queries, k=10):
     ints = {i: np.floor(1024 * np.array(v, "f8")).astype("i8") for i, v, _ in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
     out = []
