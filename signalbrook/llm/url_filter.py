@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+import re
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -12,41 +17,8 @@ from .common import mix
 #: The rules that the query applies, and what they decide.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
-#: A small labelled URL table: host and path, and whether to block. Invented names; it is the whole training set.
-LABELLED = [
-    ("win-casino-bonus.example", "/slots/free-spins/play-now", 1),
-    ("casino-jackpot.example", "/bonus/register.php", 1),
-    ("best-casino-online.example", "/poker/betting/odds", 1),
-    ("cheap-pills-store.example", "/buy/viagra-discount", 1),
-    ("pharma-discount.example", "/order/cheap-meds-no-prescription", 1),
-    ("free-movie-download.example", "/torrent/full-crack-keygen.exe", 1),
-    ("warez-crack.example", "/serial/keygen/download.zip", 1),
-    ("adult-webcam.example", "/xxx/live-girls", 1),
-    ("xxx-videos.example", "/porn/free-porn-tube", 1),
-    ("click-track-ads.example", "/adserver/banner/popup.js", 1),
-    ("tracker.adserver.example", "/pixel.gif", 1),
-    ("login-verify-account.example", "/secure/update-password.php", 1),
-    ("free-gift-card.example", "/claim/prize/winner", 1),
-    ("crypto-doubler.example", "/invest/get-rich-quick", 1),
-    ("loan-payday-fast.example", "/apply-now/cheap-credit", 1),
-    ("seo-backlinks.example", "/buy-links/cheap-traffic", 1),
-    ("library.example", "/en/catalogue/history", 0),
-    ("www.university.example", "/research/papers/2021", 0),
-    ("docs.project.example", "/guide/install.html", 0),
-    ("blog.thering.example", "/en/7198", 0),
-    ("m.ouander.example", "/fr/825", 0),
-    ("news.region.example", "/article/12345.html", 0),
-    ("www.museum.example", "/es/exhibits/26123", 0),
-    ("weather.example", "/de/forecast/39547.html", 0),
-    ("wiki.example", "/wiki/Geometry", 0),
-    ("recipes.example", "/soup/lentil", 0),
-    ("health.example", "/topics/sleep", 0),
-    ("school.example", "/en/lessons/42", 0),
-    ("blog.example", "/en/2019/notes", 0),
-    ("code.example", "/docs/api/reference", 0),
-    ("maps.example", "/fr/city/77", 0),
-    ("forum.example", "/de/thread/981", 0),
-]
+#: The small labelled URL table: url and whether to block, invented names under .example.
+LABELLED = Path(__file__).with_name("labelled_urls.csv")
 
 BUCKETS = 1 << 15
 SIZES = (3, 4, 5)
@@ -55,8 +27,8 @@ SIZES = (3, 4, 5)
 def split_url(url: str) -> tuple[Column, Column]:
     """Host (after the first :// up to /, ?, # or the end, A-Z lowered) and path (then up to ?, # or the end) as columns.
     Both are empty for null or where there is no ://."""
-    at = F.instr(url, "://")
-    rest = F.when(at > 0, F.expr(f"substring(`{url}`, instr(`{url}`, '://') + 3)")).otherwise(F.lit(""))
+    column = F.col("`" + url.replace("`", "``") + "`")
+    rest = F.when(F.instr(column, "://") > 0, F.substring(column, F.instr(column, "://") + 3, F.length(column))).otherwise(F.lit(""))
     rest = F.coalesce(rest, F.lit(""))
     whole = F.regexp_extract(rest, r"(?s)^([^/?#]*)([^?#]*)", 1)
     host = F.translate(whole, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -99,11 +71,25 @@ def probabilities(texts: pa.Array, weights: np.ndarray, bias: float) -> np.ndarr
     return 1 / (1 + np.exp(-z))
 
 
-def train(labelled: list[tuple[str, str, int]] | None = None, rounds: int = 400, rate: float = 0.5, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression by gradient descent on the small labelled table (every row is used)."""
-    labelled = labelled or LABELLED
-    y = np.array([v for *_, v in labelled], float)
-    row, bucket = grams(pa.array([h + p for h, p, _ in labelled]))
+def read_labelled(table: str | Path | list[tuple[str, int]] | None = None) -> list[tuple[str, int]]:
+    """Host and path, as the operator reads them, of the labelled urls, and whether to block. table: rows, or a small CSV file with the columns url
+    and block; the package's own if None."""
+    if not isinstance(table, list):
+        # as text from the package, so that it also reads from a zip that was shipped to the workers
+        text = (Path(table) if table else LABELLED).read_text()
+        table = [(r["url"], int(r["block"])) for r in csv.DictReader(io.StringIO(text))]
+    out = []
+    for url, block in table:
+        m = re.match(r"(?s)^([^/?#]*)([^?#]*)", url.split("://", 1)[1] if "://" in url else "")
+        out.append((m[1].translate({c: c + 32 for c in range(65, 91)}) + m[2], block))
+    return out
+
+
+def train(labelled: list[tuple[str, int]] | None = None, rounds: int = 400, rate: float = 0.5, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """Logistic regression by gradient descent on the small labelled table (read_labelled; every row is used)."""
+    labelled = read_labelled() if labelled is None else labelled
+    y = np.array([v for _, v in labelled], float)
+    row, bucket = grams(pa.array([text for text, _ in labelled]))
     value = 1 / np.sqrt(np.maximum(1, np.bincount(row, minlength=len(y))))[row]
     w, b = np.zeros(BUCKETS), 0.0
     for _ in range(rounds):
@@ -114,14 +100,25 @@ def train(labelled: list[tuple[str, str, int]] | None = None, rounds: int = 400,
     return w, b
 
 
-def judge(df: DataFrame, url: str = "url", rules: dict[str, str] | None = None, labelled: list[tuple[str, str, int]] | None = None) -> DataFrame:
+def held_out_error(folds: int = 5, table: str | Path | list[tuple[str, int]] | None = None) -> float:
+    """The share of labelled urls that a model judges wrong which has not seen them: each fold by the others'."""
+    rows = read_labelled(table)
+    wrong = 0
+    for k in range(folds):
+        w, b = train([r for i, r in enumerate(rows) if i % folds != k])
+        held = [r for i, r in enumerate(rows) if i % folds == k]
+        wrong += sum((p >= 0.5) != bool(y) for p, (_, y) in zip(probabilities(pa.array([t for t, _ in held]), w, b), held, strict=True))
+    return wrong / len(rows)
+
+
+def judge(df: DataFrame, url: str = "url", rules: dict[str, str] | None = None, labelled: str | Path | list[tuple[str, int]] | None = None) -> DataFrame:
     """Add host, path, rule, block_probability and verdict (allow or block: the rule's, else block where the probability
     is at least a half).
 
     Null urls and those without :// have empty host and path; the model judges the empty text for them. Columns so
     named are replaced; empty tables give an empty result; repeated rows each come back."""
     df = df.drop("host", "path", "rule", "verdict", "block_probability")
-    w, b = train(labelled)
+    w, b = train(read_labelled(labelled))
     w = w.astype("f4")
 
     @F.pandas_udf("double")
