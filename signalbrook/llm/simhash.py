@@ -103,7 +103,8 @@ def near_links(prints: DataFrame, radius: int = 2) -> DataFrame:
 
     asking = spread.select(F.col("f").alias("a"), F.explode(F.array(*probes)).alias("k")).select("a", "k.i", "k.v", "k.left")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
-    met = pieces(asking, "a", True).join(pieces(standing, "b", False), ["i", "v", "j", "w"])
+    # the optimizer does not know how many rows a ball makes of one: neither side is to be broadcast
+    met = pieces(asking, "a", True).hint("merge").join(pieces(standing, "b", False), ["i", "v", "j", "w"])
     return met.where((F.col("a") < F.col("b")) & (near <= radius)).select("a", "b").distinct()
 
 
