@@ -13,6 +13,8 @@ from .common import Words, mix, slices
 
 #: At most so many labelled documents are read for training (the first by a seeded hash of the id).
 MAX_TRAIN = 6_000
+#: And of these, at most so many bytes of text: what they become on the driver is a small multiple.
+MAX_BYTES = 40 << 20
 #: A feature counts if it is in so many of them.
 MIN_DOCS = 12
 
@@ -120,9 +122,10 @@ def fit(doc: np.ndarray, h: np.ndarray, value: np.ndarray, grade: np.ndarray, n_
     return Model(known[keep], w[keep].astype("f4"), cuts)
 
 
-def train(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", n_grades: int = 3, max_train: int = MAX_TRAIN) -> Model:
+def train(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str = "text", grade: str = "grade", n_grades: int = 3, max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> Model:
     """Fit on at most max_train rated documents: ratings(doc_id, grade 0 to n_grades - 1), the best grade where a document
-    has several. Rows with a null id or grade don't count. Without any rated document the model gives every
+    has several. They are taken in the order of a seeded hash of the id, and one is passed over whose rows would take all texts
+    together beyond max_bytes. Rows with a null id or grade don't count. Without any rated document the model gives every
     text the same score, and its thresholds put every text in the best grade."""
     rated = (
         ratings.select(F.col(doc_id).alias("rated_id"), F.col(grade).cast("int").alias("grade_"))
@@ -130,7 +133,15 @@ def train(docs: DataFrame, ratings: DataFrame, doc_id: str = "doc_id", text: str
         .groupBy("rated_id").agg(F.max("grade_").alias("grade_"))
         .orderBy(F.xxhash64("rated_id", F.lit(11)), "rated_id").limit(max_train)
     )
-    own = docs.select(F.col(doc_id).alias("rated_id"), F.col(text).alias("text_")).join(F.broadcast(rated), "rated_id").select("text_", "grade_")
+    rows = docs.select(F.col(doc_id).alias("rated_id"), F.col(text).alias("text_")).join(F.broadcast(rated), "rated_id")
+    sizes = rows.groupBy("rated_id").agg(F.sum(F.coalesce(F.octet_length("text_"), F.lit(0)) + 64).alias("size")).orderBy(F.xxhash64("rated_id", F.lit(11)), "rated_id")
+    chosen, left = [], max_bytes
+    for r in sizes.collect():  # max_train rows at most
+        if r["size"] <= left:
+            left -= r["size"]
+            chosen.append((r.rated_id,))
+    fits = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("rated_id", rated.schema["rated_id"].dataType)]))
+    own = rows.join(F.broadcast(fits), "rated_id").select("text_", "grade_")
 
     def run(batches):
         for whole in batches:

@@ -5,6 +5,7 @@ import hashlib
 import heapq
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -325,6 +326,86 @@ def test_quality(spark):
     assert grades == sorted(grades)
 
 
+def brute_features(text):
+    """What the quality classifier sees in a text, a word at a time: the hash of each feature, and its value."""
+    import pyarrow as pa
+
+    from signalbrook.llm.common import mix
+
+    one = lambda x: np.array([x], np.uint64)
+    found, shares, last = {}, collections.Counter(), None
+    raw = [x.encode() for x in re.findall(mixing.WORD, text or "")]
+    for w in raw:
+        own = int(Words(pa.array([w.decode()])).hashes()[0])
+        found[own] = 1.0
+        head = 1 << 43
+        for k in range(4):
+            c = w[k] if k < len(w) else 256
+            head = (head * 257 + (c + 32 if 65 <= c <= 90 else c)) % 2**64
+        found[int(mix(one(head))[0])] = 1.0
+        shares[w[-1] * 256 + (w[-2] if len(w) > 1 else 0) + (1 << 40)] += 1
+        kinds = 0
+        for c in w:
+            kinds |= 1 if 97 <= c <= 122 else 2 if 65 <= c <= 90 else 4 if 48 <= c <= 57 else 8 if c >= 128 else 0 if c in b",." else 16
+        shares[kinds + (1 << 41)] += 1
+        shares[1 << 42] += own == last
+        last = own
+    n = max(1, len(raw))
+    return found | {int(mix(one(k))[0]): 4 * v / n for k, v in shares.items() if v}
+
+
+def test_quality_against_brute_force(docs, rows):
+    """Features, scores and probabilities a word at a time; long texts, ties, repeated rows."""
+    import pyarrow as pa
+
+    texts = sorted({r[1] for r in rows if r[1] is not None}) + ["Same same same 12,5 Ünï!", "same"]
+    row, h, value = quality.features(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert {int(a): pytest.approx(float(b), rel=1e-5) for a, b in zip(h[row == i], value[row == i])} == brute_features(t)
+    known = np.unique(h)
+    rng = np.random.default_rng(4)
+    m = quality.Model(known, rng.normal(0, 0.3, len(known)).astype("f4"), np.array([-0.5, 1.0]))
+    weight = dict(zip(known.tolist(), m.weights.tolist()))
+    got = {r.text: r for r in quality.score(docs.where("text IS NOT NULL"), m).collect()}
+    for t in texts[:-2]:
+        s = sum(weight.get(k, 0) * v for k, v in brute_features(t).items())
+        below = [1 / (1 + math.exp(-min(40, max(-40, c - s)))) for c in m.thresholds]
+        each = [below[0], below[1] - below[0], 1 - below[1]]
+        assert got[t].tail_probability == pytest.approx(each[2], abs=1e-4) and got[t].expected_grade == pytest.approx(each[1] + 2 * each[2], abs=1e-4)
+
+
+def test_quality_steps_follow_the_likelihood():
+    """Descending without a penalty, the likelihood's own slopes vanish, the thresholds stay in order, and ties in rating keep their text's score."""
+    rng = np.random.default_rng(7)
+    n, f = 400, 6
+    x = rng.random((n, f)) < 0.4
+    s = x @ np.array([2.0, -2.0, 1.0, 0, 0, -1.0])
+    grade = np.digitize(s + rng.logistic(size=n), [-1.0, 1.0])
+    doc, column = np.nonzero(x)
+    w, cuts = quality.descend(doc, column, np.ones(len(doc)), grade, np.zeros(f), np.array([-0.1, 0.1]), 3000, 0.3, 0.0)
+
+    def likelihood(w, cuts):
+        edge = np.concatenate([[-40.0], cuts, [40.0]])
+        z = x @ w
+        return np.log(quality.sigmoid(edge[grade + 1] - z) - quality.sigmoid(edge[grade] - z)).mean()
+
+    best = likelihood(w, cuts)
+    for i in range(f):
+        for step in (-0.05, 0.05):
+            assert likelihood(w + step * np.eye(f)[i], cuts) <= best + 1e-4
+    assert cuts[0] < cuts[1] and abs(w[0] - 2) < 0.8 and abs(w[1] + 2) < 0.8
+
+
+def test_quality_bounds_what_it_learns_from(spark):
+    """Texts beyond the bound of bytes, and ids that stand in many rows, are passed over; a model is there all the same."""
+    rows = [(i, ("good words here " if i % 2 else "BAD!! WORDS!! ") * 5, None, None, None) for i in range(200)] + [(1000, "huge " * 200_000, None, None, None)] + [(1001, "many rows", None, None, None)] * 500
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)] + [(1000, 0, 0), (1001, 0, 0)], "doc_id long, quality int, toxic int")
+    m = quality.train(docs, quality.graded(labels), max_bytes=25_000)
+    got = {r.doc_id: r.tail_probability for r in quality.score(docs.where("doc_id < 200"), m).collect()}
+    assert min(got[i] for i in range(1, 200, 2)) > 0.5 > max(got[i] for i in range(0, 200, 2))
+
+
 def test_without_labels_all_stay(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert all(r.kept for r in quality.classify(docs, none).collect())
