@@ -13,33 +13,41 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that match an earlier one (sets of words, Jaccard 0.8 or more): doc_id, n_lines, n_removed, removed (line, of_doc,
+    of_line), text."""
     found = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_removed", "removed", "text")
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector: vec_id, n_links (others at cosine 0.9 or more), component_id, kept. See near_duplicates for vectors that take no part."""
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's url: page_id, host, path, rule (or null), verdict (the rule's, else the model's), block_probability."""
     return url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url")).select("page_id", "host", "path", "rule", "verdict", "block_probability")
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: doc_id, expected_grade (0 to 2), tail_probability (of grade 2), kept. Null and wordless texts are judged by the thresholds alone."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     return quality.classify(docs, labels).select("doc_id", "expected_grade", "tail_probability", "kept")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in the mix: doc_id, size, source_size, target (of its source), taken (words, repeats counted)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     return mixing.mix(docs, columns=["doc_id"]).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text scored: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10). Null texts are empty."""
     return lm.score_corpus(table(spark, sf_dir, "documents"))
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in 16 shards of near equal bytes: doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
     docs = table(spark, sf_dir, "documents")
     rows = docs.select(
         "doc_id",
@@ -51,16 +59,19 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of vectors whose id is divisible by 100 the 10 best others by integer inner product: query_id, rank, vec_id, score."""
     rows = topk.integers(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk.exact_top_k(rows.where(F.col("id") % 100 == 0), rows, 10)
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded and decoded: doc_id, n_tokens, ids_sha256, decoded_sha256. Null texts are empty."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.round_trip_digests(docs).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document: doc_id, fingerprint (16 hex digits), component_id (null where the component has null ids only)."""
     found = simhash.simhash_components(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("simhash")), 16, "0").alias("fingerprint"), "component_id")
 
