@@ -52,3 +52,17 @@ def reachable(statuses: list[int], tls: bool = True) -> Column:
     """A web check's success: a status of the list and, if asked, TLS."""
     ok = F.coalesce(F.col("status").isin(statuses), F.lit(False))
     return ok & F.coalesce(F.col("tls"), F.lit(False)) if tls else ok
+
+
+def by_probe(samples: DataFrame, metric: str, at: str, width: str, probe: str = "probe", by: tuple[str, ...] = ("job", "instance")) -> DataFrame:
+    """A check that several probes make: for each of by how many probes reported in (at - width, at], how many of them mostly failed, and the mean
+    of their means, so that a probe which reports more often has no more say."""
+    from ..model import label
+    from .ranges import avg_over_time
+    from .selectors import range_series
+
+    each = avg_over_time(range_series(samples, metric, [(probe, "!=", "")], at, width))
+    cols = {b: label(b) for b in by}
+    return each.withColumns({**cols, "probe_": label(probe)}).groupBy(*by).agg(
+        F.count_distinct("probe_").alias("n_probes"), F.count_if(F.col("value") < 0.5).alias("n_failing"), F.avg("value").alias("value")
+    )

@@ -828,3 +828,15 @@ def strip_and_split(spark, d):
 @register("age_ms", "SELECT event_id, CAST(epoch_ms(TIMESTAMP '2024-02-15 12:00:00') - floor(epoch_us(ts) / 1000) AS BIGINT) AS age_ms FROM events")
 def age_ms(spark, d):
     return TV.table(spark, d, "events").select("event_id", durations.age_ms("ts", "2024-02-15 12:00:00").alias("age_ms"))
+
+
+@register(
+    "probes_agree",
+    f"""SELECT job, instance, count(*) AS n_probes, count(*) FILTER (WHERE v < 0.5) AS n_failing, avg(v) AS value FROM (
+      SELECT 'up' AS job, CAST(user_id % 10 AS VARCHAR) AS instance, user_id % 3 AS probe, avg(CASE WHEN event_type = 'error' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END) AS v FROM events
+      WHERE ts > TIMESTAMP '{AT}' - INTERVAL 24 HOURS AND ts <= TIMESTAMP '{AT}' GROUP BY 1, 2, 3) GROUP BY 1, 2""",
+)
+def probes_agree(spark, d):
+    e = TV.table(spark, d, "events").select("event_id", (F.col("user_id") % 3).cast("string").alias("p"))
+    up = TV.up(spark, d).join(e, "event_id").withColumn("labels", merge_labels(F.col("labels"), F.create_map(F.lit("probe"), F.col("p"))))
+    return P.by_probe(up, "up", AT, "24h")

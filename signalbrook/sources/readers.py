@@ -101,3 +101,13 @@ def required(name: str, message: str = "") -> str:
     if not value:
         raise ValueError(message or f"{name} is not set")
     return value
+
+
+#: A request as a web firewall hands it on.
+REQUESTS = "ts timestamp, method string, host string, path string, query string, ip string, user_agent string, status int"
+
+
+def requests(spark: SparkSession, path: str, streaming: bool = False, schema: str = REQUESTS) -> DataFrame:
+    """Requests from JSON lines, as a table or as a stream of new files; a line that does not fit gives nulls."""
+    reader = spark.readStream if streaming else spark.read
+    return reader.schema(schema).json(path)

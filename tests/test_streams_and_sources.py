@@ -132,3 +132,11 @@ def test_notify_reaches_all_targets(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert seen == [("a", 3), ("b", 3)]
+
+
+def test_request_source(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"ts":"2024-01-01T00:00:00","method":"GET","path":"/a","status":200,"more":1}\nno json\n')
+    got = readers.requests(spark, str(tmp_path / "r.json")).orderBy("path").collect()
+    assert [(r.method, r.path, r.status) for r in got] == [(None, None, None), ("GET", "/a", 200)]
+    run(readers.requests(spark, str(tmp_path), streaming=True).where("path IS NOT NULL"), "req1")
+    assert spark.table("req1").count() == 1
