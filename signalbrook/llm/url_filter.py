@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import re
+from importlib import resources
 from pathlib import Path
 
 import numpy as np
@@ -18,7 +19,7 @@ from .common import mix
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
 
 #: The small labelled URL table: url and whether to block, invented names under .example.
-LABELLED = Path(__file__).with_name("labelled_urls.csv")
+LABELLED = "labelled_urls.csv"
 
 BUCKETS = 1 << 15
 SIZES = (3, 4, 5)
@@ -75,8 +76,8 @@ def read_labelled(table: str | Path | list[tuple[str, int]] | None = None) -> li
     """Host and path, as the operator reads them, of the labelled urls, and whether to block. table: rows, or a small CSV file with the columns url
     and block; the package's own if None."""
     if not isinstance(table, list):
-        # as text from the package, so that it also reads from a zip that was shipped to the workers
-        text = (Path(table) if table else LABELLED).read_text()
+        own = resources.files(__package__).joinpath(LABELLED)  # a zipped package has it too
+        text = (Path(table) if table else own).read_text()
         table = [(r["url"], int(r["block"])) for r in csv.DictReader(io.StringIO(text))]
     out = []
     for url, block in table:
