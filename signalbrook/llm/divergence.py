@@ -21,8 +21,9 @@ TERM = np.zeros(256, dtype=bool)
 TERM[[*range(97, 123), *range(128, 256)]] = True
 
 SCALE = 1000  # cubed: the unit of a share
-#: Counts of (source, term) that one task works on, about.
-BLOCK = 1 << 19
+#: Counts of (source, term) that one task works on, about; more where a language has so many sources that a block's pairs would outnumber its
+#: counts, but at most MOST.
+BLOCK, MOST = 1 << 15, 1 << 22
 ROWS = "lang string, source string, term string, n long, docs long"
 
 
@@ -159,7 +160,7 @@ def audit(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     top ranks of terms are given.
 
     Texts are counted where they lie, four megabytes at a time; only sums of (lang, source, term) are shuffled. The terms of a language are dealt to
-    blocks of about `block` counts by their hash, so that a large language or source is worked on by many tasks; a block gets all sources' totals
+    blocks of about `block` counts (BLOCK, MOST) by their hash, so that a large language or source is worked on by many tasks; a block gets all sources' totals
     beside its counts. Its result is a row for each pair of sources, as the whole result has.
 
     Null texts, languages and sources count as the empty text; repeated rows count each time; a group without terms is compared all the same; a
@@ -170,7 +171,9 @@ def audit(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     kept = cut(terms.where(F.col("docs") >= least_docs).drop("docs"))
     groups = counted.where("term = ''").select("lang", "source")
     whole = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"), F.sum("cells").alias("cells"))
-    langs = groups.select("lang").distinct().join(whole, "lang", "left").select("lang", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("terms", "lang_total")], (F.coalesce(F.col("cells"), F.lit(0)) / block + 1).cast("long").alias("blocks"))
+    langs = groups.groupBy("lang").agg(F.count("*").alias("sources")).join(whole, "lang", "left")
+    size = F.least(F.lit(MOST), F.greatest(F.lit(block), F.col("sources") * F.col("sources")))
+    langs = langs.select("lang", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("terms", "lang_total")], (F.coalesce(F.col("cells"), F.lit(0)) / size + 1).cast("long").alias("blocks"))
     cells = cut(counted.where("term <> ''").select("lang", "source", "term", "n").join(kept.drop("cells"), ["lang", "term"]))
     totals = groups.join(cells.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").join(langs, "lang")
     every = totals.select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "source", F.coalesce("total", F.lit(0).cast("long")).alias("total"), "terms", "lang_total")
