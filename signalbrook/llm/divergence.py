@@ -44,7 +44,8 @@ class Terms:
         offsets = np.concatenate([[0], np.cumsum(size + 1)])
         self.row = np.repeat(np.arange(len(texts)), np.diff(np.searchsorted(start, offsets)))
         raw = data.tobytes()
-        hashes = np.fromiter((digest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist())), np.uint64, len(start))
+        each = map(raw.__getitem__, map(slice, start.tolist(), end.tolist()))
+        hashes = np.fromiter(map(digest, each), np.uint64, len(start))
         _, first, self.code = np.unique(hashes, return_index=True, return_inverse=True)
         self.terms = [raw[start[i] : end[i]] for i in first.tolist()]
         self._verify(data, raw, start, end, first)
@@ -74,7 +75,8 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             group = np.array([names.setdefault(x, len(names)) for x in zip(part.column(1).to_pylist(), part.column(2).to_pylist())], np.int64)
             n = max(1, len(found.terms))
             cell, count = np.unique(group[found.row] * n + found.code, return_counts=True)
-            once = np.unique(found.row * n + found.code)
+            once = np.sort(found.row * n + found.code)
+            once = once[np.append(True, once[1:] != once[:-1])[: len(once)]]
             _, texts = np.unique(group[once // n] * n + once % n, return_counts=True)
             lang, source = (pa.array([k[i] for k in names]) for i in (0, 1))
             at = pa.array(np.concatenate([cell // n, np.arange(len(names))]))
