@@ -117,10 +117,10 @@ def non_empty(*cols: str | Column) -> Column:
     return F.coalesce(*[F.nullif(_col(c), F.lit("")) for c in cols])
 
 
-def lookup(mapping: dict[str, str], c: str | Column) -> Column:
-    """A fixed map's value for a key, or the key itself."""
+def lookup(mapping: dict[str, str], c: str | Column, default: Column | None = None) -> Column:
+    """A fixed map's value for a key, or a default, by default the key itself."""
     table = F.create_map(*[F.lit(x) for kv in mapping.items() for x in kv])
-    return F.coalesce(F.element_at(table, _col(c)), _col(c))
+    return F.coalesce(F.element_at(table, _col(c)), _col(c) if default is None else default)
 
 
 _MARK = re.compile(r"\{\{\s*(.*?)\s*\}\}")

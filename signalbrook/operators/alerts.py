@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.durations import seconds
 from ..functions.text import lookup, non_empty, template
 from ..model import label, merge_labels
+from ..sources.shared import settled
+from .pieces import SPAN, chained, last_before, next_of, numbered, runs
 
 
 @dataclass(frozen=True)
@@ -24,40 +26,25 @@ class Rule:
     annotations: dict[str, str] = field(default_factory=dict)
 
 
-def islands(df: DataFrame, keys: list[str], on: Column, ts: str = "ts") -> DataFrame:
-    """Adds island_: a number that is the same for rows of a key in order of time since the last one where on was false."""
-    order = Window.partitionBy(*keys).orderBy(ts).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("island_", F.sum(F.when(on, 0).otherwise(1)).over(order))
-
-
-def hold_for(evals: DataFrame, keys: list[str], cond: str, hold: str | float, ts: str = "ts") -> DataFrame:
-    """evals: a row for each key and evaluation time, with a boolean. Adds state (inactive, pending or firing) and active_at: a key
-    fires once its condition has been true at every evaluation for at least hold. A null condition is false."""
-    on = F.coalesce(F.col(cond), F.lit(False))
-    marked = islands(evals, keys, on, ts)
-    since = F.min(F.when(on, F.col(ts))).over(Window.partitionBy(*keys, "island_"))
-    held = F.col(ts) >= since + F.make_dt_interval(secs=F.lit(float(seconds(hold))))
-    return (
-        marked.withColumn("active_at", F.when(on, since))
-        .withColumn("state", F.when(~on, "inactive").when(held, "firing").otherwise("pending"))
-        .drop("island_")
-    )
+def hold_for(evals: DataFrame, keys: list[str], cond: str, hold: str | float, ts: str = "ts", span: str | float = SPAN) -> DataFrame:
+    """evals: a row for each key and evaluation time, with a boolean. Adds state (inactive, pending or firing), active_at and ended_at: a key fires once its
+    condition has been true at every evaluation for at least hold; a row that ends an alert has the time that it had been active from. A null
+    condition is false. A key's evaluations are worked on in pieces of span."""
+    held = F.col(ts) >= F.col("run_start") + F.make_dt_interval(secs=F.lit(float(seconds(hold))))
+    state = F.when(F.col("run_start").isNull(), "inactive").when(held, "firing").otherwise("pending")
+    return runs(evals, keys, F.col(cond), ts, span).withColumn("state", state).withColumnsRenamed({"run_start": "active_at", "run_ended": "ended_at"}).drop("run_length")
 
 
 def firings(held: DataFrame, keys: list[str], ts: str = "ts") -> DataFrame:
     """The alerts in a table of states: keys, active_at, fired_at, resolved_at (null while firing)."""
-    order = Window.partitionBy(*keys).orderBy(ts)
-    fires = F.col("state") == "firing"
-    out = held.withColumn("off_", F.min(F.when(~fires, F.col(ts))).over(order.rowsBetween(1, Window.unboundedFollowing)))
-    fired = out.where(fires).groupBy(*keys, "active_at").agg(F.min(ts).alias("fired_at"), F.max("off_").alias("resolved_at"))
-    return fired
+    fired = F.min(F.when(F.col("state") == "firing", F.col(ts)))
+    each = held.where("state = 'firing' OR ended_at IS NOT NULL").groupBy(*keys, F.coalesce("active_at", "ended_at").alias("active_at"))
+    return each.agg(fired.alias("fired_at"), F.min(F.when(F.col("ended_at").isNotNull(), F.col(ts))).alias("resolved_at")).where("fired_at IS NOT NULL")
 
 
-def consecutive(df: DataFrame, keys: list[str], miss: Column, ts: str = "ts") -> DataFrame:
-    """Adds misses: how many rows up to this one have missed in a row."""
-    marked = islands(df.withColumn("miss_", miss), keys, F.col("miss_"), ts)
-    count = F.sum(F.when(F.col("miss_"), 1).otherwise(0)).over(Window.partitionBy(*keys, "island_").orderBy(ts).rowsBetween(Window.unboundedPreceding, 0))
-    return marked.withColumn("misses", count.cast("long")).drop("miss_", "island_")
+def consecutive(df: DataFrame, keys: list[str], miss: Column, ts: str = "ts", span: str | float = SPAN) -> DataFrame:
+    """Adds misses: how many rows up to this one have missed in a row. A key's rows are worked on in pieces of span."""
+    return runs(df, keys, miss, ts, span).withColumnRenamed("run_length", "misses").drop("run_start", "run_ended")
 
 
 def health(checks: DataFrame, keys: list[str], ok: str, retries: int, started: str | None = None, start_period: str | float = 0, ts: str = "ts") -> DataFrame:
@@ -68,27 +55,30 @@ def health(checks: DataFrame, keys: list[str], ok: str, retries: int, started: s
     return consecutive(checks, keys, failed, ts).withColumn("healthy", F.col("misses") < retries)
 
 
-def act_with_cooldown(readings: DataFrame, keys: list[str], miss: str, limit: int, cooldown_s: int, t: str = "t") -> DataFrame:
-    """Adds misses (as the watcher counts) and acted: a key's readings in order of t; after limit misses in a row it acts,
-    if cooldown_s seconds have passed since it last did, and starts counting anew; a reading that is no miss resets.
-
-    The count depends on the last action, so a key's readings are folded in order, one key to a task at a time."""
-    fields = {f.name: f.dataType.simpleString() for f in readings.schema.fields if f.name not in ("misses", "acted")}
-    schema = ", ".join(f"`{n}` {d}" for n, d in fields.items()) + ", misses long, acted boolean"
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(t, kind="stable")
-        count, last, misses, acted = 0, None, [], []
-        for missed, now in zip(pdf[miss], pdf[t]):
-            count = count + 1 if missed else 0
-            act = count >= limit and (last is None or now - last >= cooldown_s)
-            misses.append(min(count, limit))
-            acted.append(act)
-            if act:
-                count, last = 0, now
-        return pdf.assign(misses=misses, acted=acted)[[*fields, "misses", "acted"]]
-
-    return readings.select(*fields).groupBy(*keys).applyInPandas(fold, schema)
+def act_with_cooldown(readings: DataFrame, keys: list[str], miss: str, limit: int, cooldown_s: int, t: str = "t", span: float = 65536) -> DataFrame:
+    """Adds misses (as the watcher counts) and acted: a key's readings in order of t; after limit misses in a row it acts, if cooldown_s seconds have passed
+    since it last did, and starts counting anew; a reading that is no miss (or null) resets. Of readings of one time, misses come last.
+
+    After an action the next one is the first reading that ends limit misses in a row, is limit readings on, and cooldown_s on. Each reading that could
+    be an action points to that one, and the actions are the places on the chain of these pointers from the first. No step takes a key's readings
+    as a whole: they are numbered, counted and looked up in pieces of span readings (and as many cooldowns), and chains are followed by doubling."""
+    known = [c for c in readings.columns if c not in ("misses", "acted")]
+    rows = runs(numbered(readings.select(*known), keys, t, [miss], span * max(cooldown_s, 1), "place_"), keys, F.col(miss), "place_", span)
+    rows = settled(rows.drop("run_ended"))
+    could = rows.where(F.col("run_length") >= limit).select(*keys, F.col("place_").alias("a"), F.col(t).alias("t_"))
+    on = next_of(could.select(*keys, F.col("a").alias("at")), could.select(*keys, "a", (F.col("a") + limit).alias("at")), keys, "at", "at", span)
+    due = next_of(could.select(*keys, F.col("t_").alias("at"), F.col("a").alias("to")), could.select(*keys, "a", (F.col("t_") + cooldown_s).alias("at")), keys, "at", "to", span * max(cooldown_s, 1))
+    on, due = on.select(*[F.col(k).alias(f"k_{i}") for i, k in enumerate(keys)], F.col("a").alias("a_"), "next_at"), due.drop("at")
+    links = due.join(on, [F.col(k).eqNullSafe(F.col(f"k_{i}")) for i, k in enumerate(keys)] + [F.col("a") == F.col("a_")])
+    links = links.select(*keys, "a", F.when(F.col("next_at").isNotNull() & F.col("next_to").isNotNull(), F.greatest("next_at", "next_to")).alias("b"))
+    acts = chained(links, could.groupBy(*keys).agg(F.min("a").alias("a")), keys).withColumn("acted", F.lit(True))
+    acts = acts.withColumnsRenamed({k: f"k_{i}" for i, k in enumerate(keys)})
+    met = rows.join(acts, [F.col(k).eqNullSafe(F.col(f"k_{i}")) for i, k in enumerate(keys)] + [F.col("place_") == F.col("a")], "left")
+    met = met.select(*rows.columns, F.coalesce("acted", F.lit(False)).alias("acted"))
+    told = last_before(met, keys, F.when(F.col("acted"), F.col("place_")), "place_", span, "reset_")
+    since = F.greatest(F.coalesce("reset_", F.lit(-1)), F.col("run_start") - 1)
+    misses = F.when(F.col("run_length") > 0, F.least(F.lit(limit), F.col("place_") - since)).otherwise(0)
+    return told.select(*known, misses.cast("long").alias("misses"), "acted")
 
 
 #: What each severity's receiver is called, its priority and its tag. Anything unknown goes to warning.
@@ -124,9 +114,9 @@ def group_alerts(alerts: DataFrame, by: list[str], description: str, order: list
     )
 
 
-def push_title(status: str = "status", alertname: str = "alertname") -> Column:
-    """The title of a push message: a mark for resolved or firing, and the alert's name."""
-    return F.concat(F.when(F.col(status) == "resolved", F.lit("✅ ")).otherwise(F.lit("\U0001f525 ")), F.col(alertname))
+def push_title(status: str = "status", alertname: str = "alertname", marks: dict[str, str] | None = None, default: str = "[open] ") -> Column:
+    """The title of a push message: what marks its status (marks, else default), and the alert's name."""
+    return F.concat(lookup(marks or {"resolved": "[done] "}, F.col(status), F.lit(default)), F.col(alertname))
 
 
 #: What a group's change of status is called in its thread.
@@ -136,12 +126,12 @@ STATUS_TEXT = {
 }
 
 
-def thread_open(groups: DataFrame) -> DataFrame:
-    """Adds payload, the JSON that opens a thread for a group (title, summary, description, group_id, link): the name cut to 100
-    characters, the text to 1,500, and the line that names the group."""
-    body = F.concat(F.substring(F.coalesce(non_empty("summary", "description"), F.lit("")), 1, 1500), F.lit("\n\nIRM alert group: `"), F.col("group_id"), F.lit("`\n<"), F.col("link"), F.lit(">"))
+def thread_open(groups: DataFrame, footer: str = "\n-- group {{group_id}}, see {{link}}", name_length: int = 100, text_length: int = 1500) -> DataFrame:
+    """Adds payload, the JSON that opens a thread for a group (title, summary, description, group_id, link): the name and the text cut to
+    their lengths, and a footer, a template over the group's columns, that names the group."""
+    body = F.concat(F.substring(F.coalesce(non_empty("summary", "description"), F.lit("")), 1, text_length), template(footer, F.col))
     quiet = F.struct(F.array().cast("array<string>").alias("parse"))
-    return groups.withColumn("payload", F.to_json(F.struct(F.substring("title", 1, 100).alias("thread_name"), body.alias("content"), quiet.alias("allowed_mentions"))))
+    return groups.withColumn("payload", F.to_json(F.struct(F.substring("title", 1, name_length).alias("thread_name"), body.alias("content"), quiet.alias("allowed_mentions"))))
 
 
 def status_change(events: DataFrame, kind: str = "event_type") -> DataFrame:

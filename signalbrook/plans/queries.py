@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import durations, text
 from ..model import label, merge_labels, series_key
 from ..operators import alerts as A
+from ..operators import grid as G
 from ..operators import inventory as I
 from ..operators import logs as L
 from ..operators import probes as P
@@ -18,6 +19,7 @@ from ..operators import records as RC
 from ..operators import relabel as RL
 from ..operators import selectors as S
 from ..operators import vectors as V
+from ..operators.grid import Grid
 from . import rules
 from . import testviews as TV
 
@@ -59,15 +61,15 @@ def register(name: str, sql: str | None = None):
     def add(f: Query) -> Query:
         QUERIES[name] = f
         if sql is not None:
-            SQL[name] = f"WITH {VIEWS} {sql}"
+            SQL[name] = f"WITH RECURSIVE {VIEWS} {sql}"
         return f
 
     return add
 
 
-#: Messages that hold a ban or an alert, and how a list shows one.
-BANS = r".* by (ip|range) .*"
-BAN_LINE = "{{.scenario}}  {{.source_ip}} {{.country}}/{{.asn}}  {{if .action}}{{.duration}} {{.action}}{{else}}alert only{{end}}"
+#: Messages that name an address, and how a list shows one: who was seen first, then what was done.
+BANS = r"\(\w+\) .+ by ip [0-9.]+.*"
+BAN_LINE = "{{.source_ip}} ({{.country}}) seen by {{.machine}} for {{.scenario}}{{if .action}}, {{.action}} of {{.duration}}{{end}}"
 
 
 def _bans(logs: DataFrame, **stream: str) -> DataFrame:
@@ -198,6 +200,57 @@ def sliding_count(spark, d):
     return V.agg(R.over_time(rows, "count", ["eval_ts"]), "sum", ["job"], ["eval_ts"]).select(label("job").alias("job"), "eval_ts", "value")
 
 
+GRID = Grid("2024-01-02 00:00:00", "2024-01-29 00:00:00", "1h")
+TICKS = "t AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-02 00:00:00', TIMESTAMP '2024-01-29 00:00:00', INTERVAL 1 HOURS)) AS eval_ts)"
+
+
+@register(
+    "increase_overlapping",
+    f""", {TICKS}, w AS (SELECT job, instance, eval_ts, value, lag(value) OVER (PARTITION BY job, instance, eval_ts ORDER BY ts, value) AS prev
+      FROM t JOIN c ON c.ts > eval_ts - INTERVAL 12 HOURS AND c.ts <= eval_ts)
+    SELECT job, instance, eval_ts, sum(CASE WHEN value >= prev THEN value - prev WHEN prev IS NOT NULL THEN value END) AS value FROM w GROUP BY 1, 2, 3 HAVING count(*) >= 2""",
+)
+def increase_overlapping(spark, d):
+    """The rise over twelve hours, each hour."""
+    return G.increase(TV.counter(spark, d), "c_total", [], GRID, "12h").select(label("job").alias("job"), label("instance").alias("instance"), "eval_ts", "value")
+
+
+@register("sum_overlapping", f", {TICKS} SELECT job, eval_ts, round(sum(value), 2) AS value FROM t JOIN g ON g.ts > eval_ts - INTERVAL 6 HOURS AND g.ts <= eval_ts GROUP BY 1, 2")
+def sum_overlapping(spark, d):
+    """The sum over six hours, each hour, by job."""
+    each = G.over_time(TV.gauge(spark, d), "g", [], GRID, "6h", "sum")
+    return V.agg(each, "sum", ["job"], ["eval_ts"]).select(label("job").alias("job"), "eval_ts", F.round("value", 2).alias("value"))
+
+
+#: Where a series was over 30 and its last rise below 40: hourly, held for three hours.
+HIGH = {
+    "alert": "High", "hold": "3h", "labels": {"severity": "warning"},
+    "expr": {"kind": "all", "parts": [
+        {"kind": "compare", "op": ">", "number": 30, "of": {"kind": "series", "metric": "g", "lookback": "8h"}},
+        {"kind": "compare", "op": "<", "number": 40, "of": {"kind": "increase", "metric": "c_total", "width": "12h"}},
+    ]},
+}
+
+
+@register(
+    "rule_over_time",
+    f""", {TICKS}, last AS (SELECT job, instance, eval_ts, arg_max(value, (ts, value)) AS value FROM t JOIN g ON g.ts > eval_ts - INTERVAL 8 HOURS AND g.ts <= eval_ts GROUP BY 1, 2, 3),
+    w AS (SELECT job, instance, eval_ts, value, lag(value) OVER (PARTITION BY job, instance, eval_ts ORDER BY ts, value) AS prev FROM t JOIN c ON c.ts > eval_ts - INTERVAL 12 HOURS AND c.ts <= eval_ts),
+    up12 AS (SELECT job, instance, eval_ts, sum(CASE WHEN value >= prev THEN value - prev WHEN prev IS NOT NULL THEN value END) AS v FROM w GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+    met AS (SELECT job, instance, eval_ts, last.value FROM last JOIN up12 USING (job, instance, eval_ts) WHERE last.value > 30 AND v < 40),
+    isl AS (SELECT *, eval_ts - INTERVAL 1 HOURS * row_number() OVER (PARTITION BY job, instance ORDER BY eval_ts) AS island FROM met)
+    SELECT job, instance, eval_ts, value, CASE WHEN eval_ts >= since + INTERVAL 3 HOURS THEN 'firing' ELSE 'pending' END AS state, since AS active_at
+    FROM (SELECT *, min(eval_ts) OVER (PARTITION BY job, instance, island) AS since FROM isl)""",
+)
+def rule_over_time(spark, d):
+    """A rule document at every hour, with its states."""
+    cols = ["metric", "labels", "ts", "value"]
+    both = TV.gauge(spark, d).select(*cols).unionByName(TV.counter(spark, d).select(*cols))
+    (rule, expr), = rules.from_documents([HIGH])
+    found = rules.states(both, rule, expr, GRID).where("cond")
+    return found.select(label("job").alias("job"), label("instance").alias("instance"), "eval_ts", "value", "state", "active_at")
+
+
 @register("last_not_null", "SELECT job, value FROM (SELECT job, value, row_number() OVER (PARTITION BY job ORDER BY ts DESC, value DESC) AS r FROM g) WHERE r = 1")
 def last_not_null(spark, d):
     return R.last_not_null(TV.gauge(spark, d).withColumn("job", label("job")), ["job"])
@@ -295,7 +348,7 @@ def log_topk_scenario(spark, d):
     return _labels(rules.top_messages(TV.logs(spark, d), AT, "14d", ["scenario"], rules.BAN, BANS), "scenario")
 
 
-@register("line_format_if", "SELECT event_id, scenario || '  ' || source_ip || ' ' || country || '/' || asn || '  ' || CASE WHEN action <> '' THEN duration || ' ' || action ELSE 'alert only' END AS line FROM parsed")
+@register("line_format_if", "SELECT event_id, source_ip || ' (' || country || ') seen by m for ' || scenario || CASE WHEN action <> '' THEN ', ' || action || ' of ' || duration ELSE '' END AS line FROM parsed")
 def line_format_if(spark, d):
     return rules.message_lines(TV.logs(spark, d), rules.BAN, BANS, BAN_LINE).select("event_id", "line")
 
@@ -324,42 +377,47 @@ def contains_documents(spark, d):
 # Relabelling and probes
 
 
-def _targets(spark, d):
+def _meters(spark, d):
+    """Customers as meters that a discovery has found, each on two lines."""
     c = TV.table(spark, d, "customer")
-    port = F.when(F.col("c_custkey") % 4 == 0, F.lit("")).otherwise((F.col("c_custkey") % 9000 + 1000).cast("string"))
     labels = F.create_map(
-        F.lit("__found_name"), F.concat(F.lit("/"), F.col("c_name")), F.lit("__found_port"), port,
-        F.lit("__found_segment"), F.col("c_mktsegment"), F.lit("__found_group"), (F.col("c_nationkey") % 3).cast("string"),
-    )
-    net = lambda name, base: F.struct(F.lit(name).alias("name"), F.concat(F.lit(base), (F.col("c_custkey") % 250).cast("string")).alias("ip"))
-    return c.select("c_custkey", labels.alias("labels"), F.array(net("proxy", "192.0.2."), net("default", "198.51.100.")).alias("networks"))
-
-
-#: Customers as scrape targets: those with a port, once, on one of their networks.
-TARGET_RULES = [
-    RL.Rule(("__found_port",), regex=".+", action="keep"),
-    RL.Rule(("__found_net_name",), regex="default", action="drop"),
-    RL.Rule(("__found_net_ip", "__found_port"), target="__address__", separator=":"),
-    RL.Rule(("__found_name",), target="container", regex="/(.*)"),
-    RL.Rule(("__found_segment",), target="service"),
-    RL.Rule(("__found_group",), target="stack"),
+        F.lit("__maker"), F.concat(F.lit("Maker of "), F.col("c_name")), F.lit("__branch"), F.lower("c_mktsegment"),
+        F.lit("__zone"), (F.col("c_nationkey") % 3).cast("string"), F.lit("__serial"), F.concat(F.lit("SN-"), F.col("c_custkey").cast("string"), F.lit("-"), (F.col("c_nationkey") % 5).cast("string")),
+        F.lit("note"), F.lit("unread"),
+    )
+    line = lambda name, rest: F.struct(F.lit(name).alias("name"), F.concat(F.lit("m"), F.col("c_custkey").cast("string"), F.lit(rest)).alias("ip"))
+    return c.select("c_custkey", labels.alias("labels"), F.array(line("bus", ".bus.example"), line("radio", ".radio.example")).alias("networks"))
+
+
+#: One rule or more for each thing that a rule can do, on meters: whole branches left out, one line kept, several sources joined, groups moved
+#: about, a part of a value replaced, a label without a value taken away.
+METER_RULES = [
+    RL.Rule(("__branch", "__zone"), regex="(machinery;0|household;.)", action="drop"),
+    RL.Rule(("__line_name", "__branch"), regex="radio;.*|bus;(furniture|building)", action="keep"),
+    RL.Rule(("__zone", "__line_name", "__branch"), target="place", separator="/"),
+    RL.Rule(("__serial",), target="batch", regex=r"SN-(\d+)-(\d)", replacement="$2:$1"),
+    RL.Rule(("__branch",), target="branch", regex="(b.*)"),
+    RL.Rule(("__line_ip",), target="__address__", regex=r"m(\d+)\..*", replacement="$1"),
+    RL.Rule(("absent",), target="note"),
 ]
 
 
 @register(
     "relabel_targets",
-    """SELECT c_custkey, '192.0.2.' || CAST(c_custkey % 250 AS VARCHAR) || ':' || CAST(c_custkey % 9000 + 1000 AS VARCHAR) AS address, c_name AS container, c_mktsegment AS service, CAST(c_nationkey % 3 AS VARCHAR) AS stack
-    FROM customer WHERE c_custkey % 4 <> 0""",
+    """SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS address, CAST(c_nationkey % 3 AS VARCHAR) || '/' || l || '/' || lower(c_mktsegment) AS place,
+      CAST(c_nationkey % 5 AS VARCHAR) || ':' || CAST(c_custkey AS VARCHAR) AS batch, CASE WHEN c_mktsegment = 'BUILDING' THEN 'building' ELSE '' END AS branch, '' AS note
+    FROM customer CROSS JOIN (VALUES ('bus'), ('radio')) x(l)
+    WHERE c_mktsegment <> 'HOUSEHOLD' AND NOT (c_mktsegment = 'MACHINERY' AND c_nationkey % 3 = 0) AND (l = 'radio' OR c_mktsegment IN ('FURNITURE', 'BUILDING'))""",
 )
 def relabel_targets(spark, d):
-    made = RL.relabel(RL.per_network(_targets(spark, d), prefix="__found_net_"), TARGET_RULES)
-    return made.select("c_custkey", label("__address__").alias("address"), *[label(n).alias(n) for n in ("container", "service", "stack")])
+    made = RL.relabel(RL.per_network(_meters(spark, d), prefix="__line_"), METER_RULES)
+    return made.select("c_custkey", label("__address__").alias("address"), *[label(n).alias(n) for n in ("place", "batch", "branch", "note")])
 
 
-@register("relabel_constant", "SELECT c_custkey, 'apps' AS host, c_mktsegment AS service FROM customer")
+@register("relabel_constant", "SELECT c_custkey, 'plant' AS site, lower(c_mktsegment) AS branch FROM customer")
 def relabel_constant(spark, d):
-    rows = RL.relabel(_targets(spark, d), [RL.Rule(("__found_segment",), target="service")])
-    return RL.constant_label(rows, "host", "apps").select("c_custkey", label("host").alias("host"), label("service").alias("service"))
+    rows = RL.relabel(_meters(spark, d), [RL.Rule(("__branch",), target="branch")])
+    return RL.constant_label(rows, "site", "plant").select("c_custkey", label("site").alias("site"), label("branch").alias("branch"))
 
 
 @register("probe_conditions", "SELECT o_orderkey, CASE WHEN web THEN status = 200 AND cert > 172800 ELSE resolves AND body = '1-URGENT' END AS success FROM probes")
@@ -399,7 +457,17 @@ def health_state(spark, d):
     return A.health(TV.hourly(spark, d).withColumn("ok", ~F.col("cond")), ["instance"], "ok", 3, ts="hour").select("instance", "hour", "healthy")
 
 
-@register("cooldown_actions")
+@register(
+    "cooldown_actions",
+    """, h AS (SELECT instance, CAST(epoch(hour) - epoch(TIMESTAMP '2024-01-01 00:00:00') AS BIGINT) AS t, cond, row_number() OVER (PARTITION BY instance ORDER BY hour) AS rn FROM hourly),
+    fold AS (
+      SELECT DISTINCT instance, CAST(0 AS BIGINT) AS rn, CAST(0 AS BIGINT) AS t, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS last, CAST(0 AS BIGINT) AS misses, false AS acted FROM h
+      UNION ALL
+      SELECT instance, rn, t, CASE WHEN act THEN 0 ELSE c END, CASE WHEN act THEN t ELSE last END, least(c, 2), act FROM (
+        SELECT *, c >= 2 AND (last IS NULL OR t - last >= 18000) AS act FROM (
+          SELECT h.instance, h.rn, h.t, f.last, CASE WHEN h.cond THEN f.n + 1 ELSE 0 END AS c FROM fold f JOIN h ON h.instance = f.instance AND h.rn = f.rn + 1)))
+    SELECT instance, t, misses, acted FROM fold WHERE rn > 0""",
+)
 def cooldown_actions(spark, d):
     rows = TV.hourly(spark, d).withColumn("t", (F.timestamp_diff("HOUR", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("hour")) * 3600).cast("long"))
     return A.act_with_cooldown(rows.select("instance", "t", "cond"), ["instance"], "cond", 2, 18000).select("instance", "t", "misses", "acted")
@@ -426,7 +494,7 @@ def alert_debounce(spark, d):
     return A.debounce(_order_alerts(spark, d), ts="o_orderdate").select("o_orderkey", "act_at")
 
 
-@register("push_title", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN '✅ ' ELSE '🔥 ' END || o_orderpriority AS title FROM orders")
+@register("push_title", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN '[done] ' ELSE '[open] ' END || o_orderpriority AS title FROM orders")
 def push_title(spark, d):
     o = TV.table(spark, d, "orders").withColumn("status", F.when(F.col("o_orderstatus") == "F", "resolved").otherwise("firing"))
     return o.select("o_orderkey", A.push_title("status", "o_orderpriority").alias("title"))
@@ -438,7 +506,7 @@ def status_payload(spark, d):
     return A.status_change(o).select("o_orderkey", "payload")
 
 
-@register("thread_payload", """SELECT o_orderkey, '{"thread_name":"' || o_orderpriority || '","content":"order of ' || CAST(o_custkey AS VARCHAR) || '\\n\\nIRM alert group: `' || CAST(o_orderkey AS VARCHAR) || '`\\n<https://example.org/' || CAST(o_orderkey AS VARCHAR) || '>","allowed_mentions":{"parse":[]}}' AS payload FROM orders""")
+@register("thread_payload", """SELECT o_orderkey, '{"thread_name":"' || o_orderpriority || '","content":"order of ' || CAST(o_custkey AS VARCHAR) || '\\n-- group ' || CAST(o_orderkey AS VARCHAR) || ', see https://example.org/' || CAST(o_orderkey AS VARCHAR) || '","allowed_mentions":{"parse":[]}}' AS payload FROM orders""")
 def thread_payload(spark, d):
     key = F.col("o_orderkey").cast("string")
     o = TV.table(spark, d, "orders").select("o_orderkey", F.col("o_orderpriority").alias("title"), F.lit("").alias("summary"), F.concat(F.lit("order of "), F.col("o_custkey").cast("string")).alias("description"), key.alias("group_id"), F.concat(F.lit("https://example.org/"), key).alias("link"))
@@ -779,12 +847,16 @@ def start_order(spark, d):
     return RC.start_order(n, "n_name", "o", 2).select("n_name", "starts")
 
 
-@register("bound_targets", "SELECT event_id, value, c_name AS container, event_type AS job FROM events JOIN customer ON c_custkey = user_id WHERE c_custkey % 4 <> 0")
+@register(
+    "bound_targets",
+    """SELECT event_id, value, CAST(c_nationkey % 3 AS VARCHAR) || '/radio/' || lower(c_mktsegment) AS place, event_type AS job FROM events JOIN customer ON c_custkey = user_id
+    WHERE c_mktsegment <> 'HOUSEHOLD' AND NOT (c_mktsegment = 'MACHINERY' AND c_nationkey % 3 = 0)""",
+)
 def bound_targets(spark, d):
-    made = RL.relabel(RL.per_network(_targets(spark, d), prefix="__found_net_"), TARGET_RULES)
-    made = made.withColumn("labels", merge_labels(F.col("labels"), F.create_map(F.lit("__address__"), F.col("c_custkey").cast("string"))))
-    g = TV.gauge(spark, d).join(TV.table(spark, d, "events").select("event_id", F.col("user_id").cast("string").alias("at")), "event_id")
-    return RC.bound_to(g, made, "at").select("event_id", "value", label("container").alias("container"), label("job").alias("job"))
+    """Readings under the labels of the meter that they came from, by its radio line."""
+    meters = RL.relabel(RL.per_network(_meters(spark, d), prefix="__line_"), [RL.Rule(("__line_name",), regex="radio", action="keep"), *METER_RULES])
+    at = lambda e: F.col("user_id").cast("string").alias("at")
+    return RC.bound_to(TV.gauge(spark, d, at), meters, "at").select("event_id", "value", label("place").alias("place"), label("job").alias("job"))
 
 
 @register("query_string", "SELECT p_partkey, 'title=' || replace(replace(p_name, '%', '%25'), ' ', '%20') || '&priority=' || CAST(p_size AS VARCHAR) AS q FROM part")

@@ -9,57 +9,65 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import series_key
+from ..operators import grid as G
 from ..operators import logs as L
 from ..operators import ranges as R
 from ..operators import selectors as S
 from ..operators import vectors as V
-from ..operators.alerts import Rule, annotate
+from ..operators.alerts import Rule, annotate, hold_for
+from ..operators.grid import Grid
+from ..operators.pieces import at_micros
 
-#: Takes samples and a time, gives the vector that alerts.
-Expression = Callable[[DataFrame, str], DataFrame]
+#: Takes samples and a time, gives the vector that alerts; or takes a grid of times, and gives a vector for each, told apart by eval_ts.
+Expression = Callable[[DataFrame, "str | Grid"], DataFrame]
 
 
 def _matchers(step: dict) -> list[S.Matcher]:
     return [tuple(m) for m in step.get("where", [])]
 
 
-def _series(step: dict) -> Expression:
-    return lambda samples, at: S.select_series(samples, step["metric"], _matchers(step), at, step.get("lookback", S.LOOKBACK))
+def _apart(at: str | Grid) -> list[str]:
+    return ["eval_ts"] if isinstance(at, Grid) else []
 
 
-def _range(step: dict) -> Expression:
-    return lambda samples, at: S.range_series(samples, step["metric"], _matchers(step), at, step["width"])
+def _series(step: dict) -> Expression:
+    lookback = step.get("lookback", S.LOOKBACK)
+    return lambda samples, at: (G.instant if isinstance(at, Grid) else S.select_series)(samples, step["metric"], _matchers(step), at, lookback)
 
 
-def _over_time(step: dict) -> Expression:
-    return lambda samples, at: R.over_time(_range(step)(samples, at), step.get("fn", "avg"))
+def _range(step: dict) -> Callable[[DataFrame, str], DataFrame]:
+    return lambda samples, at: S.range_series(samples, step["metric"], _matchers(step), at, step["width"])
 
 
-def _increase(step: dict) -> Expression:
-    return lambda samples, at: R.increase(_range(step)(samples, at))
+def _ranged(on_grid: Callable, at_once: Callable, *more: str) -> Callable[[dict], Expression]:
+    """A function of a range, with the named fields of a step after the width (on a grid) or the range."""
 
+    def build(step: dict) -> Expression:
+        own = [step.get(k, "avg") for k in more]
 
-def _rate(step: dict) -> Expression:
-    return lambda samples, at: R.rate(_range(step)(samples, at), step["width"])
+        def run(samples: DataFrame, at: str | Grid) -> DataFrame:
+            if isinstance(at, Grid):
+                return on_grid(samples, step["metric"], _matchers(step), at, step["width"], *own)
+            return at_once(step, _range(step)(samples, at), *own)
 
+        return run
 
-def _absent(step: dict) -> Expression:
-    return lambda samples, at: R.absent_over_time(_range(step)(samples, at), _matchers(step))
+    return build
 
 
 def _aggregate(step: dict) -> Expression:
     inner = expression(step["of"])
-    return lambda samples, at: V.agg(inner(samples, at), step["fn"], step.get("by"))
+    return lambda samples, at: V.agg(inner(samples, at), step["fn"], step.get("by"), _apart(at))
 
 
 def _arithmetic(step: dict) -> Expression:
     left, right = expression(step["left"]), step["right"]
     other = expression(right) if isinstance(right, dict) else lambda samples, at: float(right)
-    return lambda samples, at: V.binop(left(samples, at), step["op"], other(samples, at))
+    return lambda samples, at: V.binop(left(samples, at), step["op"], other(samples, at), _apart(at))
 
 
 def _compare(step: dict) -> Expression:
@@ -69,22 +77,29 @@ def _compare(step: dict) -> Expression:
 
 def _joined(step: dict) -> Expression:
     parts, join = [expression(x) for x in step["parts"]], V.v_and if step["kind"] == "all" else V.v_or
-    return lambda samples, at: reduce(join, [x(samples, at) for x in parts])
+    return lambda samples, at: reduce(lambda a, b: join(a, b, _apart(at)), [x(samples, at) for x in parts])
 
 
 def _top(step: dict) -> Expression:
     inner = expression(step["of"])
-    return lambda samples, at: V.topk(inner(samples, at), step["k"])
+
+    def run(samples: DataFrame, at: str | Grid) -> DataFrame:
+        vec = inner(samples, at)
+        return V.ranked(vec, ["eval_ts"], ["series_key"], step["k"]).drop("rank") if isinstance(at, Grid) else V.topk(vec, step["k"])
+
+    return run
 
 
 KINDS: dict[str, Callable[[dict], Expression]] = {
-    "series": _series, "over_time": _over_time, "increase": _increase, "rate": _rate, "absent": _absent, "aggregate": _aggregate,
-    "arithmetic": _arithmetic, "compare": _compare, "all": _joined, "any": _joined, "top": _top,
+    "series": _series, "aggregate": _aggregate, "arithmetic": _arithmetic,
+    "over_time": _ranged(G.over_time, lambda step, rv, fn: R.over_time(rv, fn), "fn"), "increase": _ranged(G.increase, lambda step, rv: R.increase(rv)),
+    "rate": _ranged(G.rate, lambda step, rv: R.rate(rv, step["width"])), "absent": _ranged(G.absent, lambda step, rv: R.absent_over_time(rv, _matchers(step))),
+    "compare": _compare, "all": _joined, "any": _joined, "top": _top,
 }
 
 
 def expression(step: dict) -> Expression:
-    """A step as a function of samples and a time; an unknown kind is an error at once."""
+    """A step as a function of samples and a time, or a grid of times; an unknown kind is an error at once."""
     if step.get("kind") not in KINDS:
         raise ValueError(f"not an expression: {step!r}")
     return KINDS[step["kind"]](step)
@@ -100,6 +115,24 @@ def evaluate_at(samples: DataFrame, rule: Rule, expr: Expression, at: str) -> Da
     return annotate(expr(samples, at), rule)
 
 
+def evaluate_range(samples: DataFrame, rule: Rule, expr: Expression, grid: Grid) -> DataFrame:
+    """A rule at every time of a grid, for hold_for: series_key, labels, annotations, eval_ts, value, cond. A series has a row (cond true) at each time at
+    which the rule holds, and one (cond false, without value and annotations) at the first time after that at which it does not."""
+    start, end, step = grid.micros()
+    vec = expr(samples, grid).select("series_key", "labels", "eval_ts", "value")
+    following = F.lead("eval_ts").over(Window.partitionBy("series_key").orderBy("eval_ts"))
+    then = F.timestamp_add("MICROSECOND", F.lit(step), F.col("eval_ts"))
+    ends = (following.isNull() | (following > then)) & (then <= at_micros(F.lit(end)))
+    each = annotate(vec, rule).withColumn("ends_", ends).withColumn("cond", F.explode(F.when(F.col("ends_"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(True)))))
+    on = F.col("cond")
+    return each.select("series_key", "labels", F.when(on, F.col("annotations")).alias("annotations"), F.when(on, F.col("eval_ts")).otherwise(then).alias("eval_ts"), F.when(on, F.col("value")).alias("value"), "cond")
+
+
+def states(samples: DataFrame, rule: Rule, expr: Expression, grid: Grid) -> DataFrame:
+    """evaluate_range with each row's state (pending, firing, or inactive where an alert ends), active_at and ended_at, by the rule's hold."""
+    return hold_for(evaluate_range(samples, rule, expr, grid), ["series_key"], "cond", rule.hold, "eval_ts")
+
+
 #: Fixed value: the pattern that reads a ban or an alert out of a message.
 BAN = r"^\((?P<machine>[^)]*)\) (?:alert : )?(?P<scenario>\S+)(?: for \d+/\d+ decisions)? by (?:ip|range) (?P<source_ip>\S+)(?: \((?P<country>[^/)]*)/?(?P<asn>[^)]*)\))?(?: : (?P<duration>\S+) (?P<action>\S+) on .*)?$"
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -14,11 +16,11 @@ def _instance():
     return (F.col("user_id") % 10).cast("string")
 
 
-def gauge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metric g: an event's value, labelled with its type as job and a digit of its user as instance."""
+def gauge(spark: SparkSession, sf_dir: str, *more: Callable[[DataFrame], Column]) -> DataFrame:
+    """Metric g: an event's value, labelled with its type as job and a digit of its user as instance; and further columns of the events."""
     e = table(spark, sf_dir, "events")
     labels = F.create_map(F.lit("job"), F.col("event_type"), F.lit("instance"), _instance())
-    return e.select(F.lit("g").alias("metric"), labels.alias("labels"), "ts", "value", "event_id")
+    return e.select(F.lit("g").alias("metric"), labels.alias("labels"), "ts", "value", "event_id", *[c(e) for c in more])
 
 
 def counter(spark: SparkSession, sf_dir: str) -> DataFrame:
