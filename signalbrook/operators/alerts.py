@@ -149,17 +149,19 @@ def notification_times(changes: DataFrame, keys: list[str], wait: str = "30s", i
     """When a group's notifications go out. changes: keys, ts, and until (the end of what is known): a group first waits for wait,
     then sends changes at most every interval, and repeats after repeat without one. Gives keys, sent_at, n_changes.
 
-    The next time depends on the last, so a group's changes are folded in order, one group to a task at a time."""
+    The next time depends on the last, so a group's changes are folded in order, one group to a task at a time; changes of one time are
+    counted before they are brought together, so that a group is as large as the times at which it changed."""
     w, i, r = (timedelta(seconds=seconds(x)) for x in (wait, interval, repeat))
     schema = ", ".join(f"`{k}` {dict(changes.dtypes)[k]}" for k in keys) + ", sent_at timestamp_ntz, n_changes long"
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        times, end = sorted(pdf.ts), pdf[until].max()
+        pdf = pdf.sort_values("ts")
+        times, counts, end = list(pdf.ts), pdf.n_.tolist(), pdf.until_.max()
         out, at, due = [], 0, times[0] + w
         while due <= end:
             n = 0
             while at < len(times) and times[at] <= due:
-                n, at = n + 1, at + 1
+                n, at = n + counts[at], at + 1
             out.append((due, n))
             fresh = max(due + i, times[at]) if at < len(times) else None
             due = min(due + r, fresh) if fresh is not None else due + r
@@ -168,7 +170,8 @@ def notification_times(changes: DataFrame, keys: list[str], wait: str = "30s", i
             made[k] = pdf[k].iloc[0]
         return made[[*keys, "sent_at", "n_changes"]]
 
-    return changes.groupBy(*keys).applyInPandas(fold, schema)
+    counted = changes.groupBy(*keys, "ts").agg(F.count("*").alias("n_"), F.max(until).alias("until_"))
+    return counted.groupBy(*keys).applyInPandas(fold, schema)
 
 
 def debounce(alerts: DataFrame, severity: str = "severity", waits: dict[str, str] | None = None, ts: str = "fired_at") -> DataFrame:

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import settled
+
 
 def lookup(rows: DataFrame, table: DataFrame, on: dict[str, str], take: list[str], strict: bool = True) -> DataFrame:
     """rows with columns of a table found by key (rows' column to table's). Strict: a key that the table lacks is an error when
@@ -122,13 +126,68 @@ def resolve(rows: DataFrame, objects: DataFrame, refs: dict[str, str], take: str
     return rows.join(side, on, "left").drop(*[f"ref_{i}_" for i in range(len(refs))])
 
 
-def overlapping(points: DataFrame, regions: DataFrame, ts: str, start: str, end: str, bin_ms: int = 3_600_000) -> DataFrame:
+def dyadic_cover(low: Column, high: Column, levels: int) -> Column:
+    """The fewest stretches of a power of two bins, each at a multiple of its length, that make up the bins low to high (both included): an array of
+    structs of level and node, two at most of each level. A stretch of a level is taken where the next level's would reach over an end."""
+    end = high + 1
+
+    def at(k: Column) -> Column:
+        left, right = F.ceil(low / F.pow(F.lit(2.0), k)), F.floor(end / F.pow(F.lit(2.0), k))
+        node = lambda n: F.struct(k.cast("int").alias("level"), n.cast("long").alias("node"))
+        some = left < right
+        return F.array(F.when(some & (F.pmod(left, F.lit(2)) == 1), node(left)), F.when(some & (F.pmod(right, F.lit(2)) == 1), node(right - 1)))
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(levels)), at)), lambda x: x.isNotNull())
+
+
+def overlapping(points: DataFrame, regions: DataFrame, ts: str, start: str, end: str, bin_ms: int = 65_536) -> DataFrame:
     """Points (epoch milliseconds) with the regions that hold them, both ends included; a region without an end is a point.
-    Both sides meet on bins of time, so the join is an equi-join; a region stands in each bin that it touches."""
+
+    A region stands in the dyadic stretches of bins that make it up, two of each length at most, so that one of ten years takes fewer than fifty rows; a point
+    asks for the one stretch of each length that regions have which holds it. Both meet in an equi-join, where the exact ends decide."""
     last = F.greatest(F.coalesce(F.col(end), F.col(start)), F.col(start))
-    binned = regions.withColumn("bin_", F.explode(F.sequence(F.floor(F.col(start) / bin_ms), F.floor(last / bin_ms))))
-    at = points.withColumn("bin_", F.floor(F.col(ts) / bin_ms))
-    return at.join(binned, "bin_").where((F.col(ts) >= F.col(start)) & (F.col(ts) <= last)).drop("bin_")
+    bin_of = lambda c: F.floor(c / bin_ms)
+    spread = regions.withColumn("cover_", F.explode(dyadic_cover(bin_of(F.col(start)), bin_of(last), 48)))
+    spread = spread.select(*regions.columns, F.col("cover_.level").alias("level_"), F.col("cover_.node").alias("node_"))
+    used = sorted(r[0] for r in spread.select("level_").distinct().collect())  # 49 values at most
+    asked = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(bin_of(F.col(ts)) / 2.0**k).alias("node")) for k in used]) if used else F.array().cast("array<struct<level:int,node:bigint>>")
+    at = points.withColumn("ask_", F.explode(asked)).select(*points.columns, F.col("ask_.level").alias("level_"), F.col("ask_.node").alias("node_"))
+    return at.join(spread, ["level_", "node_"]).where((F.col(ts) >= F.col(start)) & (F.col(ts) <= last)).drop("level_", "node_")
+
+
+def layers(objects: DataFrame, references: DataFrame, key: str, child: str = "child", parent: str = "parent", most_rounds: int = 1000) -> DataFrame:
+    """In which order objects can be made that refer to one another: adds layer, 0 for those that refer to none, else one more than the highest layer
+    that they refer to; null for those that no order reaches, with in_cycle true for those on a circle of references (or on the way from one to another)
+    and false for those that only wait for one.
+
+    A round takes the objects whose references have all been made, by anti joins, and drops the references to them; what is left when a round finds
+    none is cut back from its other end, to those that something left refers to, in the same way. As many rounds as there are layers; each is settled in the
+    shared folder. References to unknown objects and repeated ones don't count; of repeated keys each row gets the layer."""
+    names = objects.select(F.col(key).alias("k")).where("k IS NOT NULL").distinct()
+    links = references.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c IS NOT NULL AND p IS NOT NULL").distinct()
+    known = names.select(F.col("k").alias("p"))
+    links = links.join(known, "p", "left_semi").join(known.select(F.col("p").alias("c")), "c", "left_semi")
+
+    def peeled(left: DataFrame, links: DataFrame, end: str, other: str) -> tuple[list[DataFrame], DataFrame, DataFrame]:
+        """Objects that stand at no link's end, round by round, and what is left of objects and links."""
+        taken = []
+        for _ in range(most_rounds):
+            free = settled(left.join(links.select(F.col(end).alias("k")), "k", "left_anti"))
+            if not free.head(1):
+                return taken, left, links
+            taken.append(free)
+            left = settled(left.join(free, "k", "left_anti"))
+            links = settled(links.join(free.select(F.col("k").alias(other)), other, "left_anti"))
+        raise RuntimeError(f"more than {most_rounds} layers")
+
+    made, left, links = peeled(settled(names), settled(links), "c", "p")
+    _, core, _ = peeled(left, links, "p", "c")
+    none = names.sparkSession.createDataFrame([], names.schema).select("k", F.lit(None).cast("int").alias("layer"), F.lit(None).cast("boolean").alias("in_cycle"))
+    told = reduce(DataFrame.unionAll, [x.select("k", F.lit(i).alias("layer"), F.lit(None).cast("boolean").alias("in_cycle")) for i, x in enumerate(made)], none)
+    round_ = core.select("k", F.lit(None).cast("int").alias("layer"), F.lit(True).alias("in_cycle"))
+    waits = left.join(core, "k", "left_anti").select("k", F.lit(None).cast("int").alias("layer"), F.lit(False).alias("in_cycle"))
+    told = told.unionAll(round_).unionAll(waits).withColumnRenamed("k", "k_")
+    return objects.drop("layer", "in_cycle").join(told, F.col(key) == F.col("k_"), "left").drop("k_")
 
 
 def latest_by(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.durations import seconds, seconds_of
+from .logs import once
 from .vectors import COMPARISONS
 
 #: The placeholders and the columns that hold them.
@@ -32,20 +33,35 @@ def all_of(*texts: str) -> Column:
     return out
 
 
+def read_conditions(conditions: Column) -> Column:
+    """An array of condition texts as structs of field, op, want (a text) and number (what a status or a duration is compared with); nulls where one cannot be
+    read. Each text is searched once: its parts are joined by a character that no condition has, and split."""
+    laid = F.transform(conditions, lambda c: F.when(c.rlike(_CONDITION), F.split(F.regexp_replace(c, _CONDITION, "$1\u0001$2\u0001$3"), "\u0001", 3)))
+
+    def parts(x: Column) -> Column:
+        field, op, want = (F.get(x, F.lit(i)) for i in range(3))
+        number = F.when(field == "STATUS", want.try_cast("long")).when(field == "CERTIFICATE_EXPIRATION", seconds_of(want))
+        return F.struct(field.alias("field"), op.alias("op"), want.alias("want"), number.alias("number"))
+
+    return F.transform(laid, parts)
+
+
 def eval_conditions(probes: DataFrame, column: str = "conditions") -> DataFrame:
-    """Adds success: whether every condition of a row's own list holds. A condition that cannot be read fails."""
+    """Adds success: whether every condition of a row's own list holds. A condition that cannot be read fails. Conditions are read once, into
+    structs; after that only the structs' fields are compared."""
+    read = once(probes, read_=read_conditions(F.col(column)))
 
     def one(c: Column) -> Column:
-        field, op, want = (F.regexp_extract(c, _CONDITION, i) for i in (1, 2, 3))
-        number = F.when(field == "STATUS", F.col("status").cast("long")).when(field == "CERTIFICATE_EXPIRATION", F.col("cert_expiry_s"))
-        wanted = F.when(field == "STATUS", want.try_cast("long")).when(field == "CERTIFICATE_EXPIRATION", seconds_of(want))
-        text = F.when(field == "BODY", F.col("body")).when(field == "DNS_RCODE", F.col("dns_rcode"))
-        out = F.lit(False)
-        for sign, f in COMPARISONS.items():
-            out = F.when(op == sign, F.coalesce(f(number, wanted), f(text, want), F.lit(False))).otherwise(out)
-        return out
-
-    return probes.withColumn("success", F.coalesce(F.forall(column, one), F.lit(False)))
+        number = F.when(c["field"] == "STATUS", F.col("status").cast("long")).when(c["field"] == "CERTIFICATE_EXPIRATION", F.col("cert_expiry_s"))
+        text = F.when(c["field"] == "BODY", F.col("body")).when(c["field"] == "DNS_RCODE", F.col("dns_rcode"))
+        # -1, 0 or 1; null where either side is missing
+        sign = lambda a, b: F.when(a < b, -1).when(a > b, 1).when(a == b, 0)
+        order, out = F.coalesce(sign(number, c["number"]), sign(text, c["want"])), F.lit(False)
+        for op, f in COMPARISONS.items():
+            out = F.when(c["op"] == op, f(order, F.lit(0))).otherwise(out)
+        return F.coalesce(out, F.lit(False))
+
+    return read.withColumn("success", F.coalesce(F.forall("read_", one), F.lit(False))).drop("read_")
 
 
 def reachable(statuses: list[int], tls: bool = True) -> Column:

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .pieces import placed
+
 
 def _col(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -124,11 +126,8 @@ def merge_frames(frames: list[DataFrame], on: list[str]) -> DataFrame:
 
 
 def start_order(rows: DataFrame, key: str, order: str, default: int = 0) -> DataFrame:
-    """Adds starts: a row's place when all start by an integer, ties by key; one without an integer counts as default."""
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.orderBy(F.coalesce(order, F.lit(default)), key))
-    return rows.withColumn("starts", place)
+    """Adds starts: a row's place when all start by an integer, ties by key; one without an integer counts as default. See pieces.placed."""
+    return placed(rows, [F.coalesce(order, F.lit(default)), F.col(key)], "starts")
 
 
 def bound_to(samples: DataFrame, targets: DataFrame, on: str, address: str = "__address__") -> DataFrame:

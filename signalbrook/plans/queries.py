@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import durations, text
 from ..model import label, merge_labels, series_key
 from ..operators import alerts as A
+from ..operators import buckets as B
 from ..operators import grid as G
 from ..operators import inventory as I
 from ..operators import logs as L
@@ -526,6 +527,48 @@ def notification_times(spark, d):
     return A.notification_times(e, ["alertname", "host"])
 
 
+@register(
+    "bucket_overflows",
+    """, e AS (SELECT event_id, user_id, ts, epoch_us(ts) // 1000 AS ms, row_number() OVER (PARTITION BY user_id % 40 ORDER BY ts, event_id) - 1 AS nth, user_id % 40 AS k FROM events),
+    p AS (SELECT *, nth * 7200000 - ms AS poured FROM e),
+    l AS (SELECT *, CAST(poured - min(poured) OVER (PARTITION BY k ORDER BY nth) + 7200000 AS BIGINT) AS level_ms FROM p)
+    SELECT event_id, k, level_ms, level_ms > 3 * 7200000 AND coalesce(lag(level_ms) OVER (PARTITION BY k ORDER BY nth), 0) <= 3 * 7200000 AS overflow FROM l""",
+)
+def bucket_overflows(spark, d):
+    """Every event poured into one of 40 buckets of three drops, of which one leaks in two hours."""
+    e = TV.table(spark, d, "events").withColumn("k", F.col("user_id") % 40)
+    return B.levels(e, ["k"], "2h", 3, ties=["event_id"]).select("event_id", "k", "level_ms", "overflow")
+
+
+STATES = [
+    {"alert": "Any", "expr": {"kind": "compare", "op": ">", "number": 20, "of": {"kind": "series", "metric": "g", "lookback": "24h"}}},
+    {"alert": "None", "expr": {"kind": "compare", "op": ">", "number": 1e9, "of": {"kind": "series", "metric": "g", "lookback": "24h"}}},
+    {"alert": "Broken", "expr": {"kind": "aggregate", "fn": "mode", "of": {"kind": "series", "metric": "g", "lookback": "24h"}}},
+]
+
+
+@register("rule_states", "SELECT 'Any' AS alert, CASE WHEN count(*) > 0 THEN 'alerting' ELSE 'ok' END AS state, count(*) AS n FROM latest WHERE value > 20 UNION ALL SELECT 'None', CASE WHEN count(*) > 0 THEN 'alerting' ELSE 'ok' END, count(*) FROM latest WHERE value > 1e9 UNION ALL SELECT 'Broken', 'error', NULL")
+def rule_states(spark, d):
+    """A rule that alerts, one that does not, and one that fails."""
+    return rules.state_of_each(TV.gauge(spark, d), STATES, AT).select("alert", "state", "n")
+
+
+@register(
+    "reference_layers",
+    """, e AS (SELECT o_orderkey AS k FROM orders), r AS (SELECT k AS c, k // 3 AS p FROM e UNION SELECT k, k - 7 FROM e WHERE k % 5 = 0),
+    l AS (SELECT c, p FROM r WHERE p IN (SELECT k FROM e) AND c <> p),
+    walk(k, layer) AS (SELECT k, 0 FROM e UNION SELECT l.c, w.layer + 1 FROM walk w JOIN l ON l.p = w.k)
+    SELECT k AS o_orderkey, max(layer) AS layer FROM walk GROUP BY 1""",
+)
+def reference_layers(spark, d):
+    """Orders that refer to one of a third of their number, and some to one seven before: in which round each can be made."""
+    o = TV.table(spark, d, "orders").select("o_orderkey")
+    k = F.col("o_orderkey")
+    third = o.select(k.alias("child"), F.expr("o_orderkey div 3").alias("parent"))
+    seven = o.where(k % 5 == 0).select(k.alias("child"), (k - 7).alias("parent"))
+    return I.layers(o, third.unionByName(seven).where("child <> parent"), "o_orderkey").select("o_orderkey", "layer")
+
+
 @register("query_state", "SELECT CASE WHEN count(*) > 0 THEN 'alerting' ELSE 'ok' END AS state, count(*) AS n FROM latest WHERE value > 1000000")
 def query_state(spark, d):
     return A.query_state(V.compare(S.select_series(TV.gauge(spark, d), "g", [], AT, "24h"), ">", 1e6))

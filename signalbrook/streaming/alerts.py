@@ -185,6 +185,72 @@ def gone_silent(heartbeats: DataFrame, key: str, width: str, late: str = "0 seco
     return found.select(key, F.timestamp_millis("last").alias("last_seen"), F.timestamp_millis("at").alias("silent_at"))
 
 
+def leaking(events: DataFrame, keys: list[str], leak: str, capacity: int, late: str = "0 seconds") -> DataFrame:
+    """events: a stream of keys and ts. Gives keys, ts and level_ms of the events at which a key's bucket runs over: operators.buckets.levels for streams.
+
+    Events wait until the watermark has passed them, and are poured in order of time, so that one which comes up to late behind the newest counts as it
+    does in a table; what comes later still is dropped. A key's state is its level, the times of events that wait, and a timer for the next of
+    them, or for when the bucket will have run empty, when it ends."""
+    drip = int(seconds(leak) * 1000)
+    full = capacity * drip
+
+    def fold(rows: list, held: GroupState, now: int):
+        level, last, waiting = held.get if held.exists else (0, 0, [])
+        waiting = sorted([*(waiting or []), *(t for (t,) in rows)])
+        for t in [t for t in waiting if t <= now]:
+            had, level, last = level, max(level - (t - last), 0) + drip, t
+            if had <= full < level:
+                yield t, level
+        waiting = [t for t in waiting if t > now]
+        if not waiting and last + level <= now:
+            if held.exists:
+                held.remove()
+        else:
+            held.update((level, last, waiting))
+            _timer(held, waiting[0] if waiting else last + level, now)
+
+    found = _by_key(events, keys, [], late, fold, "ms long, level_ms long", "level long, last long, waiting array<long>")
+    return found.select(*keys, F.timestamp_millis("ms").alias("ts"), "level_ms")
+
+
+def with_threads(events: DataFrame, opened: DataFrame, key: str = "group_id", channel: str = "channel_id", wait: str = "1h", forget: str = "7d", late: str = "0 seconds") -> DataFrame:
+    """Two streams, joined: events (key, ts, and more) with the channel that their group's opening (key, ts, channel) got. An event that comes before
+    its group's opening is held back until that comes; after wait it goes out without a channel. A group's channel is forgotten when nothing has
+    been heard of it for so long, and events of a group that is opened anew get the newer channel. Events go out in order of time within a batch."""
+    span, rest = _ms(wait), _ms(forget)
+    body = F.to_json(F.struct(*[c for c in events.columns if c != key]))
+    told = events.select(key, "ts", body.alias("body_"), F.lit(None).cast("string").alias("channel_"))
+    both = told.unionByName(opened.select(key, "ts", F.lit(None).cast("string").alias("body_"), F.col(channel).cast("string").alias("channel_")))
+
+    def fold(rows: list, held: GroupState, now: int):
+        known, times, bodies, last = held.get if held.exists else (None, [], [], 0)
+        waiting = list(zip(times or [], bodies or []))
+        for t, event, place in rows:
+            if t > last + rest:
+                known = None
+            last = max(last, t)
+            if place is not None:
+                known = place
+            else:
+                waiting.append((t, event))
+        if known is not None:
+            yield from ((event, known) for _, event in sorted(waiting))
+            waiting = []
+        yield from ((event, None) for t, event in sorted(waiting) if t + span <= now)
+        waiting = sorted((t, event) for t, event in waiting if t + span > now)
+        end = waiting[0][0] + span if waiting else last + rest
+        if not waiting and (known is None or end <= now):
+            if held.exists:
+                held.remove()
+        else:
+            held.update((known, [t for t, _ in waiting], [x for _, x in waiting], last))
+            _timer(held, end, now)
+
+    found = _by_key(both, [key], ["body_", "channel_"], late, fold, "body string, channel string", "known string, times array<long>, bodies array<string>, last long")
+    kinds = ", ".join(f"`{c}` {t}" for c, t in events.dtypes if c != key)
+    return found.select(key, F.from_json("body", kinds).alias("e"), F.col("channel").alias(channel)).select(key, "e.*", channel)
+
+
 def ticks_of(rows: DataFrame, ts: str, step: str) -> list[datetime]:
     """The times at which a table is looked at: from the hour of its first row on, a step apart, until all is covered. They are known on the
     driver: as many as the steps between two times, whatever the rows."""
