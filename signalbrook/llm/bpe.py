@@ -10,11 +10,14 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import slices
+
 #: A place where no match of the pattern can run across: a space between two letters or digits starts a match,
 #: and so does any change from a letter or digit to another class.
 SAFE = regex.compile(r"(?<=[\p{L}\p{N}])(?= [\p{L}\p{N}])|(?<=\p{L})(?=[\p{N}])|(?<=\p{N})(?=\p{L})")
@@ -27,6 +30,23 @@ def encoding(ranks_file: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+#: A run of white space from here on is not given to the pattern, whose lookahead takes a step of the stack for each of its characters.
+LONG_SPACE = 10_000
+_SPACES = regex.compile(r"\p{White_Space}{%d,}" % LONG_SPACE)
+
+
+def stretches(text: str) -> Iterator[tuple[str, bool]]:
+    """A text in stretches, and whether a stretch is one match of the pattern: of a long run of white space all but its last character is, or
+    all of it at the text's end; the last one begins what follows."""
+    at = 0
+    for m in _SPACES.finditer(text) if len(text) >= LONG_SPACE else ():
+        end = m.end() if m.end() == len(text) else m.end() - 1
+        yield text[at : m.start()], False
+        yield text[m.start() : end], True
+        at = end
+    yield text[at:], False
+
+
 def pieces(text: str, limit: int) -> Iterator[str]:
     """Cut a text at safe places into pieces of limit characters, longer where no safe place comes earlier."""
     at = 0
@@ -40,20 +60,37 @@ def pieces(text: str, limit: int) -> Iterator[str]:
 
 
 def encode_text(enc: tiktoken.Encoding, text: str, limit: int) -> list[int]:
-    if len(text) <= limit:
+    if len(text) <= min(limit, LONG_SPACE):
         return enc.encode_ordinary(text)
-    return [i for piece in pieces(text, limit) for i in enc.encode_ordinary(piece)]
-
-
-def _mapped(df: DataFrame, column: str, fields: list[tuple[str, T.DataType]], arrow: list[pa.DataType], one, rows: int = 256) -> DataFrame:
-    """df with further columns that one(value) gives for the column's values, rows texts at a time."""
+    out: list[int] = []
+    for part, whole in stretches(text):
+        if whole:
+            out += enc._encode_single_piece(part)
+        else:
+            for piece in pieces(part, limit):
+                out += enc.encode_ordinary(piece)
+    return out
+
+
+def _parts(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about four megabytes of texts, or of lists of ids."""
+    column = batch.column(at)
+    if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
+        size = np.nan_to_num(np.asarray(pc.list_value_length(column).to_numpy(zero_copy_only=False), dtype="f8"))
+        edges = [0, *(np.flatnonzero(np.diff(np.cumsum(size) // (1 << 20))) + 1).tolist(), batch.num_rows]
+        yield from (batch.slice(a, b - a) for a, b in zip(edges, edges[1:]) if b > a)
+    else:
+        yield from slices(batch, at)
+
+
+def _mapped(df: DataFrame, column: str, fields: list[tuple[str, T.DataType]], arrow: list[pa.DataType], one) -> DataFrame:
+    """df with further columns that one(value) gives for the column's values, some megabytes of them at a time."""
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, t) for n, t in fields]])
     at = df.columns.index(column)
 
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, rows):
-                part = batch.slice(a, rows)
+            for part in _parts(batch, at):
                 made = list(zip(*[one(v) for v in part.column(at).to_pylist()], strict=True))
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, *[pa.array(v, t) for v, t in zip(made, arrow, strict=True)]],
@@ -67,7 +104,7 @@ def encode(df: DataFrame, text: str = "text", ids: str = "ids", ranks_file: str
     """Add ids (array<int>): the tokens of each whole text, the same as tiktoken gives for the text at once.
 
     Texts over limit characters are cut where the pattern cannot match across and encoded piece by piece; a run
-    without such a place stays whole. No special tokens. Null counts as empty (no ids); a column named like
+    without such a place stays whole, a long one of white space as the one match that it is. No special tokens. Null counts as empty (no ids); a column named like
     ids is replaced."""
     df, file, pat = df.drop(ids), ranks_file or public_tokenizers.path("byte_bpe_50k.tiktoken"), pattern or public_tokenizers.PATTERN
 

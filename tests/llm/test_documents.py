@@ -199,6 +199,19 @@ def test_components(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("space", [" ", "\n", " \n", "\u00a0\t", "\u2003"])
+def test_bpe_of_long_white_space(spark, space):
+    """Cut as the pattern would: checked on runs that it can still take itself, and then on ten megabytes of them."""
+    ranks = bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    run = space * (12_000 // len(space))
+    texts = [run, f"one{run}two", f"{run}a", f"{run}1 b", f"a{run}", f"x{run}!{run}\x1f{run}y's{run}", f"a {run}", f"{run}\n", "it's" + run + "'s"]
+    assert [bpe.encode_text(ranks, t, limit) for t in texts for limit in (100, 1 << 16)] == [ranks.encode_ordinary(t) for t in texts for _ in range(2)]
+    long = space * (10_000_000 // len(space))
+    df = spark.createDataFrame([(0, long), (1, f"word{long}word"), (2, f"{long}a")], "doc_id long, text string")
+    for r in bpe.round_trip_digests(df).collect():
+        assert r.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest() and r.n_tokens > 0
+
+
 def test_bpe(spark, rows):
     ranks = bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
     assert isinstance(ranks, tiktoken.Encoding)
