@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix
+from .common import mix, slices
 
 #: The rules that the query applies, and what they decide.
 RULES = {"net/": "block", "example.net/en/": "allow", "example.com/de/": "block", "org/fr/": "allow"}
@@ -48,10 +48,11 @@ def match_rule(host: Column, path: Column, rules: dict[str, str] | None = None)
 
 
 def grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Row and bucket of each character n-gram (as UTF-8 bytes) of the texts, the ends of a text marked."""
-    raw = b"".join(b"\x02" + (t or "").encode() + b"\x03" for t in texts.to_pylist())
-    data = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    row = np.cumsum(data == 2) - 1
+    """Row and bucket of each character n-gram (as UTF-8 bytes) of the texts, the ends of a text marked by a byte before and one after it. Rows are told by
+    where texts begin, so that a text may hold any characters."""
+    each = [b"\x02" + (t or "").encode() + b"\x03" for t in texts.to_pylist()]
+    data = np.frombuffer(b"".join(each), np.uint8).astype(np.uint64)
+    row = np.repeat(np.arange(len(each)), [len(t) for t in each])
     rows, buckets = [], []
     for n in SIZES:
         if len(data) < n:
@@ -116,7 +117,8 @@ def judge(df: DataFrame, url: str = "url", rules: dict[str, str] | None = None,
     """Add host, path, rule, block_probability and verdict (allow or block: the rule's, else block where the probability
     is at least a half).
 
-    Null urls and those without :// have empty host and path; the model judges the empty text for them. Columns so
+    Null urls and those without :// have empty host and path; the model judges the empty text for them, for which it knows no more than how often labelled urls
+    are blocked (with the package's own table it blocks them, just). Columns so
     named are replaced; empty tables give an empty result; repeated rows each come back."""
     df = df.drop("host", "path", "rule", "verdict", "block_probability")
     w, b = train(read_labelled(labelled))
@@ -126,7 +128,9 @@ def judge(df: DataFrame, url: str = "url", rules: dict[str, str] | None = None,
     def blocked(texts):
         import pandas as pd
 
-        return pd.Series(probabilities(pa.array(texts), w, b), dtype="f8")
+        batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], names=["text"])
+        found = [probabilities(part.column(0), w, b) for part in slices(batch)]
+        return pd.Series(np.concatenate([np.empty(0), *found]), dtype="f8")
 
     host, path = split_url(url)
     named = df.withColumns({"host": host, "path": path})
