@@ -127,16 +127,16 @@ AT = ["dim", "t", "key", "bi", "bj"]
 MET = "dim int, t int, key long, bi long, bj long, own long, id long, digest binary"
 
 
-def compare(pdf: pd.DataFrame, dtype: str, threshold: float, bits: int, tables: int) -> pd.DataFrame:
-    """A block pair's links, as one row for each vector that has any: how many vectors it links with here, and the
-    smallest id of its component here. No pairs leave the block. Pairs that met in an earlier table are left to it."""
+def compare(pdf: pd.DataFrame, dtype: str, threshold: float) -> pd.DataFrame:
+    """A block pair's links, as one row for each class (by its number, id) that has any: how many vectors it links with here, and the
+    smallest number of its component here. No pairs leave the block. Pairs that met in an earlier table are left to it."""
     none = pd.DataFrame({"id": [], "links": [], "root": []}).astype("int64")
     dim, table = int(pdf.dim.iloc[0]), int(pdf.t.iloc[0])
     at_a, at_b = blocks_of(pdf)
     if len(pdf) < 2 or not len(at_a) or (at_b is not None and not len(at_b)):
         return none
     x = unit(np.frombuffer(b"".join(pdf.e), dtype).reshape(-1, dim).astype("f8"))
-    keys = cell_keys(x, bits, tables)
+    keys = np.stack(pdf["keys"].to_numpy())
     ids, copies = pdf.id.to_numpy(), pdf.copies.to_numpy()
     n, root = np.zeros(len(pdf), np.int64), ids.copy()
     other = at_a if at_b is None else at_b
@@ -206,7 +206,9 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
 
     packed = cut(rows.where(fit).mapInArrow(pack, "vec_id long, dim int, digest binary, e binary, code binary, step float, factor float, missed float, keys array<long>"))
     short = ["code", "step", "factor", "missed", "keys"]
-    classes = cut(packed.groupBy("dim", "digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.any_value(F.struct(*short)).alias("c")).select("dim", "digest", "id", "copies", "c.*"))
+    # a class of equal vectors has a number of its own, as an id may have several vectors; the smallest id comes back in at the end
+    grouped = packed.groupBy("dim", "digest").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.any_value(F.struct(*short)).alias("c"))
+    classes = cut(grouped.select("dim", "digest", "least", "copies", F.monotonically_increasing_id().alias("id"), "c.*"))
     each = F.posexplode("keys").alias("t", "key")
     large = classes.select("dim", each).groupBy("dim", "t", "key").agg(F.count("*").alias("n")).where(F.col("n") > block).select("dim", "t", "key", F.ceil(F.col("n") / block).alias("parts"))
     spread = classes.select("dim", "id", "digest", "code", "step", "factor", "missed", each).join(large, ["dim", "t", "key"], "left")
@@ -221,15 +223,18 @@ def near_duplicates(df: DataFrame, vec_id: str = "vec_id", embedding: str = "emb
         met = met.repartition(n, *AT).groupBy(*AT).applyInPandas(lambda pdf: wanted(pdf, threshold), MET)
     else:  # all pairs are computed
         met = met.select(*AT, "own", "id", "digest")
-    exact = packed.select("dim", F.col("vec_id").alias("id"), "digest", "e").join(classes.select("dim", "digest", "id", "copies"), ["dim", "digest", "id"]).dropDuplicates(["dim", "digest", "id"])
-    read = cut(met).join(exact, ["dim", "digest", "id"]).select(*AT, "own", "id", "copies", "e")
-    found = cut(read.repartition(n, *AT).groupBy(*AT).applyInPandas(lambda pdf: compare(pdf, dtype, threshold, bits, tables), "id long, links long, root long"))
-    components = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
+    own = classes.select("dim", "digest", F.col("least").alias("vec_id"), "id", "copies", "keys")
+    exact = packed.select("dim", "digest", "vec_id", "e").join(own, ["dim", "digest", "vec_id"]).dropDuplicates(["id"])
+    read = cut(met).join(exact.drop("vec_id"), ["dim", "digest", "id"]).select(*AT, "own", "id", "copies", "e", "keys")
+    found = cut(read.repartition(n, *AT).groupBy(*AT).applyInPandas(lambda pdf: compare(pdf, dtype, threshold), "id long, links long, root long"))
+    components = cut(connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b"))))
+    smallest = components.join(classes.select("id", "least"), "id").groupBy("component").agg(F.min("least").alias("smallest"))
+    named = components.join(smallest, "component").select("id", "smallest")
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     per_class = (
         classes.join(counts, "id", "left")
-        .join(components, "id", "left")
-        .select("dim", "digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "id").alias("component_id"))
+        .join(named, "id", "left")
+        .select("dim", "digest", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("smallest", "least").alias("component_id"))
     )
     linked = packed.select("vec_id", "dim", "digest").join(per_class, ["dim", "digest"]).select("vec_id", "n_links", "component_id")
     alone = rows.where(~fit).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
