@@ -165,14 +165,44 @@ def test_the_bounds_leave_few_to_read(spark):
     width, low = -(-(2 * size + 1) // 256), -size
     exact = topk.packed(df, kind)
     codes = topk.approximated(exact, kind, width, low)
-    asked = [(r.id, r.dim, bytes(r.v)) for r in exact.where("id % 500 = 0").collect()]
+    asked = [(r.id, r.dim, bytes(r.v), bytes(r.digest)) for r in exact.where("id % 500 = 0").collect()]
     block = spark.sparkContext.broadcast(topk.Block(asked, kind, width))
-    bars = {r.query_id: r.bar for r in topk.bars(codes, block, 10, width, low).collect()}
+    bars = {r.query: r.bar for r in topk.bars(codes, block, 10, width, low).collect()}
     left = topk.candidates_of(codes, block, spark.sparkContext.broadcast(bars), width, low).collect()
-    assert {(q, i) for q, _, i, _ in brute_top(rows, [0, 500, 1000, 1500])} <= {(r.query_id, r.id) for r in left}
+    assert {(q, i) for q, _, i, _ in brute_top(rows, [0, 500, 1000, 1500])} <= {(asked[r.query][0], r.id) for r in left}
     assert len(left) < 0.03 * 4 * len(rows)
 
 
+def test_top_k_where_ids_have_several_vectors(spark):
+    """Each vector of an id is a query, and a candidate of the id's others; rows that repeat both stand once."""
+    rng = np.random.default_rng(4)
+    rows = [(int(i), rng.standard_normal(8).astype("f4").tolist(), 0) for i in rng.integers(0, 40, 120)]
+    rows += rows[:20] + [(0, [-9.0] * 8, 0), (0, [9.0] * 8, 0)]
+    ints = sorted({(i, tuple(np.floor(1024 * np.array(v, "f4").astype("f8")).astype(int).tolist())) for i, v, _ in rows})
+    df = topk.integers(spark.createDataFrame(rows, VECTORS), "vec_id", "embedding")
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in topk.exact_top_k(df.where("id % 10 = 0"), df, 5, 7).collect())
+    want = []
+    for q, x in (r for r in ints if r[0] % 10 == 0):
+        best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in ints if (i, y) != (q, x))[:5]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    assert got == sorted(want) and len({(r[0], r[3]) for r in got if r[1] == 1}) > len({r[0] for r in got})
+
+
+@pytest.mark.parametrize("recall", [1, 0.999])
+def test_near_duplicates_where_ids_have_several_vectors(spark, recall):
+    rng = np.random.default_rng(5)
+    base = rng.standard_normal((6, 16))
+    near = lambda i: (base[i] + rng.normal(0, 0.02, 16)).astype("f4").tolist()
+    rows = [(5, near(0), 0), (2, near(0), 0), (5, near(1), 0), (7, near(2), 0), (3, near(2), 0), (7, near(3), 0), (1, near(3), 0), (9, near(4), 0), (9, near(4), 0), (9, near(5), 0), (8, near(5), 0)]
+    rows += [(4, rows[2][1], 0), (5, rows[2][1], 0)]
+    got = sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, VECTORS), recall=recall).collect())
+    links = brute_links(usable(rows))
+    part = components(range(len(rows)), links)
+    least = {c: min(rows[i][0] for i in range(len(rows)) if part[i] == c) for c in part.values()}
+    want = sorted((r[0], sum(i in x for x in links), least[part[i]], r[0] == least[part[i]]) for i, r in enumerate(rows))
+    assert got == want and {(5, 1, 2, False), (5, 2, 4, False)} <= set(got)
+
+
 def test_top_k_of_awkward_vectors(spark):
     """Ties, copies, large components and columns named like the operator's own; and scores that no long holds."""
     rows = [(i, [float(i % 3), -1e5, 2.0**18], None) for i in range(60)] + [(100 + i, [1e5, 5.0, float(i % 2)], None) for i in range(30)]
@@ -221,6 +251,16 @@ def test_url_model_on_urls_it_has_not_seen(tmp_path):
     assert url_filter.read_labelled(tmp_path / "own.csv") == [("a.example/X,y", 1), ("", 0)]
 
 
+def test_urls_may_hold_any_characters(spark):
+    """Characters that mark a text's ends elsewhere neither fail nor move the others' rows, and long urls come in parts."""
+    urls = ["http://b\x02c.com/y", "http://a.example/\x02\x03\x00", "\x02://\x02", None, "http://plain.example/q", "http://" + "\x02" * 50 + "/"] + [f"http://h{i}.example/" + "p\x02" * 40_000 for i in range(60)]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string").coalesce(1)
+    got = {r.page_id: r.block_probability for r in url_filter.judge(df).collect()}
+    alone = {i: url_filter.judge(df.where(f"page_id = {i}")).first().block_probability for i in (0, 1, 3, 4, 5, 65)}
+    assert len(got) == len(urls) and all(got[i] == pytest.approx(p, abs=1e-9) for i, p in alone.items())
+    assert got[0] != got[4]
+
+
 def test_url_column_of_any_name(spark):
     df = spark.createDataFrame([("http://A.b/c",), (None,)], "`u``r.l` string")
     assert [(r.host, r.path) for r in url_filter.judge(df, "u`r.l").collect()] == [("a.b", "/c"), ("", "")]
