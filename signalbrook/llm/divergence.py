@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import _TAIL, cut, slices
+from .common import _TAIL, cut, slices, small
 
 #: A term is a run of letters a to z (A-Z lowered) and bytes beyond ASCII.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -175,7 +175,8 @@ def audit(df: DataFrame, text: str = "text", lang: str = "lang", source: str = "
     whole = kept.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"), F.sum("cells").alias("cells"))
     langs = groups.groupBy("lang").agg(F.count("*").alias("sources")).join(whole, "lang", "left")
     size = F.least(F.lit(MOST), F.greatest(F.lit(block), F.col("sources") * F.col("sources")))
-    langs = langs.select("lang", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("terms", "lang_total")], (F.coalesce(F.col("cells"), F.lit(0)) / size + 1).cast("long").alias("blocks"))
+    # few languages would deal all counts to few tasks
+    langs = small(langs.select("lang", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("terms", "lang_total")], (F.coalesce(F.col("cells"), F.lit(0)) / size + 1).cast("long").alias("blocks")))
     cells = cut(counted.where("term <> ''").select("lang", "source", "term", "n").join(kept.drop("cells"), ["lang", "term"]))
     totals = groups.join(cells.groupBy("lang", "source").agg(F.sum("n").alias("total")), ["lang", "source"], "left").join(langs, "lang")
     every = totals.select("lang", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "source", F.coalesce("total", F.lit(0).cast("long")).alias("total"), "terms", "lang_total")
