@@ -95,9 +95,11 @@ class Words:
         self.starts, self.ends = edges[::2].copy(), edges[1::2].copy()
         self.row = np.repeat(np.arange(self.n_rows), np.diff(np.searchsorted(self.starts, self.offsets)))
 
-    def hashes(self, lower: bool = True, step: int = 1 << 16) -> np.ndarray:
-        """A 64-bit hash of each word (A-Z lowered if asked): its blocks of eight bytes, mixed in turn; XXH3 if it is long."""
+    def hashes(self, lower: bool = True, step: int = 1 << 16, key: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word (A-Z lowered if asked): its blocks of eight bytes, mixed in turn; XXH3 if it is long. Without a key, words with equal
+        hashes can be made; a key that no text knows starts each size's words from a secret state, so that equal hashes come by chance only."""
         n = len(self.data)
+        starts_at = np.arange(LONG + 2, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) if key is None else np.random.default_rng(key).integers(0, 2**64, LONG + 2, np.uint64)
         padded = np.zeros(n + 16, np.uint8)
         padded[:n] = self.data
         if lower:
@@ -108,7 +110,7 @@ class Words:
             start, size = self.starts[a : a + step], self.ends[a : a + step] - self.starts[a : a + step]
             h = eight[start]
             h &= np.take(_TAIL, size, mode="clip")
-            h += size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            h += np.take(starts_at, size, mode="clip")
             h = mix(h)
             more = np.flatnonzero((size > 8) & (size <= LONG))
             for k in range(8, LONG, 8):
@@ -118,7 +120,7 @@ class Words:
                 h[more] = mix((h[more] + np.uint64(0x632BE59BD9B4E019)) ^ (eight[at] & np.take(_TAIL, left, mode="clip")))
                 more = more[left > 8]
             for i in np.flatnonzero(size > LONG).tolist():
-                h[i] = xxhash.xxh3_64_intdigest(padded[start[i] : start[i] + size[i]].tobytes())
+                h[i] = xxhash.xxh3_64_intdigest(padded[start[i] : start[i] + size[i]].tobytes(), key or 0)
             out[a : a + step] = h
         return out
 

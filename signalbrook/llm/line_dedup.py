@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -118,9 +119,9 @@ def _key_slot(doc: np.ndarray, version: np.ndarray, line: np.ndarray) -> np.ndar
     return _slot(mix(h))
 
 
-def token_levels(texts: DataFrame) -> np.ndarray:
-    """How often each token's slot occurs in all texts, as levels."""
-    return slot_table(texts, lambda batches: (_slot(Words(part.column(0)).hashes()) for b in batches for part in slices(b)), "levels")
+def token_levels(texts: DataFrame, key: int | None = None) -> np.ndarray:
+    """How often each token's slot occurs in all texts, as levels. key: of the words' hashes."""
+    return slot_table(texts, lambda batches: (_slot(Words(part.column(0)).hashes(key=key)) for b in batches for part in slices(b)), "levels")
 
 
 def _sorted_tokens(h: np.ndarray, line: np.ndarray, n_lines: int, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -179,11 +180,11 @@ def parities(token: np.ndarray, begin: np.ndarray, size: np.ndarray) -> np.ndarr
     return out
 
 
-def line_sets(texts: pa.Array, levels: np.ndarray, threshold: float) -> dict[str, np.ndarray]:
+def line_sets(texts: pa.Array, levels: np.ndarray, threshold: float, key: int | None = None) -> dict[str, np.ndarray]:
     """The token set of each line that has words: row, line number, first and last byte, size, parity, and its postings: the tokens of its
     prefix, rarest first, that occur more than once anywhere, with their places."""
     words = Words(texts)
-    h = words.hashes()
+    h = words.hashes(key=key)
     breaks = np.flatnonzero(words.data == 10)
     after = np.zeros(len(h) + 1, bool)
     after[np.searchsorted(words.starts, breaks)] = True
@@ -211,7 +212,7 @@ LINES = "doc binary, version binary, line binary, size binary, parity binary, po
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def lines_of(docs: DataFrame, levels, threshold: float) -> DataFrame:
+def lines_of(docs: DataFrame, levels, threshold: float, secret: int | None = None) -> DataFrame:
     """docs(doc, version, text) to rows that each hold many lines as arrays of bytes: the lines that have words, and of those that a task has
     met before, letter by letter but for the case, their earlier place."""
 
@@ -219,7 +220,7 @@ def lines_of(docs: DataFrame, levels, threshold: float) -> DataFrame:
         own, seen = levels.value, {}
         for b in batches:
             for part in slices(b, 2):
-                s = line_sets(part.column(2), own, threshold)
+                s = line_sets(part.column(2), own, threshold, secret)
                 if not len(s["row"]):
                     continue
                 doc, version = part.column(0).to_numpy()[s["row"]], part.column(1).to_numpy()[s["row"]]
@@ -627,7 +628,7 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thres
     left of its text, perhaps none.
 
     Lines alike letter by letter (A-Z lowered; compared by 128-bit BLAKE2) are one line from the start; all other pairs, those of equal
-    sets among them, are verified on their words.
+    sets among them, are verified on their words. Which lines are compared is decided by 64-bit hashes of words under a key drawn for the run.
 
     Null texts stay null; rows that repeat both id and text are one document and stay alike; rows that repeat an id with other
     texts are told apart by a hash of the text. Ids must fit in a long; -2^63 counts as null. Extra columns stay,
@@ -639,7 +640,8 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thres
     repeated = df.select(doc.alias("doc")).groupBy("doc").count().where("count > 1")
     version = F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64(text)
     docs = df.select(doc.alias("doc"), version.alias("version"), F.col(text).alias("text"))
-    lines = cut(lines_of(docs, sc.broadcast(token_levels(docs.select("text"))), threshold))
+    secret = secrets.randbits(63)  # of this run: no text can hold words that were made to have equal hashes
+    lines = cut(lines_of(docs, sc.broadcast(token_levels(docs.select("text"), secret)), threshold, secret))
     copies = cut(copies_of(lines))
     near = near_matches(docs, lines, copies, threshold)
     gone = _copies_in_tasks(lines).unionByName(copies).unionByName(near)

@@ -44,6 +44,18 @@ def clashing(df):
     return df.withColumns({n: F.lit("mine") for n in names})
 
 
+def test_line_dedup_of_words_made_to_collide(spark):
+    """Words whose fixed hashes are equal are two words to a line: under the key of a run they differ."""
+    import pyarrow as pa
+
+    a, b = "4wsjlbcaabababab", "u9iynfapjrw*!o>m"
+    h = Words(pa.array([a, b]))
+    assert len(set(h.hashes().tolist())) == 1 and len(set(h.hashes(key=7).tolist())) == 2
+    rows = [(1, f"{a} {b} aa bb"), (2, f"{a} {b} aa bb yy"), (3, f"{a} one two three"), (4, f"{b} one two three"), (5, f"{a} " + "w" * 100)]
+    got = {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 1, 3: 0, 4: 0, 5: 0}
+
+
 def test_word_hashes_agree_with_words(rows):
     import pyarrow as pa
 
