@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -125,6 +126,12 @@ class Words:
         return out
 
 
+def release() -> None:
+    """Give back to the system what Arrow holds of memory that nothing uses any more: a driver that has collected a sample keeps it else."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def small(df: DataFrame, limit: int = 100_000) -> DataFrame:
     """df written out, with leave to broadcast it if it has no more rows than limit."""
     df = cut(df)

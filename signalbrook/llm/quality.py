@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, mix, slices
+from .common import Words, mix, release, slices
 
 #: At most so many labelled documents are read for training (the first by a seeded hash of the id).
 MAX_TRAIN = 6_000
@@ -196,4 +196,5 @@ def graded(labels: DataFrame) -> DataFrame:
 def classify(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_at: float = 0.7, max_train: int = MAX_TRAIN) -> DataFrame:
     """df with expected_grade, tail_probability (of grade 2: sound and clean) and kept (tail_probability >= keep_at)."""
     model = train(df, graded(labels), doc_id, text, max_train=max_train)
+    release()
     return score(df.drop("kept"), model, text).withColumn("kept", F.col("tail_probability") >= keep_at)
