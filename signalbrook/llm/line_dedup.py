@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -617,7 +616,7 @@ def _copies_in_tasks(lines: DataFrame) -> DataFrame:
     return lines.select(*names).mapInArrow(run, "doc long, version long, line int, of_doc long, of_line int")
 
 
-def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
+def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", threshold: float = 0.8, key: int = 1) -> DataFrame:
     """df with its text rid of lines that match an earlier one, and n_lines, n_removed and removed: for each line that went its
     number (from 0), and the document and number of an earlier line that it matches (of several, which one can depend on how the
     rows lie; what goes does not).
@@ -628,7 +627,8 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thres
     left of its text, perhaps none.
 
     Lines alike letter by letter (A-Z lowered; compared by 128-bit BLAKE2) are one line from the start; all other pairs, those of equal
-    sets among them, are verified on their words. Which lines are compared is decided by 64-bit hashes of words under a key drawn for the run.
+    sets among them, are verified on their words. Which lines are compared is decided by 64-bit hashes of words under key; a
+    secret one keeps out words that were made to have equal hashes.
 
     Null texts stay null; rows that repeat both id and text are one document and stay alike; rows that repeat an id with other
     texts are told apart by a hash of the text. Ids must fit in a long; -2^63 counts as null. Extra columns stay,
@@ -640,8 +640,7 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thres
     repeated = df.select(doc.alias("doc")).groupBy("doc").count().where("count > 1")
     version = F.lit(0).cast("long") if repeated.isEmpty() else F.xxhash64(text)
     docs = df.select(doc.alias("doc"), version.alias("version"), F.col(text).alias("text"))
-    secret = secrets.randbits(63)  # of this run: no text can hold words that were made to have equal hashes
-    lines = cut(lines_of(docs, sc.broadcast(token_levels(docs.select("text"), secret)), threshold, secret))
+    lines = cut(lines_of(docs, sc.broadcast(token_levels(docs.select("text"), key)), threshold, key))
     copies = cut(copies_of(lines))
     near = near_matches(docs, lines, copies, threshold)
     gone = _copies_in_tasks(lines).unionByName(copies).unionByName(near)
