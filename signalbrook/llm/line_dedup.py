@@ -20,7 +20,7 @@ CHUNKS = 256
 WIDTH = SLOTS // CHUNKS
 #: Postings of one token that one task compares at once (or its share of all of them, if that is more); longer lists are dealt into
 #: blocks that meet pair by pair. At most SPLIT tokens have so many.
-BLOCK, SPLIT = 8192, 1 << 16
+BLOCK, SPLIT = 8192, 1 << 20
 #: Sizes up to which a line's parity has 1, 2 and 4 words of 64 bits; beyond, it has 8.
 PARITY = np.array([96, 192, 384])
 #: Sizes and places are passed on up to here; at it, they rule nothing out.
@@ -434,7 +434,7 @@ def postings(row: dict[str, np.ndarray], hot: tuple[np.ndarray, np.ndarray], kee
         line, place, flags = line[again], place[again], flags[again].copy()
         flags[low != high] &= ~np.uint8(WITHIN)
         flags[mine != low] |= SIDE
-        group = mix(token[again] + ((low << 32) | high).astype(np.uint64)) if len(again) > len(token) else token
+        group = np.where(parts[again] > 1, mix(token[again] + ((low << 32) | high).astype(np.uint64)), token[again])  # the same in each row, whatever else it holds
     words = _words_of(row["size"])
     out = {c: row[c][line] for c in ("doc", "version", "line", "size")}
     return out | {"place": place, "flags": flags, "rag": words[line], "parity": _take(row["parity"], words, line), "h": mix(group)}

@@ -150,6 +150,18 @@ def brute_print(text, n=3):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
 
 
+def test_postings_meet_whatever_else_their_rows_hold():
+    """A token's postings go to one group from rows with tokens of long lists and from rows without."""
+    hot = (np.array([7], np.uint64), np.array([3]))
+
+    def made(tokens):
+        row = {"doc": np.array([1]), "version": np.array([0]), "line": np.array([0], np.int32), "size": np.array([9], np.uint16), "parity": np.array([0], np.uint64)}
+        return line_dedup.postings(row | {"posts": np.array([len(tokens)]), "token": np.array(tokens, np.uint64), "place": np.arange(len(tokens)).astype(np.uint16)}, hot)["h"]
+
+    assert made([5])[0] in made([5, 7]) and len(made([5, 7])) == 4
+    assert set(made([7])) <= set(made([5, 7]))
+
+
 def test_simhash(docs, rows):
     got = simhash.simhash_components(clashing(docs)).collect()
     prints = {t: brute_print(t) for t in {r[1] for r in rows}}
