@@ -36,6 +36,8 @@ PARTS = CONTEXTS * BINS
 #: Words whose counts every task knows; the counts of all others are joined.
 HEAD = 1 << 16
 END = np.uint64(0x6A09E667F3BCC908)
+#: The key of word hashes, unless another is given.
+KEY = 1
 BEFORE = np.uint64(0xBB67AE8584CAA73B)
 SALTS = np.array([0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1, 0x510E527FADE682D1], np.uint64)
 #: Tokens at once.
@@ -69,12 +71,12 @@ class Tokens:
     n_rows: int
 
     @classmethod
-    def of(cls, texts: pa.Array) -> Tokens:
+    def of(cls, texts: pa.Array, key: int = KEY) -> Tokens:
         words = Words(texts)
         n, own = words.n_rows, len(words.starts)
         place = np.arange(own) + words.row  # each earlier text has put its end in between
         row, h = np.empty(own + n, np.int64), np.full(own + n, END)
-        h[place], row[place] = words.hashes(), words.row
+        h[place], row[place] = words.hashes(key=key), words.row
         ends = np.cumsum(np.bincount(words.row, minlength=n)) + np.arange(n)
         row[ends] = np.arange(n)
         return cls(row, h, n)
@@ -107,7 +109,7 @@ def table_rows(context: np.ndarray, prefix: np.ndarray, rows: int) -> np.ndarray
 class Model:
     """n, v: tokens and distinct tokens of training; head, head_counts: sorted hashes of frequent words and their counts; cells: for each digit,
     context and row, how often each value followed (quantised); met: how often the row was met; shares: of each code, its words' counts plus one,
-    summed, plus one; weights: of each digit, context and bin."""
+    summed, plus one; weights: of each digit, context and bin; key: of the words' hashes."""
 
     n: int
     v: int
@@ -117,6 +119,7 @@ class Model:
     cells: np.ndarray
     met: np.ndarray
     weights: np.ndarray
+    key: int = KEY
 
     def alone(self, digit: int) -> np.ndarray:
         """The log odds of each value of a digit after the digits before it, by counts alone."""
@@ -178,8 +181,8 @@ class Model:
         return first, second
 
 
-def counts(texts: DataFrame) -> DataFrame:
-    """texts(text) to token counts: h (hash), n. Tasks sum what they have seen before they pass it on; what is passed on grows with the texts."""
+def counts(texts: DataFrame, key: int = KEY) -> DataFrame:
+    """texts(text) to token counts: h (hash under key), n. Tasks sum what they have seen before they pass it on; what is passed on grows with the texts."""
 
     def run(batches):
         held: list[tuple] = []
@@ -196,7 +199,7 @@ def counts(texts: DataFrame) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch):
-                held.append(np.unique(Tokens.of(part.column(0)).h, return_counts=True))
+                held.append(np.unique(Tokens.of(part.column(0), key).h, return_counts=True))
                 if sum(len(x[0]) for x in held) > 1_500_000:
                     held[:] = [merged()]
                     if len(held[0][0]) > 1_000_000:
@@ -213,7 +216,7 @@ def grouped(texts: DataFrame) -> DataFrame:
     return texts.coalesce(most) if texts.rdd.getNumPartitions() > most else texts
 
 
-def tables(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
+def tables(texts: DataFrame, rows: int, key: int = KEY) -> tuple[np.ndarray, np.ndarray]:
     """cells and met of a model: tasks count, chunks of the tables are summed as streams, and the quantised sums reach the driver (a byte a
     cell, DIGITS * CONTEXTS * MOST * BASE cells at most)."""
     size = DIGITS * CONTEXTS * rows * BASE
@@ -253,7 +256,7 @@ def tables(texts: DataFrame, rows: int) -> tuple[np.ndarray, np.ndarray]:
 
         for batch in batches:
             for part in slices(batch):
-                t = Tokens.of(part.column(0))
+                t = Tokens.of(part.column(0), key)
                 contexts, codes = t.contexts(), t.codes()
                 for digit in range(DIGITS):
                     before, value = prefixes(codes, digit)
@@ -300,7 +303,7 @@ def slopes(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
         first, second = np.zeros((DIGITS, PARTS)), np.zeros((DIGITS, PARTS, PARTS))
         for batch in batches:
             for part in slices(batch):
-                one, two = shared.value.slopes(Tokens.of(part.column(0)))
+                one, two = shared.value.slopes(Tokens.of(part.column(0), shared.value.key))
                 first += one
                 second += two
         yield row(TaskContext.get().partitionId() % 16, first, second)
@@ -322,8 +325,8 @@ def slopes(texts: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return first, second
 
 
-def train(texts: DataFrame, known: DataFrame, rounds: int = 1) -> Model:
-    """Fit on texts(text) with their token counts known(h, n): the tables are counted over all texts, then each round sums gradient and
+def train(texts: DataFrame, known: DataFrame, rounds: int = 1, key: int = KEY) -> Model:
+    """Fit on texts(text) with their token counts known(h, n), h under key: the tables are counted over all texts, then each round sums gradient and
     curvature over all of them and moves the weights by Newton's step (held to where they start, as if by HELD tokens of evidence).
     The driver gets the HEAD most frequent words, the sums of each code, the tables and the sums of the slopes."""
     n, v = known.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -336,9 +339,9 @@ def train(texts: DataFrame, known: DataFrame, rounds: int = 1) -> Model:
     shares[np.asarray(sums.column("code"))] += np.asarray(sums.column("n"))
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     rows = min(MOST, max(FEWEST, 1 << (max(1, size // BYTES_A_ROW) - 1).bit_length()))
-    cells, met = tables(texts, rows)
+    cells, met = tables(texts, rows, key)
     weights = np.full((DIGITS, CONTEXTS, BINS), START)
-    model = Model(n, v, h[order], c[order], shares, cells, met, weights)
+    model = Model(n, v, h[order], c[order], shares, cells, met, weights, key)
     for _ in range(rounds if n else 0):
         first, second = slopes(texts, model)
         pull = HELD * (START - model.weights).reshape(DIGITS, PARTS)
@@ -363,7 +366,7 @@ def score(df: DataFrame, model: Model, known: DataFrame, text: str = "text") ->
         head_logs, share_logs = np.log10(m.head_counts + 1.0), np.log10(m.shares)
         for batch in batches:
             for part in slices(batch, at):
-                t = Tokens.of(part.column(at))
+                t = Tokens.of(part.column(at), m.key)
                 n = t.n_rows
                 total = np.bincount(t.row, m.scores(t) / np.log(10) - share_logs[t.codes()], n)
                 if len(m.head):
@@ -409,15 +412,18 @@ def held_out(doc_id: str) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def score_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 1) -> DataFrame:
+def score_corpus(df: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 1, key: int = KEY) -> DataFrame:
     """For each row of df: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score; learnt from the rows
     that are not held out.
 
+    Words are told apart by 64-bit hashes under key, so that two are taken for one by chance only (among 10^9 distinct words, one pair
+    is met in some 37 runs); a secret key keeps out words that were made to have equal hashes.
+
     Null and empty texts are the end token alone; rows that repeat an id each count; without training rows the counts are
     zero and the model is even. An empty table gives an empty result; other columns are ignored."""
     rows = df.select(F.col(doc_id).alias("doc_id"), held_out(doc_id).alias("held_out"), F.col(text).alias("text"))
     texts = rows.where(~F.col("held_out")).select("text")
-    known = cut(counts(texts))
-    model = train(texts, known, rounds)
+    known = cut(counts(texts, key))
+    model = train(texts, known, rounds, key)
     scored = score(rows, model, known)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -146,3 +146,15 @@ def test_held_out_texts_gain_from_context(spark):
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 7 == 2) for r in held)
     n = sum(len(words(rows[r.doc_id][1])) + 1 for r in held)
     assert sum(r.score - r.base_score for r in held) / n > 0.7  # of log10(60 / 3) at most
+
+
+def test_words_made_to_collide_are_two(spark):
+    """Two words of one hash where no key is used, one of them trained on, the other held out."""
+    a, b = "4wsjlbcaabababab", "u9iynfapjrw*!o>m"
+    assert len(set(lm.Words(pa.array([f"{a} {b}"])).hashes().tolist())) == 1
+    held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    rows = [(i, f"{a} here", None, None, None) for i in range(100) if zlib.crc32(str(i).encode()) % 7 != 2][:20] + [(held, f"{b} here", None, None, None)]
+    for key in (lm.KEY, 99):
+        got = {r.doc_id: r for r in lm.score_corpus(spark.createDataFrame(rows, DOCS), key=key).collect()}
+        assert got[held].n_known == 2 and got[held].n_tokens == 3 and got[0].n_known == 3
+        assert got[held].base_score == pytest.approx(sum(math.log10((c + 1) / (60 + 4)) for c in (0, 20, 20)), abs=1e-9)
