@@ -651,11 +651,12 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", thres
     per_doc = per_doc.select("g_doc_", "g_version_", removed.alias("removed")).hint("shuffle_hash")
     joined = df.join(per_doc, (doc == F.col("g_doc_")) & (version == F.col("g_version_")), "left").drop("g_doc_", "g_version_")
     numbers = F.transform("removed", lambda e: e["line"])
-    parts = F.split(text, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), numbers)
-    left = F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n")
+    # the lines are a column first (n_lines, a name that is free until it gets its number): within transform the text would be split again for each line
+    joined = joined.withColumn("n_lines", F.when(F.col("removed").isNotNull(), F.split(text, "\n", -1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("n_lines") - 1), numbers)
+    left = F.array_join(F.transform(stay, lambda i: F.get("n_lines", i)), "\n")
     none = F.array().cast("array<struct<line:int,of_doc:bigint,of_line:int>>")
-    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    breaks = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
     return joined.withColumns({
         "n_lines": F.coalesce(breaks + 1, F.lit(0)).cast("long"),
         "n_removed": F.coalesce(F.size("removed"), F.lit(0)).cast("long"),
