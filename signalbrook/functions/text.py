@@ -74,11 +74,14 @@ def version_key(c: str | Column, prefix: str = "") -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.cast("int"))
 
 
+#: A version: up to three numbers, with or without a leading v, and a prerelease.
+VERSION = r"^v?(\d+)(?:\.(\d+))?(?:\.(\d+))?(?:[-+]?([A-Za-z].*))?$"
+
+
 def version_parts(c: str | Column) -> Column:
     """major, minor, patch and prerelease of a version, with or without a leading v."""
-    pattern = r"^v?(\d+)(?:\.(\d+))?(?:\.(\d+))?(?:[-+]?([A-Za-z].*))?$"
-    number = lambda i: F.coalesce(F.regexp_extract(_col(c), pattern, i).try_cast("int"), F.lit(0))
-    return F.struct(number(1).alias("major"), number(2).alias("minor"), number(3).alias("patch"), F.regexp_extract(_col(c), pattern, 4).alias("prerelease"))
+    number = lambda i: F.coalesce(F.regexp_extract(_col(c), VERSION, i).try_cast("int"), F.lit(0))
+    return F.struct(number(1).alias("major"), number(2).alias("minor"), number(3).alias("patch"), F.regexp_extract(_col(c), VERSION, 4).alias("prerelease"))
 
 
 def version_below(c: str | Column, *limit: int) -> Column:

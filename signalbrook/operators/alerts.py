@@ -114,6 +114,17 @@ def group_alerts(alerts: DataFrame, by: list[str], description: str, order: list
     )
 
 
+def group_pages(alerts: DataFrame, by: list[str], description: str, order: str, size: int = 100, span: str | float = SPAN, ties: list[str] | None = None) -> DataFrame:
+    """Groups as pages of at most size alerts, so that a group of any size is spread over tasks: by, page (from 0), n_alerts, and message, the page's
+    descriptions (null: empty) one to a line. Alerts stand in the order of a time or number, then of ties, then of their descriptions; span says how much of order a
+    piece holds while places are counted."""
+    rows = alerts.select(*by, F.col(order).alias("order_"), *[F.col(t).alias(f"tie_{i}_") for i, t in enumerate(ties or [])], F.coalesce(F.col(description), F.lit("")).alias("text_"))
+    then = [c for c in rows.columns if c.startswith("tie_")] + ["text_"]
+    placed = numbered(rows, by, "order_", then, span, "place_").withColumn("page", F.floor(F.col("place_") / size).cast("long"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("place_", "text_"))), lambda e: e["text_"])
+    return placed.groupBy(*by, "page").agg(F.count("*").alias("n_alerts"), F.array_join(lines, "\n").alias("message"))
+
+
 def push_title(status: str = "status", alertname: str = "alertname", marks: dict[str, str] | None = None, default: str = "[open] ") -> Column:
     """The title of a push message: what marks its status (marks, else default), and the alert's name."""
     return F.concat(lookup(marks or {"resolved": "[done] "}, F.col(status), F.lit(default)), F.col(alertname))

@@ -109,6 +109,20 @@ def as_map(rows: DataFrame, key: str, value: str) -> DataFrame:
     return rows.agg(F.map_from_entries(entries).alias("output"))
 
 
+def object_lines(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """All rows as the lines of one JSON object, in the order of their keys: line. Lines are sorted by ranges of keys, so no task holds the
+    object. Of repeated keys the largest value stands (values must have an order); a null key is an error, a null value null; without rows the object is empty."""
+    text = F.coalesce(F.col(key).cast("string"), F.raise_error(F.lit("a null key of an object")).cast("string"))
+    json = lambda c: F.to_json(F.array(c)).substr(F.lit(2), F.length(F.to_json(F.array(c))) - 2)
+    kept = rows.select(text.alias("k"), F.col(value).alias("v")).groupBy("k").agg(F.max("v").alias("v"))
+    ends = rows.agg(F.min(F.col(key).cast("string")).alias("low"), F.max(F.col(key).cast("string")).alias("high"))  # one row
+    opened = F.when(F.col("k") == F.col("low"), "{").otherwise(",")
+    closed = F.when(F.col("k") == F.col("high"), "}").otherwise("")
+    lines = kept.crossJoin(F.broadcast(ends)).select("k", F.concat(opened, json(F.col("k")), F.lit(":"), json(F.col("v")), closed).alias("line"))
+    none = ends.where("low IS NULL").select(F.lit("").alias("k"), F.lit("{}").alias("line"))
+    return lines.unionAll(none).orderBy("k").select("line")
+
+
 def with_defaults(rows: DataFrame, defaults: dict[str, object]) -> DataFrame:
     """Optional fields filled with what they default to."""
     return rows.withColumns({c: F.coalesce(F.col(c), F.lit(v)) for c, v in defaults.items()})

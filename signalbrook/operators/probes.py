@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,10 +65,17 @@ def eval_conditions(probes: DataFrame, column: str = "conditions") -> DataFrame:
     return read.withColumn("success", F.coalesce(F.forall("read_", one), F.lit(False))).drop("read_")
 
 
-def reachable(statuses: list[int], tls: bool = True) -> Column:
-    """A web check's success: a status of the list and, if asked, TLS."""
-    ok = F.coalesce(F.col("status").isin(statuses), F.lit(False))
-    return ok & F.coalesce(F.col("tls"), F.lit(False)) if tls else ok
+def reachable(statuses: list[int], tls: bool = True, ip_version: int | None = None, methods: tuple[str, ...] = ()) -> Column:
+    """A web check's success: a status of the list and, where asked for, TLS, a version of IP (column ip_version) and one of some methods (column
+    method, in any case). What is null fails."""
+    asked = [F.col("status").isin(statuses)]
+    if tls:
+        asked.append(F.col("tls"))
+    if ip_version is not None:
+        asked.append(F.col("ip_version") == ip_version)
+    if methods:
+        asked.append(F.upper("method").isin(*[m.upper() for m in methods]))
+    return F.coalesce(reduce(Column.__and__, asked), F.lit(False))
 
 
 def by_probe(samples: DataFrame, metric: str, at: str, width: str, probe: str = "probe", by: tuple[str, ...] = ("job", "instance")) -> DataFrame:

@@ -48,6 +48,21 @@ def keep_metrics(df: DataFrame, regex: str) -> DataFrame:
     return df.where(matches(F.col("metric"), "=~", regex))
 
 
+def drop_families(df: DataFrame, *prefixes: str) -> DataFrame:
+    """Samples of no family of metrics that is turned off: a family is a prefix of names up to an underscore or the end. A null name stays."""
+    off = F.lit(False)
+    for p in prefixes:
+        off = off | (F.col("metric") == p) | F.col("metric").startswith(p.rstrip("_") + "_")
+    return df.where(~F.coalesce(off, F.lit(False)))
+
+
+def keep_labels(df: DataFrame, names: list[str], metrics: str = ".*") -> DataFrame:
+    """Samples whose metric name matches the whole regex keep only the labels named; the others keep theirs. Series that differ in dropped labels
+    alone are one afterwards, with the samples of all of them."""
+    kept = F.map_filter("labels", lambda k, _: k.isin(*names) if names else F.lit(False))
+    return df.withColumn("labels", F.when(matches(F.col("metric"), "=~", metrics), kept).otherwise(F.col("labels")))
+
+
 def range_series(samples: DataFrame, metric: str, matchers: list[Matcher], at: datetime | str, width: str | float) -> DataFrame:
     """The samples of a metric in (at - width, at]: series_key, labels, ts, value."""
     rows = where_labels(samples.where(F.col("metric") == metric), matchers)

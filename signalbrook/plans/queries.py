@@ -19,6 +19,7 @@ from ..operators import ranges as R
 from ..operators import records as RC
 from ..operators import relabel as RL
 from ..operators import selectors as S
+from ..operators import updates as U
 from ..operators import vectors as V
 from ..operators.grid import Grid
 from . import rules
@@ -426,6 +427,16 @@ def probe_conditions(spark, d):
     return P.eval_conditions(TV.probes(spark, d)).select("o_orderkey", "success")
 
 
+@register("transport_constraints", "SELECT o_orderkey, o_orderstatus <> 'P' AND o_custkey % 2 = 0 AND o_orderkey % 3 <> 0 AND o_orderkey % 5 <> 0 AS success FROM orders")
+def transport_constraints(spark, d):
+    key = F.col("o_orderkey")
+    rows = TV.table(spark, d, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderstatus") == "F", 200).when(F.col("o_orderstatus") == "O", 204).alias("status"), (F.col("o_custkey") % 2 == 0).alias("tls"),
+        F.when(key % 3 == 0, 6).otherwise(4).alias("ip_version"), F.when(key % 5 == 0, "POST").otherwise("get").alias("method"),
+    )
+    return rows.select("o_orderkey", P.reachable([200, 204], ip_version=4, methods=("GET", "HEAD")).alias("success"))
+
+
 @register("probe_fixed_conditions", "SELECT o_orderkey, web AND status = 200 AND cert > 172800 AS success FROM probes")
 def probe_fixed_conditions(spark, d):
     return TV.probes(spark, d).select("o_orderkey", P.all_of("[STATUS] == 200", "[CERTIFICATE_EXPIRATION] > 48h").alias("success"))
@@ -490,6 +501,16 @@ def alert_group(spark, d):
     return A.group_alerts(rows, ["alertname", "o_custkey"], "description", ["o_orderkey"])
 
 
+@register(
+    "alert_pages",
+    """SELECT alertname, page, count(*) AS n_alerts, string_agg('order ' || CAST(o_orderkey AS VARCHAR), chr(10) ORDER BY o_orderkey) AS message FROM (
+      SELECT o_orderkey, o_orderpriority AS alertname, CAST((row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1) // 50 AS BIGINT) AS page FROM orders) GROUP BY 1, 2""",
+)
+def alert_pages(spark, d):
+    rows = _order_alerts(spark, d).withColumn("description", F.concat(F.lit("order "), F.col("o_orderkey").cast("string")))
+    return A.group_pages(rows, ["alertname"], "description", "o_orderkey", 50, 8192)
+
+
 @register("alert_debounce", "SELECT o_orderkey, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN o_orderdate ELSE o_orderdate + INTERVAL 5 MINUTES END AS act_at FROM orders")
 def alert_debounce(spark, d):
     return A.debounce(_order_alerts(spark, d), ts="o_orderdate").select("o_orderkey", "act_at")
@@ -745,6 +766,30 @@ def version_below(spark, d):
     return TV.table(spark, d, "part").select("p_partkey", text.version_below(F.concat(F.lit("v3."), F.col("p_size").cast("string"), F.lit("-rc1")), 3, 15).alias("below"))
 
 
+UPDATE_RULES = [
+    U.UpdateRule({"merge": "hand"}),
+    U.UpdateRule({"merge": "auto", "batch": "small"}, kinds=("minor", "patch")),
+    U.UpdateRule({"batch": "first"}, patterns=("Brand#1.*",), names=("Brand#55",)),
+    U.UpdateRule({"merge": "never"}, names=("Brand#22", "Brand#23"), below=(3, 20)),
+]
+
+
+@register(
+    "update_rules",
+    """SELECT p_partkey, kind, CASE WHEN p_brand IN ('Brand#22', 'Brand#23') AND below THEN 'never' WHEN kind IN ('minor', 'patch') THEN 'auto' ELSE 'hand' END AS merge,
+      CASE WHEN p_brand LIKE 'Brand#1%' OR p_brand = 'Brand#55' THEN 'first' WHEN kind IN ('minor', 'patch') THEN 'small' END AS batch FROM (
+      SELECT *, CASE p_partkey % 5 WHEN 0 THEN 'major' WHEN 1 THEN 'minor' WHEN 2 THEN 'patch' WHEN 3 THEN 'prerelease' END AS kind,
+        CASE p_partkey % 5 WHEN 0 THEN false WHEN 1 THEN p_size + 1 < 20 WHEN 4 THEN true ELSE p_size < 20 END AS below FROM part)""",
+)
+def update_rules(spark, d):
+    step, size = F.col("p_partkey") % 5, F.col("p_size").cast("string")
+    new = F.when(step == 0, "v4.0").when(step == 1, F.concat(F.lit("3."), (F.col("p_size") + 1).cast("string"))).when(step == 2, F.concat(F.lit("3."), size, F.lit(".1")))
+    new = new.when(step == 3, F.concat(F.lit("v3."), size)).otherwise("2.9.9")
+    current = F.concat(F.lit("v3."), size, F.when(step == 3, "-rc2").otherwise(""))
+    rows = TV.table(spark, d, "part").select("p_partkey", F.col("p_brand").alias("package"), current.alias("current"), new.alias("new"))
+    return U.settle(rows, UPDATE_RULES).select("p_partkey", "kind", "merge", "batch")
+
+
 PIN = r"# renovate: datasource=(?P<datasource>\S+) depName=(?P<depName>\S+)\n\S+=(?P<currentValue>\S+)"
 
 
@@ -927,6 +972,19 @@ def label_key_escape(spark, d):
     return sums.select(label("a").alias("a"), label("b").alias("b"), "value", "n")
 
 
+@register("output_object", """SELECT CASE WHEN k = min(k) OVER () THEN '{' ELSE ',' END || '"' || k || '":"' || p_name || '"' || CASE WHEN k = max(k) OVER () THEN '}' ELSE '' END AS line
+  FROM (SELECT 'part ' || CAST(p_partkey AS VARCHAR) AS k, p_name FROM part)""")
+def output_object(spark, d):
+    return I.object_lines(TV.table(spark, d, "part").withColumn("k", F.concat(F.lit("part "), F.col("p_partkey").cast("string"))), "k", "p_name")
+
+
+@register("label_allowlist", "SELECT 'g' AS metric, 'job=' || job AS series, count(*) AS n FROM g GROUP BY 1, 2 UNION ALL SELECT 'c_total', 'instance=' || instance || ',job=' || job, count(*) FROM c GROUP BY 1, 2")
+def label_allowlist(spark, d):
+    every = [f(spark, d).select("metric", "labels", "ts", "value") for f in (TV.gauge, TV.counter, TV.up)]
+    rows = S.keep_labels(S.drop_families(every[0].unionByName(every[1]).unionByName(every[2]), "up"), ["job"], "g.*")
+    return rows.groupBy("metric", series_key("labels").alias("series")).agg(F.count("*").alias("n"))
+
+
 @register("series_legend", "SELECT DISTINCT job || ' on ' || instance AS legend FROM g")
 def series_legend(spark, d):
     return TV.gauge(spark, d).select(text.template("{{job}} on {{instance}}", label).alias("legend")).distinct()

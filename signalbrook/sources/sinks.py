@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import merge_labels
-from ..operators.inventory import latest_by
+from ..operators.inventory import latest_by, object_lines
 from ..operators.pieces import chained, next_of, numbered, summed
 from .shared import settled
 
@@ -26,6 +26,11 @@ def append_history(df: DataFrame, path: str, day_of: str = "ts", max_rows: int =
     (writer.option("maxRecordsPerFile", max_rows) if max_rows else writer).parquet(path)
 
 
+def write_object(rows: DataFrame, key: str, value: str, path: str) -> None:
+    """Write all rows as one JSON object: text files which, put together in the order of their names, are the object."""
+    object_lines(rows, key, value).write.mode("overwrite").text(path)
+
+
 def within_retention(df: DataFrame, now: str, days: int = 14) -> DataFrame:
     """The rows of the days that are still kept; a filter on the day's folder, so others are not read."""
     return df.where(F.col("day") > F.date_sub(F.lit(now).cast("date"), days))
