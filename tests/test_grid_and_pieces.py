@@ -230,3 +230,11 @@ def test_chains_end_and_circles_are_named(spark):
     assert got == list(range(5, 303, 3))
     with pytest.raises(RuntimeError, match="circle"):
         P.chained(links, spark.createDataFrame([("z", 1)], "k string, a long"), ["k"], most_rounds=4)
+
+
+@pytest.mark.parametrize("span", [4, 1000])
+def test_the_largest_before_may_stand_in_any_earlier_piece(spark, span):
+    values = {"falls": [9, 3, 7, 1, 2, 8, 0, 4, 5, 6, 1, 1], "nulls": [None, 5, None, None, None, None, 3, None, None, 1], "alone": [2]}
+    df = spark.createDataFrame([(k, i, v) for k, vs in values.items() for i, v in enumerate(vs)], "k string, i long, v long").repartition(3)
+    got = {(r.k, r.i): r.most for r in P.last_before(df, ["k"], F.col("v"), "i", span, "most").collect()}
+    assert got == {(k, i): max((v for v in vs[:i] if v is not None), default=None) for k, vs in values.items() for i in range(len(vs))}
