@@ -158,3 +158,11 @@ def test_words_made_to_collide_are_two(spark):
         got = {r.doc_id: r for r in lm.score_corpus(spark.createDataFrame(rows, DOCS), key=key).collect()}
         assert got[held].n_known == 2 and got[held].n_tokens == 3 and got[0].n_known == 3
         assert got[held].base_score == pytest.approx(sum(math.log10((c + 1) / (60 + 4)) for c in (0, 20, 20)), abs=1e-9)
+
+
+def test_what_a_task_passes_on_of_its_tables_takes_half_of_what_the_shuffle_makes_of_it():
+    rng = np.random.default_rng(5)
+    part = np.where(rng.random(1 << 18) < 0.2, np.minimum(rng.geometric(0.6, 1 << 18), 255), 0).astype(np.uint8)
+    sent = lm.packed(part)
+    assert (lm.unpacked(sent, len(part)) == part).all()
+    assert len(sent) < 0.6 * len(pa.compress(part, codec="lz4", asbytes=True))
