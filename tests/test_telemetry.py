@@ -170,6 +170,17 @@ def test_relabel_targets(spark):
     assert got == [("b1 FR-Metz", "Metz in FR", False), ("b2 DE-Ulm", "Ulm in DE", False)]
 
 
+def test_rules_are_worked_out_once_each(spark):
+    rows = [(1, {"a": "x", "b": "", "c": None}), (2, {"a": "y"}), (3, None), (4, {}), (5, {"a": "xgone"})]
+    df = spark.createDataFrame(rows, "id int, labels map<string,string>")
+    chain = [RL.Rule(("a",), target="a", regex=f"(.*)({i}?)", replacement=f"$1{i}") for i in range(5)]
+    made = RL.relabel(df, [*chain, RL.Rule(("a",), regex="xgone.*", action="drop"), RL.Rule(("absent",), target="b"), RL.Rule(("a", "c"), target="d", separator="/")])
+    got = {r.id: r.labels for r in made.where(F.coalesce(F.col("labels")["a"], F.lit("")) != "no").collect()}
+    assert got == {1: {"a": "x01234", "c": None, "d": "x01234/"}, 2: {"a": "y01234", "d": "y01234/"}, 3: None, 4: {"a": "01234", "d": "01234/"}}
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert all(plan.count(rf"(.*)({i}?)") <= 2 for i in range(5))
+
+
 def test_probe_conditions(spark):
     web, dns = ["[STATUS] == 200", "[CERTIFICATE_EXPIRATION] > 48h"], ["[DNS_RCODE] == NOERROR", "[BODY] == 192.0.2.1"]
     rows = [(web, 200, 172801, None, None, True), (web, 200, 172800, None, None, False), (["[STATUS] == 302", web[1]], 200, 999999, None, None, False), (dns, None, None, "NOERROR", "192.0.2.1", True), (web, None, None, None, None, False)]
