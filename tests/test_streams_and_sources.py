@@ -1,6 +1,7 @@
 """Streams give what batches give; sources and sinks read and write what they say."""
 
 import json
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -140,3 +141,19 @@ def test_request_source(spark, tmp_path):
     assert [(r.method, r.path, r.status) for r in got] == [(None, None, None), ("GET", "/a", 200)]
     run(readers.requests(spark, str(tmp_path), streaming=True).where("path IS NOT NULL"), "req1")
     assert spark.table("req1").count() == 1
+
+
+def test_silent_at_more_ticks_than_a_row_has_bits(spark):
+    rng = random.Random(3)
+    ticks = [T0 + timedelta(minutes=17 * i) for i in range(-40, 100)] + [T0 + timedelta(days=40)]
+    beats = [(k, T0 + timedelta(minutes=rng.choice([rng.randint(-700, 1800), 17 * rng.randint(-40, 99)]))) for k in ("a", "b", None) for _ in range(60)] + [("a", None), ("odd", T0)]
+    expected = [(k,) for k in ("a", "b", "never", None, "a")]
+    df, want = spark.createDataFrame(beats, "k string, ts timestamp_ntz"), []
+    for k in ("a", "b", "never", None):
+        own = [t for x, t in beats if k is not None and x == k and t is not None]
+        want += [(str(k), t) for t in ticks if not any(t - timedelta(minutes=30) < x <= t for x in own)]
+    got = SA.silent(df, spark.createDataFrame(expected, "k string"), "k", ticks, "30m")
+    assert sorted((str(r.k), r.tick) for r in got.collect()) == sorted(want) and len(want) > 200
+    assert SA.silent(df, df, "k", [], "30m").count() == 0
+    # keys meet their bits, and only what is left of the ticks is unfolded
+    assert not [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Join" in x and "LeftAnti" in x]
