@@ -249,3 +249,19 @@ def test_places_of_a_whole_table(spark):
     assert got == sorted(got, key=lambda r: (1 if r[0] is None else r[0], r[1])) and len(got) == 500
     plan = P.placed(df, [F.col("k")], "starts")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("SinglePartition") <= 1  # the counts of the ranges
+
+
+def test_rounds_of_layers_write_only_what_they_find(spark, monkeypatch):
+    real, written = I.settled, []
+
+    def counted(df):
+        out = real(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(I, "settled", counted)
+    n = 300
+    links = [(i, i - 1) for i in range(1, 6)] + [(i, 5) for i in range(6, n)]  # a chain, and all others wait for its end
+    got = {r.k: r.layer for r in I.layers(spark.range(n).withColumnRenamed("id", "k"), spark.createDataFrame(links, "child long, parent long"), "k").collect()}
+    assert got == {i: min(i, 6) for i in range(n)}
+    assert sum(written) < 5 * n
