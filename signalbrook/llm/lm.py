@@ -41,7 +41,7 @@ KEY = 1
 BEFORE = np.uint64(0xBB67AE8584CAA73B)
 SALTS = np.array([0x3C6EF372FE94F82B, 0xA54FF53A5F1D36F1, 0x510E527FADE682D1], np.uint64)
 #: Tokens at once.
-STEP = 1 << 12
+STEP = 1 << 13
 #: Where the weights start, and how firmly they are held there.
 START, HELD = 0.3, 1.0
 
@@ -60,6 +60,9 @@ COUNT = np.expm1(np.arange(256) * UNIT)
 LOG_REST = np.log1p(np.maximum(COUNT - 1, 0)).astype(np.float32)
 BIN = np.clip(np.log2(COUNT + 1.2), 0, BINS - 1).astype(np.int64)
 BIN_REST = np.clip(np.log2(np.maximum(COUNT - 1, 0) + 1.2), 0, BINS - 1).astype(np.int64)
+#: The logs of one less in the bytes' steps; and a one for each value of a digit: a product with it sums rows, at a fifth of what sum(1) takes.
+STEPS_REST = (LOG_REST / UNIT).astype(np.float32)
+ONES = np.ones(BASE, np.float32)
 
 
 @dataclass
@@ -94,6 +97,54 @@ class Tokens:
         return ((self.h >> np.uint64(8)) & np.uint64(CODES - 1)).astype(np.int64)
 
 
+@dataclass
+class Distinct:
+    """The tokens of a slice by what the model sees of them, each once: sorted by context and code. contexts, codes: of each; times: how often
+    it stands in the slice; order: the tokens' places, those of one after those of another."""
+
+    contexts: list[np.ndarray]
+    codes: np.ndarray
+    times: np.ndarray
+    order: np.ndarray
+
+    @classmethod
+    def of(cls, t: Tokens) -> Distinct:
+        contexts, codes = t.contexts(), t.codes()
+        n = len(codes)
+        bits = n.bit_length()
+        low = np.uint64((CODES << bits) - 1)
+        near = np.uint64(0xFFF << 52)  # what follows one word stands together, so that its rows are at hand
+        key = contexts[0] & near
+        key |= (contexts[1] & ~low) >> np.uint64(12) & ~(low | near)
+        key |= codes.astype(np.uint64) << np.uint64(bits)
+        key |= np.arange(n, dtype=np.uint64)
+        key.sort()  # the places go along in the lowest bits
+        key &= np.uint64((1 << bits) - 1)
+        order = key.view(np.int64)
+        first = np.flatnonzero(changes(codes[order], *(c[order] for c in contexts)))
+        at = order[first]
+        return cls([c[at] for c in contexts], codes[at], np.diff(np.append(first, n)), order)
+
+    def sharing(self, digit: int) -> np.ndarray:
+        """Where those begin that share their contexts and the digits before this one."""
+        return np.flatnonzero(changes(prefixes(self.codes, digit)[0], *self.contexts))
+
+    def spread(self, x: np.ndarray) -> np.ndarray:
+        """A value of each for each token."""
+        out = np.empty(len(self.order), x.dtype)
+        out[self.order] = np.repeat(x, self.times)
+        return out
+
+
+def changes(*sorted_: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before it."""
+    out = np.zeros(len(sorted_[0]), bool)
+    out[:1] = True
+    for x in sorted_:
+        out[1:] |= x[1:] != x[:-1]
+    return out
+
+
 def prefixes(codes: np.ndarray, digit: int) -> tuple[np.ndarray, np.ndarray]:
     """The digits before one, as a number, and the digit itself."""
     left = BASE ** (DIGITS - 1 - digit)
@@ -105,6 +156,11 @@ def table_rows(context: np.ndarray, prefix: np.ndarray, rows: int) -> np.ndarray
     return (mix(context + prefix.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(rows - 1)).astype(np.int64)
 
 
+def room(n: int, *kinds: type) -> list[np.ndarray]:
+    """Arrays of a digit's values for at most STEP of n tokens, to be used again in each step."""
+    return [np.empty((min(n, STEP), BASE), kind) for kind in kinds]
+
+
 @dataclass
 class Model:
     """n, v: tokens and distinct tokens of training; head, head_counts: sorted hashes of frequent words and their counts; cells: for each digit,
@@ -127,57 +183,76 @@ class Model:
         return np.log(sums / sums.sum(1, keepdims=True)).astype(np.float32)
 
     def scores(self, t: Tokens) -> np.ndarray:
-        """Natural log of each token's code."""
-        contexts, codes = t.contexts(), t.codes()
-        out, rows = np.zeros(len(codes)), self.cells.shape[2]
+        """Natural log of each token's code. What tokens share of it is worked out once for them."""
+        d = Distinct.of(t)
+        out, rows = np.zeros(len(d.codes)), self.cells.shape[2]
+        spare = room(len(out), np.uint8, np.float32, np.float32)
         for digit in range(DIGITS):
             alone = self.alone(digit)
-            before, value = prefixes(codes, digit)
-            for a in range(0, len(codes), STEP):
-                b = slice(a, a + STEP)
-                z = np.take(alone, before[b], axis=0, mode="clip")
+            before, value = prefixes(d.codes, digit)
+            weights = (UNIT * self.weights[digit])[:, BIN].astype(np.float32)  # by the byte that a row was met
+            first = d.sharing(digit)
+            ends = np.append(first, len(out))
+            for a in range(0, len(first), STEP):
+                b = first[a : a + STEP]
+                at, x, z = (s[: len(b)] for s in spare)
+                np.take(alone, before[b], axis=0, mode="clip", out=z)
                 for k in range(CONTEXTS):
-                    row = table_rows(contexts[k][b], before[b], rows)
-                    x = np.take(self.cells[digit, k], row, axis=0, mode="clip").astype(np.float32)
-                    x *= (UNIT * self.weights[digit, k])[BIN[self.met[digit, k][row]]].astype(np.float32)[:, None]
+                    row = table_rows(d.contexts[k][b], before[b], rows)
+                    np.take(self.cells[digit, k], row, axis=0, mode="clip", out=at)
+                    x[...] = at
+                    x *= weights[k].take(self.met[digit, k].take(row, mode="clip"), mode="clip")[:, None]
                     z += x
-                out[b] += z[np.arange(len(z)), value[b]]
-                out[b] -= np.log(np.exp(z, out=z).sum(1))  # 15 times the weights' bound at most: no overflow
-        return out
+                each = slice(b[0], ends[a + len(b)])
+                of = np.repeat(np.arange(len(b)), np.diff(ends[a : a + len(b) + 1]))
+                out[each] += z.ravel().take(of * BASE + value[each], mode="clip")
+                out[each] -= np.log(np.exp(z, out=z) @ ONES)[of]  # 15 times the weights' bound at most: no overflow
+        return d.spread(out)
 
     def slopes(self, t: Tokens) -> tuple[np.ndarray, np.ndarray]:
         """The gradient and the curvature of the log-likelihood in the weights, for each digit. A token's own count is left out, so that what
         was seen once does not vouch for itself."""
-        contexts, codes = t.contexts(), t.codes()
-        rows = self.cells.shape[2]
-        first, second = np.zeros((DIGITS, PARTS)), np.zeros((DIGITS, PARTS, PARTS))
+        d, rows = Distinct.of(t), self.cells.shape[2]
+        # summed by the bins of the three contexts together: what each context adds to the gradient, and each two to the curvature
+        one = np.zeros((DIGITS, CONTEXTS, BINS**CONTEXTS))
+        two = np.zeros((DIGITS, CONTEXTS, CONTEXTS, BINS**CONTEXTS))
+        at_, x_, y_, *values = room(len(d.codes), np.uint8, *[np.float32] * (3 + CONTEXTS))
         for digit in range(DIGITS):
             alone = self.alone(digit)
-            before, value = prefixes(codes, digit)
-            for a in range(0, len(codes), STEP):
+            before, value = prefixes(d.codes, digit)
+            weights = (UNIT * self.weights[digit])[:, BIN_REST].astype(np.float32)
+            for a in range(0, len(d.codes), STEP):
                 b = slice(a, a + STEP)
-                z, y = np.take(alone, before[b], axis=0, mode="clip"), value[b]
-                each, own, part = np.arange(len(z)), [], []
+                own, times = np.arange(len(value[b])) * BASE + value[b], d.times[b]
+                at, x, y, z, *each = (s[: len(own)] for s in (at_, x_, y_, *values))
+                np.take(alone, before[b], axis=0, mode="clip", out=z)
+                rest, bins = [], 0
                 for k in range(CONTEXTS):
-                    row = table_rows(contexts[k][b], before[b], rows)
-                    at = np.take(self.cells[digit, k], row, axis=0, mode="clip")
-                    x = at.astype(np.float32)
-                    x *= np.float32(UNIT)
-                    x[each, y] = LOG_REST[at[each, y]]
-                    bins = BIN_REST[self.met[digit, k][row]]
-                    own.append(x)
-                    part.append(k * BINS + bins)
-                    z += x * self.weights[digit, k][bins].astype(np.float32)[:, None]
-                p = np.exp(z, out=z)
-                p *= 1 / p.sum(1, keepdims=True)
-                mean = [np.einsum("ij,ij->i", p, x) for x in own]
+                    row = table_rows(d.contexts[k][b], before[b], rows)
+                    np.take(self.cells[digit, k], row, axis=0, mode="clip", out=at)
+                    each[k][...] = at
+                    rest.append(STEPS_REST.take(at.ravel().take(own, mode="clip"), mode="clip"))
+                    each[k].ravel()[own] = rest[k]
+                    met = self.met[digit, k].take(row, mode="clip")
+                    bins = bins * BINS + BIN_REST.take(met, mode="clip")
+                    z += np.multiply(each[k], weights[k].take(met, mode="clip")[:, None], out=x)
+                scale, mean = 1 / (np.exp(z, out=z) @ ONES), []  # z is 67.5 at most: times 255 twice, and 32 of them, is no overflow
                 for k in range(CONTEXTS):
-                    first[digit] += np.bincount(part[k], own[k][each, y] - mean[k], PARTS)
-                    spread = p * own[k]
-                    for j in range(k, CONTEXTS):
-                        both = np.einsum("ij,ij->i", spread, own[j]) - mean[k] * mean[j]
-                        sums = np.bincount(part[k] * PARTS + part[j], both, PARTS * PARTS).reshape(PARTS, PARTS)
-                        second[digit] += sums if j == k else sums + sums.T
+                    np.multiply(z, each[k], out=x)
+                    mean.append((x @ ONES) * scale)
+                    one[digit, k] += np.bincount(bins, (rest[k] - mean[k]) * times, BINS**CONTEXTS)
+                    for j in range(k + 1):
+                        both = (np.multiply(x, each[j], out=y) @ ONES) * scale - mean[k] * mean[j]
+                        two[digit, k, j] += np.bincount(bins, both * times, BINS**CONTEXTS)
+        first, second = np.zeros((DIGITS, PARTS)), np.zeros((DIGITS, PARTS, PARTS))
+        of = np.indices((BINS,) * CONTEXTS).reshape(CONTEXTS, -1) + np.arange(CONTEXTS)[:, None] * BINS  # each context's part
+        for digit in range(DIGITS):
+            for k in range(CONTEXTS):
+                np.add.at(first[digit], of[k], UNIT * one[digit, k])
+                for j in range(k + 1):
+                    np.add.at(second[digit], (of[k], of[j]), UNIT**2 * two[digit, k, j])
+                    if j < k:
+                        np.add.at(second[digit], (of[j], of[k]), UNIT**2 * two[digit, k, j])
         return first, second
 
 
@@ -232,18 +307,18 @@ def tables(texts: DataFrame, rows: int, key: int = KEY) -> tuple[np.ndarray, np.
     chunk = min(CHUNK, rows * BASE)
 
     def run(batches):
-        own, held, over = np.zeros(size, np.uint8), [], []
+        own, over = np.zeros(size, np.uint8), []
+        held, filled = np.empty(1 << 22, np.uint32), 0
 
-        def add():  # what does not fit a byte is carried: a few frequent cells
-            at = np.sort(np.concatenate(held))
-            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        def add(at):  # what does not fit a byte is carried: a few frequent cells
+            at.sort()
+            first = np.flatnonzero(changes(at))
             n = np.diff(np.append(first, len(at)))
             at = at[first]
             n += own[at]
             own[at] = (n & 255).astype(np.uint8)
             more = np.flatnonzero(n > 255)
             over.append((at[more], n[more] >> 8))
-            held.clear()
             if len(over) > 64:
                 over[:] = [carried()]
 
@@ -267,14 +342,19 @@ def tables(texts: DataFrame, rows: int, key: int = KEY) -> tuple[np.ndarray, np.
             for part in slices(batch):
                 t = Tokens.of(part.column(0), key)
                 contexts, codes = t.contexts(), t.codes()
-                for digit in range(DIGITS):
-                    before, value = prefixes(codes, digit)
-                    for k in range(CONTEXTS):
-                        held.append((((digit * CONTEXTS + k) * rows + table_rows(contexts[k], before, rows)) * BASE + value).astype(np.uint32))
-                if sum(map(len, held)) > 1 << 22:
-                    add()
-        if held:
-            add()
+                for a in range(0, len(codes), STEP):
+                    b = slice(a, a + STEP)
+                    if filled + DIGITS * CONTEXTS * STEP > len(held):
+                        add(held[:filled])
+                        filled = 0
+                    for digit in range(DIGITS):
+                        before, value = prefixes(codes[b], digit)
+                        for k in range(CONTEXTS):
+                            end = filled + len(value)
+                            held[filled:end] = ((digit * CONTEXTS + k) * rows + table_rows(contexts[k][b], before, rows)) * BASE + value
+                            filled = end
+        if filled:
+            add(held[:filled])
         yield from out()
 
     def total(batches):

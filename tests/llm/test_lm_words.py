@@ -166,3 +166,20 @@ def test_what_a_task_passes_on_of_its_tables_takes_half_of_what_the_shuffle_make
     sent = lm.packed(part)
     assert (lm.unpacked(sent, len(part)) == part).all()
     assert len(sent) < 0.6 * len(pa.compress(part, codec="lz4", asbytes=True))
+
+
+def test_what_tokens_share_is_worked_out_once(trained, monkeypatch):
+    """Texts that stand twenty times take no more rows of the tables than once, and count twenty times; steps of any length give the same."""
+    _, m = trained
+    texts, asked = [*TEXTS[:3], *TEXTS[-40:], "", "left xan never seen"], []
+    once, often = lm.Tokens.of(pa.array(texts)), lm.Tokens.of(pa.array(texts * 20))
+    monkeypatch.setattr(lm, "table_rows", lambda c, p, n, plain=lm.table_rows: asked.append(len(c)) or plain(c, p, n))
+    (first, second), scores = m.slopes(once), m.scores(once)
+    few = sum(asked)
+    for step in (lm.STEP, 7):
+        monkeypatch.setattr(lm, "STEP", step)
+        asked.clear()
+        got, more = m.slopes(often), m.scores(often)
+        assert sum(asked) == few
+        assert np.allclose(got[0], 20 * first, rtol=1e-4, atol=1e-2) and np.allclose(got[1], 20 * second, rtol=1e-4, atol=1e-2)
+        assert np.allclose(more, np.tile(scores, 20), atol=1e-5)
